@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,25 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
 
 
+_PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_symatlas_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="symatlas-")) / "symatlas.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(_PACKAGE.rglob("*.py")):
+            out.write(source, source.relative_to(_PACKAGE.parent))
+    context.addPyFile(str(archive))
+    context._symatlas_shipped = True
+
+
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, so that very long texts don't meet in one batch."""
+    """Ship the package and bound the Arrow batches, so that very long texts don't meet in one batch."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -29,6 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def map_batches(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
     """Apply make()(batch) to each Arrow batch; it returns one list or array for each field."""
+    tuned(frame.sparkSession)
     out = pa.schema([pa.field(name, kind) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -229,6 +229,7 @@ def keep(docs: DataFrame) -> DataFrame:
                 mask.append(not base_failed(base[0], base[4]) and vote_code(more) in passed)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
+    common.tuned(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
