@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality_rules, url_filter
+from . import decontaminate, near_dedup, packing, quality_rules, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
     "op4_packing": packing.op4,
     "op5_url_filter": url_filter.op5,
     "op7_decontamination": decontaminate.op7,
+    "op10_near_dedup": near_dedup.op10,
 }
 ORACLES: dict[str, str] = {}
