@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, quality_rules, url_filter
+from . import decontaminate, near_dedup, packing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
     "op4_packing": packing.op4,
     "op5_url_filter": url_filter.op5,
