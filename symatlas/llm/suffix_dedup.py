@@ -12,8 +12,9 @@ with that core, the LENGTH-byte prefixes of all suffixes are put in order, each
 equal prefixes of different places are repeats. Only dictionary entries are ordered, never the corpus,
 so the work follows the differing text and not the number of copies.
 
-Names are 128 bits (cores, which only select candidates, 64). Groups are counted by partial
-aggregation and joined by sort-merge with skew handling; no group meets in one task.
+Core and extent names together have 128 bits. Groups are counted by partial aggregation and joined by
+sort-merge with skew handling. Entries of one core are ordered in one task only up to GROUP of them;
+the strings of a core with more entries are named by 128-bit hashes and counted one by one instead.
 
 Defined results: null and empty texts have 0 bytes and keep the hash of nothing; repeated rows are
 occurrences of each other's strings; an empty table gives an empty result; a null doc_id is kept;
@@ -35,9 +36,12 @@ from . import common
 
 LENGTH = 400
 GRAM = 16
-WINDOW = 160
+WINDOW = 256
 CORE = LENGTH - WINDOW + 1
 SEGMENT = 1 << 20
+TAG_BITS = 24
+#: Most entries of one core that are ordered in one task, and entries ordered at a time.
+GROUP, CHUNK = 512, 2048
 
 _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -98,8 +102,18 @@ class Text:
         return (np.minimum(back[:starts], ahead[WINDOW - 1 : WINDOW - 1 + starts]) & _U64(0xFFFFFFFF)).astype(np.int64)
 
 
+def tag_of(text: bytes) -> int:
+    """TAG_BITS of hash that tell apart the texts of rows with one doc_id."""
+    return xxhash.xxh3_64_intdigest(text) >> (64 - TAG_BITS)
+
+
+def key_of(doc_id: int | None, text: bytes) -> int:
+    """The doc_id; a row without one goes by the hash of its text."""
+    return doc_id if doc_id is not None else xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def runs(text: bytes, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Core name, two extent names, and place (first string's start << 8 | strings - 1) of every run."""
+    """Core name, extent name, and place (tag, first string's start, strings less one) of every run."""
     found = []
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, len(text) - LENGTH + 1, SEGMENT):
@@ -112,120 +126,174 @@ def runs(text: bytes, powers: Powers) -> tuple[np.ndarray, ...]:
         t = trigger[first]
         core = hashed.name(t, t + CORE, 0)
         salt = common.mix64(((t - first) << 8 | (count - 1)).astype(_U64))
-        extent = [common.mix64(hashed.name(first, first + count - 1 + LENGTH, k) ^ salt) for k in (0, 1)]
-        found.append((core, *extent, ((first + at) << 8 | (count - 1)).astype(_U64)))
+        extent = common.mix64(hashed.name(first, first + count - 1 + LENGTH, 1) ^ salt)
+        found.append((core, extent, ((first + at) << 8 | (count - 1)).astype(_U64)))
     if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x).view(np.int64) for x in zip(*found))
-
-
-def tag_of(text: bytes) -> int:
-    """A hash that tells apart the texts of rows with one doc_id."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    core, extent, place = (np.concatenate(x) for x in zip(*found))
+    return core.view(np.int64), extent.view(np.int64), (place | _U64(tag_of(text) << 40)).view(np.int64)
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(core, e1, e2, doc, tag, place) of every run of every document."""
+    """(core, extent, doc, place) of every run of every document."""
 
     def make():
         powers = Powers()
 
         def step(batch):
-            parts, docs_of, tags = [], [], []
+            parts, keys = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
                 if len(text) >= LENGTH:
                     parts.append(runs(text, powers))
-                    docs_of.append((doc, len(parts[-1][0])))
-                    tags.append(tag_of(text))
-            sizes = [n for _, n in docs_of]
-            columns = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64)] * 4
-            index = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            doc = pa.array([d for d, _ in docs_of], pa.int64()).take(index)
-            return dict(zip(("core", "e1", "e2", "place"), columns)) | {"doc": doc, "tag": np.repeat(np.array(tags, np.int64), sizes)}
+                    keys.append(key_of(doc, text))
+            columns = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64)] * 3
+            doc = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in parts])
+            return dict(zip(("core", "extent", "place"), columns)) | {"doc": doc}
 
         return step
 
-    names = ("core", "e1", "e2", "doc", "tag", "place")
+    names = ("core", "extent", "doc", "place")
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, ", ".join(f"{n} long" for n in names), [(n, pa.int64()) for n in names])
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, tag, z): the texts under their join keys, compressed for the shuffle."""
+    """(doc, tag, doc_id, z): the texts under their join keys, compressed for the shuffle."""
 
     def make():
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
 
         def step(batch):
-            found = common.texts(batch)
-            return {"doc": batch.column("doc_id"), "tag": [tag_of(t) for t in found], "z": [press.compress(t) for t in found]}
+            found, ids = common.texts(batch), batch.column("doc_id")
+            return {"doc": [key_of(d, t) for d, t in zip(ids.to_pylist(), found)], "tag": [tag_of(t) for t in found], "doc_id": ids, "z": [press.compress(t) for t in found]}
 
         return step
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc long, tag long, z binary", [("doc", pa.int64()), ("tag", pa.int64()), ("z", pa.binary())])
+    kinds = [("doc", pa.int64()), ("tag", pa.int64()), ("doc_id", pa.int64()), ("z", pa.binary())]
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc long, tag long, doc_id long, z binary", kinds)
 
 
-def ordered(entries: DataFrame) -> DataFrame:
-    """(w1, w2, doc, tag, at, alone): the LENGTH-byte prefixes of the suffixes in dictionary entries.
+#: SQL for the parts of a place.
+_START = "shiftright(place, 8) & 4294967295 AS start"
+_COUNT = "(place & 255) + 1 AS count"
+_TAG = "shiftrightunsigned(place, 40) AS tag"
 
-    entries: doc, tag, z and places, an array of (place, alone).
+
+def looked_up(entries: DataFrame) -> DataFrame:
+    """The text of dictionary entries: doc, tag, z and entries, an array of (core, place, alone, hot), come in.
+
+    An entry goes out as one row with its text; a hot one as a row for each of its strings, with their
+    128-bit names in core and more, and no text.
     """
+    kinds = [("core", pa.int64()), ("more", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("text", pa.binary())]
 
     def make():
         powers, press = Powers(), zstandard.ZstdDecompressor()
 
         def step(batch):
-            out = {n: [] for n in ("w1", "w2", "at", "alone", "sizes", "tags")}
-            docs_of = []
-            for doc, tag, z, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "z", "places"))):
-                raw = np.frombuffer(press.decompress(z, max_output_size=1 << 31), np.uint8)
-                first = np.array([p["place"] >> 8 for p in places])
-                count = np.array([(p["place"] & 255) + 1 for p in places])
-                alone = np.repeat(np.array([p["alone"] for p in places], bool), count)
-                at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                order = np.argsort(at, kind="stable")
-                at, alone = at[order], alone[order]
-                w1, w2 = np.empty(len(at), _U64), np.empty(len(at), _U64)
-                for start in np.unique(at // SEGMENT) * SEGMENT:
-                    here = slice(*np.searchsorted(at, [start, start + SEGMENT]))
-                    hashed, local = Text(raw[start : start + SEGMENT + LENGTH - 1], powers), at[here] - start
-                    w1[here], w2[here] = hashed.name(local, local + LENGTH, 0), hashed.name(local, local + LENGTH, 1)
-                for n, x in (("w1", w1.view(np.int64)), ("w2", w2.view(np.int64)), ("at", at), ("alone", alone)):
-                    out[n].append(x)
-                out["sizes"].append(len(at))
-                out["tags"].append(tag)
-                docs_of.append(doc)
-            index = pa.array(np.repeat(np.arange(len(docs_of)), out["sizes"]))
-            return {n: np.concatenate(out[n]) for n in ("w1", "w2", "at", "alone")} | {"doc": pa.array(docs_of, pa.int64()).take(index), "tag": np.repeat(np.array(out["tags"], np.int64), out["sizes"])}
+            rows = []
+            for doc, z, entries in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "entries"))):
+                text = press.decompress(z, max_output_size=1 << 31)
+                for e in entries:
+                    place = e["place"]
+                    start, count = place >> 8 & 0xFFFFFFFF, (place & 255) + 1
+                    own = text[start : start + count - 1 + LENGTH]
+                    if not e["hot"]:
+                        rows.append((e["core"], 0, doc, place, e["alone"], own))
+                        continue
+                    hashed, at = Text(np.frombuffer(own, np.uint8), powers), np.arange(count)
+                    w1, w2 = (hashed.name(at, at + LENGTH, k).view(np.int64).tolist() for k in (0, 1))
+                    rows += [(w1[i], w2[i], doc, (place & ~0xFF) + (i << 8), e["alone"], None) for i in range(count)]
+            return dict(zip((k for k, _ in kinds), zip(*rows))) if rows else {k: [] for k, _ in kinds}
 
         return step
 
-    kinds = [*((n, pa.int64()) for n in ("w1", "w2", "doc", "tag", "at")), ("alone", pa.bool_())]
-    return common.map_batches(entries, make, "w1 long, w2 long, doc long, tag long, at long, alone boolean", kinds)
+    return common.map_batches(entries, make, "core long, more long, doc long, place long, alone boolean, text binary", kinds)
+
+
+def prefix_ranks(raw: np.ndarray) -> np.ndarray:
+    """Rank of the LENGTH-byte prefix of every suffix that has one, by prefix doubling; equal prefixes share a rank."""
+    key = np.zeros(len(raw) - 7, _U64)
+    for i in range(8):
+        key = key << _U64(8) | raw[i : len(raw) - 7 + i]
+    size = 8
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        rank = np.empty(len(key), _U64)
+        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U64)
+        if size == LENGTH:
+            return rank
+        step = min(size, LENGTH - size)
+        key = rank[:-step] << _U64(32) | rank[step:]
+        size += step
+
+
+def repeats_in(group: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
+    """(doc, place of the first, number) of runs of strings that occur twice among the entries (doc, place, alone, text)."""
+    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), np.uint8))
+    first = np.cumsum([0] + [len(g[3]) for g in group[:-1]])
+    count = np.array([len(g[3]) - LENGTH + 1 for g in group])
+    owner = np.repeat(np.arange(len(group)), count)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    own = rank[np.repeat(first, count) + inner]
+    order = np.argsort(own, kind="stable")  # the suffix order of the entries' strings
+    same = own[order][1:] == own[order][:-1]
+    twice = np.zeros(len(own), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    out = []
+    hit = np.flatnonzero(twice & np.array([g[2] for g in group])[owner])
+    if len(hit):
+        for part in np.split(hit, np.flatnonzero((np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)) + 1):
+            doc, place = group[owner[part[0]]][:2]
+            out.append((doc, (place & ~0xFF) + (int(inner[part[0]]) << 8), len(part)))
+    return out
+
+
+def suffix_sorted(entries: DataFrame) -> DataFrame:
+    """(doc, tag, start, count) of the repeated strings among entries that share a core.
+
+    Entries are dealt by core, at most GROUP to each; a task orders the suffixes of some cores at a time.
+    """
+    dealt = entries.select("core", "doc", "place", "alone", "text").repartition("core").sortWithinPartitions("core")
+    schema = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("count", pa.int64())])
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            for core, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= CHUNK and core != held[-1][0]:
+                    yield made(held)
+                    held = []
+                held.append((core, tuple(entry)))
+        if held:
+            yield made(held)
 
+    def made(held):
+        found = repeats_in([e for _, e in held])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], schema=schema)
 
-def _same_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on (doc, tag), where doc may be null."""
-    right = right.withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
-    return left.join(right, left["doc"].eqNullSafe(right["__doc"]) & (left["tag"] == right["__tag"]), how).drop("__doc", "__tag")
+    return dealt.mapInArrow(run, "doc long, place long, count long").select("doc", F.expr(_TAG), F.expr(_START), "count")
 
 
 def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings."""
-    parse = common.written(parsed(docs), "parse")
+    parse = parsed(docs)
     cores = parse.groupBy("core").count().filter("count > 1").select("core")
     candidates = common.written(parse.join(cores, "core"), "candidates")
-    common.dropped(parse)
-    extents = candidates.groupBy("core", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "place")).alias("copy"))
-    extents = common.written(extents.select("core", "e1", "e2", "n", "copy.*"), "extents")
-    several = extents.groupBy("core").count().filter("count > 1").select("core")
-    entries = extents.join(several, "core").groupBy("doc", "tag").agg(F.collect_list(F.struct("place", (F.col("n") == 1).alias("alone"))).alias("places"))
-    suffixes = common.written(ordered(_same_text(entries, texts, "inner")), "suffixes")
-    twice = suffixes.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    single = suffixes.filter("alone").join(twice, ["w1", "w2"]).select("doc", "tag", F.col("at").alias("start"), F.lit(1).cast("long").alias("count"))
-    again = extents.filter("n > 1").select("core", "e1", "e2")
-    whole = candidates.join(again, ["core", "e1", "e2"]).select("doc", "tag", F.shiftright("place", 8).alias("start"), (F.col("place").bitwiseAND(255) + 1).alias("count"))
-    spans = single.unionByName(whole).distinct()
-    return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end"))).alias("spans"))
+    extents = candidates.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("copy"))
+    extents = common.written(extents.select("core", "extent", "n", "copy.*"), "extents")
+    several = extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1")
+    entries = extents.join(several, "core").select("doc", F.expr(_TAG), F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("m") > GROUP).alias("hot")).alias("e"))
+    entries = entries.groupBy("doc", "tag").agg(F.collect_list("e").alias("entries"))
+    dictionary = common.written(looked_up(entries.join(texts.drop("doc_id"), ["doc", "tag"])), "dictionary")
+    single = suffix_sorted(dictionary.filter("text is not null"))
+    strings = dictionary.filter("text is null").select(F.col("core").alias("w1"), F.col("more").alias("w2"), "doc", "place", "alone")
+    twice = strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
+    hot = strings.filter("alone").join(twice, ["w1", "w2"]).select("doc", F.expr(_TAG), F.expr(_START), F.lit(1).cast("long").alias("count"))
+    whole = candidates.join(extents.filter("n > 1").select("core", "extent"), ["core", "extent"]).select("doc", F.expr(_TAG), F.expr(_START), F.expr(_COUNT))
+    spans = single.unionByName(hot).unionByName(whole)
+    return spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end"))).alias("spans"))
 
 
 def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
@@ -245,7 +313,7 @@ def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     texts = packed(docs)
-    both = _same_text(texts, repeated(docs, texts), "left").select("doc", "z", "spans")
+    both = texts.join(repeated(docs, texts), ["doc", "tag"], "left").select("doc_id", "z", "spans")
 
     def make():
         press = zstandard.ZstdDecompressor()
@@ -257,7 +325,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 kept, count = cut(text, spans)
                 rows.append((len(text), len(text) - len(kept), count, hashlib.sha256(kept).hexdigest()))
             n, r, c, h = zip(*rows)
-            return {"doc_id": batch.column("doc"), "n_bytes": n, "n_removed": r, "n_spans": c, "kept_sha256": h}
+            return {"doc_id": batch.column("doc_id"), "n_bytes": n, "n_removed": r, "n_spans": c, "kept_sha256": h}
 
         return step
 
@@ -273,13 +341,14 @@ def strip(docs: DataFrame) -> DataFrame:
 
     def tagged(batches):
         for batch in batches:
-            tags = [tag_of(t) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*names, "__tag"])
+            found = common.texts(batch)
+            keys = [key_of(d, t) for d, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array([tag_of(t) for t in found], pa.int64())], names=[*names, "__doc", "__tag"])
 
     fields = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    left = docs.mapInArrow(tagged, f"{fields}, __tag long")
-    right = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag2"), F.col("spans").alias("__spans"))
-    both = left.join(right, left["doc_id"].cast("long").eqNullSafe(right["__doc"]) & (left["__tag"] == right["__tag2"]), "left").select(*names, "__spans")
+    left = docs.mapInArrow(tagged, f"{fields}, __doc long, __tag long")
+    right = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    both = left.join(right, ["__doc", "__tag"], "left").select(*names, "__spans")
 
     def shortened(batches):
         for batch in batches:
