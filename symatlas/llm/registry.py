@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, html_extract, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
     "op4_packing": packing.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_language_id": language_id.op6,
     "op7_decontamination": decontaminate.op7,
+    "op8_quality_classifier": quality_classifier.op8,
+    "op9_html_extraction": html_extract.op9,
     "op10_near_dedup": near_dedup.op10,
 }
 ORACLES: dict[str, str] = {}
