@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
+    "op3_lm_scoring": lm_scoring.op3,
     "op4_packing": packing.op4,
     "op5_url_filter": url_filter.op5,
     "op6_language_id": language_id.op6,
