@@ -5,11 +5,12 @@ coordinate is the least value of a second permutation, circularly shifted k step
 The coordinates are banded; documents that share a band are candidates, and every candidate link is
 confirmed on the full shingle sets.
 
-Copies with the same set form a class, and only its smallest doc_id (its node) takes part. In a bucket
-nobody is compared with everybody: all members are compared with one pivot, confirmed links are joined
-to components, and only buckets that still hold several components go on, with another pivot and at
-last with the pairs of different components. So a bucket of thousands of copies costs a link each, and
-no link between components is lost.
+Copies with the same set form a class, and only its smallest doc_id (its node) takes part. The members
+of a bucket are first compared with one pivot, the member that shares most bands with others; confirmed
+links are joined to components. Buckets that still hold several components are joined to groups, and a
+group's components are compared in blocks of about BLOCK nodes: a task intersects the full sets of two
+blocks by matrix products and returns only links that join components. So a bucket of thousands of
+copies costs a link each, pairs are never listed, and no link between components is lost.
 
 BANDS and ROWS miss a pair at similarity 0.8 in all bands with a probability below 1e-7.
 
@@ -31,7 +32,8 @@ from . import common, graph
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
-PIVOT_ROUNDS = 2
+BLOCK = 512
+_COLUMNS = 4096
 _CHUNK = 1 << 14
 
 _U32, _U64 = np.uint32, np.uint64
@@ -136,42 +138,107 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     classes = common.written(classes, "classes")
     nodes = found.join(classes, ["s1", "s2"]).filter("doc_id = node").select("node", "bands")
     entries = common.written(nodes, "nodes").select("node", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    members = common.written(entries.join(buckets, "key").select("key", "node", "pivot").distinct(), "members")
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+    buckets = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
+    members = common.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
+    shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(shared, "node", "left_semi")
     sets = common.written(shingle_sets(texts, size), "sets")
 
-    links = component = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            apart = members.filter("node != pivot") if not turn else members.filter("node != pivot and component != pivot_component")
-            pairs = apart.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:  # what two pivots have left: members of different components, both ways round
-            other = members.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = members.join(other, "key").filter("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        new = common.written(confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        component = graph.components(links)
-        if turn == PIVOT_ROUNDS:
-            break
-        # buckets that still hold several components go on, with the members' components
-        named = members.select("key", "node", "pivot").join(component, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
-        named = common.written(named, "members")
-        order = F.when(F.col("node") != F.col("pivot"), F.xxhash64("node", F.lit(turn)))
-        following = (F.max_by("node", order).alias("next"), F.max_by("component", order).alias("pivot_component"))
-        alive = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *following).filter("c0 < c1").drop("c0", "c1")
-        members = common.written(named.join(alive, "key").select("key", "node", F.col("next").alias("pivot"), "component", "pivot_component"), "members")
-        if members.isEmpty():
-            break
+    named = common.written(members.join(shared, "node").select("key", "node", "shared"), "members")
+    pivots = named.groupBy("key").agg(F.max("shared").alias("shared")).join(named, ["key", "shared"]).groupBy("key").agg(F.min("node").alias("pivot"))
+    pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    component = graph.components(common.written(confirmed(pairs, sets, percent), "links"))
+    joined = graph.components(_between(named, component, sets, percent))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return (
         found.join(classes, ["s1", "s2"], "left")
         .join(component, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        .withColumn("component", F.coalesce("component", "node"))
+        .join(joined, "component", "left")
+        .select("doc_id", "n_shingles", F.coalesce("joined", "component", "doc_id").alias("component_id"))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")))
     )
 
 
+def _between(members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket (key, node)."""
+    labelled = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = common.written(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("first")).filter("c0 < c1").select("key", "first")
+    alive = common.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
+    group = graph.components(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    nodes = alive.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node", "left")
+    nodes = common.written(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "groups")
+    # a large component has blocks of its own, which are not compared with each other; small ones share blocks
+    sizes = nodes.groupBy("group", "component").count().withColumn("large", F.col("count") >= BLOCK // 2)
+    small = sizes.filter("not large").groupBy("group").agg(F.ceil(F.sum("count") / BLOCK).alias("shares"))
+    parts = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("shares")))
+    blocked = nodes.join(sizes, ["group", "component"]).join(small, "group", "left")
+    blocked = blocked.select("group", "node", "component", F.when(F.col("large"), F.col("component")).alias("own"), parts.alias("part"))
+    blocked = common.written(blocked.withColumn("block", F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.col("own").isNull(), "part")), "blocked")
+    blocks = blocked.select("group", "block", "own").distinct()
+    other = blocks.select("group", F.col("block").alias("other"), F.col("own").alias("other_own"))
+    met = blocks.join(other, "group").filter("block <= other and (own is null or other_own is null or own != other_own)")
+    met = met.select(F.xxhash64("block", "other").alias("meeting"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    dealt = blocked.select("block", "node", "component").join(met, "block").join(sets, "node").select("meeting", "component", "shingles")
+    dealt = dealt.repartition("meeting").sortWithinPartitions("meeting")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        at, names, held = None, [], []
+        for batch in batches:
+            offsets = batch.column(2).offsets.to_numpy()
+            values = batch.column(2).values.to_numpy()
+            for i, (meeting, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if meeting != at:
+                    yield links(names, held)
+                    at, names, held = meeting, [], []
+                names.append(name)
+                held.append(values[offsets[i] : offsets[i + 1]].copy())
+        yield links(names, held)
+
+    def links(names, held):
+        found = joining(names, held, percent) if len(set(names)) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
+
+    return common.written(dealt.mapInArrow(run, "a long, b long"), "joining")
+
+
+def joining(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of component names that links between their members' sets join; no pair follows from others."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    many = (counts > 1)[inverse]
+    rows, columns = owner[many], column[inverse[many]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, _COLUMNS):
+        a, b = np.searchsorted(columns, [start, start + _COLUMNS])
+        used, local = np.unique(rows[a:b], return_inverse=True)
+        grid = np.zeros((len(used), _COLUMNS), np.float32)
+        grid[local, columns[a:b] - start] = 1
+        shared[np.ix_(used, used)] += grid @ grid.T
+    close = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(close, 1))):
+        x, y = sorted((find(names[i]), find(names[j])))
+        if x != y:
+            root[y] = x
+            out.append((x, y))
+    return out
+
+
 def keep_first(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with all columns."""
     found = common.written(components_of(docs, size, percent), "components")
