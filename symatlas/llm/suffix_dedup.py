@@ -41,7 +41,7 @@ CORE = LENGTH - WINDOW + 1
 SEGMENT = 1 << 20
 TAG_BITS = 24
 #: Most entries of one core that are ordered in one task, and entries ordered at a time.
-GROUP, CHUNK = 512, 2048
+GROUP, CHUNK = 2048, 2048
 
 _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -185,33 +185,43 @@ def looked_up(entries: DataFrame) -> DataFrame:
     128-bit names in core and more, and no text.
     """
     kinds = [("core", pa.int64()), ("more", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("text", pa.binary())]
+    schema = pa.schema(kinds)
+    common.tuned(entries.sparkSession)
 
-    def make():
-        powers, press = Powers(), zstandard.ZstdDecompressor()
+    def ready(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], schema=schema)
 
-        def step(batch):
-            rows = []
-            for doc, z, entries in zip(*(batch.column(c).to_pylist() for c in ("doc", "z", "entries"))):
-                text = press.decompress(z, max_output_size=1 << 31)
-                for e in entries:
+    def run(batches):
+        powers, press = Powers(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows, size = [], 0
+            for doc, z, found in zip(*(batch.column(c) for c in ("doc", "z", "entries"))):
+                doc, text = doc.as_py(), press.decompress(z.as_py(), max_output_size=1 << 31)
+                for e in found.as_py():
                     place = e["place"]
                     start, count = place >> 8 & 0xFFFFFFFF, (place & 255) + 1
                     own = text[start : start + count - 1 + LENGTH]
-                    if not e["hot"]:
-                        rows.append((e["core"], 0, doc, place, e["alone"], own))
+                    if e["hot"]:
+                        hashed, at = Text(np.frombuffer(own, np.uint8), powers), np.arange(count)
+                        w1, w2 = (hashed.name(at, at + LENGTH, k).view(np.int64) for k in (0, 1))
+                        yield ready([w1, w2, np.full(count, doc), (place & ~0xFF) + (at << 8), np.full(count, e["alone"]), [None] * count])
                         continue
-                    hashed, at = Text(np.frombuffer(own, np.uint8), powers), np.arange(count)
-                    w1, w2 = (hashed.name(at, at + LENGTH, k).view(np.int64).tolist() for k in (0, 1))
-                    rows += [(w1[i], w2[i], doc, (place & ~0xFF) + (i << 8), e["alone"], None) for i in range(count)]
-            return dict(zip((k for k, _ in kinds), zip(*rows))) if rows else {k: [] for k, _ in kinds}
-
-        return step
+                    rows.append((e["core"], 0, doc, place, e["alone"], own))
+                    size += len(own)
+                    if size > common.BATCH_BYTES // 4:
+                        yield ready(list(zip(*rows)))
+                        rows, size = [], 0
+            if rows:
+                yield ready(list(zip(*rows)))
 
-    return common.map_batches(entries, make, "core long, more long, doc long, place long, alone boolean, text binary", kinds)
+    return entries.mapInArrow(run, "core long, more long, doc long, place long, alone boolean, text binary")
 
 
 def prefix_ranks(raw: np.ndarray) -> np.ndarray:
-    """Rank of the LENGTH-byte prefix of every suffix that has one, by prefix doubling; equal prefixes share a rank."""
+    """Rank of the LENGTH-byte prefix of every suffix that has one; equal prefixes share a rank.
+
+    Prefix doubling, by three at a time where ranks fit into 21 bits.
+    """
     key = np.zeros(len(raw) - 7, _U64)
     for i in range(8):
         key = key << _U64(8) | raw[i : len(raw) - 7 + i]
@@ -223,9 +233,13 @@ def prefix_ranks(raw: np.ndarray) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U64)
         if size == LENGTH:
             return rank
-        step = min(size, LENGTH - size)
-        key = rank[:-step] << _U64(32) | rank[step:]
-        size += step
+        if 3 * size <= LENGTH and len(rank) < 1 << 21:
+            key = rank[: -2 * size] << _U64(42) | rank[size:-size] << _U64(21) | rank[2 * size :]
+            size *= 3
+        else:
+            step = min(size, LENGTH - size)
+            key = rank[:-step] << _U64(32) | rank[step:]
+            size += step
 
 
 def repeats_in(group: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
