@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from symatlas.session import shipped
+
 MAX_DEPTH, MAX_PATHS = 8, 1000
 
 
@@ -26,18 +28,11 @@ def resolve_entry(keys: DataFrame, entry: str) -> DataFrame:
     return counted.select("key", F.when((F.col("tier") == 0) | (F.col("n") == 1), "found").otherwise("ambiguous").alias("status")).orderBy("key").limit(5)
 
 
-def hierarchy(spark, edges: DataFrame, start: str, depth: int, down: bool = True) -> DataFrame:
-    """(name, depth) of the transitive sub- or supertypes of a name, least depth first found, over (sub, super)."""
+def hierarchy(edges: DataFrame, start: str, depth: int, down: bool = True) -> DataFrame:
+    """(name, depth) of the transitive sub- or supertypes of a name, each at its least depth, over (sub, super)."""
     near, far = ("super", "sub") if down else ("sub", "super")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(name, depth) AS (
-              SELECT {far}, 1 FROM {{edges}} WHERE {near} = :start
-              UNION
-              SELECT e.{far}, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.{near} = w.name WHERE w.depth < :depth)
-            SELECT name, min(depth) AS depth FROM walk GROUP BY name""",
-        args={"start": start, "depth": depth},
-        edges=edges,
-    )
+    steps = edges.select(F.col(near).alias("caller"), F.col(far).alias("callee"))
+    return callees_once(steps, start, depth).filter("depth > 0")
 
 
 def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
@@ -155,6 +150,7 @@ def version_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
     The alignment is sequential, so it is an Arrow mapping over one row for each entry.
     """
+    shipped(before.sparkSession)
     both = before.select("entry", F.col("steps").alias("b")).join(after.select("entry", F.col("steps").alias("a")), "entry", "full")
 
     def run(frames):

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graphs, relations, searching  # noqa: F401  each registers its queries
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from symatlas.session import shipped
+
 DEBOUNCE = "300 milliseconds"
 
 
@@ -47,6 +49,7 @@ def changed_content(changes: DataFrame) -> DataFrame:
 
     op is change, delete (a tombstone comes out and the state goes) or close.
     """
+    shipped(changes.sparkSession)
     keyed = changes.select("uri", "ts", "op", "text").groupBy("uri")
     return keyed.applyInPandasWithState(_unseen, "uri string, ts timestamp, op string, text string", "last string", "append", GroupStateTimeout.NoTimeout)
 
