@@ -18,9 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = common.written(least, "least")  # a join above two plain exchanges can split a hot node
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         following = common.written(small.filter("u > v").distinct(), "edges")
         common.dropped(stars, large)

@@ -139,13 +139,16 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     nodes = found.join(classes, ["s1", "s2"]).filter("doc_id = node").select("node", "bands")
     entries = common.written(nodes, "nodes").select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
+    # tables of counts and minima are written before they are joined: a join above two plain exchanges can split a hot key
+    buckets = common.written(buckets, "buckets")
     members = common.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
-    shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
+    shared = common.written(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(shared, "node", "left_semi")
     sets = common.written(shingle_sets(texts, size), "sets")
 
     named = common.written(members.join(shared, "node").select("key", "node", "shared"), "members")
-    pivots = named.groupBy("key").agg(F.max("shared").alias("shared")).join(named, ["key", "shared"]).groupBy("key").agg(F.min("node").alias("pivot"))
+    most = common.written(named.groupBy("key").agg(F.max("shared").alias("shared")), "most")
+    pivots = common.written(most.join(named, ["key", "shared"]).groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
     pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     component = graph.components(common.written(confirmed(pairs, sets, percent), "links"))
     joined = graph.components(_between(named, component, sets, percent))
@@ -165,6 +168,7 @@ def _between(members: DataFrame, component: DataFrame, sets: DataFrame, percent:
     labelled = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = common.written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("first")).filter("c0 < c1").select("key", "first")
+    mixed = common.written(mixed, "mixed")
     alive = common.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
     group = graph.components(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
     nodes = alive.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node", "left")
