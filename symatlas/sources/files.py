@@ -1,0 +1,152 @@
+"""Reading source trees, archives and build files; writing and refreshing the index."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from symatlas.functions import paths
+from symatlas.session import shipped
+
+#: Folders that hold no sources of the workspace.
+EXCLUDED = (
+    ".git .gradle .idea .kotlin .cache .build build out dist target bin node_modules Pods DerivedData Carthage Generated generated vendor"
+).split()
+GLOB = "*.{kt,java,swift}"
+
+
+def listing(spark: SparkSession, root: str, exclude: bool = True, newer_than: str | None = None, ignore: list[str] = ()) -> DataFrame:
+    """(path, mtime_secs, size, lang) of the source files below a folder; contents are not read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True)
+    if newer_than:
+        reader = reader.option("modifiedAfter", newer_than)
+    found = reader.load(root).select("path", F.unix_timestamp("modificationTime").alias("mtime_secs"), F.col("length").alias("size"))
+    if exclude:
+        found = found.filter(~F.col("path").rlike("/(" + "|".join(map(re.escape, EXCLUDED)) + ")/"))
+    if ignore:
+        found = found.filter(~paths.ignored(paths.relative(F.regexp_replace("path", "^file:", ""), root), list(ignore)))
+    return found.withColumn("lang", paths.language(F.col("path")))
+
+
+def capped(found: DataFrame, limit: int | None) -> DataFrame:
+    """The shallowest files, if there are more than the limit."""
+    return found if limit is None else found.orderBy(paths.depth(F.col("path")), "path").limit(limit)
+
+
+def texts(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, text) of the source files below a folder."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True)
+    return reader.load(root).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
+
+
+def jar_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, text) of the sources inside *-sources.jar archives; the uri is archive!/entry."""
+    shipped(spark)
+    jars = spark.read.format("binaryFile").option("pathGlobFilter", "*-sources.jar").option("recursiveFileLookup", True).load(root)
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                with zipfile.ZipFile(io.BytesIO(content)) as jar:
+                    for name in sorted(jar.namelist()):
+                        if name.endswith((".kt", ".java", ".swift")):
+                            rows.append((f"{path}!/{name}", jar.read(name).decode("utf-8", "replace")))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["uri", "text"])
+
+    return jars.select("path", "content").mapInArrow(run, "uri string, text string")
+
+
+def workspace_roots(spark: SparkSession, path: str) -> DataFrame:
+    """(module, root) from a workspace.json of modules with content roots and source roots."""
+    schema = "modules array<struct<name string, contentRoots array<struct<path string, sourceRoots array<struct<path string>>>>>>, sourcePaths array<string>"
+    found = spark.read.schema(schema).option("multiLine", True).json(path)
+    roots = found.select(F.explode("modules").alias("m")).select(F.col("m.name").alias("module"), F.explode("m.contentRoots").alias("c"))
+    listed = roots.select("module", F.explode("c.sourceRoots").alias("s")).select("module", F.col("s.path").alias("root"))
+    return listed.unionByName(found.select(F.lit(None).cast("string").alias("module"), F.explode("sourcePaths").alias("root"))).distinct()
+
+
+def layout_roots(found: DataFrame) -> DataFrame:
+    """Source roots src/<set>/{kotlin,java} that a listing shows."""
+    root = F.regexp_extract("path", r"^(.*/src/[^/]+/(?:kotlin|java))/", 1)
+    return found.select(root.alias("root")).filter("root != ''").distinct()
+
+
+def version_catalog(toml: str) -> list[tuple[str, str, str, str | None]]:
+    """(alias, group, artifact, version) of a version catalogue's libraries; version.ref is looked up."""
+    import tomllib
+
+    spec = tomllib.loads(toml)
+    versions = spec.get("versions", {})
+    out = []
+    for alias, value in spec.get("libraries", {}).items():
+        if isinstance(value, str):
+            group, artifact, *version = value.split(":")
+            out.append((alias, group, artifact, version[0] if version else None))
+            continue
+        group, artifact = value["module"].split(":") if "module" in value else (value.get("group"), value.get("name"))
+        version = value.get("version")
+        if isinstance(version, dict):
+            version = versions.get(version.get("ref")) if "ref" in version else version.get("strictly") or version.get("require")
+        out.append((alias, group, artifact, version))
+    return out
+
+
+def gradle_dependencies(builds: DataFrame) -> DataFrame:
+    """(path, kind, configuration, target) of build scripts (path, text): external, catalogue, project and plugin references."""
+    text = F.regexp_replace("text", r"(?m)//.*$", "")
+    configuration = r"(\w*(?:[iI]mplementation|[aA]pi|[cC]ompileOnly|[rR]untimeOnly|kapt|ksp))"
+    patterns = {
+        "external": configuration + r"""\s*\(?\s*["']([\w.\-]+:[\w.\-]+:?[\w.\-]*)["']""",
+        "catalog": configuration + r"\s*\(?\s*libs\.([\w.]+)",
+        "project": configuration + r"""\s*\(?\s*project\(\s*["']([\w:\-]+)["']""",
+        "plugin": r"""\b(id|kotlin|alias)\s*\(\s*["']?([\w.\-]+)["']?\s*\)""",
+    }
+    out = None
+    for kind, pattern in patterns.items():
+        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("configuration"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("target"))
+        rows = builds.select("path", F.explode(both).alias("d")).select("path", F.lit(kind).alias("kind"), F.col("d.configuration").alias("configuration"), F.col("d.target").alias("target"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def resolved_dependencies(dependencies: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Catalogue references get the coordinates of their alias; dots and dashes of an alias are one."""
+    keyed = catalog.select(F.regexp_replace("alias", "[-_]", ".").alias("target"), F.concat_ws(":", "group", "artifact", "version").alias("coordinates"))
+    return dependencies.join(keyed, "target", "left").withColumn("coordinates", F.when(F.col("kind") == "external", F.col("target")).otherwise(F.col("coordinates")))
+
+
+def manifest_activities(manifests: DataFrame) -> DataFrame:
+    """(path, name, exported, actions) of manifests (path, text); exported is true unless said otherwise."""
+    blocks = manifests.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(<activity\b.*?(?:/>(?!.*?</activity>)|</activity>|/>))"), F.lit(1))).alias("b"))
+    head = F.regexp_extract("b", r"(?s)^(<activity\b[^>]*>)", 1)
+    return blocks.select(
+        "path", F.regexp_extract(head, r'android:name="([^"]+)"', 1).alias("name"), (F.regexp_extract(head, r'android:exported="(\w+)"', 1) != "false").alias("exported"),
+        F.regexp_extract_all("b", F.lit(r'<action\s+android:name="([^"]+)"'), F.lit(1)).alias("actions"),
+    )
+
+
+def write_index(relations: dict[str, DataFrame], folder: str, complete: bool = True) -> bool:
+    """Write the relations as Parquet, files by language. A larger complete index is not replaced by a smaller incomplete one."""
+    spark = next(iter(relations.values())).sparkSession
+    count = relations["files"].count()
+    if not complete:
+        try:
+            old = spark.read.parquet(f"{folder}/_meta").first()
+        except Exception:  # no index yet
+            old = None
+        if old and old["complete"] and old["files"] > count:
+            return False
+    for name, frame in relations.items():
+        writer = frame.write.mode("overwrite")
+        (writer.partitionBy("lang") if name == "files" else writer).parquet(f"{folder}/{name}")
+    spark.createDataFrame([(1, complete, count)], "version int, complete boolean, files long").write.mode("overwrite").parquet(f"{folder}/_meta")
+    return True
+
+
+def read_index(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
