@@ -110,14 +110,14 @@ def containment_first(spark, sf_dir):
     return _contained(spark, sf_dir, F.min("name"))
 
 
-_SYMBOLS = "symbols AS (SELECT o_custkey AS uri, 'O' || o_orderkey AS name, (o_orderkey % 40)::INT AS s, (o_orderkey % 40 + o_totalprice::BIGINT % 9)::INT AS e FROM orders WHERE o_custkey < 200)"
+_SYMBOLS = "symbols AS (SELECT o_custkey AS uri, 'O' || o_orderkey AS name, (o_orderkey % 40)::INT AS s, (o_orderkey % 40 + floor(o_totalprice)::BIGINT % 9)::INT AS e FROM orders WHERE o_custkey < 200)"
 
 
 @query("top_level_symbols", f"WITH {_SYMBOLS} SELECT uri, name FROM symbols x WHERE NOT EXISTS (SELECT 1 FROM symbols o WHERE o.uri = x.uri AND o.s <= x.s AND x.e <= o.e AND (o.s <> x.s OR o.e <> x.e))")
 def top_level_symbols(spark, sf_dir):
     o = read(spark, sf_dir, "orders").filter("o_custkey < 200")
     start = (F.col("o_orderkey") % 40).cast("int")
-    symbols = o.select(F.col("o_custkey").alias("uri"), F.concat(F.lit("O"), "o_orderkey").alias("name"), start.alias("start_line"), (start + F.round("o_totalprice").cast("long") % 9).cast("int").alias("end_line"))
+    symbols = o.select(F.col("o_custkey").alias("uri"), F.concat(F.lit("O"), "o_orderkey").alias("name"), start.alias("start_line"), (start + F.floor("o_totalprice") % 9).cast("int").alias("end_line"))
     return index.top_level(symbols).select("uri", "name")
 
 

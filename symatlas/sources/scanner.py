@@ -19,9 +19,9 @@ _WORD = re.compile(r"[^\W\d]\w*")
 #: Reserved words of the three languages; none of them is ever called or resolved.
 KEYWORDS = frozenset(
     "abstract actor annotation as assert associatedtype async await boolean break byte case catch char class companion const constructor continue data "
-    "default defer deinit do double dynamic else enum extends extension external false final finally float for fun func get guard if implements import in "
+    "default defer deinit do double dynamic else enum extends extension external false final finally float for fun func guard if implements import in "
     "infix init inline inner instanceof int interface internal is lateinit let long native new nil null object open operator out override package private "
-    "protected protocol public record repeat return sealed self set short static strictfp struct subscript super suspend switch synchronized tailrec this "
+    "protected protocol public return sealed self short static strictfp struct subscript super suspend switch synchronized tailrec this "
     "throw throws transient true try typealias val var vararg void volatile weak when where while yield".split()
 )
 _CLASSLIKE = {

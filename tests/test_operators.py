@@ -1,0 +1,101 @@
+from pyspark.sql import functions as F
+
+from symatlas.operators import complete, graph, index, resolve, stats
+
+
+def rows(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def test_reach_cycle_target_and_leaf(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "caller string, callee string")
+    assert [r["path"] for r in graph.reach(spark, edges, "a").collect()] == ["a > b > c", "a > d"]
+    assert [r["path"] for r in graph.reach(spark, edges, "a", "c").collect()] == ["a > b > c"]
+    assert graph.reach(spark, edges, "a", depth=1).count() == 2
+    assert graph.reach(spark, edges, "a", limit=1).count() == 1
+
+
+def test_call_tree_marks_cycles(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("a", "c", 2)], "caller string, callee string, seq int")
+    assert [(r["name"], r["cycle"]) for r in graph.call_tree(spark, edges, "a", 5).orderBy("path_seq").collect()] == [("a", False), ("b", False), ("a", True), ("c", False)]
+
+
+def test_hierarchy_ends_on_cycles(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c")], "sub string, super string")
+    assert rows(graph.hierarchy(edges, "a", 4)) == [("b", 1), ("c", 2)]
+
+
+def test_resolve_entry(spark):
+    keys = spark.createDataFrame([("A.run",), ("B.run",), ("C.stop",)], "key string")
+    assert rows(graph.resolve_entry(keys, "stop")) == [("C.stop", "found")]
+    assert rows(graph.resolve_entry(keys, "run")) == [("A.run", "ambiguous"), ("B.run", "ambiguous")]
+    assert rows(graph.resolve_entry(keys, "A.run")) == [("A.run", "found")]
+
+
+def test_alignment_removes_first():
+    assert graph.aligned(["a", "b", "c"], ["a", "x", "c"]) == [("same", "a"), ("removed", "b"), ("added", "x"), ("same", "c")]
+    assert graph.aligned([], ["a"]) == [("added", "a")]
+
+
+def test_version_diff(spark):
+    before = spark.createDataFrame([("e", ["a", "b"]), ("gone", ["x"])], "entry string, steps array<string>")
+    after = spark.createDataFrame([("e", ["b", "c"])], "entry string, steps array<string>")
+    assert rows(graph.version_diff(before, after)) == [("e", 0, "removed", "a"), ("e", 1, "same", "b"), ("e", 2, "added", "c"), ("gone", 0, "removed", "x")]
+
+
+def test_chained_callees(spark):
+    edges = spark.createDataFrame([("f", "A.b.c"), ("f", "A.x.c"), ("f", "plain"), ("f", "A.b.c.d")], "caller string, callee string")
+    returns = spark.createDataFrame([("A.b", "B", 1), ("B.c", "C", 1), ("A.x", "Unit", 1)], "key string, type string, seq int")
+    got = {r["callee"]: r["resolved"] for r in graph.chained_callees(edges, returns).collect()}
+    assert got == {"A.b.c": "B.c", "A.x.c": "c", "plain": "plain", "A.b.c.d": "C.d"}
+
+
+def test_identity_is_not_merged(spark):
+    edges = spark.createDataFrame([("A.f", "g", "x.kt"), ("A.f", "h", "y.kt")], "caller string, callee string, file string")
+    assert rows(graph.callees(edges, "A.f", "x.kt")) == [("g",)]
+
+
+def test_first_tier(spark):
+    one = spark.createDataFrame([(1, "a")], "q int, hit string")
+    two = spark.createDataFrame([(1, "b"), (2, "c"), (2, "d")], "q int, hit string")
+    assert rows(resolve.first_tier([one, two], "q")) == [(1, 1, "a"), (2, 2, "c"), (2, 2, "d")]
+
+
+def test_missing_imports(spark):
+    names = spark.createDataFrame([("f", "A"), ("f", "B"), ("f", "C"), ("f", "A")], "file string, name string")
+    fqns = spark.createDataFrame([("A", "x.A"), ("B", "x.B"), ("B", "y.B")], "name string, fqn string")
+    assert {(r["name"], r["status"], r["fqn"]) for r in resolve.missing_imports(names, fqns).collect()} == {("A", "unique", "x.A"), ("B", "ambiguous", None), ("C", "unknown", None)}
+
+
+def test_reference_kinds(spark):
+    frame = spark.createDataFrame([(["call", "import"],), (["write"],), ([],)], "ctx array<string>")
+    assert [r[0] for r in frame.select(resolve.classified(F.col("ctx"))).collect()] == ["import", "write", "read"]
+
+
+def test_risk(spark):
+    frame = spark.createDataFrame([(5, 0), (6, 0), (51, 0), (5, 11), (6, 11), (0, 0)], "t int, c int")
+    assert [r[0] for r in frame.select(stats.risk(F.col("t"), F.col("c"))).collect()] == ["low", "medium", "high", "medium", "high", "low"]
+
+
+def test_replace_purges_stale_rows(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "uri string, v int")
+    fresh = spark.createDataFrame([("a", 9)], "uri string, v int")
+    assert rows(index.replaced(old, fresh, fresh)) == [("a", 9), ("b", 2)]
+
+
+def test_top_level_and_importable(spark):
+    symbols = spark.createDataFrame([("u", "A", 0, 9), ("u", "m", 2, 3), ("u", "B", 0, 9), ("v", "A", 0, 1)], "uri string, name string, start_line int, end_line int")
+    files = spark.createDataFrame([("u", "p"), ("v", None)], "uri string, package string")
+    assert rows(index.importable(symbols, files)) == [("A", ["p.A"]), ("B", ["p.B"])]
+
+
+def test_latest_artifact(spark):
+    frame = spark.createDataFrame([("g", "a", "1.9.0"), ("g", "a", "1.10.0"), ("g", "b", "2.0-alpha"), ("g", "b", "2.0-1")], "group string, artifact string, version string")
+    assert rows(index.latest_artifacts(frame)) == [("g", "a", "1.10.0"), ("g", "b", "2.0-1")]
+
+
+def test_completion_rules(spark):
+    rows_ = [("userName", "property", 0, ""), ("UserRepo", "class", 0, ""), ("userName", "property", 3, ""), ("USER_ID", "constant", 3, ""), ("theuser", "property", 1, "")]
+    frame = spark.createDataFrame(rows_, "name string, kind string, tier int, fqn string")
+    assert [(r["name"], r["tier"]) for r in complete.complete(frame, "user").collect()] == [("userName", 0), ("USER_ID", 3)]
+    assert [r["name"] for r in complete.complete(frame, "User").collect()] == ["UserRepo", "userName"][:1] + ["userName"]
