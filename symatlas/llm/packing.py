@@ -5,8 +5,8 @@ nothing is shuffled and a task holds one block of at most BLOCK_WINDOWS windows.
 taken off long documents first. The rest of a block is dealt to windows by largest differencing:
 partial partitions with opposing imbalances merge until one near-equal partition is left. The number
 of windows is what the tokens need, and rises when they exceed the capacity of those there are; what
-a near-equal window has over its capacity is cut off and put where there is room, so that all windows
-of a block but the partition's last are full.
+a near-equal window has over its capacity is cut off and put where there is room. All windows are full
+but those of a partition's last block, whose padding together is less than a window.
 
 Defined results: null or empty texts are the end token alone; repeated rows are packed one by one; an
 empty table gives no pieces; a null doc_id stays null; further columns are ignored. sequence_id holds

@@ -138,8 +138,8 @@ def votes(code: int) -> list[int]:
 def fit(counts: dict[int, int]) -> dict[int, float]:
     """Posterior probability of "good" for each vote pattern, by expectation-maximisation.
 
-    The rules are taken as independent given the class. It starts from the smoothed majority of votes,
-    and pseudo-counts keep a rule that always abstains or always agrees from taking probability 0 or 1;
+    The rules are taken as independent given the class. It starts from the numbers of bad votes, as a
+    rule speaks up against few documents and a good vote is the common case; pseudo-counts keep a rule that always abstains or always agrees from taking probability 0 or 1;
     the class whose documents got more good votes is "good".
     """
     if not counts:
@@ -148,7 +148,7 @@ def fit(counts: dict[int, int]) -> dict[int, float]:
     digits = np.array([votes(c) for c in codes])
     weight = np.array([counts[c] for c in codes], float)
     score = (digits - 1).sum(1)
-    good = 1 / (1 + np.exp(-score.astype(float)))
+    good = 1 / (1 + np.exp(1.5 * (digits == 0).sum(1) - 2.0))
     hot = np.eye(3)[digits]
     for _ in range(ROUNDS):
         mass = np.array([(weight * (1 - good)).sum(), (weight * good).sum()]) + 1.0
