@@ -50,7 +50,7 @@ def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth:
              WHERE w.depth < :depth AND NOT array_contains(w.path, e.callee) AND w.node <> coalesce(:target, ''))
            SELECT node, path, depth FROM walk""",
         args={"entry": entry, "depth": depth, "target": target},
-        edges=edges.select("caller", "callee").distinct(),
+        edges=edges.select("caller", "callee").distinct().cache(),  # every level of the recursion reads them
     )
     if target is not None:
         ends = walk.filter(F.col("node") == target)
@@ -72,18 +72,23 @@ def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
              FROM tree t JOIN {edges} e ON e.caller = t.name WHERE NOT t.cycle AND t.depth < :depth)
            SELECT path_seq, name, depth, cycle FROM tree""",
         args={"entry": entry, "depth": depth},
-        edges=edges,
+        edges=edges.cache(),
     )
 
 
 def callees_once(edges: DataFrame, entry: str, depth: int) -> DataFrame:
-    """(name, depth) by breadth first search: each node once, at its least depth. The frontier is a frame, not collected."""
+    """(name, depth) by breadth first search: each node once, at its least depth.
+
+    The frontier is a frame, not collected; edges and frontiers are cached, so that a level does not
+    run the levels before it again (their lineage stays, so a lost executor costs a recomputation).
+    """
     spark = edges.sparkSession
+    edges = edges.select("caller", "callee").distinct().cache()
     seen = spark.createDataFrame([(entry, 0)], "name string, depth int")
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.select(F.col("name").alias("caller")).join(edges.select("caller", "callee"), "caller").select(F.col("callee").alias("name")).distinct()
-        frontier = step.join(seen, "name", "left_anti").withColumn("depth", F.lit(level))
+        step = frontier.select(F.col("name").alias("caller")).join(edges, "caller").select(F.col("callee").alias("name")).distinct()
+        frontier = step.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)).cache()
         seen = seen.unionByName(frontier)
     return seen
 
