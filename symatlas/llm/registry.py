@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -16,4 +16,8 @@ QUERIES = {
     "op9_html_extraction": html_extract.op9,
     "op10_near_dedup": near_dedup.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op7_decontamination": oracles.DECONTAMINATION,
+    "op10_near_dedup": oracles.NEAR_DEDUP,
+}
