@@ -147,8 +147,8 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     sets = common.written(shingle_sets(texts, size), "sets")
 
     named = common.written(members.join(shared, "node").select("key", "node", "shared"), "members")
-    most = common.written(named.groupBy("key").agg(F.max("shared").alias("shared")), "most")
-    pivots = common.written(most.join(named, ["key", "shared"]).groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
+    # which of equally central members becomes the pivot doesn't change the components
+    pivots = common.written(named.groupBy("key").agg(F.max_by("node", "shared").alias("pivot")), "pivots")
     pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     component = graph.components(common.written(confirmed(pairs, sets, percent), "links"))
     joined = graph.components(_between(named, component, sets, percent))
