@@ -58,6 +58,30 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x if x is not None else b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def pressed(frame: DataFrame, names: list[str], level: int = 3) -> DataFrame:
+    """The frame with its text column as a binary column z, compressed for a shuffle; null stays null."""
+    import zstandard
+
+    tuned(frame.sparkSession)
+    fields = ", ".join(f"`{c.replace('`', '``')}` {frame.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            z = [press.compress(t) if t is not None else None for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(z, pa.binary())], names=[*names, "z"])
+
+    return frame.select(*names, "text").mapInArrow(run, f"{fields}, z binary")
+
+
+def unpressed(values: list) -> list[bytes]:
+    """Texts of a column z; null is empty."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(z, max_output_size=1 << 31) if z is not None else b"" for z in values]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -106,11 +106,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its full set, of documents given as (node, text)."""
+    """node and its full set, of documents given as (node, z)."""
 
     def make():
         def step(batch):
-            found = [shingles(t, size).view(np.int64) for t in common.texts(batch)]
+            found = [shingles(t, size).view(np.int64) for t in common.unpressed(batch.column("z").to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             return {"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))}
@@ -124,7 +124,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     na, nb = F.size("sa"), F.size("sb")
     shared = F.size(F.array_intersect("sa", "sb"))
     close = F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb), 100 * shared >= percent * (na + nb - shared))
@@ -143,7 +143,8 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     buckets = common.written(buckets, "buckets")
     members = common.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
     shared = common.written(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(shared, "node", "left_semi")
+    # joined by merging at every size: neither texts nor sets nor what grows with them is ever broadcast
+    texts = common.pressed(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), ["node"]).join(shared.hint("merge"), "node", "left_semi")
     sets = common.written(shingle_sets(texts, size), "sets")
 
     named = common.written(members.join(shared, "node").select("key", "node", "shared"), "members")
@@ -184,7 +185,7 @@ def _between(members: DataFrame, component: DataFrame, sets: DataFrame, percent:
     other = blocks.select("group", F.col("block").alias("other"), F.col("own").alias("other_own"))
     met = blocks.join(other, "group").filter("block <= other and (own is null or other_own is null or own != other_own)")
     met = met.select(F.xxhash64("block", "other").alias("meeting"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    dealt = blocked.select("block", "node", "component").join(met, "block").join(sets, "node").select("meeting", "component", "shingles")
+    dealt = blocked.select("block", "node", "component").join(met, "block").join(sets.hint("merge"), "node").select("meeting", "component", "shingles")
     dealt = dealt.repartition("meeting").sortWithinPartitions("meeting")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

@@ -301,7 +301,7 @@ def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     several = common.written(extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     entries = extents.join(several, "core").select("doc", F.expr(_TAG), F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("m") > GROUP).alias("hot")).alias("e"))
     entries = entries.groupBy("doc", "tag").agg(F.collect_list("e").alias("entries"))
-    dictionary = common.written(looked_up(entries.join(texts.drop("doc_id"), ["doc", "tag"])), "dictionary")
+    dictionary = common.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"])), "dictionary")
     single = suffix_sorted(dictionary.filter("text is not null"))
     strings = dictionary.filter("text is null").select(F.col("core").alias("w1"), F.col("more").alias("w2"), "doc", "place", "alone")
     twice = common.written(strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
@@ -328,7 +328,7 @@ def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     texts = packed(docs)
-    both = texts.join(repeated(docs, texts), ["doc", "tag"], "left").select("doc_id", "z", "spans")
+    both = texts.join(repeated(docs, texts).hint("merge"), ["doc", "tag"], "left").select("doc_id", "z", "spans")
 
     def make():
         press = zstandard.ZstdDecompressor()
@@ -352,32 +352,35 @@ def strip(docs: DataFrame) -> DataFrame:
     """The documents without their repeated strings, with all columns."""
     common.tuned(docs.sparkSession)
     spans = repeated(docs, packed(docs))
-    names = docs.columns
+    order = docs.columns
+    names = [c for c in order if c != "text"]
 
-    def tagged(batches):
+    def keyed(batches):
         for batch in batches:
             found = common.texts(batch)
             keys = [key_of(d, t) for d, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array([tag_of(t) for t in found], pa.int64())], names=[*names, "__doc", "__tag"])
+            more = [batch.column("text"), pa.array(keys, pa.int64()), pa.array([tag_of(t) for t in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=[*names, "text", "__doc", "__tag"])
 
-    fields = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    left = docs.mapInArrow(tagged, f"{fields}, __doc long, __tag long")
+    fields = "".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    left = common.pressed(docs.select(*names, "text").mapInArrow(keyed, f"{fields}text string, __doc long, __tag long"), [*names, "__doc", "__tag"])
     right = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    both = left.join(right, ["__doc", "__tag"], "left").select(*names, "__spans")
+    both = left.join(right.hint("merge"), ["__doc", "__tag"], "left").select(*names, "z", "__spans")
 
     def shortened(batches):
         for batch in batches:
             columns = {c: batch.column(c) for c in names}
-            texts, counts = columns["text"].to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in columns else None
+            z, counts = batch.column("z").to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in columns else None
+            texts = [t.decode() if z[i] is not None else None for i, t in enumerate(common.unpressed(z))]
             for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     texts[i] = cut(texts[i].encode(), spans)[0].decode("utf-8", "ignore")
                     if counts:
                         counts[i] = len(texts[i])
-            columns["text"] = pa.array(texts, columns["text"].type)
+            columns["text"] = pa.array(texts, pa.string())
             if counts:
                 columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
     return both.mapInArrow(shortened, docs.schema)
 
