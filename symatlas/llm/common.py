@@ -93,20 +93,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/symatlas/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    out = spark.read.schema(frame.schema).parquet(path)
-    out._symatlas_path = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
-    for frame in frames:
-        jvm = frame.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame._symatlas_path)
-        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return Scratch().written(frame, name)
+
+
+class Scratch:
+    """Tables in the shared folder that go when they have been used."""
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, frame: DataFrame, name: str) -> DataFrame:
+        spark = frame.sparkSession
+        path = f"{shared_folder(spark)}/symatlas/{name}-{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        out = spark.read.schema(frame.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that something still reads."""
+        rest = []
+        for frame, path in self.tables:
+            if any(frame is k for k in keep):
+                rest.append((frame, path))
+                continue
+            context = frame.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables = rest
 
 
 def word_ids(words: list[bytes]) -> tuple[np.ndarray, int]:

@@ -13,16 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is two joins with per-node minima, each a partial aggregation, so a node with very many
     edges is never gathered in one task; the edges of a round are a table in the shared folder.
     """
-    stars = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    scratch = common.Scratch()
+    stars = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = common.written(least, "least")  # a join above two plain exchanges can split a hot node
+        least = scratch.written(least, "least")  # a join above two plain exchanges can split a hot node
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.written(large, "edges")
+        large = scratch.written(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        stars = common.written(small.filter("u > v").distinct(), "edges")
+        stars = scratch.written(small.filter("u > v").distinct(), "edges")
+        scratch.drop(stars)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

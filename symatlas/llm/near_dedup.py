@@ -133,26 +133,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable) of every document."""
-    found = common.written(signatures(docs, size), "signatures")
+    scratch = common.Scratch()
+    found = scratch.written(signatures(docs, size), "signatures")
     classes = found.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    classes = common.written(classes, "classes")
+    classes = scratch.written(classes, "classes")
     nodes = found.join(classes, ["s1", "s2"]).filter("doc_id = node").select("node", "bands")
-    entries = common.written(nodes, "nodes").select("node", F.explode("bands").alias("key"))
+    entries = scratch.written(nodes, "nodes").select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
     # tables of counts and minima are written before they are joined: a join above two plain exchanges can split a hot key
-    buckets = common.written(buckets, "buckets")
-    members = common.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
-    shared = common.written(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
+    buckets = scratch.written(buckets, "buckets")
+    members = scratch.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
+    shared = scratch.written(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
     # joined by merging at every size: neither texts nor sets nor what grows with them is ever broadcast
     texts = common.pressed(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), ["node"]).join(shared.hint("merge"), "node", "left_semi")
-    sets = common.written(shingle_sets(texts, size), "sets")
+    sets = scratch.written(shingle_sets(texts, size), "sets")
 
-    named = common.written(members.join(shared, "node").select("key", "node", "shared"), "members")
+    named = scratch.written(members.join(shared, "node").select("key", "node", "shared"), "members")
     # which of equally central members becomes the pivot doesn't change the components
-    pivots = common.written(named.groupBy("key").agg(F.max_by("node", "shared").alias("pivot")), "pivots")
+    pivots = scratch.written(named.groupBy("key").agg(F.max_by("node", "shared").alias("pivot")), "pivots")
     pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    component = graph.components(common.written(confirmed(pairs, sets, percent), "links"))
-    joined = graph.components(_between(named, component, sets, percent))
+    component = graph.components(scratch.written(confirmed(pairs, sets, percent), "links"))
+    joined = graph.components(_between(scratch, named, component, sets, percent))
+    scratch.drop(found, classes)  # the components are tables of their own
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return (
         found.join(classes, ["s1", "s2"], "left")
@@ -164,23 +166,23 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     )
 
 
-def _between(members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket (key, node)."""
     labelled = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    labelled = common.written(labelled, "labelled")
+    labelled = scratch.written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("first")).filter("c0 < c1").select("key", "first")
-    mixed = common.written(mixed, "mixed")
-    alive = common.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
+    mixed = scratch.written(mixed, "mixed")
+    alive = scratch.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
     group = graph.components(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
     nodes = alive.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node", "left")
-    nodes = common.written(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "groups")
+    nodes = scratch.written(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "groups")
     # a large component has blocks of its own, which are not compared with each other; small ones share blocks
     sizes = nodes.groupBy("group", "component").count().withColumn("large", F.col("count") >= BLOCK // 2)
     small = sizes.filter("not large").groupBy("group").agg(F.ceil(F.sum("count") / BLOCK).alias("shares"))
     parts = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("shares")))
     blocked = nodes.join(sizes, ["group", "component"]).join(small, "group", "left")
     blocked = blocked.select("group", "node", "component", F.when(F.col("large"), F.col("component")).alias("own"), parts.alias("part"))
-    blocked = common.written(blocked.withColumn("block", F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.col("own").isNull(), "part")), "blocked")
+    blocked = scratch.written(blocked.withColumn("block", F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.col("own").isNull(), "part")), "blocked")
     blocks = blocked.select("group", "block", "own").distinct()
     other = blocks.select("group", F.col("block").alias("other"), F.col("own").alias("other_own"))
     met = blocks.join(other, "group").filter("block <= other and (own is null or other_own is null or own != other_own)")
@@ -206,7 +208,7 @@ def _between(members: DataFrame, component: DataFrame, sets: DataFrame, percent:
         found = joining(names, held, percent) if len(set(names)) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
 
-    return common.written(dealt.mapInArrow(run, "a long, b long"), "joining")
+    return scratch.written(dealt.mapInArrow(run, "a long, b long"), "joining")
 
 
 def joining(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

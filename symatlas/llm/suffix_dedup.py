@@ -292,23 +292,27 @@ def suffix_sorted(entries: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings."""
+    scratch = common.Scratch()
     parse = parsed(docs)
     # tables of counts are written before they are joined: a join above two plain exchanges can split a hot key
-    cores = common.written(parse.groupBy("core").count().filter("count > 1").select("core"), "cores")
-    candidates = common.written(parse.join(cores, "core"), "candidates")
+    cores = scratch.written(parse.groupBy("core").count().filter("count > 1").select("core"), "cores")
+    candidates = scratch.written(parse.join(cores, "core"), "candidates")
     extents = candidates.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("copy"))
-    extents = common.written(extents.select("core", "extent", "n", "copy.*"), "extents")
-    several = common.written(extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
+    extents = scratch.written(extents.select("core", "extent", "n", "copy.*"), "extents")
+    several = scratch.written(extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     entries = extents.join(several, "core").select("doc", F.expr(_TAG), F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("m") > GROUP).alias("hot")).alias("e"))
     entries = entries.groupBy("doc", "tag").agg(F.collect_list("e").alias("entries"))
-    dictionary = common.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"])), "dictionary")
+    dictionary = scratch.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"])), "dictionary")
     single = suffix_sorted(dictionary.filter("text is not null"))
     strings = dictionary.filter("text is null").select(F.col("core").alias("w1"), F.col("more").alias("w2"), "doc", "place", "alone")
-    twice = common.written(strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
+    twice = scratch.written(strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
     hot = strings.filter("alone").join(twice, ["w1", "w2"]).select("doc", F.expr(_TAG), F.expr(_START), F.lit(1).cast("long").alias("count"))
     whole = candidates.join(extents.filter("n > 1").select("core", "extent"), ["core", "extent"]).select("doc", F.expr(_TAG), F.expr(_START), F.expr(_COUNT))
     spans = single.unionByName(hot).unionByName(whole)
-    return spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end"))).alias("spans"))
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end"))).alias("spans"))
+    spans = scratch.written(spans, "spans")
+    scratch.drop(spans)
+    return spans
 
 
 def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
