@@ -26,6 +26,7 @@ _TABLES = {
     "annotations": pa.struct([("symbol_name", _TEXT), ("annotation", _TEXT)]),
     "types": pa.struct([("line", _INT), ("var", _TEXT), ("type", _TEXT)]),
     "errors": pa.struct([("line", _INT), ("col", _INT), ("message", _TEXT)]),
+    "steps": pa.struct([("caller_key", _TEXT), ("seq", _INT), ("depth", _INT), ("kind", _TEXT), ("label", _TEXT), ("line", _INT)]),
     "tokens": pa.struct([("line", _INT), ("col", _INT), ("text", _TEXT), ("ctx", pa.list_(_TEXT))]),
 }
 
@@ -40,7 +41,7 @@ def scanned(files: DataFrame) -> DataFrame:
             scans = [Scan(u or "", t or "") for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = [batch.column(0), pa.array([s.language for s in scans], _TEXT), pa.array([s.package for s in scans], _TEXT), batch.column(2)]
             for name, kind in _TABLES.items():
-                rows = [s.tokens() if name == "tokens" else getattr(s, name) for s in scans]
+                rows = [getattr(s, name)() if name in ("steps", "tokens") else getattr(s, name) for s in scans]
                 columns.append(pa.array(rows, pa.list_(kind)))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -55,7 +56,7 @@ def files(scan: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def relation(scan: DataFrame, name: str) -> DataFrame:
-    """symbols, imports, supers, calls, annotations, types, errors or tokens, with the file's uri."""
+    """symbols, imports, supers, calls, annotations, types, errors, steps or tokens, with the file's uri."""
     out = scan.select("uri", F.explode(name).alias("r")).select("uri", "r.*")
     if name == "symbols":
         out = out.withColumn("symbol_id", F.xxhash64("uri", "sel_line", "sel_col", "name"))

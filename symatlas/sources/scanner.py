@@ -18,9 +18,9 @@ _WORD = re.compile(r"[^\W\d]\w*")
 
 #: Reserved words of the three languages; none of them is ever called or resolved.
 KEYWORDS = frozenset(
-    "abstract actor annotation as assert associatedtype async await boolean break byte case catch char class companion const constructor continue data "
+    "abstract as assert associatedtype async await boolean break byte case catch char class companion const constructor continue "
     "default defer deinit do double dynamic else enum extends extension external false final finally float for fun func guard if implements import in "
-    "infix init inline inner instanceof int interface internal is lateinit let long native new nil null object open operator out override package private "
+    "init inline instanceof int interface internal is lateinit let long native new nil null object out override package private "
     "protected protocol public return sealed self short static strictfp struct subscript super suspend switch synchronized tailrec this "
     "throw throws transient true try typealias val var vararg void volatile weak when where while yield".split()
 )
@@ -128,6 +128,7 @@ class _Scope:
     depth: int
     symbol: int | None = None
     locals: dict = field(default_factory=dict)
+    start: int = 0
 
 
 class Scan:
@@ -147,6 +148,7 @@ class Scan:
         self.annotations: list[dict] = []
         self.types: list[dict] = []
         self.errors: list[dict] = []
+        self.bodies: list[tuple[str, int, int]] = []
         self.package: str | None = None
         self._header()
         self._walk()
@@ -292,7 +294,7 @@ class Scan:
             if word == "{":
                 braces.append(at)
                 if waiting is not None and not paren:
-                    waiting.depth = len(braces)
+                    waiting.depth, waiting.start = len(braces), at + 1
                     scopes.append(waiting)
                     waiting = None
             elif word == "}":
@@ -303,6 +305,9 @@ class Scan:
                     braces.pop()
                 while scopes and scopes[-1].depth > len(braces):
                     done = scopes.pop()
+                    if done.kind == "function":
+                        outer = next((s.name for s in reversed(scopes) if s.kind == "type"), None)
+                        self.bodies.append((f"{outer}.{done.name}" if outer else done.name, done.start, at))
                     if done.symbol is not None:
                         line, col = self.place(at)
                         self.symbols[done.symbol]["end_line"], self.symbols[done.symbol]["end_col"] = line, col + 1
@@ -452,6 +457,47 @@ class Scan:
         if edge not in self.calls[-3:]:
             self.calls.append(edge)
 
+    def steps(self) -> list[dict]:
+        """(caller_key, seq, depth, kind, label, line): calls and branches of every body, in order.
+
+        Lambdas and nested declarations are not entered; a call of a capitalised name is `new X`.
+        """
+        out = []
+        for key, start, end in self.bodies:
+            tokens = [(m[0], m.start() + start) for m in _TOKEN.finditer(self.clean[start:end])]
+            open_, seq, paren, i = [], 0, 0, 0
+            branch = None  # the branch whose block may open
+            while i < len(tokens):
+                word, at = tokens[i]
+                after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
+                if word in ("(", ")"):
+                    paren += 1 if word == "(" else -1
+                elif word == "{":
+                    if branch is not None and not paren:
+                        open_.append(branch)
+                        branch = None
+                    elif i and tokens[i - 1][0] == "->" and open_:
+                        open_.append(open_[-1])
+                    else:  # a lambda, or a body of its own
+                        depth = 1
+                        while depth and i + 1 < len(tokens):
+                            i += 1
+                            depth += (tokens[i][0] == "{") - (tokens[i][0] == "}")
+                elif word == "}":
+                    if open_:
+                        open_.pop()
+                elif word in ("if", "else", "when", "for", "while", "do", "try", "catch", "finally", "switch", "guard"):
+                    if not (word == "else" and after in ("if", "->")):
+                        out.append({"caller_key": key, "seq": seq, "depth": len(open_), "kind": "branch", "label": word, "line": self.place(at)[0]})
+                        seq += 1
+                        branch = word
+                elif _WORD.match(word) and word not in KEYWORDS and after == "(" and (not i or tokens[i - 1][0] not in ("fun", "func", "@")):
+                    label = f"new {word}" if word[0].isupper() else word
+                    out.append({"caller_key": key, "seq": seq, "depth": len(open_), "kind": "call", "label": label, "line": self.place(at)[0]})
+                    seq += 1
+                i += 1
+        return out
+
     def tokens(self) -> list[dict]:
         """Identifiers with their places and context flags."""
         declared = {(s["sel_line"], s["sel_col"]) for s in self.symbols}
