@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from symatlas.session import shipped
 
 #: Rows and bytes of one Arrow batch that a Python worker holds at a time.
-BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -34,7 +34,8 @@ BANDS, ROWS = 32, 4
 PERCENT = 80
 BLOCK = 512
 _COLUMNS = 4096
-_CHUNK = 1 << 14
+_REMEMBERED = 64
+_CHUNK = 1 << 11
 
 _U32, _U64 = np.uint32, np.uint64
 #: The circular shift of each coordinate.
@@ -105,30 +106,39 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>", kinds)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its full set, of documents given as (node, z)."""
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; texts: (node, z).
 
-    def make():
-        def step(batch):
-            found = [shingles(t, size).view(np.int64) for t in common.unpressed(batch.column("z").to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-            flat = np.concatenate(found) if found else np.empty(0, np.int64)
-            return {"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))}
+    Compressed texts cross the shuffle rather than sets of hashes, which are several times larger.
+    """
+    left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "za", "zb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        return step
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
 
-    return common.map_batches(docs, make, "node long, shingles array<long>", [("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        def of(node, z):
+            if node not in known:
+                if len(known) >= _REMEMBERED:
+                    known.pop(next(iter(known)))
+                known[node] = shingles(common.unpressed([z.as_py()])[0], size)
+            return known[node]
 
+        for batch in batches:
+            nodes = [c.to_pylist() for c in batch.columns[:2]]
+            close = []
+            for i in range(batch.num_rows):
+                x, y = of(nodes[0][i], batch.column(2)[i]), of(nodes[1][i], batch.column(3)[i])
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    close.append(False)
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) for n in nodes], schema=schema).filter(pa.array(close, pa.bool_()))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    na, nb = F.size("sa"), F.size("sb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    close = F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb), 100 * shared >= percent * (na + nb - shared))
-    return both.filter(close).select("a", "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
@@ -144,16 +154,16 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     buckets = scratch.written(buckets, "buckets")
     members = scratch.written(entries.join(buckets, "key").select("key", "node", "n").distinct(), "members")
     shared = scratch.written(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
-    # joined by merging at every size: neither texts nor sets nor what grows with them is ever broadcast
+    # joined by merging at every size: neither texts nor what grows with them is ever broadcast
     texts = common.pressed(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), ["node"]).join(shared.hint("merge"), "node", "left_semi")
-    sets = scratch.written(shingle_sets(texts, size), "sets")
+    texts = scratch.written(texts, "texts")
 
     named = scratch.written(members.join(shared, "node").select("key", "node", "shared"), "members")
     # which of equally central members becomes the pivot doesn't change the components
     pivots = scratch.written(named.groupBy("key").agg(F.max_by("node", "shared").alias("pivot")), "pivots")
     pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    component = graph.components(scratch.written(confirmed(pairs, sets, percent), "links"))
-    joined = graph.components(_between(scratch, named, component, sets, percent))
+    component = graph.components(scratch.written(confirmed(pairs, texts, size, percent), "links"))
+    joined = graph.components(_between(scratch, named, component, texts, size, percent))
     scratch.drop(found, classes)  # the components are tables of their own
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return (
@@ -166,7 +176,7 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     )
 
 
-def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket (key, node)."""
     labelled = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = scratch.written(labelled, "labelled")
@@ -187,21 +197,19 @@ def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame,
     other = blocks.select("group", F.col("block").alias("other"), F.col("own").alias("other_own"))
     met = blocks.join(other, "group").filter("block <= other and (own is null or other_own is null or own != other_own)")
     met = met.select(F.xxhash64("block", "other").alias("meeting"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    dealt = blocked.select("block", "node", "component").join(met, "block").join(sets.hint("merge"), "node").select("meeting", "component", "shingles")
+    dealt = blocked.select("block", "node", "component").join(met, "block").join(texts.hint("merge"), "node").select("meeting", "component", "z")
     dealt = dealt.repartition("meeting").sortWithinPartitions("meeting")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         at, names, held = None, [], []
         for batch in batches:
-            offsets = batch.column(2).offsets.to_numpy()
-            values = batch.column(2).values.to_numpy()
-            for i, (meeting, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for meeting, name, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if meeting != at:
                     yield links(names, held)
                     at, names, held = meeting, [], []
                 names.append(name)
-                held.append(values[offsets[i] : offsets[i + 1]].copy())
+                held.append(shingles(common.unpressed([z.as_py()])[0], size))
         yield links(names, held)
 
     def links(names, held):
