@@ -122,7 +122,7 @@ class Model:
 def learned(docs: DataFrame) -> Model:
     """The model from a bounded sample of the rows with a language that are not held out."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = sampling.by_label(rows, "lang", PER_LANGUAGE).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    sample = sampling.by_label(rows, "lang", PER_LANGUAGE, "doc_id", "text").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
     return Model([(r["lang"], r["text"].encode()) for r in sorted(sample, key=lambda r: (r["h"], r["text"])) if _LETTER.search(r["text"])])
 
 

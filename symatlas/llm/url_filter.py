@@ -1,7 +1,7 @@
 """URL filter: allow and block rules, and gradient-boosted trees on lexical features (operator 5).
 
-The URLs that a rule decides are the labelled ones. A bounded sample of them (SAMPLE rows, those of
-the smallest hash) trains boosted regression trees on the logistic loss in numpy; the trees decide the
+The URLs that a rule decides are the labelled ones. A bounded sample of them (about SAMPLE rows, drawn
+by hash) trains boosted regression trees on the logistic loss in numpy; the trees decide the
 URLs that no rule fits. Features: lengths, depth, digit and letter ratios, entropy, parameter counts,
 and smoothed statistics of how URLs with the same host suffix, first path segment or ending were labelled.
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, sampling
 
 #: Fixed values: (rule, verdict). The rule's host ends at its first slash.
 RULES = (
@@ -31,7 +31,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-SAMPLE = 20_000
+SAMPLE = 10_000
 ROUNDS, DEPTH, RATE, BINS, LEAST = 40, 3, 0.2, 32, 5
 
 
@@ -171,9 +171,9 @@ def judge(pages: DataFrame) -> DataFrame:
     found = located(pages)
     rule, verdict = ruled(F.col("host"), F.col("path"))
     found = found.withColumns({"rule": rule, "ruled": verdict})
-    labelled = found.filter(F.col("rule").isNotNull()).select("url", "host", "path", "ruled")
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).collect()
-    model = Model([(r["url"], r["host"], r["path"], int(r["ruled"] == "allow")) for r in sample])
+    labelled = found.filter(F.col("rule").isNotNull()).select("page_id", "url", "host", "path", "ruled")
+    sample = sampling.by_hash(labelled, SAMPLE, "page_id", "url").collect()
+    model = Model([(r["url"], r["host"], r["path"], int(r["ruled"] == "allow")) for r in sorted(sample, key=lambda r: r["url"])])
 
     def make():
         def step(batch):
