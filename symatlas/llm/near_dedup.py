@@ -183,7 +183,7 @@ def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame,
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("first")).filter("c0 < c1").select("key", "first")
     mixed = scratch.written(mixed, "mixed")
     alive = scratch.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
-    group = graph.components(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    group = graph.components(scratch.written(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "meets"))
     nodes = alive.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node", "left")
     nodes = scratch.written(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "groups")
     # a large component has blocks of its own, which are not compared with each other; small ones share blocks
