@@ -15,6 +15,10 @@ from symatlas.llm import common, decontaminate, near_dedup, packing, quality_rul
 #: Words of a shingle where no contract says otherwise.
 SHINGLE = 5
 
+#: Words of a repeated passage that is cut, and the bytes that so many words have at least: one each, and one between.
+PASSAGE = 51
+PASSAGE_BYTES = 2 * PASSAGE - 1
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weakly supervised rules reject."""
@@ -27,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte that a string found elsewhere covers; emptied documents stay, with an empty text."""
-    return suffix_dedup.strip(docs)
+    """Cut every passage of over 50 words, or of 400 bytes, that is found elsewhere; emptied documents stay, with an empty text."""
+    return suffix_dedup.strip(docs, PASSAGE_BYTES, PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Removal of long repeated byte strings by prefix-free parsing (operator 1).
 
-Rolling-hash triggers (the least hash of WINDOW successive places) parse every text into phrases that
+Rolling-hash triggers (the least hash of window_of(length) successive places) parse every text into phrases that
 depend on content alone, so equal strings are parsed alike wherever they stand. A phrase here is a run
-of LENGTH-byte strings with the same first trigger. Of each run the parse keeps two names: that of its
+of `length`-byte strings with the same first trigger; `length` is LENGTH unless the caller gives another. Of each run the parse keeps two names: that of its
 core, which lies in all its strings, and that of its whole extent.
 
 The dictionary is the set of distinct extents, with counts. Cores that occur once end the matter for
 their runs; extents that occur again are removed whole; the rest, extents that occur once among others
 with the same core, are where repeats begin and end. For those, and for one copy of each other extent
-with that core, the LENGTH-byte prefixes of all suffixes are put in order, each with its neighbours:
+with that core, the `length`-byte prefixes of all suffixes are put in order, each with its neighbours:
 equal prefixes of different places are repeats. Only dictionary entries are ordered, never the corpus,
 so the work follows the differing text and not the number of copies.
 
@@ -36,8 +36,6 @@ from . import common
 
 LENGTH = 400
 GRAM = 16
-WINDOW = 256
-CORE = LENGTH - WINDOW + 1
 SEGMENT = 1 << 20
 TAG_BITS = 24
 #: Most entries of one core that are ordered in one task, and entries ordered at a time.
@@ -47,6 +45,14 @@ _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def window_of(length: int) -> int:
+    """Places among which the least hash is the trigger of a string; the core is the length - window + 1 bytes from there."""
+    window = min(256, length * 16 // 25)
+    if length - window + 1 < GRAM:
+        raise ValueError(f"strings of {length} bytes have cores under {GRAM} bytes")
+    return window
+
+
 class Powers:
     """Powers of two odd bases and of their inverses modulo 2**64."""
 
@@ -90,16 +96,16 @@ class Text:
         s = self.sums[which]
         return common.mix64((s[end - GRAM + 1] - s[start]) * self.inverse[which][start])
 
-    def triggers(self, starts: int) -> np.ndarray:
-        """For each of the first `starts` places, that of the least hash among WINDOW places from there."""
-        m = starts + WINDOW - 1
+    def triggers(self, starts: int, window: int) -> np.ndarray:
+        """For each of the first `starts` places, that of the least hash among `window` places from there."""
+        m = starts + window - 1
         keyed = (self.grams[:m] & _U64(0xFFFFFFFF00000000)) | np.arange(m, dtype=_U64)
-        padded = np.full(-(-m // WINDOW) * WINDOW, 0xFFFFFFFFFFFFFFFF, _U64)
+        padded = np.full(-(-m // window) * window, 0xFFFFFFFFFFFFFFFF, _U64)
         padded[:m] = keyed
-        grid = padded.reshape(-1, WINDOW)
+        grid = padded.reshape(-1, window)
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
         back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        return (np.minimum(back[:starts], ahead[WINDOW - 1 : WINDOW - 1 + starts]) & _U64(0xFFFFFFFF)).astype(np.int64)
+        return (np.minimum(back[:starts], ahead[window - 1 : window - 1 + starts]) & _U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def tag_of(text: bytes) -> int:
@@ -112,21 +118,22 @@ def key_of(doc_id: int | None, text: bytes) -> int:
     return doc_id if doc_id is not None else xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def runs(text: bytes, powers: Powers) -> tuple[np.ndarray, ...]:
+def runs(text: bytes, powers: Powers, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Core name, extent name, and place (tag, first string's start, strings less one) of every run."""
     found = []
     raw = np.frombuffer(text, np.uint8)
-    for at in range(0, len(text) - LENGTH + 1, SEGMENT):
-        piece = raw[at : at + SEGMENT + LENGTH - 1]
-        starts = len(piece) - LENGTH + 1
+    window = window_of(length)
+    for at in range(0, len(text) - length + 1, SEGMENT):
+        piece = raw[at : at + SEGMENT + length - 1]
+        starts = len(piece) - length + 1
         hashed = Text(piece, powers)
-        trigger = hashed.triggers(starts)
+        trigger = hashed.triggers(starts, window)
         first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
         count = np.diff(np.append(first, starts))
         t = trigger[first]
-        core = hashed.name(t, t + CORE, 0)
+        core = hashed.name(t, t + length - window + 1, 0)
         salt = common.mix64(((t - first) << 8 | (count - 1)).astype(_U64))
-        extent = common.mix64(hashed.name(first, first + count - 1 + LENGTH, 1) ^ salt)
+        extent = common.mix64(hashed.name(first, first + count - 1 + length, 1) ^ salt)
         found.append((core, extent, ((first + at) << 8 | (count - 1)).astype(_U64)))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(3))
@@ -134,7 +141,7 @@ def runs(text: bytes, powers: Powers) -> tuple[np.ndarray, ...]:
     return core.view(np.int64), extent.view(np.int64), (place | _U64(tag_of(text) << 40)).view(np.int64)
 
 
-def parsed(docs: DataFrame) -> DataFrame:
+def parsed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(core, extent, doc, place) of every run of every document."""
 
     def make():
@@ -143,8 +150,8 @@ def parsed(docs: DataFrame) -> DataFrame:
         def step(batch):
             parts, keys = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                if len(text) >= LENGTH:
-                    parts.append(runs(text, powers))
+                if len(text) >= length:
+                    parts.append(runs(text, powers, length))
                     keys.append(key_of(doc, text))
             columns = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64)] * 3
             doc = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in parts])
@@ -178,7 +185,7 @@ _COUNT = "(place & 255) + 1 AS count"
 _TAG = "shiftrightunsigned(place, 40) AS tag"
 
 
-def looked_up(entries: DataFrame) -> DataFrame:
+def looked_up(entries: DataFrame, length: int = LENGTH) -> DataFrame:
     """The text of dictionary entries: doc, tag, z and entries, an array of (core, place, alone, hot), come in.
 
     An entry goes out as one row with its text; a hot one as a row for each of its strings, with their
@@ -200,10 +207,10 @@ def looked_up(entries: DataFrame) -> DataFrame:
                 for e in found.as_py():
                     place = e["place"]
                     start, count = place >> 8 & 0xFFFFFFFF, (place & 255) + 1
-                    own = text[start : start + count - 1 + LENGTH]
+                    own = text[start : start + count - 1 + length]
                     if e["hot"]:
                         hashed, at = Text(np.frombuffer(own, np.uint8), powers), np.arange(count)
-                        w1, w2 = (hashed.name(at, at + LENGTH, k).view(np.int64) for k in (0, 1))
+                        w1, w2 = (hashed.name(at, at + length, k).view(np.int64) for k in (0, 1))
                         yield ready([w1, w2, np.full(count, doc), (place & ~0xFF) + (at << 8), np.full(count, e["alone"]), [None] * count])
                         continue
                     rows.append((e["core"], 0, doc, place, e["alone"], own))
@@ -217,8 +224,8 @@ def looked_up(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "core long, more long, doc long, place long, alone boolean, text binary")
 
 
-def prefix_ranks(raw: np.ndarray) -> np.ndarray:
-    """Rank of the LENGTH-byte prefix of every suffix that has one; equal prefixes share a rank.
+def prefix_ranks(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Rank of the `length`-byte prefix of every suffix that has one; equal prefixes share a rank.
 
     Prefix doubling, by three at a time where ranks fit into 21 bits.
     """
@@ -231,22 +238,22 @@ def prefix_ranks(raw: np.ndarray) -> np.ndarray:
         ranked = key[order]
         rank = np.empty(len(key), _U64)
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U64)
-        if size == LENGTH:
+        if size == length:
             return rank
-        if 3 * size <= LENGTH and len(rank) < 1 << 21:
+        if 3 * size <= length and len(rank) < 1 << 21:
             key = rank[: -2 * size] << _U64(42) | rank[size:-size] << _U64(21) | rank[2 * size :]
             size *= 3
         else:
-            step = min(size, LENGTH - size)
+            step = min(size, length - size)
             key = rank[:-step] << _U64(32) | rank[step:]
             size += step
 
 
-def repeats_in(group: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
+def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(doc, place of the first, number) of runs of strings that occur twice among the entries (doc, place, alone, text)."""
-    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), np.uint8))
+    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), np.uint8), length)
     first = np.cumsum([0] + [len(g[3]) for g in group[:-1]])
-    count = np.array([len(g[3]) - LENGTH + 1 for g in group])
+    count = np.array([len(g[3]) - length + 1 for g in group])
     owner = np.repeat(np.arange(len(group)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     own = rank[np.repeat(first, count) + inner]
@@ -264,7 +271,7 @@ def repeats_in(group: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int
     return out
 
 
-def suffix_sorted(entries: DataFrame) -> DataFrame:
+def suffix_sorted(entries: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, tag, start, count) of the repeated strings among entries that share a core.
 
     Entries are dealt by core, at most GROUP to each; a task orders the suffixes of some cores at a time.
@@ -284,16 +291,16 @@ def suffix_sorted(entries: DataFrame) -> DataFrame:
             yield made(held)
 
     def made(held):
-        found = repeats_in([e for _, e in held])
+        found = repeats_in([e for _, e in held], length)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], schema=schema)
 
     return dealt.mapInArrow(run, "doc long, place long, count long").select("doc", F.expr(_TAG), F.expr(_START), "count")
 
 
-def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings."""
+def repeated(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings of `length` bytes."""
     scratch = common.Scratch()
-    parse = parsed(docs)
+    parse = parsed(docs, length)
     # tables of counts are written before they are joined: a join above two plain exchanges can split a hot key
     cores = scratch.written(parse.groupBy("core").count().filter("count > 1").select("core"), "cores")
     candidates = scratch.written(parse.join(cores, "core"), "candidates")
@@ -302,14 +309,14 @@ def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
     several = scratch.written(extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     entries = extents.join(several, "core").select("doc", F.expr(_TAG), F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("m") > GROUP).alias("hot")).alias("e"))
     entries = entries.groupBy("doc", "tag").agg(F.collect_list("e").alias("entries"))
-    dictionary = scratch.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"])), "dictionary")
-    single = suffix_sorted(dictionary.filter("text is not null"))
+    dictionary = scratch.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"]), length), "dictionary")
+    single = suffix_sorted(dictionary.filter("text is not null"), length)
     strings = dictionary.filter("text is null").select(F.col("core").alias("w1"), F.col("more").alias("w2"), "doc", "place", "alone")
     twice = scratch.written(strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
     hot = strings.filter("alone").join(twice, ["w1", "w2"]).select("doc", F.expr(_TAG), F.expr(_START), F.lit(1).cast("long").alias("count"))
     whole = candidates.join(extents.filter("n > 1").select("core", "extent"), ["core", "extent"]).select("doc", F.expr(_TAG), F.expr(_START), F.expr(_COUNT))
     spans = single.unionByName(hot).unionByName(whole)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("end"))).alias("spans"))
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (length - 1)).alias("end"))).alias("spans"))
     spans = scratch.written(spans, "spans")
     scratch.drop(spans)
     return spans
@@ -329,6 +336,17 @@ def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
     return b"".join(kept), count
 
 
+def long_enough(text: bytes, spans: list, words: int) -> list:
+    """The spans, joined where they touch, that hold `words` words or LENGTH bytes at least."""
+    joined: list[dict] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if joined and start <= joined[-1]["end"]:
+            joined[-1]["end"] = max(joined[-1]["end"], end)
+        else:
+            joined.append({"start": start, "end": end})
+    return [s for s in joined if s["end"] - s["start"] >= LENGTH or len(text[s["start"] : s["end"]].decode("utf-8", "ignore").split()) >= words]
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     texts = packed(docs)
@@ -352,10 +370,13 @@ def removed(docs: DataFrame) -> DataFrame:
     return common.map_batches(both, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
 
 
-def strip(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated strings, with all columns."""
+def strip(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The documents without their repeated strings of `length` bytes, with all columns.
+
+    Of strings that are shorter than LENGTH, what touches or overlaps is cut where it holds `words` words together.
+    """
     common.tuned(docs.sparkSession)
-    spans = repeated(docs, packed(docs))
+    spans = repeated(docs, packed(docs), length)
     order = docs.columns
     names = [c for c in order if c != "text"]
 
@@ -378,7 +399,8 @@ def strip(docs: DataFrame) -> DataFrame:
             texts = [t.decode() if z[i] is not None else None for i, t in enumerate(common.unpressed(z))]
             for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
-                    texts[i] = cut(texts[i].encode(), spans)[0].decode("utf-8", "ignore")
+                    raw = texts[i].encode()
+                    texts[i] = cut(raw, long_enough(raw, spans, words))[0].decode("utf-8", "ignore")
                     if counts:
                         counts[i] = len(texts[i])
             columns["text"] = pa.array(texts, pa.string())

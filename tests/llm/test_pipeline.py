@@ -38,3 +38,18 @@ def test_planted_cases(spark, docs, prose, small):
     out = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert out.keys() == {0, 2, 3, 4}
     assert shared not in out[3] and shared not in out[4] and out[0] == texts[0]
+
+
+def test_planted_passage_of_51_words(spark, docs, prose, small):
+    def good(seed):
+        rng = random.Random(seed)
+        return " ".join(w if i % 3 else f"{w} {rng.choice('the of and to in is that it'.split())}" for i, w in enumerate(prose(seed, 150).split()))
+
+    shared = prose(99, 51)
+    assert len(shared) < 400
+    frame = docs([good(3) + " " + shared + " " + good(5), good(4) + " " + shared + " " + good(6)])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        frame = common.written(stage(spark, frame, small), name)
+    out = {r["doc_id"]: r["text"] for r in frame.collect()}
+    assert out.keys() == {0, 1}
+    assert all(shared not in t for t in out.values())

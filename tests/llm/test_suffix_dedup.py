@@ -83,3 +83,24 @@ def test_prefix_ranks_order_like_bytes(seed, letters):
 @pytest.mark.parametrize("spans,want", [(None, (b"abcdef", 0)), ([(0, 2)], (b"cdef", 1)), ([(1, 3), (2, 4)], (b"aef", 1)), ([(0, 2), (2, 4)], (b"ef", 1)), ([(0, 1), (5, 6)], (b"bcde", 2)), ([(0, 6)], (b"", 1))])
 def test_cut(spans, want):
     assert S.cut(b"abcdef", spans and [{"start": a, "end": b} for a, b in spans]) == want
+
+
+def test_strip_by_words(docs, prose):
+    long, short, tiny = prose(1, 51), prose(2, 40), " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(51))
+    unspaced = prose(3, 200).replace(" ", "")[:450]
+    assert len(long) < S.LENGTH and len(short) > 101 and len(tiny) == 101
+    frame = docs([f"{prose(10 + i, 60)} {p} {prose(30 + i, 60)}" for i, p in enumerate(p for p in (long, short, tiny, unspaced) for _ in range(2))])
+    out = {r["doc_id"]: r["text"] for r in S.strip(frame, 101, 51).collect()}
+    for at, (passage, goes) in enumerate([(long, True), (short, False), (tiny, True), (unspaced, True)]):
+        for i in range(2):
+            assert (passage not in out[2 * at + i]) == goes
+
+
+@pytest.mark.parametrize("length", [45, 101, 400, 1000])
+def test_brute_force_of_other_lengths(docs, prose, monkeypatch, length):
+    texts = cases(prose)
+    frame = docs(texts)
+    spans = {r["doc"]: r["spans"] for r in S.repeated(frame, S.packed(frame), length).collect()}
+    got = [S.cut((t or "").encode(), spans.get(i))[0] for i, t in enumerate(texts)]
+    monkeypatch.setattr(S, "LENGTH", length)
+    assert [hashlib.sha256(g).hexdigest() for g in got] == [w[3] for w in brute(texts)]
