@@ -255,11 +255,22 @@ def joining(names: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def keep_first(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all columns."""
-    found = common.written(components_of(docs, size, percent), "components")
-    kept = docs.join(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document of each group, that of the smallest doc_id, with all columns; rows without a doc_id stay.
+
+    Where a doc_id occurs again, documents are told apart by a 64-bit hash of doc_id and text, so that different
+    texts under one doc_id are grouped, kept or dropped each on their own, and identical rows become one.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count()
+    if not ids.filter("count > 1").limit(1).count():
+        found = common.written(components_of(docs, size, percent), "components")
+        return docs.join(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    named = docs.withColumn("__name", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), "text")))
+    found = components_of(named.filter("__name is not null").select(F.col("__name").alias("doc_id"), "text"), size, percent)
+    found = common.written(found.select(F.col("doc_id").alias("__name"), "component_id").distinct(), "components")
+    names = named.filter("__name is not null").select("doc_id", "__name").distinct()
+    kept = found.join(names, "__name").groupBy("component_id").agg(F.min(F.struct("doc_id", "__name")).alias("least")).select("least.__name")
+    first = named.join(common.written(kept, "kept"), "__name", "left_semi").dropDuplicates(["__name"])
+    return first.unionByName(named.filter("__name is null")).select(docs.columns)
 
 
 def op10(spark, sf_dir):

@@ -67,6 +67,17 @@ def test_keep_first(docs, prose):
     assert N.keep_first(docs([]), 5).count() == 0
 
 
+def test_keep_first_of_repeated_ids(docs, prose):
+    a, b, c, d = (prose(i, 200) for i in range(1, 5))
+    # under id 1 stand a, a close copy of it and b; c under id 2 is close to a text of id 0, whose other text stays too
+    rows = [(1, a), (1, edited(a, 130)), (1, b), (5, b), (2, c), (0, edited(c, 130)), (2, d), (None, a), (None, prose(5)), (None, None), (1, a), (4, None), (4, None)]
+    kept = [(r["doc_id"], r["text"]) for r in N.keep_first(docs(rows), 5).collect()]
+    of_a = [k for k in kept if k in rows[:2]]
+    assert len(of_a) == 1
+    want = [(1, b), (0, edited(c, 130)), (2, d), (None, a), (None, prose(5)), (None, None), (4, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, want + of_a))
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.9):
