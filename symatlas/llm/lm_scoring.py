@@ -4,10 +4,12 @@ A bidirectional window network predicts every word from the SIDE words before an
 their position-wise vectors goes through tanh into a two-level softmax (class, then word of the class).
 A document's score is the sum of its words' conditional log-probabilities given both sides.
 
-Everything is gathered from the whole corpus: word counts name the vocabulary (the most frequent words;
-all others share hashed places), and every partition trains a copy of the network on all its words in
+Everything is gathered from the whole corpus. The vocabulary is a table of all words and their counts. The
+network predicts places: the WORDS most frequent words have their own, all others share hashed ones, where a
+word's chance is that of the place times its share of the place's words. Counts of words that make up one in
+FREQUENT of all are sent to the tasks (there are FREQUENT such words at most); those of all others are joined. Every partition trains a copy of the network on all its words in
 numpy, from the same start; the copies' weights, quantised so that sums are exact and repeatable, are
-averaged by their share of the words in one aggregation. A window never crosses documents.
+averaged by their numbers of words in one aggregation. A window never crosses documents.
 
 Defined results: null and empty texts have no words, log-likelihood 0 and a null mean; repeated rows
 count, and are scored, one by one; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
@@ -29,8 +32,10 @@ HIDDEN = 16
 BATCH = 4096
 RATE = 2.0
 EDGE = 0
+FREQUENT = 1 << 19
 _PLACES = CLASSES * MEMBERS
 _SCALE = 1 << 24
+_LOG_SCALE = 1 << 32
 _SHAPES = (("context", (2 * SIDE, _PLACES, HIDDEN)), ("classes", (CLASSES, HIDDEN)), ("class_bias", (CLASSES,)), ("members", (CLASSES, MEMBERS, HIDDEN)), ("member_bias", (CLASSES, MEMBERS)))
 SIZE = sum(int(np.prod(s)) for _, s in _SHAPES)
 
@@ -150,8 +155,8 @@ def windows_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, around
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The most frequent words of all texts, by a count over the whole corpus."""
+def counted(docs: DataFrame) -> DataFrame:
+    """Every word of all texts: word, h (its hash less 2**63) and n, how often it stands in the corpus."""
 
     def make():
         def step(batch):
@@ -159,15 +164,61 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             for text in common.texts(batch):
                 for word in text.lower().split():
                     counts[word] = counts.get(word, 0) + 1
-            return {"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}
+            return {"word": pa.array(list(counts), pa.binary()), "h": [hash_of(w) for w in counts], "n": pa.array(list(counts.values()), pa.int64())}
 
         return step
 
-    counted = common.map_batches(docs, make, "word binary, n long", [("word", pa.binary()), ("n", pa.int64())])
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    rows = common.map_batches(docs, make, "word binary, h long, n long", [("word", pa.binary()), ("h", pa.int64()), ("n", pa.int64())])
+    return rows.groupBy("word", "h").agg(F.sum("n").alias("n"))
+
+
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The places of the most frequent words of all texts, from their counts."""
+    top = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(WORDS).collect()
     return Vocabulary([bytes(r["word"]) for r in top])
 
 
+class Shares:
+    """Logarithms of the shares that words have of the words of their places."""
+
+    def __init__(self, counts: DataFrame, words: Vocabulary):
+        self.size = len(words.rest)
+        slot = F.pmod(F.pmod("h", F.lit(self.size)) + (1 << 63) % self.size, F.lit(self.size)).cast("int")
+        totals = {r["slot"]: r["n"] for r in counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}
+        least = max(1, -(-sum(totals.values()) // FREQUENT))
+        frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least).select("word", "n").collect()}
+        own = {bytes(r["word"]): r["n"] for r in counts.select("word", "n").orderBy(F.desc("n"), "word").limit(WORDS).collect()}
+        for word, n in own.items():
+            totals[self.slot(hash_of(word))] -= n
+        self.totals = [float(np.log(max(1, totals.get(k, 0)))) for k in range(self.size)]
+        self.logs = {w: float(np.log(n)) - self.totals[self.slot(hash_of(w))] for w, n in frequent.items()} | dict.fromkeys(own, 0.0)
+        #: The words that are not in logs, and whose counts' logarithms are not 0.
+        self.rest = counts.filter((F.col("n") >= 2) & (F.col("n") < least)).select("h", F.round(F.log("n") * _LOG_SCALE).cast("long").alias("log"))
+
+    def slot(self, h: int) -> int:
+        return (h + (1 << 63)) % self.size
+
+    def sender(self):
+        """A function from a text to the sum of its words' logarithms, and the hashes of words whose counts it lacks."""
+        logs, totals, size = self.logs, self.totals, self.size
+
+        def of(text: bytes) -> tuple[float, list[int]]:
+            found = list(map(logs.get, words := text.lower().split()))
+            if None not in found:
+                return sum(found), []
+            lacking = [hash_of(w) for w, x in zip(words, found) if x is None]
+            return sum(x for x in found if x is not None) - sum(totals[(h + (1 << 63)) % size] for h in lacking), lacking
+
+        return of
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+
+
 def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     """The average of the partitions' networks, weighted by their numbers of words."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -191,47 +242,59 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
         if held:
             seen += step(np.concatenate(held))
         if seen:
-            share = min(1 << 10, -(-seen // 4096))
-            weights = np.round(network.flat.astype(np.float64) * _SCALE).astype(np.int64) * share
+            weights = np.round(network.flat.astype(np.float64) * _SCALE).astype(np.int64) * seen
             for i in range(0, SIZE, 1 << 15):
                 part = weights[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), share))], names=["i", "w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen))], names=["i", "w", "n"])
 
-    sums = docs.mapInArrow(run, "i int, w long, n long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toArrow()
+    sums = docs.mapInArrow(run, "i int, w long, n long").groupBy("i").agg((F.sum(F.col("w").cast("decimal(20,0)")).cast("double") / F.sum("n")).alias("w")).toArrow()
     if not sums.num_rows:
         return Network().flat
     out = np.zeros(SIZE)
-    out[sums["i"].to_numpy()] = sums["w"].to_numpy() / sums["n"].to_numpy() / _SCALE
+    out[sums["i"].to_numpy()] = sums["w"].to_numpy() / _SCALE
     return out.astype(np.float32)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum over words) and mean_log_likelihood of every document."""
     common.tuned(docs.sparkSession)
+    scratch = common.Scratch()
     texts = docs.select("text")
-    words = vocabulary(texts)
+    counts = scratch.written(counted(texts), "words")
+    words = vocabulary(counts)
     weights = trained(texts, words)
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+    shares = Shares(counts, words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, weights, shares))
 
     def make():
-        vocabulary, flat_weights = shared.value
-        network = Network(flat_weights)
+        vocabulary, flat_weights, shares = shared.value
+        network, sent = Network(flat_weights), shares.sender()
+        row = TaskContext.get().partitionId() << 40
 
         def step(batch):
-            flat, counts = vocabulary.encode(common.texts(batch))
+            nonlocal row
+            found = common.texts(batch)
+            flat, counts = vocabulary.encode(found)
             at, around = windows_of(flat)
             target = flat[at]
             parts = [network.log_chances(around[:, i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)]
             running = np.concatenate([[0.0], np.cumsum(np.concatenate(parts))]) if parts else np.zeros(1)
             ends = np.cumsum(counts)
-            sums = running[ends] - running[ends - counts]
-            means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
-            return {"doc_id": batch.column("doc_id"), "n_words": counts, "log_likelihood": sums, "mean_log_likelihood": means}
+            more, lacking = zip(*map(sent, found))
+            rows = np.arange(row, row + len(found))
+            row += len(found)
+            return {"row": rows, "doc_id": batch.column("doc_id"), "n_words": counts, "known": running[ends] - running[ends - counts] + more, "lacking": list(lacking)}
 
         return step
 
-    kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("mean_log_likelihood", pa.float64())]
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double", kinds)
+    kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("known", pa.float64()), ("lacking", pa.list_(pa.int64()))]
+    known = common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "row long, doc_id long, n_words long, known double, lacking array<long>", kinds)
+    known = scratch.written(known, "known")
+    joined = known.select("row", F.explode("lacking").alias("h")).join(shares.rest, "h").groupBy("row").agg(F.sum("log").alias("log"))
+    scores = known.select("row", "doc_id", "n_words", "known").join(joined, "row", "left")
+    scores = scores.withColumn("log_likelihood", F.col("known") + F.coalesce(F.col("log") / _LOG_SCALE, F.lit(0.0)))
+    scores = scores.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
+    return scores
 
 
 def op3(spark, sf_dir):

@@ -233,6 +233,31 @@ def test_lm_scores(docs, prose):
     assert lm_scoring.score(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [lm_scoring.FREQUENT, 100])
+def test_lm_scores_every_word_by_its_count(docs, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    top = [f"top{i}" for i in range(lm_scoring.WORDS)]
+    rare = {f"rare{i}": 1 + i % 7 for i in range(2000)}
+    corpus = [w for w, n in rare.items() for _ in range(n - 1)] + top * 8
+    random.Random(1).shuffle(corpus)
+    single = list(rare)
+    got = by_id(lm_scoring.score(docs([*single, " ".join(corpus)])))
+    places = {}
+    for i, w in enumerate(single):
+        places.setdefault(lm_scoring.xxhash.xxh3_64_intdigest(w.encode()) % 255, []).append(i)
+    for found in places.values():
+        total = sum(rare[single[i]] for i in found)
+        chance = [got[i]["log_likelihood"] - np.log(rare[single[i]] / total) for i in found]
+        assert np.ptp(chance) < 1e-6 and max(chance) < 0
+
+
+def test_lm_partitions_count_by_words(docs):
+    few, many = docs(["a b c d e f g h i j"]).coalesce(1), docs(["k l m n " * 1000]).coalesce(1)
+    words = lm_scoring.Vocabulary([bytes([c]) for c in b"abcdefghijklmn"])
+    one, two, both = (lm_scoring.trained(f.select("text"), words).astype(float) for f in (few, many, few.unionByName(many)))
+    assert np.abs(both - (10 * one + 4000 * two) / 4010).max() < 1e-6
+
+
 def test_lm_gradient():
     net = lm_scoring.Network(np.random.default_rng(0).normal(0, 0.3, lm_scoring.SIZE))
     around = np.random.default_rng(1).integers(1, 1024, (4, 64)).astype(np.int16)
