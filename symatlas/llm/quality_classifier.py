@@ -14,6 +14,7 @@ are scored alike; an empty table gives an empty result; further columns are igno
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -33,16 +34,38 @@ THRESHOLD = 0.7
 #: The row of the mark for pairs had before, and how often one mark counts beside a word's n-grams.
 AGAIN, AGAIN_WEIGHT = BUCKETS - 1, 8
 REMEMBERED = 400_000
+#: Words of more bytes are hashed in arrays, CHUNK n-grams at a time, and are not remembered.
+SHORT = 64
+CHUNK = 1 << 16
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
 
 
 def subwords(word: bytes) -> list[int]:
     """Rows of the word itself and of its character n-grams with boundary marks."""
-    marked = b"<" + word[:64] + b">"
+    if len(word) > SHORT:
+        return [int(r) for rows in long_subwords(word) for r in rows]
+    marked = b"<" + word + b">"
     n = len(marked)
     parts = [marked[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)]
     return [crc32(p) % (BUCKETS - 1) for p in (b"=" + word, *parts)]
 
 
+def long_subwords(word: bytes) -> Iterator[np.ndarray]:
+    """The same rows of a word of any length, in arrays of CHUNK at most."""
+    yield np.array([crc32(word, crc32(b"=")) % (BUCKETS - 1)], np.int64)
+    marked = np.frombuffer(b"<" + word + b">", np.uint8)
+    for k in range(SHORTEST, LONGEST + 1):
+        for at in range(0, len(marked) - k + 1, CHUNK):
+            piece = marked[at : at + CHUNK + k - 1]
+            crc = np.full(len(piece) - k + 1, 0xFFFFFFFF, np.uint32)
+            for i in range(k):
+                crc = _CRC[(crc ^ piece[i : i + len(crc)]) & np.uint32(0xFF)] ^ crc >> np.uint32(8)
+            yield (~crc).astype(np.int64) % (BUCKETS - 1)
+
+
 def pairs_again(words: list[bytes]) -> int:
     """How many pairs of successive words the text has had before."""
     return max(0, len(words) - 1 - len(set(zip(words, words[1:]))))
@@ -53,6 +76,9 @@ def features(text: bytes, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np
     words = text.split()
     rows: list[int] = [AGAIN] * (AGAIN_WEIGHT * pairs_again(words))
     for word in words:
+        if len(word) > SHORT:
+            rows += subwords(word)
+            continue
         if word not in known:
             known[word] = subwords(word)
         rows += known[word]
@@ -103,7 +129,7 @@ class Model:
 
     def scorer(self):
         """A function from a text to its score, which remembers the shares of words."""
-        shares, bias = self.shares.tolist(), self.bias
+        shares, array, bias = self.shares.tolist(), self.shares, self.bias
         known: dict[bytes, tuple[float, int]] = {}
 
         def score(text: bytes) -> float:
@@ -112,7 +138,11 @@ class Model:
             total = count * shares[AGAIN]
             for word in words:
                 found = known.get(word)
-                if found is None:
+                if found is None and len(word) > SHORT:
+                    found = (0.0, 0)
+                    for rows in long_subwords(word):
+                        found = (found[0] + float(array[rows].sum(dtype=np.float64)), found[1] + len(rows))
+                elif found is None:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     rows = subwords(word)

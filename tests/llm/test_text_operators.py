@@ -222,6 +222,26 @@ def test_quality_classifier_odd(spark, docs):
 # --- language-model scores
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 300])
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_subwords_of_whole_words(monkeypatch, n, chunk):
+    monkeypatch.setattr(quality_classifier, "CHUNK", chunk)
+    word = bytes(random.Random(n).randrange(33, 256) for _ in range(n))
+    marked = b"<" + word + b">"
+    parts = [b"=" + word, *(marked[i : i + k] for k in (3, 4) for i in range(len(marked) - k + 1))]
+    want = sorted(zlib.crc32(p) % (quality_classifier.BUCKETS - 1) for p in parts)
+    assert sorted(quality_classifier.subwords(word)) == want
+    assert sorted(r for rows in quality_classifier.long_subwords(word) for r in rows.tolist()) == want
+
+
+def test_quality_classifier_reads_unspaced_texts_to_their_end():
+    start = "".join(random.Random(1).choices("abcdefgh", k=64))
+    good, bad = ("".join(random.Random(s).choices(letters, k=400)) for s, letters in ((2, "ijklmn"), (3, "opqrst")))
+    model = quality_classifier.Model([((start + t + str(i)).encode(), label) for i in range(20) for t, label in ((good, 1), (bad, 0))])
+    score = model.scorer()
+    assert score((start + good + "x").encode()) > 0.9 and score((start + bad + "x").encode()) < 0.1
+
+
 def test_lm_scores(docs, prose):
     words = prose(1, 12).split()
     rng = random.Random(5)
