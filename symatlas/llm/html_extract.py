@@ -3,7 +3,7 @@
 A page is cut into text blocks at block-level tags. The first pass labels blocks: those in boilerplate
 places (menus, page headers, footers, sidebars, forms, notices, adverts, comments: by tag, role or the
 words of class and id) and those of mostly link text are bad; long blocks with enough function words
-are good, as are long ones in the place marked as the article; the rest, above all short blocks, stay
+are good, as are long ones in a place marked as the article that holds good ones; the rest, above all short blocks, stay
 undecided. In the second pass an undecided block takes the label of its nearest decided neighbour, one
 of its own container before any other, and that of its place where no neighbour is decided.
 
@@ -48,7 +48,7 @@ _GOOD_NAME = frozenset("article post entry story content main body text".split()
 
 
 class _Place:
-    __slots__ = ("tag", "bad", "article", "number")
+    __slots__ = ("tag", "bad", "article", "number")  # article: the number of the outermost marked place, or 0
 
     def __init__(self, tag, bad, article, number):
         self.tag, self.bad, self.article, self.number = tag, bad, article, number
@@ -87,7 +87,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks, in order."""
     out: list[Block] = []
-    root = _Place("", False, False, 0)
+    root = _Place("", False, 0, 0)
     stack = [root]
     text: list[str] = []
     linked = 0
@@ -171,22 +171,23 @@ def blocks(page: str) -> list[Block]:
         if tag == "header":
             bad = bad or not above.article
         number += 1
-        inside = (above.article or article) and not bad
+        inside = 0 if bad else above.article or (number if article else 0)
         stack.append(_Place(tag, above.bad or bad, inside, number))
     flush()
     return out
 
 
-def first_label(block: Block, marked: bool) -> int | None:
-    """Good, bad or undecided, by place, link density, length and function words."""
+def first_label(block: Block, articles: set[int]) -> int | None:
+    """Good, bad or undecided, by place, link density, length and function words.
+
+    A mark in `articles` is one more vote: length is enough inside, and function words decide outside.
+    """
     if block.place.bad:
         return _BAD
     n = len(block.text)
     if block.linked > LINKED * n and not (block.place.article and n >= 2 * LONG and block.linked < 0.8 * n):
         return _BAD
-    if marked:
-        if not block.place.article:
-            return _BAD
+    if block.place.article in articles:
         return _GOOD if n >= LONG else _OPEN
     if n < LONG:
         return _OPEN
@@ -199,19 +200,21 @@ def first_label(block: Block, marked: bool) -> int | None:
 
 def extract(page: str) -> str:
     found = blocks(page)
-    marked = any(b.place.article and not b.place.bad for b in found)
-    labels = [first_label(b, marked) for b in found]
+    # the article is what is marked and good by density; where nothing is good by density, what is marked
+    dense = [b.place.article for b in found if first_label(b, set()) == _GOOD]
+    articles = {a for a in dense or (b.place.article for b in found if not b.place.bad) if a}
+    labels = [first_label(b, articles) for b in found]
     out = []
     for i, block in enumerate(found):
         label = labels[i]
         if label is None:
-            label = _inherited(found, labels, i, marked)
+            label = _inherited(found, labels, i, articles)
         if label:
             out.append(block.text)
     return "\n\n".join(out)
 
 
-def _inherited(found: list[Block], labels: list, i: int, marked: bool) -> int:
+def _inherited(found: list[Block], labels: list, i: int, articles: set[int]) -> int:
     """The label of the nearest decided neighbour; own container first, and the better one at equal distance."""
     place = found[i].place
     nearest: dict[bool, tuple[int, int]] = {}
@@ -227,8 +230,8 @@ def _inherited(found: list[Block], labels: list, i: int, marked: bool) -> int:
             j += step
     if True in nearest:
         return -nearest[True][1]
-    if marked:
-        return _GOOD if place.article else _BAD
+    if articles:
+        return _GOOD if place.article in articles else _BAD
     if False in nearest:
         if found[i].heading and i + 1 < len(found) and labels[i + 1] is not None:
             return labels[i + 1]

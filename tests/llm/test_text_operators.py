@@ -307,6 +307,13 @@ def test_extraction(wrap):
     assert html_extract.extract(PAGE % (wrap % BODY)) == TEXT
 
 
+@pytest.mark.parametrize("teaser", ["<article><p>%s</p></article>", "<section class='story'><p>%s</p></section>"])
+@pytest.mark.parametrize("words", ["Read on", "This is the one that all of us have read in the morning and that we will have to read again at the end of the day."])
+def test_article_mark_is_one_vote(teaser, words):
+    got = html_extract.extract(PAGE % f"<div id='content'>{BODY}</div>{teaser % words}")
+    assert got.startswith(TEXT)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- x", "plain text", "<p>a", "</p></div>", "<script>", "<a href=", "<div class=>x</div>", "&#x;&#1114112;&nbsp;", "<p>" * 3000 + "x"])
 def test_odd_pages(page):
     html_extract.extract(page)
