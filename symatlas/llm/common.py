@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,12 +59,21 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x if x is not None else b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def numbered(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with numbers as the names of all columns but `own`, and a function that gives the names back.
+
+    Further columns may so have any names, those that an operator uses itself or that hold dots included.
+    """
+    names = [c if c in own else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda frame: frame.select(*names).toDF(*docs.columns)
+
+
 def pressed(frame: DataFrame, names: list[str], level: int = 3) -> DataFrame:
     """The frame with its text column as a binary column z, compressed for a shuffle; null stays null."""
     import zstandard
 
     tuned(frame.sparkSession)
-    fields = ", ".join(f"`{c.replace('`', '``')}` {frame.schema[c].dataType.simpleString()}" for c in names)
+    fields = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=level)
@@ -83,9 +93,11 @@ def unpressed(values: list) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir, or one of our own where that is unset on one machine (in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="symatlas-")
         spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

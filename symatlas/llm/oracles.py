@@ -1,6 +1,6 @@
 """DuckDB SQL with the same rows as the queries that SQL can express, over whole tables and texts."""
 
-SUFFIX_DEDUP = """
+SUFFIX_DEDUP = r"""
 WITH d AS (SELECT doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
 w AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
 again AS (SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
@@ -10,8 +10,13 @@ spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 400 AS e FROM grouped GROUP
 edges AS (SELECT doc_id, run, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS kept_from FROM spans),
 cut AS (SELECT doc_id, list((kept_from, s - 1) ORDER BY s) AS parts, max(e) AS tail, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM edges GROUP BY doc_id),
 joined AS (SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  CASE WHEN parts IS NULL THEN b ELSE list_reduce(list_transform(parts, lambda p: b[p[1]:p[2]]) || [b[tail:]], lambda x, y: x || y) END AS kept FROM d LEFT JOIN cut USING (doc_id))
-SELECT doc_id, n_bytes, n_removed, n_spans, sha256(kept) AS kept_sha256 FROM joined
+  CASE WHEN parts IS NULL THEN b ELSE list_reduce(list_transform(parts, lambda p: b[p[1]:p[2]]) || [b[tail:]], lambda x, y: x || y) END AS kept FROM d LEFT JOIN cut USING (doc_id)),
+t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(v[i:i + 50], ' ')) AS h FROM (SELECT doc_id, v, unnest(range(1, len(v) - 49)) AS i FROM t WHERE len(v) >= 51)),
+met AS (SELECT doc_id, i FROM v JOIN (SELECT h FROM v GROUP BY h HAVING count(*) > 1) USING (h)),
+begun AS (SELECT doc_id, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 51 THEN 0 ELSE 1 END AS fresh FROM met),
+passages AS (SELECT doc_id, sum(fresh)::BIGINT AS n FROM begun GROUP BY doc_id)
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(kept) AS kept_sha256, coalesce(n, 0) AS n_passages, n IS NOT NULL AS has_passage FROM joined LEFT JOIN passages USING (doc_id)
 """
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

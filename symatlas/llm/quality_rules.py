@@ -230,7 +230,8 @@ def keep(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     common.tuned(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    docs, named = common.numbered(docs, "text")
+    return named(docs.mapInArrow(run, docs.schema))
 
 
 def op2(spark, sf_dir):

@@ -1,14 +1,18 @@
-"""Removal of long repeated byte strings by prefix-free parsing (operator 1).
+"""Removal of long repeated strings by prefix-free parsing (operator 1).
+
+A text is read as a string over one or both of two alphabets: its bytes, and its words (runs of bytes other than
+white space). `lengths` says how long a repeated string is in either, LENGTH bytes and PASSAGE words where the
+caller gives no others; 0 leaves an alphabet out.
 
 Rolling-hash triggers (the least hash of window_of(length) successive places) parse every text into phrases that
 depend on content alone, so equal strings are parsed alike wherever they stand. A phrase here is a run
-of `length`-byte strings with the same first trigger; `length` is LENGTH unless the caller gives another. Of each run the parse keeps two names: that of its
+of strings of that length with the same first trigger. Of each run the parse keeps two names: that of its
 core, which lies in all its strings, and that of its whole extent.
 
 The dictionary is the set of distinct extents, with counts. Cores that occur once end the matter for
 their runs; extents that occur again are removed whole; the rest, extents that occur once among others
 with the same core, are where repeats begin and end. For those, and for one copy of each other extent
-with that core, the `length`-byte prefixes of all suffixes are put in order, each with its neighbours:
+with that core, the prefixes of that length of all suffixes are put in order, each with its neighbours:
 equal prefixes of different places are repeats. Only dictionary entries are ordered, never the corpus,
 so the work follows the differing text and not the number of copies.
 
@@ -18,8 +22,8 @@ the strings of a core with more entries are named by 128-bit hashes and counted
 
 Defined results: null and empty texts have 0 bytes and keep the hash of nothing; repeated rows are
 occurrences of each other's strings; an empty table gives an empty result; a null doc_id is kept;
-further columns are ignored by removed() and returned unchanged by strip(), which drops the halves of
-characters that a cut left and updates n_chars where that column exists.
+further columns, whatever their names, are ignored by removed() and returned unchanged by strip(), which drops the
+halves of characters that a cut left and updates n_chars where that column exists.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-LENGTH = 400
-GRAM = 16
+#: Bytes, and words, of the strings that are looked for.
+LENGTH, PASSAGE = 400, 51
 SEGMENT = 1 << 20
-TAG_BITS = 24
+TAG_BITS = 23
 #: Most entries of one core that are ordered in one task, and entries ordered at a time.
 GROUP, CHUNK = 2048, 2048
 
@@ -45,11 +49,67 @@ _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def window_of(length: int) -> int:
-    """Places among which the least hash is the trigger of a string; the core is the length - window + 1 bytes from there."""
+class Bytes:
+    """A text as a string of bytes; triggers are chosen by hashes of GRAM of them."""
+
+    GRAM, KIND = 16, np.uint8
+
+    @staticmethod
+    def symbols(text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8)
+
+    @staticmethod
+    def grams(raw: np.ndarray) -> np.ndarray:
+        h = raw.astype(_U64) + _U64(1)
+        for step, factor in ((1, 0x100000001B3), (2, 0x9E3779B1), (4, 0x85EBCA77C2B2AE63), (8, 0x27D4EB2F165667C5)):
+            h = common.mix64(h[:-step] * _U64(factor) + h[step:]) if step == 8 else h[:-step] * _U64(factor) + h[step:]
+        return h
+
+    @staticmethod
+    def keys(raw: np.ndarray) -> tuple[np.ndarray, int]:
+        """A number for every eight bytes that orders like them."""
+        key = np.zeros(len(raw) - 7, _U64)
+        for i in range(8):
+            key = key << _U64(8) | raw[i : len(raw) - 7 + i]
+        return key, 8
+
+
+class Words:
+    """A text as a string of 64-bit word hashes."""
+
+    GRAM, KIND = 1, _U64
+
+    @staticmethod
+    def symbols(text: bytes) -> np.ndarray:
+        words = text.split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U64, len(words))
+
+    @staticmethod
+    def grams(raw: np.ndarray) -> np.ndarray:
+        return raw
+
+    @staticmethod
+    def keys(raw: np.ndarray) -> tuple[np.ndarray, int]:
+        return raw, 1
+
+    @staticmethod
+    def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of each word, and the byte after it."""
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[np.frombuffer(text, np.uint8)], [True]])))
+        return edges[::2], edges[1::2]
+
+
+ALPHABETS = (Bytes, Words)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Cores of different alphabets have different names.
+_SALTS = (_U64(0), _U64(0x5851F42D4C957F2D))
+
+
+def window_of(length: int, alphabet=Bytes) -> int:
+    """Places among which the least hash is the trigger of a string; the core is the length - window + 1 symbols from there."""
     window = min(256, length * 16 // 25)
-    if length - window + 1 < GRAM:
-        raise ValueError(f"strings of {length} bytes have cores under {GRAM} bytes")
+    if length - window + 1 < alphabet.GRAM:
+        raise ValueError(f"strings of {length} have cores under {alphabet.GRAM}")
     return window
 
 
@@ -74,13 +134,10 @@ class Powers:
 
 
 class Text:
-    """Hashes of all substrings of at least GRAM bytes of a piece of text."""
+    """Hashes of all substrings of at least GRAM symbols of a piece of text."""
 
-    def __init__(self, raw: np.ndarray, powers: Powers):
-        h = raw.astype(_U64) + _U64(1)
-        for step, factor in ((1, 0x100000001B3), (2, 0x9E3779B1), (4, 0x85EBCA77C2B2AE63), (8, 0x27D4EB2F165667C5)):
-            h = common.mix64(h[:-step] * _U64(factor) + h[step:]) if step == 8 else h[:-step] * _U64(factor) + h[step:]
-        self.grams = h
+    def __init__(self, raw: np.ndarray, powers: Powers, alphabet=Bytes):
+        self.gram, self.grams = alphabet.GRAM, (h := alphabet.grams(raw))
         tables = powers.upto(len(h) + 1)
         self.sums = []
         self.inverse = []
@@ -92,9 +149,9 @@ class Text:
             self.inverse.append(inverse)
 
     def name(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        """A 64-bit hash of the bytes from each start to before each end."""
+        """A 64-bit hash of the symbols from each start to before each end."""
         s = self.sums[which]
-        return common.mix64((s[end - GRAM + 1] - s[start]) * self.inverse[which][start])
+        return common.mix64((s[end - self.gram + 1] - s[start]) * self.inverse[which][start])
 
     def triggers(self, starts: int, window: int) -> np.ndarray:
         """For each of the first `starts` places, that of the least hash among `window` places from there."""
@@ -118,30 +175,31 @@ def key_of(doc_id: int | None, text: bytes) -> int:
     return doc_id if doc_id is not None else xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def runs(text: bytes, powers: Powers, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Core name, extent name, and place (tag, first string's start, strings less one) of every run."""
+def runs(text: bytes, powers: Powers, length: int = LENGTH, which: int = 0) -> tuple[np.ndarray, ...]:
+    """Core name, extent name, and place (tag, alphabet, first string's start, strings less one) of every run."""
     found = []
-    raw = np.frombuffer(text, np.uint8)
-    window = window_of(length)
-    for at in range(0, len(text) - length + 1, SEGMENT):
+    alphabet = ALPHABETS[which]
+    raw = alphabet.symbols(text)
+    window = window_of(length, alphabet)
+    for at in range(0, len(raw) - length + 1, SEGMENT):
         piece = raw[at : at + SEGMENT + length - 1]
         starts = len(piece) - length + 1
-        hashed = Text(piece, powers)
+        hashed = Text(piece, powers, alphabet)
         trigger = hashed.triggers(starts, window)
         first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
         count = np.diff(np.append(first, starts))
         t = trigger[first]
-        core = hashed.name(t, t + length - window + 1, 0)
+        core = hashed.name(t, t + length - window + 1, 0) ^ _SALTS[which]
         salt = common.mix64(((t - first) << 8 | (count - 1)).astype(_U64))
         extent = common.mix64(hashed.name(first, first + count - 1 + length, 1) ^ salt)
         found.append((core, extent, ((first + at) << 8 | (count - 1)).astype(_U64)))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(3))
     core, extent, place = (np.concatenate(x) for x in zip(*found))
-    return core.view(np.int64), extent.view(np.int64), (place | _U64(tag_of(text) << 40)).view(np.int64)
+    return core.view(np.int64), extent.view(np.int64), (place | _U64(which << 40 | tag_of(text) << 41)).view(np.int64)
 
 
-def parsed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def parsed(docs: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """(core, extent, doc, place) of every run of every document."""
 
     def make():
@@ -150,9 +208,11 @@ def parsed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def step(batch):
             parts, keys = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                if len(text) >= length:
-                    parts.append(runs(text, powers, length))
-                    keys.append(key_of(doc, text))
+                key = key_of(doc, text)
+                for which, length in enumerate(lengths):
+                    if length and len(text) >= length:
+                        parts.append(runs(text, powers, length, which))
+                        keys.append(key)
             columns = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64)] * 3
             doc = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in parts])
             return dict(zip(("core", "extent", "place"), columns)) | {"doc": doc}
@@ -182,13 +242,18 @@ def packed(docs: DataFrame) -> DataFrame:
 #: SQL for the parts of a place.
 _START = "shiftright(place, 8) & 4294967295 AS start"
 _COUNT = "(place & 255) + 1 AS count"
-_TAG = "shiftrightunsigned(place, 40) AS tag"
+_TAG = "shiftrightunsigned(place, 41) AS tag"
+_WORDS = "(shiftright(place, 40) & 1) = 1 AS words"
+
 
+def _which(place: int) -> int:
+    return place >> 40 & 1
 
-def looked_up(entries: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The text of dictionary entries: doc, tag, z and entries, an array of (core, place, alone, hot), come in.
 
-    An entry goes out as one row with its text; a hot one as a row for each of its strings, with their
+def looked_up(entries: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """The symbols of dictionary entries: doc, tag, z and entries, an array of (core, place, alone, hot), come in.
+
+    An entry goes out as one row with its symbols as text; a hot one as a row for each of its strings, with their
     128-bit names in core and more, and no text.
     """
     kinds = [("core", pa.int64()), ("more", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("text", pa.binary())]
@@ -203,18 +268,21 @@ def looked_up(entries: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             rows, size = [], 0
             for doc, z, found in zip(*(batch.column(c) for c in ("doc", "z", "entries"))):
-                doc, text = doc.as_py(), press.decompress(z.as_py(), max_output_size=1 << 31)
+                doc, text, symbols = doc.as_py(), press.decompress(z.as_py(), max_output_size=1 << 31), {}
                 for e in found.as_py():
                     place = e["place"]
-                    start, count = place >> 8 & 0xFFFFFFFF, (place & 255) + 1
-                    own = text[start : start + count - 1 + length]
+                    start, count, which = place >> 8 & 0xFFFFFFFF, (place & 255) + 1, _which(place)
+                    if which not in symbols:
+                        symbols[which] = ALPHABETS[which].symbols(text)
+                    length = lengths[which]
+                    own = symbols[which][start : start + count - 1 + length]
                     if e["hot"]:
-                        hashed, at = Text(np.frombuffer(own, np.uint8), powers), np.arange(count)
+                        hashed, at = Text(own, powers, ALPHABETS[which]), np.arange(count)
                         w1, w2 = (hashed.name(at, at + length, k).view(np.int64) for k in (0, 1))
                         yield ready([w1, w2, np.full(count, doc), (place & ~0xFF) + (at << 8), np.full(count, e["alone"]), [None] * count])
                         continue
-                    rows.append((e["core"], 0, doc, place, e["alone"], own))
-                    size += len(own)
+                    rows.append((e["core"], 0, doc, place, e["alone"], own.tobytes()))
+                    size += own.nbytes
                     if size > common.BATCH_BYTES // 4:
                         yield ready(list(zip(*rows)))
                         rows, size = [], 0
@@ -224,15 +292,12 @@ def looked_up(entries: DataFrame, length: int = LENGTH) -> DataFrame:
     return entries.mapInArrow(run, "core long, more long, doc long, place long, alone boolean, text binary")
 
 
-def prefix_ranks(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Rank of the `length`-byte prefix of every suffix that has one; equal prefixes share a rank.
+def prefix_ranks(raw: np.ndarray, length: int = LENGTH, alphabet=Bytes) -> np.ndarray:
+    """Rank of the prefix of `length` symbols of every suffix that has one; equal prefixes share a rank.
 
     Prefix doubling, by three at a time where ranks fit into 21 bits.
     """
-    key = np.zeros(len(raw) - 7, _U64)
-    for i in range(8):
-        key = key << _U64(8) | raw[i : len(raw) - 7 + i]
-    size = 8
+    key, size = alphabet.keys(raw)
     while True:
         order = np.argsort(key)
         ranked = key[order]
@@ -249,11 +314,12 @@ def prefix_ranks(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
             size += step
 
 
-def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH, alphabet=Bytes) -> list[tuple[int, int, int]]:
     """(doc, place of the first, number) of runs of strings that occur twice among the entries (doc, place, alone, text)."""
-    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), np.uint8), length)
-    first = np.cumsum([0] + [len(g[3]) for g in group[:-1]])
-    count = np.array([len(g[3]) - length + 1 for g in group])
+    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), alphabet.KIND), length, alphabet)
+    sizes = np.array([len(g[3]) // np.dtype(alphabet.KIND).itemsize for g in group])
+    first = np.cumsum(sizes) - sizes
+    count = sizes - length + 1
     owner = np.repeat(np.arange(len(group)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     own = rank[np.repeat(first, count) + inner]
@@ -271,8 +337,8 @@ def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH)
     return out
 
 
-def suffix_sorted(entries: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, tag, start, count) of the repeated strings among entries that share a core.
+def suffix_sorted(entries: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """(doc, tag, words, start, count) of the repeated strings among entries that share a core.
 
     Entries are dealt by core, at most GROUP to each; a task orders the suffixes of some cores at a time.
     """
@@ -291,66 +357,81 @@ def suffix_sorted(entries: DataFrame, length: int = LENGTH) -> DataFrame:
             yield made(held)
 
     def made(held):
-        found = repeats_in([e for _, e in held], length)
+        found = []
+        for which, alphabet in enumerate(ALPHABETS):
+            group = [e for _, e in held if _which(e[1]) == which]
+            if group:
+                found += repeats_in(group, lengths[which], alphabet)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))], schema=schema)
 
-    return dealt.mapInArrow(run, "doc long, place long, count long").select("doc", F.expr(_TAG), F.expr(_START), "count")
+    return dealt.mapInArrow(run, "doc long, place long, count long").select("doc", F.expr(_TAG), F.expr(_WORDS), F.expr(_START), "count")
 
 
-def repeated(docs: DataFrame, texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings of `length` bytes."""
+def repeated(docs: DataFrame, texts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings, in bytes or (words) in words."""
     scratch = common.Scratch()
-    parse = parsed(docs, length)
+    parse = scratch.written(parsed(docs, lengths), "parse")
     # tables of counts are written before they are joined: a join above two plain exchanges can split a hot key
     cores = scratch.written(parse.groupBy("core").count().filter("count > 1").select("core"), "cores")
     candidates = scratch.written(parse.join(cores, "core"), "candidates")
+    scratch.drop(candidates)
     extents = candidates.groupBy("core", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("copy"))
     extents = scratch.written(extents.select("core", "extent", "n", "copy.*"), "extents")
     several = scratch.written(extents.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     entries = extents.join(several, "core").select("doc", F.expr(_TAG), F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("m") > GROUP).alias("hot")).alias("e"))
     entries = entries.groupBy("doc", "tag").agg(F.collect_list("e").alias("entries"))
-    dictionary = scratch.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"]), length), "dictionary")
-    single = suffix_sorted(dictionary.filter("text is not null"), length)
+    dictionary = scratch.written(looked_up(entries.join(texts.drop("doc_id").hint("merge"), ["doc", "tag"]), lengths), "dictionary")
+    single = suffix_sorted(dictionary.filter("text is not null"), lengths)
     strings = dictionary.filter("text is null").select(F.col("core").alias("w1"), F.col("more").alias("w2"), "doc", "place", "alone")
     twice = scratch.written(strings.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
-    hot = strings.filter("alone").join(twice, ["w1", "w2"]).select("doc", F.expr(_TAG), F.expr(_START), F.lit(1).cast("long").alias("count"))
-    whole = candidates.join(extents.filter("n > 1").select("core", "extent"), ["core", "extent"]).select("doc", F.expr(_TAG), F.expr(_START), F.expr(_COUNT))
+    hot = strings.filter("alone").join(twice, ["w1", "w2"]).select("doc", F.expr(_TAG), F.expr(_WORDS), F.expr(_START), F.lit(1).cast("long").alias("count"))
+    whole = candidates.join(extents.filter("n > 1").select("core", "extent"), ["core", "extent"]).select("doc", F.expr(_TAG), F.expr(_WORDS), F.expr(_START), F.expr(_COUNT))
     spans = single.unionByName(hot).unionByName(whole)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("count") + (length - 1)).alias("end"))).alias("spans"))
+    end = F.col("start") + F.col("count") + F.when(F.col("words"), lengths[1] - 1).otherwise(lengths[0] - 1)
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("words", "start", end.alias("end"))).alias("spans"))
     spans = scratch.written(spans, "spans")
     scratch.drop(spans)
     return spans
 
 
-def cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
-    """The text without the spans, and how many maximal runs were cut."""
-    if not spans:
-        return text, 0
-    kept, last, count = [], 0, 0
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if start > last or not count:
-            kept.append(text[last:start])
-            count += 1
+def joined(spans: list | None, words: bool = False) -> list[tuple[int, int]]:
+    """The spans of one alphabet as maximal runs, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans or () if s["words"] == words):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """The text without the runs, which are in order; they may overlap."""
+    kept, last = [], 0
+    for start, end in runs:
+        kept.append(text[last:start])
         last = max(last, end)
     kept.append(text[last:])
-    return b"".join(kept), count
+    return b"".join(kept)
 
 
-def long_enough(text: bytes, spans: list, words: int) -> list:
-    """The spans, joined where they touch, that hold `words` words or LENGTH bytes at least."""
-    joined: list[dict] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
-        if joined and start <= joined[-1]["end"]:
-            joined[-1]["end"] = max(joined[-1]["end"], end)
-        else:
-            joined.append({"start": start, "end": end})
-    return [s for s in joined if s["end"] - s["start"] >= LENGTH or len(text[s["start"] : s["end"]].decode("utf-8", "ignore").split()) >= words]
+def in_bytes(text: bytes, spans: list) -> list[tuple[int, int]]:
+    """The runs of both alphabets as runs of bytes, in order."""
+    out, words = joined(spans), joined(spans, True)
+    if words:
+        first, after = Words.places(text)
+        out += [(int(first[a]), int(after[b - 1])) for a, b in words]
+    return sorted(out)
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and has_passage of every document.
+
+    Bytes are removed where LENGTH of them occur again. Passages are the maximal runs of words that lie in
+    PASSAGE words which occur again, whatever their bytes and the white space between; nothing is removed for them.
+    """
     texts = packed(docs)
-    both = texts.join(repeated(docs, texts).hint("merge"), ["doc", "tag"], "left").select("doc_id", "z", "spans")
+    both = texts.join(repeated(docs, texts, (LENGTH, PASSAGE)).hint("merge"), ["doc", "tag"], "left").select("doc_id", "z", "spans")
 
     def make():
         press = zstandard.ZstdDecompressor()
@@ -359,48 +440,44 @@ def removed(docs: DataFrame) -> DataFrame:
             rows = []
             for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist()):
                 text = press.decompress(z, max_output_size=1 << 31)
-                kept, count = cut(text, spans)
-                rows.append((len(text), len(text) - len(kept), count, hashlib.sha256(kept).hexdigest()))
-            n, r, c, h = zip(*rows)
-            return {"doc_id": batch.column("doc_id"), "n_bytes": n, "n_removed": r, "n_spans": c, "kept_sha256": h}
+                kept, passages = cut(text, found := joined(spans)), len(joined(spans, True))
+                rows.append((len(text), len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), passages, passages > 0))
+            return {"doc_id": batch.column("doc_id")} | dict(zip((k for k, _ in kinds[1:]), zip(*rows)))
 
         return step
 
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    return common.map_batches(both, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", kinds)
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("has_passage", pa.bool_())]
+    return common.map_batches(both, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, has_passage boolean", kinds)
 
 
-def strip(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
-    """The documents without their repeated strings of `length` bytes, with all columns.
-
-    Of strings that are shorter than LENGTH, what touches or overlaps is cut where it holds `words` words together.
-    """
+def strip(docs: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE)) -> DataFrame:
+    """The documents without their repeated strings of either alphabet, with all columns."""
     common.tuned(docs.sparkSession)
-    spans = repeated(docs, packed(docs), length)
+    spans = repeated(docs, packed(docs), lengths)
+    docs, named = common.numbered(docs, "doc_id", "text", "n_chars")
     order = docs.columns
-    names = [c for c in order if c != "text"]
+    rest = [c for c in order if c != "text"]
+    fields = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in rest)
 
     def keyed(batches):
         for batch in batches:
-            found = common.texts(batch)
-            keys = [key_of(d, t) for d, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), found)]
-            more = [batch.column("text"), pa.array(keys, pa.int64()), pa.array([tag_of(t) for t in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=[*names, "text", "__doc", "__tag"])
+            texts = common.texts(batch)
+            keys = [key_of(d, t) for d, t in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), texts)]
+            more = [batch.column("text"), pa.array(keys, pa.int64()), pa.array([tag_of(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, "text", "doc", "tag"])
 
-    fields = "".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    left = common.pressed(docs.select(*names, "text").mapInArrow(keyed, f"{fields}text string, __doc long, __tag long"), [*names, "__doc", "__tag"])
-    right = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    both = left.join(right.hint("merge"), ["__doc", "__tag"], "left").select(*names, "z", "__spans")
+    left = common.pressed(docs.mapInArrow(keyed, f"{fields}text string, doc long, tag long"), [*rest, "doc", "tag"])
+    both = left.join(spans.hint("merge"), ["doc", "tag"], "left").select(*rest, "z", "spans")
 
     def shortened(batches):
         for batch in batches:
-            columns = {c: batch.column(c) for c in names}
+            columns = {c: batch.column(c) for c in rest}
             z, counts = batch.column("z").to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in columns else None
             texts = [t.decode() if z[i] is not None else None for i, t in enumerate(common.unpressed(z))]
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     raw = texts[i].encode()
-                    texts[i] = cut(raw, long_enough(raw, spans, words))[0].decode("utf-8", "ignore")
+                    texts[i] = cut(raw, in_bytes(raw, spans)).decode("utf-8", "ignore")
                     if counts:
                         counts[i] = len(texts[i])
             columns["text"] = pa.array(texts, pa.string())
@@ -408,7 +485,7 @@ def strip(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
                 columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
-    return both.mapInArrow(shortened, docs.schema)
+    return named(both.mapInArrow(shortened, docs.schema))
 
 
 def op1(spark, sf_dir):

@@ -53,3 +53,20 @@ def test_planted_passage_of_51_words(spark, docs, prose, small):
     out = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert out.keys() == {0, 1}
     assert all(shared not in t for t in out.values())
+
+
+def test_columns_of_any_name_and_repeated_ids(spark, docs, prose, small):
+    def good(seed):
+        rng = random.Random(seed)
+        return " ".join(w if i % 3 else f"{w} {rng.choice('the of and to in is that it'.split())}" for i, w in enumerate(prose(seed, 150).split()))
+
+    frame = docs([(1, good(1)), (1, good(1)), (1, good(2)), (2, good(2)), (None, good(3)), (None, good(4)), (4, good(5))])
+    frame = frame.selectExpr("*", "doc_id AS z", "2 AS name", "3 AS `a.b`", "4 AS c0", "5 AS first", "6 AS __hit_spans", "7 AS tag", "8 AS doc", "9 AS n_words")
+    columns = frame.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, small)
+        assert frame.columns == columns
+    rows = frame.collect()
+    assert {(r["z"], r["text"]) for r in rows} == {(1, good(1)), (1, good(2)), (None, good(3)), (None, good(4)), (4, good(5))}
+    assert len(rows) == 5 and all((r["a.b"], r["first"], r["n_words"]) == (3, 5, 9) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, small).select("doc_id").distinct().count() == 3

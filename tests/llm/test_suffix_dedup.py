@@ -28,14 +28,31 @@ def cases(prose):
     a, b, shared = prose(1, 300), prose(2, 300), prose(3, 90)
     long = prose(4, 4000)
     texts = [a, a, b, b[:900] + "X" + b[901:], prose(5, 100) + shared + prose(6, 100), prose(7, 50) + shared + prose(8), shared, None, "", "short", "short"]
+    passage = prose(11, 51)
+    texts += [f"{prose(12, 60)} {passage} {prose(13, 60)}", f"{prose(14, 60)}\n{passage.replace(' ', '  ')} {prose(15, 60)}", "a b " * 60, prose(16, 50), prose(16, 50)]
     texts += ["é" * 500, "x" + "é" * 400 + "y", "a" * 1000, "a" * 399, "ab" * 300, long, long[3000:9000] + prose(9), a[:399], a[:400], a[1:401]]
     return texts
 
 
 def check(frame, texts):
-    got = {r["doc_id"]: tuple(r)[1:5] for r in S.removed(frame).collect()}
-    want = brute(texts)
-    assert got == dict(enumerate(want))
+    rows = S.removed(frame).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in rows} == dict(enumerate(brute(texts)))
+    passages = brute_passages(texts)
+    assert {r["doc_id"]: (r["n_passages"], r["has_passage"]) for r in rows} == {i: (n, n > 0) for i, n in enumerate(passages)}
+
+
+def brute_passages(texts):
+    words = [(t or "").encode().split() for t in texts]
+    windows = [[tuple(w[i : i + S.PASSAGE]) for i in range(len(w) - S.PASSAGE + 1)] for w in words]
+    seen = collections.Counter(x for own in windows for x in own)
+    out = []
+    for w, own in zip(words, windows):
+        hit = np.zeros(len(w) + 1, bool)
+        for i, x in enumerate(own):
+            if seen[x] > 1:
+                hit[i : i + S.PASSAGE] = True
+        out.append(int(np.count_nonzero(np.diff(np.concatenate([[0], hit.view(np.int8)])) == 1)))
+    return out
 
 
 def test_brute_force(docs, prose):
@@ -80,17 +97,26 @@ def test_prefix_ranks_order_like_bytes(seed, letters):
     assert dense.tolist() == [order[p] for p in prefixes]
 
 
-@pytest.mark.parametrize("spans,want", [(None, (b"abcdef", 0)), ([(0, 2)], (b"cdef", 1)), ([(1, 3), (2, 4)], (b"aef", 1)), ([(0, 2), (2, 4)], (b"ef", 1)), ([(0, 1), (5, 6)], (b"bcde", 2)), ([(0, 6)], (b"", 1))])
-def test_cut(spans, want):
-    assert S.cut(b"abcdef", spans and [{"start": a, "end": b} for a, b in spans]) == want
+@pytest.mark.parametrize("spans,want,runs", [([], b"abcdef", 0), ([(0, 2)], b"cdef", 1), ([(1, 3), (2, 4)], b"aef", 1), ([(0, 2), (2, 4)], b"ef", 1), ([(5, 6), (0, 1)], b"bcde", 2), ([(0, 6)], b"", 1)])
+def test_cut(spans, want, runs):
+    found = S.joined([{"words": False, "start": a, "end": b} for a, b in spans] + [{"words": True, "start": 0, "end": 1}])
+    assert (S.cut(b"abcdef", found), len(found)) == (want, runs)
+
+
+def test_columns_of_any_name(docs, prose):
+    text = f"{prose(1, 60)} {prose(2, 60)}"
+    frame = docs([text, text, None]).selectExpr("*", "1 AS z", "2 AS __doc", "3 AS c0", "4 AS `a.b`", "5 AS tag", "6 AS doc")
+    out = S.strip(frame)
+    assert out.columns == frame.columns
+    assert sorted((r["doc_id"], r["text"], r["z"], r["__doc"], r["c0"], r["a.b"]) for r in out.collect()) == [(0, "", 1, 2, 3, 4), (1, "", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)]
 
 
 def test_strip_by_words(docs, prose):
     long, short, tiny = prose(1, 51), prose(2, 40), " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(51))
     unspaced = prose(3, 200).replace(" ", "")[:450]
-    assert len(long) < S.LENGTH and len(short) > 101 and len(tiny) == 101
+    assert len(long) < S.LENGTH and len(short) < S.LENGTH and len(tiny) == 101
     frame = docs([f"{prose(10 + i, 60)} {p} {prose(30 + i, 60)}" for i, p in enumerate(p for p in (long, short, tiny, unspaced) for _ in range(2))])
-    out = {r["doc_id"]: r["text"] for r in S.strip(frame, 101, 51).collect()}
+    out = {r["doc_id"]: r["text"] for r in S.strip(frame).collect()}
     for at, (passage, goes) in enumerate([(long, True), (short, False), (tiny, True), (unspaced, True)]):
         for i in range(2):
             assert (passage not in out[2 * at + i]) == goes
@@ -100,7 +126,7 @@ def test_strip_by_words(docs, prose):
 def test_brute_force_of_other_lengths(docs, prose, monkeypatch, length):
     texts = cases(prose)
     frame = docs(texts)
-    spans = {r["doc"]: r["spans"] for r in S.repeated(frame, S.packed(frame), length).collect()}
-    got = [S.cut((t or "").encode(), spans.get(i))[0] for i, t in enumerate(texts)]
+    spans = {r["doc"]: r["spans"] for r in S.repeated(frame, S.packed(frame), (length, 0)).collect()}
+    got = [S.cut((t or "").encode(), S.joined(spans.get(i))) for i, t in enumerate(texts)]
     monkeypatch.setattr(S, "LENGTH", length)
     assert [hashlib.sha256(g).hexdigest() for g in got] == [w[3] for w in brute(texts)]
