@@ -17,6 +17,9 @@ and returned unchanged by keep_clean().
 from __future__ import annotations
 
 import hashlib
+import uuid
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 WINDOW = 13
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -35,36 +38,40 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Searcher:
-    """Shift tables and suffix buckets for the windows of some items."""
+    """Shift tables and suffix buckets for the windows of some items.
+
+    Patterns are places in one array of all items' word numbers. A bucket has the windows whose suffix block and
+    words before it hash alike, and lists where they begin.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set]] = {}
+        self.ids = array("i")
+        self.names: list[str | None] = []
+        self.starts: list[int] = []
+        tables: dict[int, tuple[dict, dict]] = {}
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            if not ids:
-                continue
-            size = min(window, len(ids))
-            found = by_length.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.tables = [(size, *self._tables(size, found)) for size, found in sorted(by_length.items())]
-
-    @staticmethod
-    def _tables(size: int, patterns: dict) -> tuple[dict, dict]:
-        """Shift of each block (a pair of words, or one word for patterns of one), and the buckets."""
-        shift: dict = {}
-        bucket: dict = {}
-        for pattern in patterns:
-            if size == 1:
-                shift[pattern[0]] = 0
-                bucket.setdefault(pattern[0], {})[pattern] = patterns[pattern]
-                continue
-            for end in range(1, size):
-                block = (pattern[end - 1], pattern[end])
-                shift[block] = min(shift.get(block, size), size - 1 - end)
-            bucket.setdefault(pattern[-2:], {})[pattern] = patterns[pattern]
-        return shift, bucket
+            if ids:
+                self.names.append(item)
+                self.starts.append(len(self.ids))
+                size = min(window, len(ids))
+                self._enter(ids, size, *tables.setdefault(size, ({}, {})))
+                self.ids.extend(ids)
+        self.tables = [(size, *found) for size, found in sorted(tables.items())]
+
+    def _enter(self, ids: list[int], size: int, shift: dict[int, int], bucket: dict[int, list[int]]) -> None:
+        """Add one item's windows: the shift of each block (a pair of words, or one word for patterns of one), and the buckets."""
+        base = len(self.ids)
+        if size == 1:
+            bucket.setdefault(ids[0], []).append(base)
+            return
+        for end, block in enumerate((a << 32 | b for a, b in zip(ids, ids[1:])), 1):
+            rest = max(0, size - 1 - end)  # in the window that has the fewest words after the block
+            if rest < shift.get(block, size):
+                shift[block] = rest
+        for i in range(len(ids) - size + 1):
+            bucket.setdefault(hash(tuple(ids[i : i + size])), []).append(base + i)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Half-open spans of the occurrences, and the items they belong to."""
@@ -77,7 +84,7 @@ class Searcher:
                 for i, word in enumerate(ids):
                     if word in bucket:
                         spans.append((i, i + 1))
-                        items |= bucket[word][(word,)]
+                        items.update(map(self._item, bucket[word]))
                 continue
             at = size - 1
             while at < n:
@@ -85,18 +92,23 @@ class Searcher:
                 if last is None:
                     at += size
                     continue
-                block = (ids[at - 1], last)
-                jump = shift.get(block, size - 1)
+                before = ids[at - 1]
+                jump = size - 1 if before is None else shift.get(before << 32 | last, size - 1)
                 if jump:
                     at += jump
                     continue
-                hit = bucket[block].get(tuple(ids[at - size + 1 : at + 1]))
-                if hit:
+                own = ids[at - size + 1 : at + 1]
+                found = [x for x in bucket.get(hash(tuple(own)), ()) if self.ids[x : x + size].tolist() == own]
+                if found:
+                    items.update(map(self._item, found))
                     spans.append((at - size + 1, at + 1))
-                    items |= hit
                 at += 1
         return spans, items
 
+    def _item(self, at: int) -> str | None:
+        """The item that the word at a place belongs to."""
+        return self.names[bisect_right(self.starts, at) - 1]
+
 
 def covered(spans: list[tuple[int, int]]) -> int:
     total = end = 0
@@ -122,6 +134,17 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield [(r["item_id"], r["text"].encode()) for r in part.collect()]
 
 
+#: The search tables of a worker's last block, kept for its next task.
+_BUILT: dict[str, Searcher] = {}
+
+
+def _searcher(key: str, shared) -> Searcher:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Searcher(shared.value)
+    return _BUILT[key]
+
+
 _RESULT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
 _SPANS, _ITEMS = "__hit_spans", "__hit_items"
 
@@ -129,13 +152,13 @@ _SPANS, _ITEMS = "__hit_spans", "__hit_items"
 def _annotated(docs: DataFrame, items: list, first: bool, last: bool, result: bool, keep_text: bool) -> DataFrame:
     """One block's search. Spans and items of earlier blocks come in, and go out unless this is the last."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
     names = [c for c in docs.columns if c not in (_SPANS, _ITEMS) and (keep_text or not last or c != "text")]
     fields = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
     more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last and result else "" if last else f"{_SPANS} array<long>, {_ITEMS} array<string>"
 
     def run(batches):
-        searcher = Searcher(shared.value)
+        searcher = _searcher(key, shared)
         for batch in batches:
             found = []
             for i, text in enumerate(common.texts(batch)):
@@ -180,7 +203,8 @@ def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return _searched(docs, benchmark, False, True, block_bytes).select(*docs.columns)
+    docs, named = common.numbered(docs, "text")
+    return named(_searched(docs, benchmark, False, True, block_bytes))
 
 
 def op7(spark, sf_dir):
