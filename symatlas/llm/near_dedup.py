@@ -32,9 +32,10 @@ from . import common, graph
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
-BLOCK = 512
+#: Nodes of a block, and shingles of their sets; pairs of one node that are confirmed together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+SHARE = 256
 _COLUMNS = 4096
-_REMEMBERED = 64
 _CHUNK = 1 << 11
 
 _U32, _U64 = np.uint32, np.uint64
@@ -109,36 +110,34 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; texts: (node, z).
 
-    Compressed texts cross the shuffle rather than sets of hashes, which are several times larger.
+    Compressed texts cross the shuffle rather than sets of hashes, which are several times larger. The b of one a
+    are dealt in shares of about SHARE, and each share gets the text of a once, however many pairs it is in.
     """
-    left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "za", "zb")
+    scratch = common.Scratch()
+    shares = scratch.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "shares")
+    right = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b").join(texts.withColumnRenamed("node", "b").hint("merge"), "b")
+    left = shares.join(texts.withColumnRenamed("node", "a").hint("merge"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "z")
+    dealt = left.unionByName(right).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).select("a", "b", "z")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}
-
-        def of(node, z):
-            if node not in known:
-                if len(known) >= _REMEMBERED:
-                    known.pop(next(iter(known)))
-                known[node] = shingles(common.unpressed([z.as_py()])[0], size)
-            return known[node]
-
+        hub = np.empty(0, _U64)
         for batch in batches:
-            nodes = [c.to_pylist() for c in batch.columns[:2]]
-            close = []
-            for i in range(batch.num_rows):
-                x, y = of(nodes[0][i], batch.column(2)[i]), of(nodes[1][i], batch.column(3)[i])
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    close.append(False)
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                close.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) for n in nodes], schema=schema).filter(pa.array(close, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+            out = ([], [])
+            for a, b, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = shingles(common.unpressed([z.as_py()])[0], size)
+                if b is None:
+                    hub = found
+                elif 100 * min(len(hub), len(found)) >= percent * max(len(hub), len(found)):
+                    shared = len(np.intersect1d(hub, found, assume_unique=True))
+                    if 100 * shared >= percent * (len(hub) + len(found) - shared):
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) for n in out], schema=schema)
+
+    links = common.written(dealt.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop()
+    return links
 
 
 def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
@@ -147,8 +146,9 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     found = scratch.written(signatures(docs, size), "signatures")
     classes = found.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     classes = scratch.written(classes, "classes")
-    nodes = found.join(classes, ["s1", "s2"]).filter("doc_id = node").select("node", "bands")
-    entries = scratch.written(nodes, "nodes").select("node", F.explode("bands").alias("key"))
+    # rows of one doc_id with different sets are one node, of all their bands
+    nodes = scratch.written(found.join(classes, ["s1", "s2"]).filter("doc_id = node").select("node", "bands", "n_shingles"), "nodes")
+    entries = nodes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("first < last").select("key", "n")
     # tables of counts and minima are written before they are joined: a join above two plain exchanges can split a hot key
     buckets = scratch.written(buckets, "buckets")
@@ -161,9 +161,10 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     named = scratch.written(members.join(shared, "node").select("key", "node", "shared"), "members")
     # which of equally central members becomes the pivot doesn't change the components
     pivots = scratch.written(named.groupBy("key").agg(F.max_by("node", "shared").alias("pivot")), "pivots")
-    pairs = named.join(pivots, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    component = graph.components(scratch.written(confirmed(pairs, texts, size, percent), "links"))
-    joined = graph.components(_between(scratch, named, component, texts, size, percent))
+    pairs = named.join(pivots, "key").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    component = graph.components(confirmed(scratch.written(pairs, "pairs"), texts, size, percent))
+    weights = nodes.groupBy("node").agg(F.max("n_shingles").alias("weight"))
+    joined = graph.components(_between(scratch, named, component, weights, texts, size, percent))
     scratch.drop(found, classes)  # the components are tables of their own
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return (
@@ -176,7 +177,7 @@ def components_of(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFra
     )
 
 
-def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame, weights: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components that meet in a bucket (key, node)."""
     labelled = members.select("key", "node").join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = scratch.written(labelled, "labelled")
@@ -185,11 +186,12 @@ def _between(scratch: common.Scratch, members: DataFrame, component: DataFrame,
     alive = scratch.written(labelled.join(mixed, "key").select("node", "component", "first"), "alive")
     group = graph.components(scratch.written(alive.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "meets"))
     nodes = alive.select("node", "component").distinct().join(group.withColumnRenamed("component", "group"), "node", "left")
-    nodes = scratch.written(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "groups")
+    nodes = scratch.written(nodes.join(weights.hint("merge"), "node").select("node", "component", "weight", F.coalesce("group", "node").alias("group")), "groups")
     # a large component has blocks of its own, which are not compared with each other; small ones share blocks
-    sizes = nodes.groupBy("group", "component").count().withColumn("large", F.col("count") >= BLOCK // 2)
-    small = sizes.filter("not large").groupBy("group").agg(F.ceil(F.sum("count") / BLOCK).alias("shares"))
-    parts = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("shares")))
+    # sizes are in blocks: of nodes or of shingles, whichever fill more
+    sizes = nodes.groupBy("group", "component").agg(F.greatest(F.count("*") / BLOCK, F.sum("weight") / BLOCK_SHINGLES).alias("blocks")).withColumn("large", F.col("blocks") >= 0.5)
+    small = sizes.filter("not large").groupBy("group").agg(F.ceil(F.sum("blocks")).alias("shares"))
+    parts = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.ceil("blocks"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shares")))
     blocked = nodes.join(sizes, ["group", "component"]).join(small, "group", "left")
     blocked = blocked.select("group", "node", "component", F.when(F.col("large"), F.col("component")).alias("own"), parts.alias("part"))
     blocked = scratch.written(blocked.withColumn("block", F.xxhash64("group", F.coalesce("own", F.lit(-1)), F.col("own").isNull(), "part")), "blocked")
@@ -260,17 +262,18 @@ def keep_first(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     Where a doc_id occurs again, documents are told apart by a 64-bit hash of doc_id and text, so that different
     texts under one doc_id are grouped, kept or dropped each on their own, and identical rows become one.
     """
+    docs, named = common.numbered(docs, "doc_id", "text")
     ids = docs.filter("doc_id is not null").groupBy("doc_id").count()
     if not ids.filter("count > 1").limit(1).count():
         found = common.written(components_of(docs, size, percent), "components")
-        return docs.join(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct(), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    named = docs.withColumn("__name", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), "text")))
-    found = components_of(named.filter("__name is not null").select(F.col("__name").alias("doc_id"), "text"), size, percent)
-    found = common.written(found.select(F.col("doc_id").alias("__name"), "component_id").distinct(), "components")
-    names = named.filter("__name is not null").select("doc_id", "__name").distinct()
-    kept = found.join(names, "__name").groupBy("component_id").agg(F.min(F.struct("doc_id", "__name")).alias("least")).select("least.__name")
-    first = named.join(common.written(kept, "kept"), "__name", "left_semi").dropDuplicates(["__name"])
-    return first.unionByName(named.filter("__name is null")).select(docs.columns)
+        return named(docs.join(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct(), docs["doc_id"].eqNullSafe(F.col("first")), "left_semi"))
+    keyed = docs.withColumn("name", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), "text")))
+    found = components_of(keyed.filter("name is not null").select(F.col("name").alias("doc_id"), "text"), size, percent)
+    found = common.written(found.select(F.col("doc_id").alias("name"), "component_id").distinct(), "components")
+    names = keyed.filter("name is not null").select("doc_id", "name").distinct()
+    kept = found.join(names, "name").groupBy("component_id").agg(F.min(F.struct("doc_id", "name")).alias("least")).select("least.name")
+    first = keyed.join(common.written(kept, "kept"), "name", "left_semi").dropDuplicates(["doc_id", "name"])
+    return named(first.unionByName(keyed.filter("name is null")))
 
 
 def op10(spark, sf_dir):
