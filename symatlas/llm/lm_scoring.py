@@ -6,8 +6,8 @@ A document's score is the sum of its words' conditional log-probabilities given
 
 Everything is gathered from the whole corpus. The vocabulary is a table of all words and their counts. The
 network predicts places: the WORDS most frequent words have their own, all others share hashed ones, where a
-word's chance is that of the place times its share of the place's words. Counts of words that make up one in
-FREQUENT of all are sent to the tasks (there are FREQUENT such words at most); those of all others are joined. Every partition trains a copy of the network on all its words in
+word's chance is that of the place times its share of the place's words. Counts of the most frequent words, FREQUENT
+of them at most, are sent to the tasks; those of all others are joined. Every partition trains a copy of the network on all its words in
 numpy, from the same start; the copies' weights, quantised so that sums are exact and repeatable, are
 averaged by their numbers of words in one aggregation. A window never crosses documents.
 
@@ -29,10 +29,12 @@ CLASSES, MEMBERS = 32, 32
 WORDS = 768  # the places beyond these, but the edge's, are for hashed words
 SIDE = 2
 HIDDEN = 16
-BATCH = 4096
+BATCH, SCORED = 4096, 16384
 RATE = 2.0
 EDGE = 0
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
+#: Places of other words that a task remembers.
+REMEMBERED = 1 << 17
 _PLACES = CLASSES * MEMBERS
 _SCALE = 1 << 24
 _LOG_SCALE = 1 << 32
@@ -40,6 +42,21 @@ _SHAPES = (("context", (2 * SIDE, _PLACES, HIDDEN)), ("classes", (CLASSES, HIDDE
 SIZE = sum(int(np.prod(s)) for _, s in _SHAPES)
 
 
+class Places(dict):
+    """The places of frequent words, and those of other words as they are met; the latter are forgotten when there are many."""
+
+    def __init__(self, own: dict[bytes, int], rest: list[int]):
+        super().__init__(own)
+        self.own, self.rest = own, rest
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.update(self.own)
+        place = self[word] = self.rest[xxhash.xxh3_64_intdigest(word) % len(self.rest)]
+        return place
+
+
 class Vocabulary:
     """Places of words: the frequent ones their own, dealt over the classes by rank; others hashed."""
 
@@ -49,23 +66,29 @@ class Vocabulary:
         self.places = {w: int(spread[i]) for i, w in enumerate(frequent[:WORDS])}
         self.rest = spread[WORDS:].tolist()
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all words with SIDE edges around each document, and the number of words of each."""
-        places, rest = self.places, self.rest
-        known = dict(places)
-        get = known.get
-        flat: list[int] = [EDGE] * SIDE
-        counts = []
-        for text in texts:
-            words = text.lower().split()
-            counts.append(len(words))
-            for w in words:
-                place = get(w)
-                if place is None:
-                    place = known[w] = rest[xxhash.xxh3_64_intdigest(w) % len(rest)]
-                flat.append(place)
-            flat += [EDGE] * SIDE
-        return np.array(flat, np.int16), np.array(counts, np.int64)
+    def encoder(self):
+        """A function from lists of words to their places, with SIDE edges around each document."""
+        place = Places(self.places, self.rest).__getitem__
+
+        def encode(documents: list[list[bytes]]) -> np.ndarray:
+            flat: list[int] = [EDGE] * SIDE
+            for words in documents:
+                flat.extend(map(place, words))
+                flat += [EDGE] * SIDE
+            return np.array(flat, np.int16)
+
+        return encode
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place; hidden units lie within 1, so z stays far below the bound of float32's exp."""
+    np.exp(np.minimum(z, 80, out=z), out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
 
 
 class Network:
@@ -81,20 +104,16 @@ class Network:
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
 
-    def _forward(self, around: np.ndarray, target: np.ndarray):
-        """Hidden units, class probabilities, and per class of the targets the member probabilities."""
+    def _forward(self, around: np.ndarray):
+        """Hidden units and class probabilities."""
         total = self.context[0][around[0]]
         for k in range(1, 2 * SIDE):
-            total = total + self.context[k][around[k]]
-        hidden = np.tanh(total)
-        z = hidden @ self.classes.T + self.class_bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        return hidden, z / z.sum(1, keepdims=True)
+            total += self.context[k][around[k]]
+        hidden = np.tanh(total, out=total)
+        return hidden, _soft(hidden @ self.classes.T + self.class_bias)
 
     def _members(self, hidden: np.ndarray, k: int) -> np.ndarray:
-        z = hidden @ self.members[k].T + self.member_bias[k]
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        return _soft(hidden @ self.members[k].T + self.member_bias[k])
 
     @staticmethod
     def _by_class(target: np.ndarray):
@@ -107,7 +126,7 @@ class Network:
         order, bounds = self._by_class(target)
         around, target = around[:, order], target[order]
         n = len(target)
-        hidden, p = self._forward(around, target)
+        hidden, p = self._forward(around)
         p[np.arange(n), target // MEMBERS] -= 1
         back = p @ self.classes
         member_steps = []
@@ -137,7 +156,7 @@ class Network:
     def log_chances(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         order, bounds = self._by_class(target)
         around, own = around[:, order], target[order]
-        hidden, p = self._forward(around, own)
+        hidden, p = self._forward(around)
         out = np.log(p[np.arange(len(own)), own // MEMBERS] + 1e-12)
         for k in range(CLASSES):
             a, b = bounds[k], bounds[k + 1]
@@ -162,7 +181,7 @@ def counted(docs: DataFrame) -> DataFrame:
         def step(batch):
             counts: dict[bytes, int] = {}
             for text in common.texts(batch):
-                for word in text.lower().split():
+                for word in words_of(text):
                     counts[word] = counts.get(word, 0) + 1
             return {"word": pa.array(list(counts), pa.binary()), "h": [hash_of(w) for w in counts], "n": pa.array(list(counts.values()), pa.int64())}
 
@@ -187,27 +206,35 @@ class Shares:
 
     def __init__(self, counts: DataFrame, words: Vocabulary):
         self.size = len(words.rest)
+        step = F.floor(F.log("n") * 64)
+        met, least = 0, None  # the least step from which on there are FREQUENT words at most
+        for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+            met += r["count"]
+            if met > FREQUENT:
+                break
+            least = r["step"]
         slot = F.pmod(F.pmod("h", F.lit(self.size)) + (1 << 63) % self.size, F.lit(self.size)).cast("int")
         totals = {r["slot"]: r["n"] for r in counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}
-        least = max(1, -(-sum(totals.values()) // FREQUENT))
-        frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least).select("word", "n").collect()}
+        often = step >= F.lit(least) if least is not None else F.lit(False)
+        top = counts.filter(often).select("word", "n").toArrow()
+        frequent = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
         own = {bytes(r["word"]): r["n"] for r in counts.select("word", "n").orderBy(F.desc("n"), "word").limit(WORDS).collect()}
         for word, n in own.items():
             totals[self.slot(hash_of(word))] -= n
         self.totals = [float(np.log(max(1, totals.get(k, 0)))) for k in range(self.size)]
         self.logs = {w: float(np.log(n)) - self.totals[self.slot(hash_of(w))] for w, n in frequent.items()} | dict.fromkeys(own, 0.0)
         #: The words that are not in logs, and whose counts' logarithms are not 0.
-        self.rest = counts.filter((F.col("n") >= 2) & (F.col("n") < least)).select("h", F.round(F.log("n") * _LOG_SCALE).cast("long").alias("log"))
+        self.rest = counts.filter((F.col("n") >= 2) & ~often).select("h", F.round(F.log("n") * _LOG_SCALE).cast("long").alias("log"))
 
     def slot(self, h: int) -> int:
         return (h + (1 << 63)) % self.size
 
     def sender(self):
-        """A function from a text to the sum of its words' logarithms, and the hashes of words whose counts it lacks."""
+        """A function from words to the sum of their logarithms, and the hashes of words whose counts it lacks."""
         logs, totals, size = self.logs, self.totals, self.size
 
-        def of(text: bytes) -> tuple[float, list[int]]:
-            found = list(map(logs.get, words := text.lower().split()))
+        def of(words: list[bytes]) -> tuple[float, list[int]]:
+            found = list(map(logs.get, words))
             if None not in found:
                 return sum(found), []
             lacking = [hash_of(w) for w, x in zip(words, found) if x is None]
@@ -224,7 +251,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        vocabulary, network, seen, held = shared.value, Network(), 0, []
+        encode, network, seen, held = shared.value.encoder(), Network(), 0, []
 
         def step(flat):
             at, around = windows_of(flat)
@@ -234,8 +261,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             return len(target)
 
         for batch in batches:
-            flat, _ = vocabulary.encode(common.texts(batch))
-            held.append(flat)
+            held.append(encode([words_of(t) for t in common.texts(batch)]))
             if sum(map(len, held)) >= 4 * BATCH:
                 seen += step(np.concatenate(held))
                 held = []
@@ -268,16 +294,16 @@ def score(docs: DataFrame) -> DataFrame:
 
     def make():
         vocabulary, flat_weights, shares = shared.value
-        network, sent = Network(flat_weights), shares.sender()
+        network, encode, sent = Network(flat_weights), vocabulary.encoder(), shares.sender()
         row = TaskContext.get().partitionId() << 40
 
         def step(batch):
             nonlocal row
-            found = common.texts(batch)
-            flat, counts = vocabulary.encode(found)
+            found = [words_of(t) for t in common.texts(batch)]
+            flat, counts = encode(found), np.array(list(map(len, found)))
             at, around = windows_of(flat)
             target = flat[at]
-            parts = [network.log_chances(around[:, i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)]
+            parts = [network.log_chances(around[:, i : i + SCORED], target[i : i + SCORED]) for i in range(0, len(target), SCORED)]
             running = np.concatenate([[0.0], np.cumsum(np.concatenate(parts))]) if parts else np.zeros(1)
             ends = np.cumsum(counts)
             more, lacking = zip(*map(sent, found))
