@@ -114,10 +114,10 @@ class Scratch:
     def __init__(self):
         self.tables: list[tuple[DataFrame, str]] = []
 
-    def written(self, frame: DataFrame, name: str) -> DataFrame:
+    def written(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
         spark = frame.sparkSession
         path = f"{shared_folder(spark)}/symatlas/{name}-{uuid.uuid4().hex}"
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
         out = spark.read.schema(frame.schema).parquet(path)
         self.tables.append((out, path))
         return out

@@ -42,8 +42,8 @@ from . import common
 LENGTH, PASSAGE = 400, 51
 SEGMENT = 1 << 20
 TAG_BITS = 23
-#: Most entries of one core that are ordered in one task, and entries ordered at a time.
-GROUP, CHUNK = 2048, 2048
+#: Most entries of one core that are ordered in one task, and entries ordered at a time: small sorts stay in the cache.
+GROUP, CHUNK = 2048, 96
 
 _U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -295,7 +295,7 @@ def looked_up(entries: DataFrame, lengths: tuple[int, int]) -> DataFrame:
 def prefix_ranks(raw: np.ndarray, length: int = LENGTH, alphabet=Bytes) -> np.ndarray:
     """Rank of the prefix of `length` symbols of every suffix that has one; equal prefixes share a rank.
 
-    Prefix doubling, by three at a time where ranks fit into 21 bits.
+    Prefix doubling, by as many ranks at a time as fit into 64 bits.
     """
     key, size = alphabet.keys(raw)
     while True:
@@ -305,13 +305,13 @@ def prefix_ranks(raw: np.ndarray, length: int = LENGTH, alphabet=Bytes) -> np.nd
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U64)
         if size == length:
             return rank
-        if 3 * size <= length and len(rank) < 1 << 21:
-            key = rank[: -2 * size] << _U64(42) | rank[size:-size] << _U64(21) | rank[2 * size :]
-            size *= 3
-        else:
-            step = min(size, length - size)
-            key = rank[:-step] << _U64(32) | rank[step:]
-            size += step
+        ways = 4 if len(rank) < 1 << 16 else 3 if len(rank) < 1 << 21 else 2
+        reach = min(length, ways * size)
+        last = reach - size
+        key = rank[: len(rank) - last].copy()
+        for at in (min(k * size, last) for k in range(1, ways)):
+            key = key << _U64(64 // ways) | rank[at : len(rank) - last + at]
+        size = reach
 
 
 def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH, alphabet=Bytes) -> list[tuple[int, int, int]]:
@@ -370,7 +370,8 @@ def suffix_sorted(entries: DataFrame, lengths: tuple[int, int]) -> DataFrame:
 def repeated(docs: DataFrame, texts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """(doc, tag, spans): for each text the half-open spans [start, end) of its repeated strings, in bytes or (words) in words."""
     scratch = common.Scratch()
-    parse = scratch.written(parsed(docs, lengths), "parse")
+    hashes = {f"parquet.enable.dictionary#{c}": "false" for c in ("core", "extent", "place")}
+    parse = scratch.written(parsed(docs, lengths), "parse", **hashes)
     # tables of counts are written before they are joined: a join above two plain exchanges can split a hot key
     cores = scratch.written(parse.groupBy("core").count().filter("count > 1").select("core"), "cores")
     candidates = scratch.written(parse.join(cores, "core"), "candidates")
