@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symatlas.functions import identifiers as ids, paths
-from symatlas.operators import diagnose, graph, index, output, resolve, search, stats
+from symatlas.operators import diagnose, graph, index, lookup, output, resolve, search, stats
 from symatlas.sources import extract, files
 
 CALLERS_CAP, SUBTYPES_CAP = 20, 50
@@ -20,6 +20,11 @@ class Workspace:
         self.spark, self.root = spark, root
         self.texts = files.texts(spark, root) if texts is None else texts
         self.scan = extract.scanned(self.texts).cache()
+        self.search_index: str | None = None
+
+    def close(self) -> None:
+        """Release the cached scan."""
+        self.scan.unpersist()
 
     @cached_property
     def files(self) -> DataFrame:
@@ -44,15 +49,7 @@ class Workspace:
     def find(self, name: str, kinds: list[str] = (), module: str | None = None, source_sets: list[str] = (), limit: int | None = None) -> DataFrame:
         """Definitions of a name or Owner.name: by module substring, kinds and source sets; the limit comes last."""
         owner, _, bare = name.rpartition(".")
-        found = self.symbols.filter(F.col("name") == bare).join(self.files.select("uri", "module", "source_set"), "uri")
-        if owner:
-            found = found.filter(F.coalesce(F.col("owner"), F.lit("")).contains(owner.rpartition(".")[2]))
-        if kinds:
-            found = found.filter(F.col("kind").isin([paths.KIND_ALIASES.get(k.lower(), k.lower()) for k in kinds]))
-        if module:
-            found = found.filter(F.col("module").contains(module))
-        if source_sets:
-            found = found.filter(F.col("source_set").isin(list(source_sets)))
+        found = lookup.find(self.symbols.join(self.files.select("uri", "module", "source_set"), "uri"), bare, None, owner, kinds, module, source_sets)
         rows = found.select(F.col("uri").alias("file"), F.col("sel_line").alias("line"), F.col("sel_col").alias("col"), "kind", "name", "owner", "module", "source_set").orderBy("file", "line", "col")
         return rows if limit is None else rows.limit(limit)
 
@@ -62,18 +59,31 @@ class Workspace:
     def search(self, raw: str, limit: int = 20) -> DataFrame:
         """Ranked search over names, signatures and docs, with kind:, lang:, path: and name: filters applied before the statistics."""
         query = search.parse_query(raw)
-        flags = self.files.select("uri", "generated")
-        docs = self.symbols.join(flags, "uri").select(
-            F.xxhash64("symbol_id", "ordinal").alias("id"), "name", "kind", F.col("uri").alias("file"), F.col("sel_line").alias("line"), F.col("detail").alias("signature"), F.col("documentation").alias("doc"), "generated",
-            F.concat(ids.segments(F.col("name")), ids.segments(F.col("detail")), ids.segments(F.coalesce("documentation", F.lit(""))), ids.segments(F.coalesce("return_type", F.lit("")))).alias("tokens"),
-        ).filter(search.passes(query))
+        docs = self.search_documents.filter(search.passes(query))
         words = ids.words_of_query(query.text)
         if not words:
             return search.listing(docs.drop("tokens", "id"), limit)
         stems = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(ids.stem(F.col("w"))).collect()]
         parts = self.spark.createDataFrame([(w,) for w in words], "w string").select(F.explode(ids.segments(F.col("w")))).collect()
         tokens = stems + [p for p in dict.fromkeys(r[0] for r in parts) if p not in stems]
-        return search.ranked(search.bm25(docs, tokens).join(docs, "id").drop("tokens", "id"), limit)
+        scored = search.bm25(docs, tokens) if self.search_index is None else search.bm25_stored(self.spark, self.search_index, tokens, search.passes(query))
+        return search.ranked(scored.join(docs, "id").drop("tokens", "id"), limit)
+
+    @cached_property
+    def search_documents(self) -> DataFrame:
+        """A row for each symbol with its search tokens: segments of the name, signature, return type and parameter types, and the words of its documentation."""
+        flags = self.files.select("uri", "generated")
+        named = F.flatten(F.transform(F.array("name", "detail", F.coalesce("return_type", F.lit(""))), ids.segments))
+        types = F.flatten(F.transform(F.coalesce("parameters", F.array().cast("array<struct<name:string,type:string>>")), lambda p: ids.segments(F.coalesce(p["type"], F.lit("")))))
+        return self.symbols.join(flags, "uri").select(
+            F.xxhash64("symbol_id", "ordinal").alias("id"), "name", "kind", F.col("uri").alias("file"), F.col("sel_line").alias("line"), F.col("detail").alias("signature"), F.col("documentation").alias("doc"), "generated",
+            F.concat(named, ids.query_words(F.coalesce("documentation", F.lit(""))), types).alias("tokens"),
+        )
+
+    def build_search_index(self, path: str) -> None:
+        """Store the search index; searches read it from then on."""
+        search.write_index(self.search_documents, path)
+        self.search_index = path
 
     def references(self, name: str, kind: str | None = None, include_imports: bool = True, limit: int | None = None) -> DataFrame:
         """Places of a name with the kind of each; the limit comes after the filter by kind."""
@@ -114,12 +124,20 @@ class Workspace:
         return diagnose.syntax(self.relation("errors"), self.scan)
 
     def imports_of(self, name: str) -> DataFrame:
-        return self.relation("imports").filter(F.col("full_path").contains(name)).select("uri").distinct()
+        return lookup.imports_of(self.relation("imports"), name)
 
     def annotated(self, annotation: str) -> DataFrame:
-        first = self.symbols.groupBy("uri", "name").agg(F.min("sel_line").alias("line"))
-        edges = self.relation("annotations").filter(F.col("annotation") == annotation).select("uri", F.col("symbol_name").alias("name")).distinct()
-        return edges.join(first, ["uri", "name"], "left").select("uri", "name", F.coalesce("line", F.lit(0)).alias("line"))
+        return lookup.annotated(self.relation("annotations"), self.symbols, annotation)
+
+    def documented(self, part: str) -> DataFrame:
+        return lookup.documented(self.symbols, part)
+
+    def lines_with(self, word: str) -> DataFrame:
+        """(uri, line_no, text) of the lines that hold a whole identifier."""
+        return lookup.word_lines(extract.lines(self.texts), word)
+
+    def statistics(self) -> DataFrame:
+        return stats.cache_statistics(self.symbols)
 
     def summary(self, name: str) -> DataFrame:
         return output.summarised(self.symbols, name)
@@ -129,25 +147,15 @@ class Workspace:
 
     def batch(self, requests: DataFrame) -> DataFrame:
         """(req_id, type, answer) of requests (req_id, type, name): definition, references, callers, callees, subtypes, supertypes; the order of requests is kept."""
-
-        def met(kind, relation, key, answer, cap=None):
-            rows = requests.filter(F.col("type") == kind).join(relation, F.col("name") == F.col(key)).select("req_id", answer.alias("answer")).distinct()
-            if cap is None:
-                return rows
-            from pyspark.sql import Window
-
-            place = F.row_number().over(Window.partitionBy("req_id").orderBy("answer"))
-            return rows.withColumn("place", place).filter(F.col("place") <= cap).drop("place")
-
         symbols = self.symbols.select(F.col("name").alias("k"), F.format_string("%s:%d:%d", "uri", F.col("sel_line") + 1, F.col("sel_col") + 1).alias("at"))
         tokens = self.relation("tokens").select(F.col("text").alias("k"), F.format_string("%s:%d:%d", "uri", F.col("line") + 1, F.col("col") + 1).alias("at"))
-        answers = (
-            met("definition", symbols, "k", F.col("at")).unionByName(met("references", tokens, "k", F.col("at"))).unionByName(met("callers", self.edges, "callee", F.col("caller"), CALLERS_CAP))
-            .unionByName(met("callees", self.edges, "caller", F.col("callee"))).unionByName(met("subtypes", self.types, "super", F.col("sub"), SUBTYPES_CAP)).unionByName(met("supertypes", self.types, "sub", F.col("super")))
+        return lookup.batch(
+            requests,
+            {
+                "definition": (symbols, "k", F.col("at"), None), "references": (tokens, "k", F.col("at"), None), "callers": (self.edges, "callee", F.col("caller"), CALLERS_CAP),
+                "callees": (self.edges, "caller", F.col("callee"), None), "subtypes": (self.types, "super", F.col("sub"), SUBTYPES_CAP), "supertypes": (self.types, "sub", F.col("super"), None),
+            },
         )
-        known = F.col("type").isin("definition", "references", "callers", "callees", "subtypes", "supertypes")
-        missing = F.when(known, "not found").otherwise(F.concat(F.lit("unknown request "), F.coalesce("type", F.lit("null"))))
-        return requests.join(answers, "req_id", "left").select("req_id", "type", F.coalesce("answer", missing).alias("answer")).orderBy("req_id", "answer")
 
     def register_views(self) -> None:
         """The relations as temporary views for SQL."""

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
 
-from symatlas.session import shipped
+from pyspark.sql import Column, DataFrame, functions as F
+
+from symatlas.session import shared_folder, shipped
 
 MAX_DEPTH, MAX_PATHS = 8, 1000
+#: Paths to a target that are followed at a level, as a multiple of the limit.
+WIDE = 16
 
 
 def callers(edges: DataFrame, callee: str) -> DataFrame:
     return edges.filter(F.col("callee") == callee).select("caller", "file").distinct()
 
 
+def call_edges(edges: DataFrame) -> DataFrame:
+    """(callee, file, caller): calls as a set."""
+    return edges.select("callee", "file", "caller").distinct()
+
+
+def caller_counts(edges: DataFrame) -> DataFrame:
+    """(callee, callers, calls): distinct callers and calls of every callee."""
+    return edges.groupBy("callee").agg(F.countDistinct("caller").alias("callers"), F.count("*").alias("calls"))
+
+
+def subtype_counts(edges: DataFrame) -> DataFrame:
+    """(super, subtypes, first): how many direct subtypes each type has, and the first of them."""
+    return edges.groupBy("super").agg(F.countDistinct("sub").alias("subtypes"), F.min("sub").alias("first"))
+
+
 def callees(edges: DataFrame, caller: str, file: str | None = None) -> DataFrame:
     own = F.col("caller") == caller
     return edges.filter(own if file is None else own & (F.col("file") == file)).select("callee").distinct()
@@ -23,9 +42,11 @@ def resolve_entry(keys: DataFrame, entry: str) -> DataFrame:
     exact = keys.filter(F.col("key") == entry)
     ends = keys.filter(F.col("key").endswith("." + entry)).distinct()
     both = exact.select("key", F.lit(0).alias("tier")).unionByName(ends.select("key", F.lit(1).alias("tier"))).distinct()
-    best = both.withColumn("best", F.min("tier").over(Window.partitionBy())).filter("tier = best")
-    counted = best.withColumn("n", F.count("*").over(Window.partitionBy()))
-    return counted.select("key", F.when((F.col("tier") == 0) | (F.col("n") == 1), "found").otherwise("ambiguous").alias("status")).orderBy("key").limit(5)
+    # partial aggregation: counts of both tiers are one row, beside the five first keys of each
+    counts = both.agg(F.min("tier").alias("best"), F.count_if(F.col("tier") == 1).alias("n"))
+    top = both.filter("tier = 0").limit(1).unionByName(both.filter("tier = 1").orderBy("key").limit(5))
+    found = F.when((F.col("tier") == 0) | (F.col("n") == 1), "found").otherwise("ambiguous")
+    return top.crossJoin(F.broadcast(counts)).filter("tier = best").select("key", found.alias("status")).orderBy("key")
 
 
 def hierarchy(edges: DataFrame, start: str, depth: int, down: bool = True) -> DataFrame:
@@ -36,30 +57,45 @@ def hierarchy(edges: DataFrame, start: str, depth: int, down: bool = True) -> Da
 
 
 def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
-    """(path, length, terminal): simple call paths from an entry over (caller, callee).
+    """(path, length, terminal, truncated): simple call paths from an entry over (caller, callee).
 
     A path ends at the target; without one it ends at a leaf, at the depth bound, or where all callees
-    are on the path already. Paths are ordered, and at most `limit` are returned.
+    are on the path already. Paths are ordered, at most `limit` are returned, and truncated says whether
+    there are more.
+
+    The walk goes level by level, and of each level only the first paths in order are followed: every
+    path that is cut off without a target would have given a path behind the limit. With a target, nodes
+    that are too far from it are left out, and up to WIDE times the limit are followed. So what a level
+    hands to the next is a bounded number of paths, whatever the graph; only the last nodes' callees are read.
     """
-    walk = spark.sql(
-        """WITH RECURSIVE walk(node, path, depth) AS (
-             SELECT :entry, array(:entry), 0
-             UNION ALL
-             SELECT e.callee, array_append(w.path, e.callee), w.depth + 1
-             FROM walk w JOIN {edges} e ON e.caller = w.node
-             WHERE w.depth < :depth AND NOT array_contains(w.path, e.callee) AND w.node <> coalesce(:target, ''))
-           SELECT node, path, depth FROM walk""",
-        args={"entry": entry, "depth": depth, "target": target},
-        edges=edges.select("caller", "callee").distinct().cache(),  # every level of the recursion reads them
-    )
-    if target is not None:
-        ends = walk.filter(F.col("node") == target)
-    else:
-        out = edges.groupBy(F.col("caller").alias("node")).agg(F.collect_set("callee").alias("out"))
-        on = F.size(F.array_except(F.coalesce("out", F.array().cast("array<string>")), "path")) == 0
-        ends = walk.join(out, "node", "left").filter(on | (F.col("depth") >= depth))
-    named = ends.select(F.array_join("path", " > ").alias("path"), F.col("depth").alias("length"), F.col("node").alias("terminal"))
-    return named.orderBy("path").limit(limit)
+    steps = edges.select("caller", "callee").distinct().persist()
+    near = None if target is None else callees_once(steps.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), target, depth)
+    most = limit + 1 if target is None else limit * WIDE
+    ends, frontier, truncated = [], [[entry]], False
+    for level in range(depth + 1):
+        if target is not None:
+            ends += [p for p in frontier if p[-1] == target]
+            frontier = [p for p in frontier if p[-1] != target]
+        if level == depth or not frontier:
+            ends += frontier if target is None else []
+            break
+        held = spark.createDataFrame([(p,) for p in frontier], "path array<string>").withColumn("caller", F.element_at("path", -1))
+        more = held.join(steps, "caller").filter(~F.array_contains("path", F.col("callee"))).select("path", "callee")
+        if near is not None:
+            more = more.join(near.filter(F.col("depth") < depth - level).select(F.col("name").alias("callee")), "callee", "left_semi")
+        found = [r["path"] + [r["callee"]] for r in more.orderBy("path", "callee").limit(most).collect()]
+        if target is None:
+            whole = {tuple(r["path"]) for r in more.select("path").distinct().collect()}
+            ends += [p for p in frontier if tuple(p) not in whole]
+        truncated |= len(found) == most
+        frontier = found
+        if target is None:
+            both = sorted(ends + frontier)[:most]
+            ends, frontier = [p for p in both if len(p) <= level + 1], [p for p in both if len(p) > level + 1]
+    steps.unpersist()
+    ends.sort()
+    over = len(ends) > limit or (truncated and target is not None)
+    return spark.createDataFrame([(" > ".join(p), len(p) - 1, p[-1], over) for p in ends[:limit]], "path string, length int, terminal string, truncated boolean")
 
 
 def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
@@ -79,39 +115,44 @@ def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
 def callees_once(edges: DataFrame, entry: str, depth: int) -> DataFrame:
     """(name, depth) by breadth first search: each node once, at its least depth.
 
-    The frontier is a frame, not collected; edges and frontiers are cached, so that a level does not
-    run the levels before it again (their lineage stays, so a lost executor costs a recomputation).
+    Every level is a table in the shared folder, so a level neither runs the levels before it again nor is
+    collected, and a lost executor costs a retry; the walk ends with the last new node.
     """
     spark = edges.sparkSession
-    edges = edges.select("caller", "callee").distinct().cache()
-    seen = spark.createDataFrame([(entry, 0)], "name string, depth int")
-    frontier = seen
+    steps = edges.select("caller", "callee").distinct().persist()
+    folder = f"{shared_folder(spark)}/symatlas-levels-{uuid.uuid4().hex}"
+    levels = [f"{folder}/0"]
+    spark.createDataFrame([(entry, 0)], "name string, depth int").write.parquet(levels[0])
     for level in range(1, depth + 1):
-        step = frontier.select(F.col("name").alias("caller")).join(edges, "caller").select(F.col("callee").alias("name")).distinct()
-        frontier = step.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)).cache()
-        seen = seen.unionByName(frontier)
-    return seen
+        last, seen = (spark.read.schema("name string, depth int").parquet(*x) for x in (levels[-1:], levels))
+        step = last.select(F.col("name").alias("caller")).join(steps, "caller").select(F.col("callee").alias("name")).distinct()
+        step.join(seen, "name", "left_anti").withColumn("depth", F.lit(level)).write.parquet(f"{folder}/{level}")
+        if spark.read.schema("name string, depth int").parquet(f"{folder}/{level}").isEmpty():
+            break
+        levels.append(f"{folder}/{level}")
+    steps.unpersist()
+    return spark.read.schema("name string, depth int").parquet(*levels)
 
 
-def chained_callees(edges: DataFrame, returns: DataFrame, hops: int = 4) -> DataFrame:
-    """Rewrite callees A.b.c by the return types (key `Type.method`, type): A.b's type takes the place of A.b.
+def chained_callees(edges: DataFrame, returns: DataFrame) -> DataFrame:
+    """Rewrite callees A.b.c by the return types (key `Type.method`, type): A.b's type, without its arguments, takes the place of A.b.
 
-    At most `hops` joins, one for each link of a chain; a chain whose type is unknown, or is Unit or
+    One join for each link of the longest chain there is; a chain whose type is unknown, or is Unit or
     Nothing, becomes the bare method.
     """
     parts = edges.withColumn("parts", F.split("callee", r"\."))
-    known = returns.groupBy("key").agg(F.max_by("type", "seq").alias("type")).filter(~F.col("type").isin("Unit", "Nothing"))
-    parts = parts.withColumns({"own": F.col("parts")[0], "rest": F.slice("parts", 2, 64), "lost": F.lit(False)})
-    for _ in range(hops):
-        more = F.size("rest") > 1
-        parts = parts.withColumn("key", F.when(more, F.concat_ws(".", "own", F.get("rest", F.lit(0))))).join(known, "key", "left")
-        parts = parts.withColumns(
-            {"lost": F.col("lost") | (more & F.col("type").isNull()), "own": F.when(more, F.col("type")).otherwise(F.col("own")), "rest": F.when(more, F.slice("rest", 2, 64)).otherwise(F.col("rest"))}
-        ).drop("key", "type")
+    longest = parts.agg(F.max(F.size("parts"))).first()[0] or 0
+    plain = F.trim(F.substring_index("type", "<", 1))
+    known = returns.groupBy("key").agg(F.max_by("type", "seq").alias("type")).select("key", plain.alias("type")).filter(~F.col("type").isin("Unit", "Nothing", ""))
+    parts = parts.withColumns({"own": F.col("parts")[0], "at": F.lit(1), "lost": F.lit(False)})
+    more = F.size("parts") - F.col("at") > 1
+    for _ in range(longest - 2):
+        parts = parts.withColumn("key", F.when(more, F.concat_ws(".", "own", F.get("parts", F.col("at"))))).join(known, "key", "left")
+        parts = parts.withColumns({"lost": F.col("lost") | (more & F.col("type").isNull()), "own": F.when(more, F.col("type")).otherwise(F.col("own")), "at": F.when(more, F.col("at") + 1).otherwise(F.col("at"))}).drop("key", "type")
     last = F.get("parts", F.size("parts") - 1)
     chained = F.size("parts") > 2
     resolved = F.when(~chained, F.col("callee")).when(F.col("lost") | F.col("own").isNull(), last).otherwise(F.concat_ws(".", "own", last))
-    return parts.withColumn("resolved", resolved).drop("parts", "own", "rest", "lost")
+    return parts.withColumn("resolved", resolved).drop("parts", "own", "at", "lost")
 
 
 def with_implementors(edges: DataFrame, bodies: DataFrame, implementors: DataFrame) -> DataFrame:
@@ -177,6 +218,11 @@ def changed_entries(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("entry", status.alias("status"))
 
 
+def version_keys(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(entry): the keys that either version has."""
+    return before.select("entry").union(after.select("entry")).distinct()
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(name, calls, called): distinct neighbours of every node."""
     out = edges.groupBy(F.col("caller").alias("name")).agg(F.countDistinct("callee").alias("calls"))

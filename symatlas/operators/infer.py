@@ -14,10 +14,13 @@ HOPS = 4
 def variable_types(declared: DataFrame, facts: DataFrame, calls: DataFrame, returns: DataFrame) -> DataFrame:
     """(key, type) of variables: the declared type, else a fact of the right side, else the called method's return type.
 
+    Of several the first counts, by a column seq where there is one.
+
     declared and facts are (key, type); calls (key, receiver, method), where receiver is a variable's key or a
     type; returns (owner, method, type). Return types are followed for at most HOPS variables.
     """
-    known = resolve.first_tier([declared.select("key", "type"), facts.select("key", "type")], "key").groupBy("key").agg(F.min("type").alias("type"))
+    tiers = [t if "seq" in t.columns else t.withColumn("seq", F.lit(0)) for t in (declared, facts)]
+    known = resolve.first_tier([t.select("key", "type", "seq") for t in tiers], "key").groupBy("key").agg(F.min_by("type", F.struct("seq", "type")).alias("type"))
     for _ in range(HOPS):
         open_ = calls.join(known, "key", "left_anti")
         typed = open_.join(known.select(F.col("key").alias("receiver"), F.col("type").alias("receiver_type")), "receiver", "left")

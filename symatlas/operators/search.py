@@ -65,9 +65,41 @@ def passes(query: ParsedQuery) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) from (id, tokens): term and document frequencies in one shuffle."""
-    dl = F.size("tokens").alias("dl")
-    return docs.select("id", dl, F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(id, term, tf, dl) from (id, tokens)."""
+    return docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def term_statistics(docs: DataFrame) -> DataFrame:
+    """(term, df, tf): in how many documents each term is, and how often."""
+    return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_terms) of every document."""
+    return docs.select("id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"))
+
+
+def average_lengths(docs: DataFrame, by: str) -> DataFrame:
+    """(by, docs, avgdl): documents and tokens of a document, on average, for each value of a column."""
+    return docs.groupBy(by).agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avgdl"))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Store documents (id, tokens and what filters read) for searches: postings in the order of their terms, and the rest with the length.
+
+    A search reads only the row groups of its terms; a very frequent term is spread by id.
+    """
+    postings(docs).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.withColumn("dl", F.size("tokens")).drop("tokens").write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def bm25_stored(spark, path: str, tokens: list[str], kept: Column | None = None) -> DataFrame:
+    """bm25 over the index of write_index; with a filter on the documents, statistics are those of the documents that pass."""
+    docs, found = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings").filter(_wanted(tokens))
+    if kept is not None:
+        docs = docs.filter(kept)
+        found = found.join(docs.select("id"), "id", "left_semi")
+    return _scored(found, docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), tokens)
 
 
 def bm25(docs: DataFrame, tokens: list[str]) -> DataFrame:
@@ -76,16 +108,23 @@ def bm25(docs: DataFrame, tokens: list[str]) -> DataFrame:
     Terms that only begin with a token weigh half. Only matching terms are kept before the aggregation,
     so postings of other terms are never shuffled.
     """
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    wanted = reduce(or_, (F.col("term").startswith(t) for t in set(tokens)), F.lit(False))
-    matched = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).filter(wanted)
-    tf = matched.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = matched.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    mine = F.filter("tokens", lambda t: reduce(or_, (t.startswith(x) for x in set(tokens)), F.lit(False)))
+    matched = docs.select("id", F.size("tokens").alias("dl"), F.explode(mine).alias("term"))
+    return _scored(matched.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")), docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")), tokens)
+
+
+def _wanted(tokens: list[str]) -> Column:
+    return reduce(or_, (F.col("term").startswith(t) for t in sorted(set(tokens))), F.lit(False))
+
+
+def _scored(found: DataFrame, sizes: DataFrame, tokens: list[str]) -> DataFrame:
+    """(id, score) from the matching postings and one row of statistics."""
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = reduce(lambda a, t: a + F.when(F.col("term") == t, 1.0).when(F.col("term").startswith(t), PREFIX_WEIGHT).otherwise(0.0), tokens, F.lit(0.0))
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # the statistics are one row
-    scored = tf.join(df, "term").crossJoin(F.broadcast(sizes))
+    scored = found.join(df, "term").crossJoin(F.broadcast(sizes))
     return scored.groupBy("id").agg(F.sum(weight * idf * norm).alias("score")).filter("score > 0")
 
 
@@ -116,8 +155,8 @@ def query_tokens(text: str, stemmed) -> list[str]:
 
 
 def fuzzy_top(names: DataFrame, column: str, query: str, limit: int) -> DataFrame:
-    """Distinct names by fuzzy score, then name."""
-    scored = names.select(column).distinct().withColumn("score", ids.fuzzy_score(F.col(column), query))
+    """Distinct names by fuzzy score, to nine digits, then name."""
+    scored = names.select(column).distinct().withColumn("score", F.round(ids.fuzzy_score(F.col(column), query), 9))
     return scored.filter("score > 0").orderBy(F.desc("score"), column).limit(limit)
 
 

@@ -37,3 +37,14 @@ def module_rollup(symbols: DataFrame) -> DataFrame:
 def folder_statistics(files: DataFrame) -> DataFrame:
     """(extension, files, bytes) of a file listing."""
     return files.groupBy(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("extension")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def cache_statistics(symbols: DataFrame) -> DataFrame:
+    """One row: symbols, those with documentation, those with a signature, and files."""
+    given = lambda c: F.count_if(F.col(c) != "")
+    return symbols.agg(F.count("*").alias("total"), given("documentation").alias("with_doc"), given("detail").alias("with_signature"), F.countDistinct("uri").alias("files"))
+
+
+def module_dependents(links: DataFrame) -> DataFrame:
+    """(module, depends_on, dependents): distinct others on either side of the links (module, depends_on, dependent); a null doesn't count."""
+    return links.groupBy("module").agg(F.countDistinct("depends_on").alias("depends_on"), F.countDistinct("dependent").alias("dependents"))

@@ -21,12 +21,12 @@ def callees_of(spark, sf_dir):
 
 @query("callers_distinct", f"WITH {CALL_EDGES} SELECT callee, count(DISTINCT caller) AS callers, count(*) AS calls FROM edges GROUP BY callee")
 def callers_distinct(spark, sf_dir):
-    return call_edges(spark, sf_dir).groupBy("callee").agg(F.countDistinct("caller").alias("callers"), F.count("*").alias("calls"))
+    return graph.caller_counts(call_edges(spark, sf_dir))
 
 
 @query("call_edge_set", f"WITH {CALL_EDGES} SELECT DISTINCT callee, file, caller FROM edges")
 def call_edge_set(spark, sf_dir):
-    return call_edges(spark, sf_dir).select("callee", "file", "caller").distinct()
+    return graph.call_edges(call_edges(spark, sf_dir))
 
 
 @query("graph_degree", f"""WITH {CALL_EDGES}, o AS (SELECT caller AS name, count(DISTINCT callee) AS calls FROM edges GROUP BY 1), i AS (SELECT callee AS name, count(DISTINCT caller) AS called FROM edges GROUP BY 1)
@@ -59,7 +59,7 @@ def type_hierarchy_up(spark, sf_dir):
 
 @query("subtypes_direct", f"WITH {TYPE_EDGES} SELECT super, count(DISTINCT sub) AS subtypes, min(sub) AS first FROM edges GROUP BY super")
 def subtypes_direct(spark, sf_dir):
-    return type_edges(spark, sf_dir).groupBy("super").agg(F.countDistinct("sub").alias("subtypes"), F.min("sub").alias("first"))
+    return graph.subtype_counts(type_edges(spark, sf_dir))
 
 
 _WALK = """, w AS (SELECT '{entry}' AS node, ['{entry}'] AS path, 0 AS depth
@@ -68,13 +68,13 @@ WHERE w.depth < 8 AND NOT list_contains(w.path, e.callee) AND w.node <> '{target
 
 
 @query("reach_paths", f"WITH RECURSIVE {TRANSITIONS}" + _WALK.format(entry="click", target="") + """
-SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal FROM w
+SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal, count(*) OVER () > 1000 AS truncated FROM w
 WHERE depth >= 8 OR NOT EXISTS (SELECT 1 FROM edges e WHERE e.caller = w.node AND NOT list_contains(w.path, e.callee)) ORDER BY 1 LIMIT 1000""")
 def reach_paths(spark, sf_dir):
     return graph.reach(spark, transitions(spark, sf_dir), "click")
 
 
-@query("reach_to_target", f"WITH RECURSIVE {TRANSITIONS}" + _WALK.format(entry="error", target="signup") + " SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal FROM w WHERE node = 'signup' ORDER BY 1 LIMIT 1000")
+@query("reach_to_target", f"WITH RECURSIVE {TRANSITIONS}" + _WALK.format(entry="error", target="signup") + " SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal, count(*) OVER () > 1000 AS truncated FROM w WHERE node = 'signup' ORDER BY 1 LIMIT 1000")
 def reach_to_target(spark, sf_dir):
     return graph.reach(spark, transitions(spark, sf_dir), "error", "signup")
 
@@ -126,21 +126,21 @@ def chained_callees(spark, sf_dir):
     return graph.chained_callees(edges, returns).select("caller", "callee", "resolved")
 
 
-@query("resolve_entry", "SELECT 'Customer' || right(c_name, 3) || '.' || c_mktsegment AS key, CASE WHEN count(*) OVER () = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_custkey < 100 ORDER BY 1 LIMIT 5")
+@query("resolve_entry", "SELECT 'Customer' || right(c_name, 3) || '.' || c_mktsegment AS key, CASE WHEN count(*) OVER () = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1 ORDER BY 1 LIMIT 5")
 def resolve_entry(spark, sf_dir):
-    customer = read(spark, sf_dir, "customer").filter("c_custkey < 100")
+    customer = read(spark, sf_dir, "customer")
     return graph.resolve_entry(customer.select(F.concat(F.lit("Customer"), F.right("c_name", F.lit(3)), F.lit("."), "c_mktsegment").alias("key")), "HOUSEHOLD")
 
 
-_VERSIONS = "b AS (SELECT source AS entry, string_agg(left(text, 20), '|' ORDER BY doc_id) AS text FROM documents WHERE doc_id % 2 = 0 AND source <> 'src3' GROUP BY 1), a AS (SELECT source AS entry, string_agg(left(text, 20), '|' ORDER BY doc_id) AS text FROM documents WHERE (doc_id % 2 = 1 OR source = 'src5') AND source <> 'src4' GROUP BY 1)"
+_VERSIONS = """b AS (SELECT doc_id AS entry, text FROM documents WHERE source <> 'src3'),
+a AS (SELECT doc_id AS entry, CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE source <> 'src4')"""
 
 
 def _versions(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("entry"), F.left("text", F.lit(20)).alias("t"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda s: s["t"]), "|").alias("text")
-    before = docs.filter("doc_id % 2 = 0 and entry != 'src3'").groupBy("entry").agg(text)
-    after = docs.filter("(doc_id % 2 = 1 or entry = 'src5') and entry != 'src4'").groupBy("entry").agg(text)
-    return before, after
+    """Two versions of every document: some are gone, some new, and in a third of the others the end of the text differs."""
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "entry")
+    after = docs.withColumn("text", F.when(F.col("entry") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return docs.filter("source != 'src3'").select("entry", "text"), after.filter("source != 'src4'").select("entry", "text")
 
 
 @query("entry_changes", f"WITH {_VERSIONS} SELECT entry, CASE WHEN b.text IS NULL THEN 'added' WHEN a.text IS NULL THEN 'removed' WHEN a.text <> b.text THEN 'changed' ELSE 'same' END AS status FROM b FULL JOIN a USING (entry)")
@@ -150,8 +150,7 @@ def entry_changes(spark, sf_dir):
 
 @query("version_key_union", f"WITH {_VERSIONS} SELECT entry FROM b UNION SELECT entry FROM a")
 def version_key_union(spark, sf_dir):
-    before, after = _versions(spark, sf_dir)
-    return before.select("entry").union(after.select("entry")).distinct()
+    return graph.version_keys(*_versions(spark, sf_dir))
 
 
 @query("lcs_diff")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from symatlas.operators import complete, index, resolve, stats
+from symatlas.operators import complete, diagnose, index, infer, lookup, resolve, stats
 from symatlas.streaming import changes
 
 from .tables import PAGE_IMPORTS, page_imports, query, read
@@ -12,7 +12,7 @@ from .tables import PAGE_IMPORTS, page_imports, query, read
 
 @query("imports_of", f"WITH {PAGE_IMPORTS} SELECT DISTINCT file FROM imports WHERE contains(path, 'the')")
 def imports_of(spark, sf_dir):
-    return page_imports(spark, sf_dir).filter(F.col("path").contains("the")).select("file").distinct()
+    return lookup.imports_of(page_imports(spark, sf_dir).select(F.col("file").alias("uri"), F.col("path").alias("full_path")), "the").withColumnRenamed("uri", "file")
 
 
 @query("package_deps", f"WITH {PAGE_IMPORTS}, p AS (SELECT 'h' || (file % 7) AS package, left(local_name, 1) AS depends_on FROM imports) SELECT package, depends_on, count(*) AS imports FROM p WHERE package <> depends_on GROUP BY ALL")
@@ -46,22 +46,23 @@ def organized_imports(spark, sf_dir):
     return resolve.organized(links, _page_words(spark, sf_dir)).select("file", F.array_join("statements", ";").alias("statements"))
 
 
-_FQNS = "fqns AS (SELECT p_name AS name, p_brand || '.' || p_name AS fqn FROM part WHERE p_partkey % 9 = 0)"
-
-
-@query("importable_unique", f"WITH {_FQNS} SELECT name, string_agg(DISTINCT fqn, ',' ORDER BY fqn) AS fqns, count(DISTINCT fqn) AS n FROM fqns GROUP BY name")
+@query("importable_unique", "SELECT p_name AS name, string_agg(DISTINCT p_brand || '.' || p_name, ',' ORDER BY p_brand || '.' || p_name) AS fqns, count(DISTINCT p_brand) AS n FROM part GROUP BY p_name")
 def importable_unique(spark, sf_dir):
-    fqns = read(spark, sf_dir, "part").filter("p_partkey % 9 = 0").select(F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"))
-    return fqns.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("fqn")), ",").alias("fqns"), F.countDistinct("fqn").alias("n"))
+    part = read(spark, sf_dir, "part")
+    symbols = part.select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("name"), F.lit(0).alias("start_line"), F.col("p_size").alias("end_line"))
+    found = index.importable(symbols, part.select(F.col("p_partkey").alias("uri"), F.col("p_brand").alias("package")))
+    return found.select("name", F.array_join("fqns", ",").alias("fqns"), F.size("fqns").cast("long").alias("n"))
 
 
-@query("missing_imports", f"""WITH {_FQNS.replace('% 9', '% 97')}, n AS (SELECT DISTINCT s_suppkey AS file, p_name AS name FROM supplier JOIN part ON p_size = s_nationkey),
+@query("missing_imports", """WITH fqns AS (SELECT p_name || p_size || p_type AS name, p_brand || '.' || p_name || p_size || p_type AS fqn FROM part),
+n AS (SELECT DISTINCT s_suppkey AS file, CASE WHEN s_suppkey % 5 = 0 THEN p_name ELSE p_name || p_size || p_type END AS name FROM supplier JOIN part ON p_size = s_nationkey),
 k AS (SELECT name, count(DISTINCT fqn) AS n, min(fqn) AS fqn FROM fqns GROUP BY name)
 SELECT file, n.name, coalesce(k.n, 0) AS n, CASE WHEN k.n = 1 THEN fqn END AS fqn, CASE WHEN k.n = 1 THEN 'unique' WHEN k.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS status FROM n LEFT JOIN k ON k.name = n.name""")
 def missing_imports(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    fqns = part.filter("p_partkey % 97 = 0").select(F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"))
-    names = read(spark, sf_dir, "supplier").join(part, F.col("p_size") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file"), F.col("p_name").alias("name"))
+    part, name = read(spark, sf_dir, "part"), F.concat("p_name", "p_size", "p_type")
+    fqns = part.select(name.alias("name"), F.concat_ws(".", F.col("p_brand"), name).alias("fqn"))
+    met = read(spark, sf_dir, "supplier").join(part, F.col("p_size") == F.col("s_nationkey"))
+    names = met.select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 5 == 0, F.col("p_name")).otherwise(name).alias("name"))
     return resolve.missing_imports(names, fqns)
 
 
@@ -80,9 +81,9 @@ def auto_import_candidates(spark, sf_dir):
 @query("annotated_lookup", "SELECT p_name AS symbol, coalesce(min(p_partkey) FILTER (p_size > 10), 0) AS line FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_brand = 'Brand#7') GROUP BY p_name")
 def annotated_lookup(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    edges = part.filter("p_brand = 'Brand#7'").select(F.col("p_name").alias("symbol")).distinct()
-    first = part.filter("p_size > 10").groupBy(F.col("p_name").alias("symbol")).agg(F.min("p_partkey").alias("line"))
-    return edges.join(first, "symbol", "left").select("symbol", F.coalesce("line", F.lit(0)).alias("line"))
+    annotations = part.select(F.lit("u").alias("uri"), F.col("p_name").alias("symbol_name"), F.col("p_brand").alias("annotation"))
+    symbols = part.filter("p_size > 10").select(F.lit("u").alias("uri"), F.col("p_name").alias("name"), F.col("p_partkey").alias("sel_line"))
+    return lookup.annotated(annotations, symbols, "Brand#7").select(F.col("name").alias("symbol"), "line")
 
 
 _SCOPES = "scopes AS (SELECT l_orderkey AS k, l_partkey AS name, l_linenumber AS s, l_linenumber + (l_quantity::INT % 6) AS e FROM lineitem), probes AS (SELECT o_orderkey AS k, 1 + (o_orderkey % 9)::INT AS pos FROM orders)"
@@ -110,28 +111,28 @@ def containment_first(spark, sf_dir):
     return _contained(spark, sf_dir, F.min("name"))
 
 
-_SYMBOLS = "symbols AS (SELECT o_custkey AS uri, 'O' || o_orderkey AS name, (o_orderkey % 40)::INT AS s, (o_orderkey % 40 + floor(o_totalprice)::BIGINT % 9)::INT AS e FROM orders WHERE o_custkey < 200)"
+_SYMBOLS = "symbols AS (SELECT o_custkey AS uri, 'O' || o_orderkey AS name, (o_orderkey % 40)::INT AS s, (o_orderkey % 40 + floor(o_totalprice)::BIGINT % 9)::INT AS e FROM orders)"
 
 
 @query("top_level_symbols", f"WITH {_SYMBOLS} SELECT uri, name FROM symbols x WHERE NOT EXISTS (SELECT 1 FROM symbols o WHERE o.uri = x.uri AND o.s <= x.s AND x.e <= o.e AND (o.s <> x.s OR o.e <> x.e))")
 def top_level_symbols(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_custkey < 200")
+    o = read(spark, sf_dir, "orders")
     start = (F.col("o_orderkey") % 40).cast("int")
     symbols = o.select(F.col("o_custkey").alias("uri"), F.concat(F.lit("O"), "o_orderkey").alias("name"), start.alias("start_line"), (start + F.floor("o_totalprice") % 9).cast("int").alias("end_line"))
     return index.top_level(symbols).select("uri", "name")
 
 
-@query("references_sorted", "SELECT DISTINCT doc_id AS file, i AS line FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM documents WHERE lang = 'en')) WHERE t = 'eran'")
+@query("references_sorted", "SELECT DISTINCT doc_id AS file, i AS line FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM documents)) WHERE t = 'eran'")
 def references_sorted(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = read(spark, sf_dir, "documents")
     tokens = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("line", "text"))
     found = resolve.references(tokens.withColumns({"col": F.lit(0), "line": F.col("line").cast("long")}), "eran")
     return found.select("file", "line")
 
 
-@query("reference_kinds", """SELECT l_orderkey AS ref, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN 'import' WHEN l_linestatus = 'O' AND l_quantity > 40 THEN 'call' WHEN l_discount > 0.05 THEN 'write' ELSE 'read' END AS kind FROM lineitem WHERE l_orderkey < 500""")
+@query("reference_kinds", """SELECT l_orderkey AS ref, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN 'import' WHEN l_linestatus = 'O' AND l_quantity > 40 THEN 'call' WHEN l_discount > 0.05 THEN 'write' ELSE 'read' END AS kind FROM lineitem""")
 def reference_kinds(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
+    li = read(spark, sf_dir, "lineitem")
     context = F.array_compact(F.array(F.when(F.col("l_discount") > 0.05, "write"), F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40), "call"), F.when(F.col("l_returnflag") == "A", "import")))
     return li.select(F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("line"), resolve.classified(context).alias("kind"))
 
@@ -166,22 +167,21 @@ def same_package(spark, sf_dir):
     return resolve.same_package(files, definitions, requests).select("req", "def_file")
 
 
-@query("star_import_tier", """WITH i AS (SELECT c_custkey AS file, n_nationkey AS package, (n_nationkey * 7 + c_custkey) % 25 AS seq FROM customer JOIN nation ON n_nationkey % 5 = c_custkey % 5 WHERE c_custkey < 300),
+@query("star_import_tier", """WITH i AS (SELECT c_custkey AS file, n_nationkey AS package, (n_nationkey * 7 + c_custkey) % 25 AS seq FROM customer JOIN nation ON n_nationkey % 5 = c_custkey % 5),
 m AS (SELECT i.file AS req, s_suppkey AS def_file, row_number() OVER (PARTITION BY i.file ORDER BY seq, s_suppkey) AS k FROM i JOIN supplier ON s_nationkey = package) SELECT req, def_file FROM m WHERE k = 1""")
 def star_import_tier(spark, sf_dir):
     customer, nation, supplier = (read(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
-    few = customer.filter("c_custkey < 300")
-    imports = few.join(nation, F.col("n_nationkey") % 5 == F.col("c_custkey") % 5).select(F.col("c_custkey").alias("file"), F.col("n_nationkey").alias("path"), ((F.col("n_nationkey") * 7 + F.col("c_custkey")) % 25).alias("seq"), F.lit(True).alias("is_star"))
+    imports = customer.join(nation, F.col("n_nationkey") % 5 == F.col("c_custkey") % 5).select(F.col("c_custkey").alias("file"), F.col("n_nationkey").alias("path"), ((F.col("n_nationkey") * 7 + F.col("c_custkey")) % 25).alias("seq"), F.lit(True).alias("is_star"))
     definitions = supplier.select(F.lit("T").alias("name"), F.col("s_suppkey").alias("file"), F.lit(0).alias("line"), F.col("s_nationkey").alias("package"))
-    requests = few.select(F.col("c_custkey").alias("req"), F.col("c_custkey").alias("file"), F.lit("T").alias("name"))
+    requests = customer.select(F.col("c_custkey").alias("req"), F.col("c_custkey").alias("file"), F.lit("T").alias("name"))
     return resolve.star_imports(imports, definitions, requests).select("req", "def_file")
 
 
-@query("workspace_union_library", "SELECT split_part(text, ' ', 1) AS name, 'workspace' AS origin, doc_id AS id FROM documents WHERE lang = 'en' UNION ALL SELECT split_part(text, ' ', 1), 'library', item_id FROM benchmark")
+@query("workspace_union_library", "SELECT split_part(text, ' ', 1) AS name, 'workspace' AS origin, doc_id AS id FROM documents UNION ALL SELECT split_part(text, ' ', 1), 'library', item_id FROM benchmark")
 def workspace_union_library(spark, sf_dir):
     first = F.split_part("text", F.lit(" "), F.lit(1)).alias("name")
-    own = read(spark, sf_dir, "documents").filter("lang = 'en'").select(first, F.lit("workspace").alias("origin"), F.col("doc_id").alias("id"))
-    return own.unionAll(read(spark, sf_dir, "benchmark").select(first, F.lit("library").alias("origin"), F.col("item_id").alias("id")))
+    own, library = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return lookup.with_library(own.select(first, F.col("doc_id").alias("id")), library.select(first, F.col("item_id").alias("id"))).select("name", "origin", "id")
 
 
 @query("qualified_last_wins", "SELECT p_brand || '.' || p_name AS fqn, max(p_partkey) AS uri FROM part GROUP BY 1")
@@ -260,20 +260,20 @@ def module_rollup(spark, sf_dir):
 @query("cache_stats", "SELECT count(*) AS total, count(*) FILTER (contains(text, 'License')) AS with_doc, count(*) FILTER (n_chars > 1000) AS with_signature, count(DISTINCT source) AS files FROM documents")
 def cache_stats(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("total"), F.count_if(F.col("text").contains("License")).alias("with_doc"), F.count_if(F.col("n_chars") > 1000).alias("with_signature"), F.countDistinct("source").alias("files"))
+    symbols = docs.select(F.when(F.col("text").contains("License"), F.col("text")).alias("documentation"), F.when(F.col("n_chars") > 1000, "x").otherwise("").alias("detail"), F.col("source").alias("uri"))
+    return stats.cache_statistics(symbols)
 
 
 @query("module_dependents", "SELECT n_name AS module, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'A') AS depends_on, count(DISTINCT l_orderkey) AS dependents FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def module_dependents(spark, sf_dir):
     nation, supplier, li = (read(spark, sf_dir, t) for t in ("nation", "supplier", "lineitem"))
-    # aggregated on the supplier first, so that no order crosses the joins more often than needed
     rows = li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("module")).agg(F.countDistinct(F.when(F.col("l_returnflag") == "A", F.col("l_suppkey"))).alias("depends_on"), F.countDistinct("l_orderkey").alias("dependents"))
+    return stats.module_dependents(rows.select(F.col("n_name").alias("module"), F.when(F.col("l_returnflag") == "A", F.col("l_suppkey")).alias("depends_on"), F.col("l_orderkey").alias("dependent")))
 
 
 @query("importers_of", f"WITH {PAGE_IMPORTS} SELECT path, count(DISTINCT file) AS files, count(*) AS imports FROM imports GROUP BY path")
 def importers_of(spark, sf_dir):
-    return page_imports(spark, sf_dir).groupBy("path").agg(F.countDistinct("file").alias("files"), F.count("*").alias("imports"))
+    return lookup.importers(page_imports(spark, sf_dir).select(F.col("file").alias("uri"), F.col("path").alias("full_path"))).withColumnRenamed("full_path", "path")
 
 
 _LAST = "SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events"
@@ -306,30 +306,27 @@ def live_overlay(spark, sf_dir):
 
 
 @query("token_delta", """WITH t AS (SELECT l_orderkey AS file, l_linenumber AS line, (l_partkey % 80)::INT AS start, lag(l_linenumber) OVER w AS pl, lag((l_partkey % 80)::INT) OVER w AS ps
-FROM lineitem WHERE l_orderkey < 2000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 80, l_suppkey))
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 80, l_suppkey))
 SELECT file, line, start, line - coalesce(pl, 0) AS delta_line, CASE WHEN line = pl THEN start - ps ELSE start END AS delta_start FROM t""")
 def token_delta(spark, sf_dir):
-    w = Window.partitionBy("file").orderBy("line", "start", "tie")
-    rows = read(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 80).cast("int").alias("start"), F.col("l_suppkey").alias("tie"))
-    before, at = F.lag("line").over(w), F.lag("start").over(w)
-    delta = F.when(F.col("line") == before, F.col("start") - at).otherwise(F.col("start"))
-    return rows.select("file", "line", "start", (F.col("line") - F.coalesce(before, F.lit(0))).alias("delta_line"), delta.alias("delta_start"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uri"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 80).cast("int").alias("col"))
+    return infer.delta_encoded(rows).select(F.col("uri").alias("file"), "line", F.col("col").alias("start"), "delta_line", F.col("delta_col").alias("delta_start"))
 
 
 @query("folding_ranges", """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, length(unnest(x)) > 40 AS long FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE long)
 SELECT doc_id, min(i) AS start_line, max(i) AS end_line FROM g GROUP BY doc_id, island HAVING count(*) > 1""")
 def folding_ranges(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.length("line") > 40)
-    island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    ranges = lines.select("doc_id", F.col("i").cast("long").alias("i"), island.alias("island")).groupBy("doc_id", "island").agg(F.min("i").alias("start_line"), F.max("i").alias("end_line"), F.count("*").alias("n"))
-    return ranges.filter("n > 1").select("doc_id", "start_line", "end_line")
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line_no", F.col("line_no").cast("long"))
+    return diagnose.islands(lines, F.length("line") > 40).withColumnRenamed("uri", "doc_id")
 
 
 @query("known_name_intersection", "SELECT name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_brand = 'Brand#3' INTERSECT SELECT p_name FROM part WHERE p_type = 'SMALL')")
 def known_name_intersection(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    return part.filter("p_brand = 'Brand#3'").select(F.col("p_name").alias("name")).intersect(part.filter("p_type = 'SMALL'").select("p_name"))
+    part = part.withColumn("name", F.col("p_name"))
+    return lookup.known_names(part.filter("p_brand = 'Brand#3'"), part.filter("p_type = 'SMALL'"))
 
 
 @query("inherited_members", """WITH RECURSIVE edges AS (SELECT s_name AS sub, n_name AS super FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -344,22 +341,14 @@ def inherited_members(spark, sf_dir):
     return complete.members(rows, type_edges(spark, sf_dir), "Supplier#000000002")
 
 
-@query("batch_requests", """WITH q AS (SELECT c_custkey AS req, CASE c_custkey % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'subtypes' ELSE 'callers' END AS type, c_custkey % 60 AS key FROM customer WHERE c_custkey < 90),
+@query("batch_requests", """WITH q AS (SELECT c_custkey AS req, CASE c_custkey % 3 WHEN 0 THEN 'definition' WHEN 1 THEN 'subtypes' ELSE 'callers' END AS type, c_custkey % 60 AS key FROM customer),
 a AS (SELECT req, type, p_name AS answer FROM q JOIN part ON p_partkey = key WHERE type = 'definition'
 UNION ALL SELECT req, type, s_name FROM (SELECT req, type, s_name, row_number() OVER (PARTITION BY req ORDER BY s_name) AS k FROM q JOIN supplier ON s_nationkey = key WHERE type = 'subtypes') WHERE k <= 50
 UNION ALL SELECT req, type, c FROM (SELECT req, type, c, row_number() OVER (PARTITION BY req ORDER BY c) AS k FROM (SELECT DISTINCT req, type, 'S' || l_suppkey AS c FROM q JOIN lineitem ON l_partkey = key WHERE type = 'callers')) WHERE k <= 20)
-SELECT q.req, q.type, coalesce(answer, 'not found') AS answer FROM q LEFT JOIN a USING (req) ORDER BY 1""")
+SELECT q.req, q.type, coalesce(answer, 'not found') AS answer FROM q LEFT JOIN (SELECT DISTINCT * FROM a) AS a USING (req) ORDER BY 1""")
 def batch_requests(spark, sf_dir):
     kinds = F.when(F.col("c_custkey") % 3 == 0, "definition").when(F.col("c_custkey") % 3 == 1, "subtypes").otherwise("callers")
-    requests = read(spark, sf_dir, "customer").filter("c_custkey < 90").select(F.col("c_custkey").alias("req"), kinds.alias("type"), (F.col("c_custkey") % 60).alias("key"))
-
-    def answered(kind, relation, key, answer, cap=None):
-        met = requests.filter(F.col("type") == kind).join(relation, F.col("key") == F.col(key)).select("req", answer.alias("answer"))
-        if cap is None:
-            return met
-        place = F.row_number().over(Window.partitionBy("req").orderBy("answer"))
-        return met.distinct().withColumn("place", place).filter(F.col("place") <= cap).drop("place")
-
+    requests = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), kinds.alias("type"), (F.col("c_custkey") % 60).alias("name"))
     part, supplier, li = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
-    answers = answered("definition", part, "p_partkey", F.col("p_name")).unionByName(answered("subtypes", supplier, "s_nationkey", F.col("s_name"), 50)).unionByName(answered("callers", li, "l_partkey", F.concat(F.lit("S"), "l_suppkey"), 20))
-    return requests.join(answers, "req", "left").select("req", "type", F.coalesce("answer", F.lit("not found")).alias("answer")).orderBy("req")
+    relations = {"definition": (part, "p_partkey", F.col("p_name"), None), "subtypes": (supplier, "s_nationkey", F.col("s_name"), 50), "callers": (li, "l_partkey", F.concat(F.lit("S"), "l_suppkey"), 20)}
+    return lookup.batch(requests, relations).withColumnRenamed("req_id", "req")

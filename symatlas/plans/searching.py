@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from symatlas.functions import identifiers as ids, paths
-from symatlas.operators import complete, search
+from symatlas.operators import complete, lookup, search
 
-from .tables import SEARCH_DOCS, query, read, search_docs, tokens
+from .tables import SEARCH_DOCS, query, read, search_docs, search_index, tokens
 
 _BM25 = """, stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM kept),
 post AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM kept),
@@ -24,9 +24,9 @@ def _sql(words, keep="true"):
     return f"WITH {SEARCH_DOCS}, kept AS (SELECT * FROM docs WHERE {keep})" + _BM25.format(where=where, weight=weight)
 
 
-def _top(spark, sf_dir, words, keep="true", limit=20):
-    docs = search_docs(spark, sf_dir).filter(keep)
-    found = search.bm25(docs, words).withColumn("score", F.round("score", 6))
+def _top(spark, sf_dir, words, keep=None, limit=20):
+    """From the stored index, which the first search over a table builds."""
+    found = search.bm25_stored(spark, search_index(spark, sf_dir), words, keep).withColumn("score", F.round("score", 6))
     return found.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -50,43 +50,38 @@ def search_path_filter(spark, sf_dir):
     return _top(spark, sf_dir, ["the"], search.passes(search.ParsedQuery(paths=["SRC1"])))
 
 
-@query("search_filters_only", f"WITH {SEARCH_DOCS} SELECT id, name, file, 1.0::DOUBLE AS score FROM docs WHERE kind = 'fr' AND contains(lower(name), 'la') ORDER BY name, generated, file, signature, kind, doc, id LIMIT 50")
+@query("search_filters_only", f"WITH {SEARCH_DOCS} SELECT id, name, file, 1.0::DOUBLE AS score FROM docs WHERE kind = 'fr' AND contains(lower(name), 'la') ORDER BY name, generated, file, line LIMIT 50")
 def search_filters_only(spark, sf_dir):
     docs = search_docs(spark, sf_dir).filter(search.passes(search.ParsedQuery(kinds=["fr"], names=["LA"])))
-    return docs.orderBy("name", "generated", "file", "signature", "kind", "doc", "id").limit(50).select("id", "name", "file", F.lit(1.0).alias("score"))
+    return search.listing(docs, 50).select("id", "name", "file", "score")
 
 
 _DEFERRED = """, named AS (SELECT d.*, round(s.score, 6) AS score FROM docs d JOIN scored s USING (id) WHERE s.score > 0),
 marked AS (SELECT *, generated AND max(CASE WHEN generated THEN 0 ELSE 1 END) OVER (PARTITION BY name) = 1 AS deferred FROM named),
-top AS (SELECT * FROM marked ORDER BY deferred, score DESC, name, file, signature, kind, doc, generated, id LIMIT 40)
-SELECT id, name, deferred, score, round(least(1.0, score / first_value(score) OVER (ORDER BY deferred, score DESC, name, file, signature, kind, doc, generated, id)), 6) AS relative FROM top"""
+top AS (SELECT * FROM marked ORDER BY deferred, score DESC, name, file, line LIMIT 40)
+SELECT id, name, deferred, score, round(least(1.0, score / first_value(score) OVER (ORDER BY deferred, score DESC, name, file, line)), 6) AS relative FROM top"""
 
 
 @query("generated_deferral", _sql(["licensed", "under"]) + _DEFERRED)
 def generated_deferral(spark, sf_dir):
     docs = search_docs(spark, sf_dir)
     scored = search.bm25(docs, ["licensed", "under"]).withColumn("score", F.round("score", 6)).join(docs, "id")
-    real = F.max((~F.col("generated")).cast("int")).over(Window.partitionBy("name"))
-    order = ["deferred", F.desc("score"), "name", "file", "signature", "kind", "doc", "generated", "id"]
-    top = scored.withColumn("deferred", F.col("generated") & (real == 1)).orderBy(*order).limit(40)
-    first = F.first("score").over(Window.orderBy(*order))
-    return top.select("id", "name", "deferred", "score", F.round(F.least(F.lit(1.0), F.col("score") / first), 6).alias("relative"))
+    return search.ranked(scored, 40).select("id", "name", "deferred", "score", F.round("relative", 6).alias("relative"))
 
 
 @query("term_df", "SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf_dir):
-    terms = search_docs(spark, sf_dir).select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search.term_statistics(search_docs(spark, sf_dir))
 
 
 @query("doc_tokens_count", f"WITH {SEARCH_DOCS} SELECT id, len(tokens)::BIGINT AS n_tokens, len(list_distinct(tokens))::BIGINT AS n_terms FROM docs")
 def doc_tokens_count(spark, sf_dir):
-    return search_docs(spark, sf_dir).select("id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"))
+    return search.sizes(search_docs(spark, sf_dir))
 
 
 @query("average_length", f"WITH {SEARCH_DOCS} SELECT kind, count(*) AS docs, round(avg(len(tokens)), 6) AS avgdl FROM docs GROUP BY kind")
 def average_length(spark, sf_dir):
-    return search_docs(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("docs"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
+    return search.average_lengths(search_docs(spark, sf_dir), "kind").withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("search_truncated", f"WITH {SEARCH_DOCS}, hit AS (SELECT id, name FROM docs WHERE contains(lower(name), 'th')), page AS (SELECT *, count(*) OVER () > 25 AS truncated FROM hit) SELECT id, name, truncated FROM page ORDER BY name, id LIMIT 25")
@@ -97,27 +92,26 @@ def search_truncated(spark, sf_dir):
 
 @query("find_exact", "SELECT p_partkey, p_name, p_type FROM part WHERE p_name = 'red widget'")
 def find_exact(spark, sf_dir):
-    return read(spark, sf_dir, "part").filter(F.col("p_name") == "red widget").select("p_partkey", "p_name", "p_type")
+    return lookup.find(read(spark, sf_dir, "part").withColumn("name", F.col("p_name")), "red widget").select("p_partkey", "p_name", "p_type")
 
 
 @query("find_substring", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_brand), '#2') AND p_type IN ('ECONOMY', 'SMALL')")
 def find_substring(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    return part.filter(F.lower("p_name").contains("ring") & F.lower("p_brand").contains("#2") & F.col("p_type").isin("ECONOMY", "SMALL")).select("p_partkey", "p_name", "p_brand")
+    symbols = read(spark, sf_dir, "part").withColumns({"name": F.col("p_name"), "module": F.lower("p_brand"), "kind": F.lower("p_type")})
+    return lookup.find(symbols, part="ring", kinds=["ECONOMY", "SMALL"], module="#2").select("p_partkey", "p_name", "p_brand")
 
 
-@query("docs_substring", "SELECT doc_id, source FROM documents WHERE contains(lower(left(text, 200)), 'version') ORDER BY doc_id LIMIT 50")
+@query("docs_substring", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'version')")
 def docs_substring(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return docs.filter(F.lower(F.left("text", F.lit(200))).contains("version")).select("doc_id", "source").orderBy("doc_id").limit(50)
+    return lookup.documented(docs.withColumnRenamed("text", "documentation"), "version").select("doc_id", "source")
 
 
 @query("line_word_search", r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
 SELECT doc_id, line_no, length(line)::BIGINT AS n FROM lines WHERE regexp_matches(' ' || line || ' ', '[^a-zA-Z0-9_]License[^a-zA-Z0-9_]')""")
 def line_word_search(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = lines.filter(F.concat(F.lit(" "), "line", F.lit(" ")).rlike("[^a-zA-Z0-9_]License[^a-zA-Z0-9_]"))
-    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return lookup.word_lines(lines, "License").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("text").cast("long").alias("n"))
 
 
 _STEM = """CASE WHEN strlen(w) <= 3 THEN w
@@ -130,9 +124,9 @@ _STEM = """CASE WHEN strlen(w) <= 3 THEN w
  WHEN ends_with(w, 'ies') AND strlen(w) > 4 THEN left(w, -3) || 'y' ELSE w END"""
 
 
-@query("stems", f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE lang = 'en') SELECT w, {_STEM} AS stem FROM words")
+@query("stems", f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) SELECT w, {_STEM} AS stem FROM words")
 def stems(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(tokens(F.col("text"))).alias("w")).distinct()
+    words = read(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("w")).distinct()
     return words.select("w", ids.stem(F.col("w")).alias("stem"))
 
 
@@ -140,11 +134,11 @@ _STOPS = ", ".join(f"'{w}'" for w in ids.STOP_WORDS)
 
 
 @query("query_words", rf"""WITH w AS (SELECT doc_id, unnest(range(len(l))) AS i, lower(regexp_replace(regexp_replace(unnest(l), '^[!-/:-@\[-^`{{-~]+', ''), '[!-/:-@\[-^`{{-~]+$', '')) AS w
-FROM (SELECT doc_id, regexp_split_to_array(left(text, 400), '[ \t\n\r\f\v]+') AS l FROM documents))
+FROM (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]+') AS l FROM documents))
 SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM w WHERE w <> '' AND w NOT IN ({_STOPS}) GROUP BY doc_id""")
 def query_words(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.array_join(ids.query_words(F.left("text", F.lit(400))), " ").alias("words"))
+    words = docs.select("doc_id", F.array_join(ids.query_words(F.col("text")), " ").alias("words"))
     return words.filter("words != ''")
 
 
@@ -168,8 +162,7 @@ FROM g ORDER BY 2 DESC, 1 LIMIT 30"""
 @query("fuzzy_topk", _FUZZY)
 def fuzzy_topk(spark, sf_dir):
     names = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    scored = names.distinct().withColumn("score", F.round(ids.fuzzy_score(F.col("name"), "rg"), 9)).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "name").limit(30)
+    return search.fuzzy_top(names, "name", "rg", 30)
 
 
 _MATCH = """WITH c AS (SELECT s_suppkey AS id, 'supplierNode' || s_nationkey AS name, 0 AS tier FROM supplier
@@ -194,8 +187,8 @@ def completion_match_tiers(spark, sf_dir):
 
 @query("workspace_symbols", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'bolt') AND contains(lower(p_brand || ' ' || p_type), 'small') ORDER BY p_partkey LIMIT 100")
 def workspace_symbols(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter(F.lower("p_name").contains("bolt") & F.lower(F.concat_ws(" ", "p_brand", "p_type")).contains("small"))
-    return part.select("p_partkey", "p_name", "p_brand").orderBy("p_partkey").limit(100)
+    symbols = read(spark, sf_dir, "part").withColumns({"name": F.col("p_name"), "container": F.concat_ws(" ", "p_brand", "p_type")})
+    return lookup.workspace_symbols(symbols, "bolt", "small", 100, "p_partkey").select("p_partkey", "p_name", "p_brand")
 
 
 @query("generated_flags", r"""SELECT page_id, regexp_matches(lower(url), '(\.pb\.kt|\.html)$') AS by_path,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from symatlas.operators import search
+from symatlas.session import shared_folder
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -33,13 +38,29 @@ def search_docs(spark, sf_dir) -> DataFrame:
     """documents as search rows: the first word is the name, lang the kind, source the file."""
     docs = read(spark, sf_dir, "documents")
     return docs.select(
-        F.col("doc_id").alias("id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("lang").alias("kind"), F.col("source").alias("file"),
-        F.left("text", F.lit(30)).alias("signature"), F.left("text", F.lit(60)).alias("doc"), F.lower("text").contains("licen").alias("generated"), tokens(F.col("text")).alias("tokens"),
+        F.col("doc_id").alias("id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.col("lang").alias("kind"), F.col("source").alias("file"), F.col("doc_id").alias("line"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("signature"), F.md5("text").alias("doc"), F.lower("text").contains("licen").alias("generated"), tokens(F.col("text")).alias("tokens"),
     )
 
 
-SEARCH_DOCS = """docs AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS name, lang AS kind, source AS file, left(text, 30) AS signature,
-  left(text, 60) AS doc, contains(lower(text), 'licen') AS generated, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents)"""
+SEARCH_DOCS = """docs AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS name, lang AS kind, source AS file, doc_id AS line, split_part(text, chr(10), 1) AS signature,
+  md5(text) AS doc, contains(lower(text), 'licen') AS generated, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents)"""
+
+
+#: Folders of stored search indexes, by application, table and the table's files.
+_INDEXES: dict[tuple, str] = {}
+
+
+def search_index(spark, sf_dir) -> str:
+    """The folder with the search index over documents; it is built once, and again when the table's files change."""
+    path = f"{sf_dir}/documents.parquet"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    key = (spark.sparkContext.applicationId, path, frozenset(map(tuple, files.collect())))
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/symatlas-search-{uuid.uuid4().hex}"
+        search.write_index(search_docs(spark, sf_dir).select("id", "name", "kind", "file", "tokens"), folder)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
 
 
 def call_edges(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,3 +25,15 @@ def shipped(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         context._symatlas_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; on one machine without that setting, a folder that goes with this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="symatlas-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

@@ -7,18 +7,28 @@ import re
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from symatlas.functions import paths
 from symatlas.session import shipped
 
-#: Folders that hold no sources of the workspace.
+#: Folders that hold no sources of the workspace, by name at any depth, and by path.
 EXCLUDED = (
-    ".git .gradle .idea .kotlin .cache .build build out dist target bin node_modules Pods DerivedData Carthage Generated generated vendor"
+    ".git build target .gradle .build DerivedData Generated .kotlin .idea .fleet .vscode node_modules .cache captures .externalNativeBuild .cxx xcuserdata Pods"
 ).split()
+EXCLUDED_PATHS = (".claude/worktrees", ".claude/projects", ".claude/plans")
 GLOB = "*.{kt,java,swift}"
 
 
+def excluded(path: Column, root: str) -> Column:
+    """Whether a file lies in a folder, below the root, that holds no sources of the workspace.
+
+    Spark's reader itself passes over folders whose names begin with a dot or an underscore.
+    """
+    inner = paths.relative(F.regexp_replace(path, "^file:(//)?", ""), re.sub("^file:(//)?", "", root))
+    return inner.rlike("(^|/)(" + "|".join(re.escape(x) for x in (*EXCLUDED, *EXCLUDED_PATHS)) + ")/")
+
+
 def listing(spark: SparkSession, root: str, exclude: bool = True, newer_than: str | None = None, ignore: list[str] = ()) -> DataFrame:
     """(path, mtime_secs, size, lang) of the source files below a folder; contents are not read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True)
@@ -26,7 +36,7 @@ def listing(spark: SparkSession, root: str, exclude: bool = True, newer_than: st
         reader = reader.option("modifiedAfter", newer_than)
     found = reader.load(root).select("path", F.unix_timestamp("modificationTime").alias("mtime_secs"), F.col("length").alias("size"))
     if exclude:
-        found = found.filter(~F.col("path").rlike("/(" + "|".join(map(re.escape, EXCLUDED)) + ")/"))
+        found = found.filter(~excluded(F.col("path"), root))
     if ignore:
         found = found.filter(~paths.ignored(paths.relative(F.regexp_replace("path", "^file:", ""), root), list(ignore)))
     return found.withColumn("lang", paths.language(F.col("path")))
@@ -37,10 +47,13 @@ def capped(found: DataFrame, limit: int | None) -> DataFrame:
     return found if limit is None else found.orderBy(paths.depth(F.col("path")), "path").limit(limit)
 
 
-def texts(spark: SparkSession, root: str) -> DataFrame:
+def texts(spark: SparkSession, root: str, exclude: bool = True) -> DataFrame:
     """(uri, text) of the source files below a folder."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True)
-    return reader.load(root).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
+    found = reader.load(root)
+    if exclude:
+        found = found.filter(~excluded(F.col("path"), root))
+    return found.select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
 
 
 def jar_texts(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,8 +35,8 @@ def _unseen(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
             elif op == "delete":
                 last = None
                 rows.append((key[0], ts, "tombstone", None))
-            elif text != last:
-                last = text
+            elif (name := hashlib.md5((text or "").encode()).hexdigest()) != last:
+                last = name
                 rows.append((key[0], ts, "index", text))
     if last is None:
         state.remove() if state.exists else None
@@ -47,6 +48,8 @@ def _unseen(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 def changed_content(changes: DataFrame) -> DataFrame:
     """Changes (uri, ts, op, text) whose text differs from the last one seen; A, B, A gives three rows.
 
+    The state of a document is a 128-bit hash of its text; a null text is an empty one.
+
     op is change, delete (a tombstone comes out and the state goes) or close.
     """
     shipped(changes.sparkSession)

@@ -36,6 +36,15 @@ def test_search(workspace):
     assert workspace.fuzzy("lgscr").first()["name"] == "LoginScreen"
 
 
+def test_search_tokens_and_stored_index(workspace, tmp_path):
+    tokens = {r["name"]: r["tokens"] for r in workspace.search_documents.collect() if "Test" not in r["file"]}
+    assert tokens["send"][-3:] == ["sends", "login", "request"] and "client" in tokens["open"]
+    before = [(r["name"], round(r["score"], 9)) for r in workspace.search("login request send").collect()]
+    workspace.build_search_index(str(tmp_path / "index"))
+    assert [(r["name"], round(r["score"], 9)) for r in workspace.search("login request send").collect()] == before
+    workspace.search_index = None
+
+
 def test_references_and_impact(workspace):
     kinds = [r["kind"] for r in workspace.references("Client").collect()]
     assert sorted(kinds) == ["declaration", "import", "type-use"]

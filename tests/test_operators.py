@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from symatlas.operators import complete, graph, index, resolve, stats
+from symatlas.operators import complete, graph, index, infer, lookup, resolve, search, stats
+from symatlas.sources import files
 
 
 def rows(frame):
@@ -12,7 +16,50 @@ def test_reach_cycle_target_and_leaf(spark):
     assert [r["path"] for r in graph.reach(spark, edges, "a").collect()] == ["a > b > c", "a > d"]
     assert [r["path"] for r in graph.reach(spark, edges, "a", "c").collect()] == ["a > b > c"]
     assert graph.reach(spark, edges, "a", depth=1).count() == 2
-    assert graph.reach(spark, edges, "a", limit=1).count() == 1
+    one = graph.reach(spark, edges, "a", limit=1).collect()
+    assert [(r["path"], r["truncated"]) for r in one] == [("a > b > c", True)]
+    assert [(r["path"], r["truncated"]) for r in graph.reach(spark, edges, "a", limit=2).collect()] == [("a > b > c", False), ("a > d", False)]
+
+
+def simple_paths(edges, entry, target, depth):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def walk(path):
+        more = [n for n in sorted(out.get(path[-1], ())) if n not in path]
+        if target is not None:
+            if path[-1] == target:
+                yield path
+                return
+        elif not more or len(path) > depth:
+            yield path
+            return
+        if len(path) <= depth:
+            for n in more:
+                yield from walk([*path, n])
+
+    return [" > ".join(p) for p in walk([entry])]
+
+
+@pytest.mark.parametrize("target", [None, "c", "z"])
+def test_reach_as_by_brute_force(spark, target):
+    rng = random.Random(3)
+    edges = sorted({(rng.choice("abcdef"), rng.choice("abcdefg")) for _ in range(16)})
+    frame = spark.createDataFrame(edges, "caller string, callee string")
+    for depth, limit in ((3, 1000), (6, 1000), (6, 5)):
+        want = simple_paths(edges, "a", target, depth)
+        got = graph.reach(spark, frame, "a", target, depth, limit).collect()
+        assert [r["path"] for r in got] == want[:limit]
+        assert all(r["truncated"] == (len(want) > limit) for r in got)
+
+
+def test_reach_in_a_complete_graph(spark):
+    names = [f"n{i:02d}" for i in range(12)]
+    edges = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "caller string, callee string")
+    got = graph.reach(spark, edges, "n00").collect()
+    assert len(got) == 1000 and all(r["truncated"] and r["length"] == 8 for r in got)
+    assert got[0]["path"] == " > ".join(names[:9])
 
 
 def test_call_tree_marks_cycles(spark):
@@ -50,6 +97,13 @@ def test_chained_callees(spark):
     assert got == {"A.b.c": "B.c", "A.x.c": "c", "plain": "plain", "A.b.c.d": "C.d"}
 
 
+def test_long_chains_and_type_arguments(spark):
+    edges = spark.createDataFrame([("f", "A.b.c.d.e.f.g.h"), ("f", "A.l.m")], "caller string, callee string")
+    chain = [("A.b", "B", 1), ("B.c", "C", 1), ("C.d", "D<Int>", 1), ("D.e", "E", 1), ("E.f", "F", 1), ("F.g", "G", 1), ("A.l", "List<Thing>", 1)]
+    returns = spark.createDataFrame(chain, "key string, type string, seq int")
+    assert {r["resolved"] for r in graph.chained_callees(edges, returns).collect()} == {"G.h", "List.m"}
+
+
 def test_identity_is_not_merged(spark):
     edges = spark.createDataFrame([("A.f", "g", "x.kt"), ("A.f", "h", "y.kt")], "caller string, callee string, file string")
     assert rows(graph.callees(edges, "A.f", "x.kt")) == [("g",)]
@@ -99,3 +153,46 @@ def test_completion_rules(spark):
     frame = spark.createDataFrame(rows_, "name string, kind string, tier int, fqn string")
     assert [(r["name"], r["tier"]) for r in complete.complete(frame, "user").collect()] == [("userName", 0), ("USER_ID", 3)]
     assert [r["name"] for r in complete.complete(frame, "User").collect()] == ["UserRepo", "userName"][:1] + ["userName"]
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    texts = ["red ring red", "ring bolt", "blue bolts and rings", "red", ""]
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", t.split()) for i, t in enumerate(texts)], "id int, kind string, tokens array<string>")
+    search.write_index(docs, str(tmp_path))
+    for words in (["red"], ["ring", "bo"], ["red", "red", "r"], ["none"]):
+        for kept in (None, F.col("kind") == "b"):
+            want = rows(search.bm25(docs if kept is None else docs.filter(kept), words).withColumn("score", F.round("score", 9)))
+            assert rows(search.bm25_stored(spark, str(tmp_path), words, kept).withColumn("score", F.round("score", 9))) == want
+
+
+def test_excluded_folders(spark, tmp_path):
+    root = tmp_path / "build" / "w"
+    for name in ("src/A.kt", "build/B.kt", "x/.cxx/C.kt", ".claude/plans/D.kt", ".claude/commands/E.kt", "dist/F.java", "vendor/G.swift"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("class X")
+    want = {"A.kt", "F.java", "G.swift"}  # E.kt is in a hidden folder
+    assert {r["uri"].rpartition("/")[2] for r in files.texts(spark, str(root)).collect()} == want
+    assert {r["path"].rpartition("/")[2] for r in files.listing(spark, str(root)).collect()} == want
+    assert files.texts(spark, str(root), exclude=False).count() == 4
+
+
+def test_first_fact_wins(spark):
+    declared = spark.createDataFrame([], "key string, type string")
+    facts = spark.createDataFrame([("x", "Zeta", 1), ("x", "Alpha", 2)], "key string, type string, seq int")
+    calls = spark.createDataFrame([], "key string, receiver string, method string")
+    returns = spark.createDataFrame([], "owner string, method string, type string")
+    assert rows(infer.variable_types(declared, facts, calls, returns)) == [("x", "Zeta")]
+
+
+def test_lookups(spark):
+    symbols = spark.createDataFrame([("u", "readFile", "method", "Io", "m/a", "Reads it. Version two", 3), ("u", "Io", "class", None, "m/a", None, 1)], "uri string, name string, kind string, owner string, module string, documentation string, sel_line int")
+    assert [r["name"] for r in lookup.find(symbols, "readFile", owner="x.Io", kinds=["METHOD"], module="m/").collect()] == ["readFile"]
+    assert lookup.find(symbols, part="READ").count() == 1 and lookup.find(symbols, kinds=["class"], module="q").count() == 0
+    assert [r["name"] for r in lookup.documented(symbols, "version").collect()] == ["readFile"]
+    lines = spark.createDataFrame([("Io()",), ("Iox",), ("x.Io",)], "text string")
+    assert lookup.word_lines(lines, "Io").count() == 2
+    assert rows(lookup.known_names(symbols, symbols.filter("kind = 'class'"))) == [("Io",)]
+    imports = spark.createDataFrame([("u", "a.B"), ("u", "a.B"), ("v", "a.B"), ("v", "c")], "uri string, full_path string")
+    assert rows(lookup.importers(imports)) == [("a.B", 2, 3), ("c", 1, 1)] and rows(lookup.imports_of(imports, "a.")) == [("u",), ("v",)]
+    assert rows(lookup.with_library(symbols.select("name"), symbols.filter("sel_line = 1").select("name"))) == [("Io", "library"), ("Io", "workspace"), ("readFile", "workspace")]
+    assert tuple(stats.cache_statistics(symbols.withColumn("detail", F.lit(""))).first()) == (2, 1, 0, 1)
