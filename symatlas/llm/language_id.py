@@ -4,7 +4,9 @@ The kernel of two texts is the number of byte n-grams (1 to ORDER long, A-Z lowe
 both, over the root of the product of how many each has: a blended-spectrum presence kernel, over the
 n-grams that occur in the landmarks. LANDMARKS texts of each language serve as Nystroem landmarks;
 kernel ridge regression on the Nystroem features, one language against the rest, is fitted on a bounded
-sample (PER_LANGUAGE texts of each language, of at most SAMPLE_BYTES). Batches of texts are scored by
+sample: PER_LANGUAGE texts, of at most SAMPLE_BYTES, of each of the LANGUAGES most frequent languages, fewer
+of each where that would be over SAMPLE texts or ALL_LANDMARKS landmarks. A language that has longer texts
+only is learned from its shortest. Batches of texts are scored by
 matrix products: presence by landmarks, then by the regression.
 
 Defined results: a null text, or one without a letter, is "und" with score 0, and so is every text if
@@ -25,6 +27,7 @@ from . import common, sampling
 ORDER = 3
 LANDMARKS = 48
 PER_LANGUAGE = 400
+LANGUAGES, SAMPLE, ALL_LANDMARKS = 512, 4096, 1024
 SAMPLE_BYTES = 1 << 16
 RIDGE = 1e-3
 SHARPNESS = 4.0
@@ -87,8 +90,9 @@ class Model:
         if not rows:
             return
         chosen, seen = [], dict.fromkeys(self.languages, 0)
+        each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(self.languages)))
         for lang, text in rows:
-            if seen[lang] < LANDMARKS:
+            if seen[lang] < each:
                 seen[lang] += 1
                 chosen.append(text)
         self.kernel = Kernel(chosen)
@@ -121,8 +125,16 @@ class Model:
 
 def learned(docs: DataFrame) -> Model:
     """The model from a bounded sample of the rows with a language that are not held out."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = sampling.by_label(rows, "lang", PER_LANGUAGE, "doc_id", "text").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out(F.col("doc_id")))
+    size = F.octet_length("text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(size <= SAMPLE_BYTES).alias("short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return Model([])
+    h = F.xxhash64("doc_id", "text").alias("h")
+    short, long = ([r["lang"] for r in counts if bool(r["short"]) == wanted] for wanted in (True, False))
+    sample = sampling.by_label(rows.filter(F.col("lang").isin(short) & (size <= SAMPLE_BYTES)), "lang", min(PER_LANGUAGE, SAMPLE // len(counts)), "doc_id", "text").select("lang", "text", h).collect()
+    if long:
+        sample += rows.filter(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by(F.struct("text", h), F.struct(size, h)).alias("s")).select("lang", "s.*").collect()
     return Model([(r["lang"], r["text"].encode()) for r in sorted(sample, key=lambda r: (r["h"], r["text"])) if _LETTER.search(r["text"])])
 
 

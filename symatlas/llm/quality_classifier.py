@@ -159,7 +159,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     chosen = sampling.by_label(rows.filter(~sampling.held_out(F.col("doc_id"))), "quality", SAMPLE, "doc_id")
     # the sample holds at most 4 * SAMPLE rows, so it may be broadcast; the limit after the join is for repeated documents
-    texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").limit(4 * SAMPLE).collect()
+    texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", F.xxhash64("text"), "quality").limit(4 * SAMPLE).collect()
     return Model([(r["text"].encode(), r["quality"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"], r["quality"]))])
 
 
