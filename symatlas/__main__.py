@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from symatlas.engine import Workspace
-from symatlas.operators import output
+from symatlas.operators import output, stats
+from symatlas.sources import files
 
 COMMANDS = {
     "find": lambda w, a: w.find(a.name, a.kind or (), a.module, a.source_set or (), a.limit),
@@ -25,9 +26,27 @@ COMMANDS = {
     "summarize": lambda w, a: w.summary(a.name),
     "check": lambda w, a: w.check(),
     "snapshot": lambda w, a: w.snapshot(),
+    "anywhere": lambda w, a: w.find_anywhere(a.name),
+    "documented": lambda w, a: w.documented(a.name),
+    "lines": lambda w, a: w.lines_with(a.name),
+    "refs-at": lambda w, a: w.references_at(a.name, a.line, a.col),
+    "incoming": lambda w, a: w.call_hierarchy(a.name),
+    "outgoing": lambda w, a: w.call_hierarchy(a.name, False),
+    "implementations": lambda w, a: w.implementations(a.name),
+    "hover": lambda w, a: w.hover(a.name),
+    "inject": lambda w, a: w.inject(a.name, a.limit or 50),
+    "statistics": lambda w, a: w.statistics(),
+    "doctor": lambda w, a: stats.folder_statistics(files.listing(w.spark, w.root, exclude=False)),
+    "capabilities": lambda w, a: capabilities(w.spark),
 }
 
 
+def capabilities(spark: SparkSession) -> DataFrame:
+    """(command, flags): what this command line can be asked."""
+    flags = sorted(o for action in parser()._actions for o in action.option_strings if o.startswith("--"))
+    return spark.createDataFrame([(c, flags) for c in sorted(COMMANDS)], "command string, flags array<string>")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="symatlas", description=__doc__)
     out.add_argument("command", choices=sorted(COMMANDS))
@@ -39,6 +58,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--kind", action="append")
     out.add_argument("--module")
     out.add_argument("--source-set", action="append")
+    out.add_argument("--line", type=int, default=0)
+    out.add_argument("--col", type=int, default=0)
     out.add_argument("--target")
     out.add_argument("--ref-kind")
     out.add_argument("--no-imports", action="store_true")

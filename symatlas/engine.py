@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from symatlas.functions import identifiers as ids, paths
 from symatlas.operators import diagnose, graph, index, lookup, output, resolve, search, stats
 from symatlas.sources import extract, files
+from symatlas.sources.scanner import KEYWORDS
 
 CALLERS_CAP, SUBTYPES_CAP = 20, 50
 
@@ -96,6 +97,55 @@ class Workspace:
         rows = found.orderBy("file", "line", "col")
         return rows if limit is None else rows.limit(limit)
 
+    def find_anywhere(self, name: str, library: DataFrame | None = None) -> DataFrame:
+        """(file, line, kind, tier): definitions in the index, else in a library's symbols, else lines that declare the name."""
+        place = lambda s: s.filter(F.col("name") == name).select(F.lit(0).alias("k"), F.col("uri").alias("file"), F.col("sel_line").alias("line"), "kind")
+        tiers = [place(self.symbols)] + ([] if library is None else [place(library)])
+        lines = lookup.declared_lines(extract.lines(self.texts), name)
+        return resolve.first_tier([*tiers, lines.select(F.lit(0).alias("k"), F.col("uri").alias("file"), F.col("line_no").alias("line"), "kind")], "k").drop("k").orderBy("file", "line")
+
+    def scope_at(self, file: str, line: int, col: int) -> tuple[str, str | None, str | None] | None:
+        """The identifier at a place, and its declaration's parent type and package, as far as they are known."""
+        tokens = self.relation("tokens").filter((F.col("uri") == file) & (F.col("line") == line) & (F.col("col") <= col) & (F.col("col") + F.length("text") > col))
+        token = tokens.select("text").first()
+        if token is None:
+            return None
+        own = self.symbols.filter(F.col("name") == token["text"]).join(self.files.select("uri", "package"), "uri")
+        # the declaration at the place, else the first there is
+        found = own.orderBy((F.col("uri") != file) | (F.col("sel_line") != line), "uri", "ordinal").select("owner", "package").first()
+        return (token["text"], found["owner"], found["package"]) if found else (token["text"], None, None)
+
+    def references_at(self, file: str, line: int, col: int) -> DataFrame:
+        """References of the identifier at a place, within the scope of its declaration."""
+        name, parent, package = self.scope_at(file, line, col) or ("", None, None)
+        tokens = self.relation("tokens").select(F.col("uri").alias("file"), "line", "col", "text")
+        lines = extract.lines(self.texts).select(F.col("uri").alias("file"), F.col("line_no").alias("line"), "text")
+        imports = self.relation("imports").select(F.col("uri").alias("file"), F.col("full_path").alias("path"), "is_star")
+        declared = self.symbols.filter((F.col("name") == name) & F.col("owner").eqNullSafe(F.lit(parent))).select(F.col("uri").alias("file")).distinct()
+        return resolve.scoped_references(tokens, lines, imports, self.files.select(F.col("uri").alias("file"), "package"), name, parent, package, declared)
+
+    def call_hierarchy(self, query: str, incoming: bool = True) -> DataFrame:
+        """Callers or callees of one callable; a name of several gives its candidates."""
+        callables = self.symbols.filter(F.col("kind").isin("function", "method", "constructor"))
+        return graph.call_hierarchy(callables.select(F.concat_ws(".", "owner", "name").alias("key"), "name", F.col("uri").alias("file")), self.edges, query, incoming)
+
+    def inject(self, file: str, limit: int = 50) -> DataFrame:
+        """The types that a file uses, with their signatures."""
+        lines = extract.lines(self.texts.filter(F.col("uri") == file))
+        return lookup.injected(lines, self.symbols, sorted(KEYWORDS), limit)
+
+    def hover(self, name: str) -> DataFrame:
+        return output.hover(self.symbols.filter(F.col("name") == name))
+
+    def implementations(self, name: str) -> DataFrame:
+        return graph.implementations(self.types, name, extract.lines(self.texts))
+
+    def prewarm(self, file: str) -> int:
+        """Hold the symbols of the types that a file uses in memory, for completion; their number."""
+        names = lookup.used_types(extract.lines(self.texts.filter(F.col("uri") == file)), sorted(KEYWORDS), 1 << 20).select(F.col("name").alias("owner"))
+        self.warm = self.symbols.join(names, "owner", "left_semi").cache()
+        return self.warm.count()
+
     def callers(self, name: str) -> DataFrame:
         return self.edges.filter((F.col("callee") == name) | F.col("callee").endswith("." + name)).select("caller", "file").distinct()
 

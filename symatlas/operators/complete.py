@@ -15,10 +15,14 @@ def complete(candidates: DataFrame, prefix: str, cap: int = CAP) -> DataFrame:
 
     A small-letter prefix hides capitalised names in the local tiers (0, 1), and the other way round; a
     camel-case prefix hides names in capitals. From four letters on, local substring matches fall away.
+    Names of other packages (tier 2) come only for a prefix of two letters or more that doesn't begin in a small letter,
+    and then those that begin in a capital and match by prefix or acronym.
     """
     score = ids.match_score(F.col("name"), prefix)
     local = F.col("tier") <= 1
     found = candidates.withColumn("score", score).filter("score is not null")
+    gate = (F.col("score") <= 1) & F.col("name").rlike(r"^[^\p{Ll}]")
+    found = found.filter((F.col("tier") != 2) | gate) if len(prefix) >= 2 and not prefix[0].islower() else found.filter("tier != 2")
     if prefix:
         capital = F.col("name").rlike(r"^\p{Lu}")
         found = found.filter(~local | (capital if prefix[0].isupper() else ~capital))

@@ -27,12 +27,22 @@ def self_initialised(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").rlike(r"\b(?:val|var|let)\s+(\w+)\s*(?::[^=]*)?=\s*\1\s*(?:;|//.*)?$"))
 
 
+def _braced(depth: int) -> str:
+    """A regular expression for text with balanced braces, so many levels deep."""
+    return r"[^{}]*+" if not depth else r"[^{}]*+(?:\{" + _braced(depth - 1) + r"\}[^{}]*+)*+"
+
+
+#: Levels of braces that are followed inside a block.
+NESTED = 8
+_WHEN = r"(?s)\bwhen\s*\(([^()]*+(?:\([^()]*+\)[^()]*+)*+)\)\s*\{(" + _braced(NESTED) + r")\}"
+
+
 def when_without_else(texts: DataFrame) -> DataFrame:
-    """(uri, subject) of `when (subject)` blocks without an else branch; nested braces are not followed."""
-    blocks = F.regexp_extract_all("text", F.lit(r"(?s)\bwhen\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(1))
-    bodies = F.regexp_extract_all("text", F.lit(r"(?s)\bwhen\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(2))
+    """(uri, subject) of `when (subject)` blocks with one branch at most and no else; braces are followed NESTED levels deep."""
+    blocks, bodies = (F.regexp_extract_all("text", F.lit(_WHEN), F.lit(k)) for k in (1, 2))
     rows = texts.select("uri", F.explode(F.arrays_zip(blocks.alias("subject"), bodies.alias("body"))).alias("w"))
-    return rows.filter(~F.col("w.body").rlike(r"(?m)\belse\s*->")).select("uri", F.col("w.subject").alias("subject"))
+    single = F.size(F.split("w.body", " -> ")) <= 2
+    return rows.filter(~F.col("w.body").rlike(r"\belse\s*->") & single).select("uri", F.col("w.subject").alias("subject"))
 
 
 def argument_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:

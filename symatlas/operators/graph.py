@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from symatlas.operators import lookup
 from symatlas.session import shared_folder, shipped
 
 MAX_DEPTH, MAX_PATHS = 8, 1000
 #: Paths to a target that are followed at a level, as a multiple of the limit.
 WIDE = 16
+#: Candidates that an ambiguous name shows.
+CANDIDATES = 100
 
 
 def callers(edges: DataFrame, callee: str) -> DataFrame:
@@ -56,6 +59,43 @@ def hierarchy(edges: DataFrame, start: str, depth: int, down: bool = True) -> Da
     return callees_once(steps, start, depth).filter("depth > 0")
 
 
+def implementations(types: DataFrame, name: str, lines: DataFrame | None = None) -> DataFrame:
+    """(name, depth) of all subtypes of a type, however deep; where there are none, lines (uri, line_no, text) that look like them as (name, depth) with the place as name."""
+    found = hierarchy(types, name, 1 << 20)
+    if lines is None or not found.isEmpty():
+        return found
+    return lookup.implementor_lines(lines, name).select(F.format_string("%s:%d", "uri", F.col("line_no") + 1).alias("name"), F.lit(1).alias("depth"))
+
+
+def super_members(symbols: DataFrame, types: DataFrame, owner: str, member: str | None = None) -> DataFrame:
+    """(super, uri, line): the direct supertypes of a class, or their members of a name, with their definitions."""
+    up = types.filter(F.col("sub") == owner).select("super").distinct()
+    if member is None:
+        return up.join(symbols.select(F.col("name").alias("super"), "uri", F.col("sel_line").alias("line")), "super", "left")
+    return up.join(symbols.filter(F.col("name") == member).select(F.col("owner").alias("super"), "uri", F.col("sel_line").alias("line")), "super")
+
+
+def call_hierarchy(catalog: DataFrame, edges: DataFrame, query: str, incoming: bool = True) -> DataFrame:
+    """(status, key): the callers, or callees, of the one callable (key, name, file) that a name or Owner.name means.
+
+    A query that means several gives its candidates with the status ambiguous, and one that means none a row
+    with the status unknown. Callers by the bare name count where only one callable has it; callees
+    are those of the callable's own file.
+    """
+    candidates = catalog.filter((F.col("name") == query) | (F.col("key") == query)).select("key", "name", "file").distinct()
+    found = candidates.orderBy("key", "file").limit(CANDIDATES).collect()  # a bounded number of candidates
+    spark = catalog.sparkSession
+    if len(found) != 1:
+        rows = [("ambiguous", r["key"]) for r in found] or [("unknown", query)]
+        return spark.createDataFrame(rows, "status string, key string").distinct().orderBy("key")
+    key, name, file = found[0]
+    if not incoming:
+        return edges.filter((F.col("caller") == key) & (F.col("file") == file)).select(F.lit("found").alias("status"), F.col("callee").alias("key")).distinct().orderBy("key")
+    alone = catalog.filter(F.col("name") == name).select("key", "file").distinct().limit(2).count() == 1
+    own = (F.col("callee") == key) | (F.col("callee") == name) if alone else F.col("callee") == key
+    return edges.filter(own).select(F.lit("found").alias("status"), F.col("caller").alias("key")).distinct().orderBy("key")
+
+
 def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
     """(path, length, terminal, truncated): simple call paths from an entry over (caller, callee).
 

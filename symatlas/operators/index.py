@@ -43,6 +43,12 @@ def unchanged(manifest: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataF
     return listing.join(manifest.select(keys), keys, "left_semi"), listing.join(manifest.select(keys), keys, "left_anti")
 
 
+def warm(manifest: DataFrame, listing: DataFrame, written_secs: int) -> DataFrame:
+    """(path) to look at when an index of some age is there: its files that still exist, and those changed since it was written, less two seconds."""
+    kept = manifest.select("path").join(listing.select("path"), "path", "left_semi")
+    return kept.unionByName(listing.filter(F.col("mtime_secs") >= written_secs - 2).select("path")).dropDuplicates(["path"])
+
+
 def compacted(relation: DataFrame, listing: DataFrame) -> DataFrame:
     """Without the rows of files that are gone."""
     return relation.join(listing.select("uri").distinct(), "uri", "left_semi")

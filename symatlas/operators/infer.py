@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from symatlas.functions import identifiers as ids
+from symatlas.session import shipped
 
 from . import resolve
 
@@ -70,3 +74,99 @@ def highlights(tokens: DataFrame, name: str) -> DataFrame:
     """(uri, line, col, kind): write at declarations and assignments, read elsewhere."""
     written = F.arrays_overlap("ctx", F.array(F.lit("declaration"), F.lit("write")))
     return tokens.filter(F.col("text") == name).select("uri", "line", "col", F.when(written, "write").otherwise("read").alias("kind"))
+
+
+#: The bits of token modifiers, from the lowest.
+MODIFIERS = "declaration readonly static abstract async deprecated defaultLibrary".split()
+#: Functions whose lambda has the receiver as `it`, and as `this`; in others of a collection `it` is an element.
+IT_FUNCTIONS, THIS_FUNCTIONS = ("let", "also", "takeIf", "takeUnless"), ("run", "apply", "with")
+
+
+def modifier_bits(symbols: DataFrame) -> DataFrame:
+    """Symbols with the bits of their modifiers, from their signature and flags."""
+    says = lambda words: F.col("detail").rlike(rf"\b(?:{words})\b")
+    tests = (F.lit(True), says("val|final|let"), says("static|companion"), says("abstract"), says("suspend|async"), F.col("deprecated"), F.lit(False))
+    return symbols.withColumn("modifiers", sum(F.when(F.coalesce(t, F.lit(False)), 1 << i).otherwise(0) for i, t in enumerate(tests)))
+
+
+def token_phases(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(uri, line, col, text, type, modifiers): declarations, then uses of a function's parameters inside it, then references; the first phase wins at each place."""
+    at = ["uri", "line", "col", "text"]
+    declared = modifier_bits(symbols).select("uri", F.col("sel_line").alias("line"), F.col("sel_col").alias("col"), F.col("name").alias("text"), F.col("kind").alias("type"), "modifiers", F.lit(0).alias("phase"))
+    own = symbols.select("uri", "start_line", "end_line", F.explode("parameters").alias("p")).select("uri", "start_line", "end_line", F.col("p.name").alias("text"))
+    inside = tokens.select(*at).join(own, ["uri", "text"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    parameters = inside.select(*at, F.lit("parameter").alias("type"), F.lit(0).alias("modifiers"), F.lit(1).alias("phase")).distinct()
+    kinds = modifier_bits(symbols).groupBy(F.col("name").alias("text")).agg(F.min(F.struct("kind", "modifiers")).alias("k"))
+    references = tokens.select(*at).join(kinds, "text").select(*at, F.col("k.kind").alias("type"), F.col("k.modifiers").bitwiseAND(~1).alias("modifiers"), F.lit(2).alias("phase"))
+    both = declared.unionByName(parameters).unionByName(references)
+    first = both.groupBy("uri", "line", "col").agg(F.min(F.struct("phase", "text", "type", "modifiers")).alias("t"))
+    return first.select("uri", "line", "col", "t.text", "t.type", "t.modifiers")
+
+
+def label_details(symbols: DataFrame) -> DataFrame:
+    """Symbols with what a completion shows beside the name: the parameter list, and the type."""
+    shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws(": ", p["name"], p["type"])), ", ")
+    callable_ = F.col("kind").isin("function", "method", "constructor")
+    return symbols.withColumns({"label_detail": F.when(callable_, F.concat(F.lit("("), F.coalesce(shown, F.lit("")), F.lit(")"))).otherwise(""), "label_type": F.coalesce("return_type", F.lit(""))})
+
+
+def argument_types(arguments: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Arguments (call, callee, position, label) with the parameter and type that they are given for: by label where there is one, else by position."""
+    first = symbols.filter(F.size("parameters") > 0).groupBy(F.col("name").alias("callee")).agg(F.min_by("parameters", F.struct("uri", "ordinal")).alias("parameters"))
+    parameters = first.select("callee", F.posexplode("parameters").alias("at", "p"))
+    met = arguments.join(parameters, "callee").filter(F.when(F.col("label").isNotNull(), F.col("label") == F.col("p.name")).otherwise(F.col("position") == F.col("at")))
+    return met.select("call", "callee", "position", "label", F.col("p.name").alias("parameter"), F.col("p.type").alias("type"))
+
+
+def lambda_types(calls: DataFrame, types: DataFrame) -> DataFrame:
+    """(uri, receiver, method, word, type): what `it` or `this` is in the lambda of a call (uri, receiver, method), from the receivers' types (uri, var, type).
+
+    In scope functions it is the receiver, in others the element of a collection; other receivers give no row.
+    """
+    met = calls.join(types.withColumnRenamed("var", "receiver"), ["uri", "receiver"])
+    plain = F.regexp_replace("type", r"\?$", "")
+    scoped, this = F.col("method").isin(*IT_FUNCTIONS), F.col("method").isin(*THIS_FUNCTIONS)
+    found = met.select("uri", "receiver", "method", F.when(this, "this").otherwise("it").alias("word"), F.when(scoped | this, plain).otherwise(ids.collection_element(plain)).alias("type"))
+    return found.filter("type is not null")
+
+
+def active_call(text: str) -> tuple[str, int] | None:
+    """Name of the innermost call that a text before the cursor leaves open, and the number of the argument; strings and nested brackets are passed over."""
+    stack: list[list] = []
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if c in "\"'":
+            end = i + 1
+            while end < len(text) and text[end] != c:
+                end += 2 if text[end] == "\\" else 1
+            i = end
+        elif c in "([{":
+            name = re.search(r"(\w+)\s*(?:<[^<>()]*>)?\s*$", text[:i]) if c == "(" else None
+            stack.append([c, name[1] if name else None, 0])
+        elif c in ")]}" and stack:
+            stack.pop()
+        elif c == "," and stack:
+            stack[-1][2] += 1
+        i += 1
+    while stack:
+        bracket, name, commas = stack.pop()
+        if bracket == "(" and name:
+            return name, commas
+        if bracket == "{":
+            return None
+    return None
+
+
+def signature_help(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(req, name, active, signature, parameter) for requests (req, before), the text before a cursor: the call it is in, each definition's signature and the parameter's name."""
+    shipped(requests.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [(r, *call) for r, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (call := active_call(before or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["req", "name", "active"])
+
+    calls = requests.select(F.col("req").cast("long"), "before").mapInArrow(run, "req long, name string, active int")
+    own = symbols.filter(F.col("kind").isin("function", "method", "constructor", "class", "struct")).select("name", F.col("detail").alias("signature"), "parameters")
+    return calls.join(own, "name").select("req", "name", "active", "signature", F.get("parameters", F.col("active"))["name"].alias("parameter"))

@@ -1,4 +1,4 @@
-"""Lookups by name: definitions, documentation, lines of words, annotations, imports, batches of requests."""
+"""Lookups by name: definitions, declarations in text, documentation, lines of words, annotations, imports, batches of requests."""
 
 from __future__ import annotations
 
@@ -10,6 +10,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from symatlas.functions import paths
 
 
+#: Words before a declared name, modifiers that may precede them, and the words that name a type's declaration.
+DECLARING = "class struct interface object protocol fun func val var let typealias".split()
+DECLARING_MODIFIERS = "public private protected fileprivate open internal static abstract final".split()
+TYPE_WORDS = "class struct interface enum extension".split()
+_KINDS = {"fun": "function", "func": "function", "val": "property", "var": "property", "let": "property", "protocol": "interface"}
+
+
+def declaration_pattern(name: str) -> str:
+    """A regular expression for a line that declares a name: after a declaring word, as an extension function, or a type after modifiers."""
+    words = "|".join(DECLARING) + r"|enum\s+class"
+    modified = rf"(?:{'|'.join(DECLARING_MODIFIERS)}|\s)+(?:enum|class|struct|protocol)\s+"
+    return rf"(?:(?:{words})\s+|fun\s+\w[\w.]*\.|{modified}|extension\s+){re.escape(name)}\b"
+
+
+def declared_lines(lines: DataFrame, name: str) -> DataFrame:
+    """Lines (text) that declare a name, with the kind that the first word other than a modifier says."""
+    word = F.regexp_extract("text", rf"\b({'|'.join(DECLARING)}|enum|extension)\b", 1)
+    kind = word
+    for key, value in _KINDS.items():
+        kind = F.when(word == key, value).otherwise(kind)
+    return lines.filter(F.col("text").rlike(declaration_pattern(name))).withColumn("kind", kind)
+
+
+def implementor_lines(lines: DataFrame, name: str) -> DataFrame:
+    """Lines that name a type and declare another one: what subtypes look like where there is no index."""
+    named = word_lines(lines, name)
+    return named.filter(F.col("text").rlike(rf"\b(?:{'|'.join(TYPE_WORDS)})\b") & ~F.col("text").rlike(rf"\b(?:{'|'.join(TYPE_WORDS)})\s+{re.escape(name)}\b"))
+
+
+def used_types(lines: DataFrame, keywords: list[str], limit: int) -> DataFrame:
+    """(uri, name, line, uses): the capitalised words of each file outside imports, package and comment lines, the first `limit` in order of appearance."""
+    plain = lines.filter(~F.ltrim("text").rlike(r"^(import |package |//|/\*|\*)"))
+    words = plain.select("uri", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{Lu}[\p{L}\p{N}_]*|[\p{L}\p{N}_]+)"), F.lit(1))).alias("at", "name")).filter(F.col("name").rlike(r"^\p{Lu}") & ~F.col("name").isin(keywords))
+    met = words.groupBy("uri", "name").agg(F.min(F.struct("line_no", "at")).alias("first"), F.count("*").alias("uses"))
+    place = F.row_number().over(Window.partitionBy("uri").orderBy("first"))
+    return met.withColumn("place", place).filter(F.col("place") <= limit).select("uri", "name", (F.col("first.line_no") + 1).alias("line"), "uses")
+
+
+def injected(lines: DataFrame, symbols: DataFrame, keywords: list[str], limit: int) -> DataFrame:
+    """(uri, name, line, signature, uses) of the types that each file uses, most used first; a type without a definition has an empty signature."""
+    first = symbols.groupBy("name").agg(F.min_by("detail", F.struct("uri", "ordinal")).alias("signature"))
+    met = used_types(lines, keywords, limit).join(first, "name", "left")
+    return met.select("uri", "name", "line", F.coalesce("signature", F.lit("")).alias("signature"), "uses").orderBy("uri", F.desc("uses"), F.length("name"), "name")
+
+
+def mode(requested: str, indexed: bool) -> str:
+    """fast (text) or smart (index); auto is smart where there is an index."""
+    return requested if requested in ("fast", "smart") else "smart" if indexed else "fast"
+
+
 def find(symbols: DataFrame, name: str | None = None, part: str | None = None, owner: str | None = None, kinds: list[str] = (), module: str | None = None, source_sets: list[str] = ()) -> DataFrame:
     """Symbols that pass every test that is given: the name, a part of it in any case, the owner's last segment, kinds, a part of the module, source sets."""
     tests = []

@@ -62,3 +62,20 @@ def summarised(symbols: DataFrame, name: str) -> DataFrame:
     types = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("detail", F.lit(r"\b([A-Z]\w*)\b"), F.lit(1)), lambda t: t != F.lit(name))))
     met = first.join(members, (F.col("uri") == F.col("m_uri")) & (F.col("m_owner") == F.col("name")), "left")
     return met.groupBy("uri", "name", "kind", "visibility", "detail", "documentation").agg(F.array_sort(F.collect_set("member")).alias("members")).withColumn("types", types)
+
+
+def hover(symbols: DataFrame) -> DataFrame:
+    """(uri, line, name, markdown): the signature as a code block, then the documentation and where it is deprecated."""
+    language = paths.language(F.col("uri"))
+    code = F.concat(F.lit("```"), language, F.lit("\n"), F.col("detail"), F.lit("\n```"))
+    note = F.when(F.coalesce("deprecated", F.lit(False)), F.lit("*Deprecated*"))
+    return symbols.select("uri", F.col("sel_line").alias("line"), "name", F.concat_ws("\n\n", code, note, F.nullif("documentation", F.lit(""))).alias("markdown"))
+
+
+def rendered_documentation(text):
+    """A documentation column with its tags as markdown: parameters and the like as a list, links as code."""
+    linked = F.regexp_replace(F.regexp_replace(text, r"\{@(?:link|code|linkplain|literal)\s+([^}]*)\}", "`$1`"), r"\[([\w.]+)\](?!\()", "`$1`")
+    named = F.regexp_replace(linked, r"(?m)^\s*@(?:param|property)\s+(\S+)[ \t]*", "- `$1`: ")
+    thrown = F.regexp_replace(named, r"(?m)^\s*@(?:throws|exception)\s+(\S+)[ \t]*", "- throws `$1`: ")
+    back = F.regexp_replace(thrown, r"(?m)^\s*@returns?[ \t]+", "- returns ")
+    return F.regexp_replace(back, r"(?m)^\s*@(\w+)[ \t]*", "- $1 ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -95,3 +96,53 @@ def star_imports(imports: DataFrame, definitions: DataFrame, requests: DataFrame
     met = requests.join(imports.filter("is_star").select("file", "seq", F.col("path").alias("package")), "file").join(definitions.withColumnRenamed("file", "def_file"), ["package", "name"])
     first = F.row_number().over(Window.partitionBy("req").orderBy("seq", "def_file", "line"))
     return met.withColumn("place", first).filter("place = 1").select("req", "def_file", "line")
+
+
+def local(symbols: DataFrame, requests: DataFrame) -> DataFrame:
+    """For requests (req, file, name): the definitions of the name in the same file."""
+    own = symbols.select(F.col("uri").alias("file"), "name", F.col("sel_line").alias("line"))
+    return requests.join(own, ["file", "name"]).select("req", F.col("file").alias("def_file"), "line")
+
+
+def via_imports(imports: DataFrame, qualified: DataFrame, definitions: DataFrame, requests: DataFrame) -> DataFrame:
+    """For requests (req, file, name): what the first fitting import (file, seq, path, local_name, is_star) leads to.
+
+    An import leads to its path in the qualified names (fqn, def_file, line), else to definitions (name, package, def_file,
+    line) of its last segment in the package that the path's segments in small letters name, or in one below it.
+    """
+    met = requests.join(imports.filter("not is_star").withColumnRenamed("local_name", "name").select("file", "name", "seq", "path"), ["file", "name"])
+    exact = met.join(qualified.withColumnRenamed("fqn", "path"), "path").select("req", "seq", F.lit(0).alias("tier"), "def_file", "line")
+    prefix = F.regexp_extract("path", r"^((?:[\p{Ll}][^.]*\.)*)", 1)
+    short = met.select("req", "seq", F.substring_index("path", ".", -1).alias("name"), prefix.alias("prefix"))
+    inside = F.startswith(F.concat("package", F.lit(".")), "prefix") & (F.col("prefix") != "")
+    nested = short.join(definitions, "name").filter(inside).select("req", "seq", F.lit(1).alias("tier"), "def_file", "line")
+    both = exact.unionByName(nested)
+    best = both.groupBy("req").agg(F.min(F.struct("seq", "tier")).alias("best"))
+    return both.join(best, "req").filter(F.struct("seq", "tier") == F.col("best")).select("req", "def_file", "line").distinct()
+
+
+#: Words that say that a line declares something.
+DECLARATION_WORDS = ("class ", "interface ", "object ", "fun ", "val ", "var ", "typealias ", "enum class ", "enum ", "struct ", "protocol ", "func ", "let ", "extension ")
+
+
+def scoped_references(tokens: DataFrame, lines: DataFrame, imports: DataFrame, files: DataFrame, name: str, parent: str | None = None, package: str | None = None, declared_in: DataFrame | None = None, origin: str | None = None) -> DataFrame:
+    """(file, line, col) of a name as the declaration's scope allows: tokens (file, line, col, text), lines (file, line, text), imports (file, path, is_star), files (file, package).
+
+    With a parent type: where it stands as Parent.name, and anywhere in files that import Parent.name or all of
+    Parent, or that declare it (declared_in). Else with a package: in files of the package, and in those that import the name, or all, of it. Else everywhere.
+    Lines of imports and packages don't count, nor do lines of the file `origin` that declare something.
+    """
+    hits = tokens.filter(F.col("text") == name).select("file", "line", "col").join(lines.withColumnRenamed("text", "content"), ["file", "line"])
+    hits = hits.filter(~F.ltrim("content").rlike("^(import|package) "))
+    if parent is not None:
+        leads = F.when(F.col("is_star"), F.col("path").rlike(rf"(^|\.){re.escape(parent)}$")).otherwise(F.col("path").rlike(rf"(^|\.){re.escape(parent)}\.{re.escape(name)}$"))
+        candidates = imports.filter(leads).select("file")
+        candidates = candidates if declared_in is None else candidates.unionByName(declared_in.select("file"))
+        hits = hits.filter(F.col("content").rlike(rf"\b{re.escape(parent)}\.{re.escape(name)}\b")).unionByName(hits.join(candidates.distinct(), "file", "left_semi"))
+    elif package is not None:
+        leads = F.when(F.col("is_star"), F.col("path") == package).otherwise(F.col("path") == f"{package}.{name}")
+        candidates = imports.filter(leads).select("file").unionByName(files.filter(F.col("package") == package).select("file"))
+        hits = hits.join(candidates.distinct(), "file", "left_semi")
+    if origin is not None:
+        hits = hits.filter(~((F.col("file") == origin) & reduce(lambda a, b: a | b, (F.col("content").contains(w) for w in DECLARATION_WORDS))))
+    return sorted_locations(hits.select("file", "line", "col"), "file", "line", "col")

@@ -160,3 +160,29 @@ def find_tests(spark, sf_dir):
     stem = F.when(size % 5 == 0, "RingTest").when(size % 5 == 1, "TestRing").when(size % 5 == 2, "MyRingATest").otherwise("Other")
     files = read(spark, sf_dir, "part").select(F.concat(F.lit("m/src/"), F.when(size % 2 == 0, "test").otherwise("main"), F.lit("/"), stem, F.lit(".kt")).alias("path"), F.when(F.col("p_name").contains("ring"), "uses Ring").otherwise("").alias("text"))
     return diagnose.tests_for(files, "Ring")
+
+
+@query("argument_types", "SELECT l_orderkey AS call, 'f' || l_suppkey % 8 AS callee, l_linenumber - 1 AS position, 'p' || (l_linenumber - 1) AS parameter, 'T' || (l_linenumber - 1) AS type FROM lineitem WHERE l_linenumber - 1 <= l_suppkey % 8")
+def argument_types(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    label = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("p"), F.col("l_linenumber") - 1))
+    arguments = li.select(F.col("l_orderkey").alias("call"), F.concat(F.lit("f"), F.col("l_suppkey") % 8).alias("callee"), (F.col("l_linenumber") - 1).alias("position"), label.alias("label"))
+    parameters = F.transform(F.sequence(F.lit(0), F.col("id")), lambda i: F.struct(F.concat(F.lit("p"), i).alias("name"), F.concat(F.lit("T"), i).alias("type")))
+    symbols = spark.range(8).select(F.concat(F.lit("f"), "id").alias("name"), parameters.alias("parameters"), F.lit("u").alias("uri"), F.lit(0).alias("ordinal"))
+    return infer.argument_types(arguments, symbols).select("call", "callee", "position", "parameter", "type")
+
+
+@query("lambda_types", """WITH t AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'List<' || p_type || '>' ELSE p_type || '?' END AS type, p_type, p_size % 2 = 0 AS many, p_size % 3 AS k FROM part)
+SELECT p_partkey AS uri, CASE k WHEN 0 THEN 'let' WHEN 1 THEN 'apply' ELSE 'map' END AS method, CASE WHEN k = 1 THEN 'this' ELSE 'it' END AS word, CASE WHEN k < 2 AND many THEN type ELSE p_type END AS type FROM t WHERE k < 2 OR many""")
+def lambda_types(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    types = part.select(F.col("p_partkey").alias("uri"), F.lit("x").alias("var"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("List<"), "p_type", F.lit(">"))).otherwise(F.concat("p_type", F.lit("?"))).alias("type"))
+    method = F.when(F.col("p_size") % 3 == 0, "let").when(F.col("p_size") % 3 == 1, "apply").otherwise("map")
+    calls = part.select(F.col("p_partkey").alias("uri"), F.lit("x").alias("receiver"), method.alias("method"))
+    return infer.lambda_types(calls, types).select("uri", "method", "word", "type")
+
+
+@query("hover_text", """SELECT p_partkey AS line, '```kotlin' || chr(10) || 'val ' || p_name || chr(10) || '```' || CASE WHEN p_size % 5 = 0 THEN chr(10) || chr(10) || '*Deprecated*' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || p_type ELSE '' END AS markdown FROM part""")
+def hover_text(spark, sf_dir):
+    symbols = read(spark, sf_dir, "part").select(F.lit("a.kt").alias("uri"), F.col("p_partkey").alias("sel_line"), F.col("p_name").alias("name"), F.concat(F.lit("val "), "p_name").alias("detail"), (F.col("p_size") % 5 == 0).alias("deprecated"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("documentation"))
+    return output.hover(symbols).select("line", "markdown")

@@ -158,3 +158,17 @@ def lcs_diff(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("entry"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
     steps = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "word"))), lambda s: s["word"]).alias("steps")
     return graph.version_diff(docs.filter("doc_id % 2 = 0").groupBy("entry").agg(steps), docs.filter("doc_id % 3 != 1").groupBy("entry").agg(steps))
+
+
+@query("incoming_calls", f"WITH {CALL_EDGES} SELECT DISTINCT 'found' AS status, caller AS key FROM edges WHERE callee IN ('P7', 'p7')")
+def incoming_calls(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    catalog = part.select(F.concat(F.lit("P"), "p_partkey").alias("key"), F.concat(F.lit("p"), "p_partkey").alias("name"), F.lit("A").alias("file"))
+    return graph.call_hierarchy(catalog, call_edges(spark, sf_dir), "P7")
+
+
+@query("super_members", "SELECT DISTINCT n_name AS super, c_mktsegment AS uri, c_custkey AS line FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE s_suppkey = 3 AND c_custkey % 7 = 0")
+def super_members(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    symbols = customer.select(F.when(F.col("c_custkey") % 7 == 0, "run").otherwise("stop").alias("name"), F.col("n_name").alias("owner"), F.col("c_mktsegment").alias("uri"), F.col("c_custkey").alias("sel_line"))
+    return graph.super_members(symbols, type_edges(spark, sf_dir), "Supplier#000000003", "run")

@@ -352,3 +352,28 @@ def batch_requests(spark, sf_dir):
     part, supplier, li = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
     relations = {"definition": (part, "p_partkey", F.col("p_name"), None), "subtypes": (supplier, "s_nationkey", F.col("s_name"), 50), "callers": (li, "l_partkey", F.concat(F.lit("S"), "l_suppkey"), 20)}
     return lookup.batch(requests, relations).withColumnRenamed("req_id", "req")
+
+
+@query("warm_paths", "SELECT s_suppkey AS path FROM supplier WHERE s_suppkey % 4 <> 1 OR s_nationkey >= 18")
+def warm_paths(spark, sf_dir):
+    supplier = read(spark, sf_dir, "supplier")
+    listing = supplier.select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("mtime_secs"))
+    gone = supplier.select((-F.col("s_suppkey")).alias("path"))
+    return index.warm(listing.filter("path % 4 != 1").select("path").unionByName(gone), listing, 20)
+
+
+_CHANGED = "SELECT file, seq, path, p_name AS local_name FROM (SELECT s_suppkey AS file, p_partkey AS seq, lower(p_type) || '.' || p_name AS path, p_name FROM supplier JOIN part ON p_size = s_nationkey)"
+
+
+@query("import_tier", f"""WITH i AS ({_CHANGED}), q AS (SELECT DISTINCT lower(p_type) || '.' || p_name AS path, p_brand AS def_file FROM part WHERE p_brand = 'Brand#3'),
+r AS (SELECT file AS req, seq, 0 AS tier, def_file FROM i JOIN q USING (path) WHERE local_name = 'red ring'
+UNION ALL SELECT file, seq, 1, 'sub' FROM i WHERE local_name = 'red ring' AND starts_with(path, 'small.')), b AS (SELECT req, min((seq, tier)) AS best FROM r GROUP BY req)
+SELECT DISTINCT r.req, r.def_file FROM r JOIN b ON r.req = b.req AND (r.seq, r.tier) = b.best""")
+def import_tier(spark, sf_dir):
+    supplier, part = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+    path = F.concat(F.lower("p_type"), F.lit("."), F.col("p_name"))
+    imports = supplier.join(part, F.col("p_size") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file"), F.col("p_partkey").alias("seq"), path.alias("path"), F.col("p_name").alias("local_name"), F.lit(False).alias("is_star"))
+    qualified = part.filter("p_brand = 'Brand#3'").select(path.alias("fqn"), F.col("p_brand").alias("def_file"), F.lit(0).alias("line")).distinct()
+    definitions = spark.createDataFrame([("red ring", "small.inner", "sub", 0)], "name string, package string, def_file string, line int")
+    requests = supplier.select(F.col("s_suppkey").alias("req"), F.col("s_suppkey").alias("file"), F.lit("red ring").alias("name"))
+    return resolve.via_imports(imports, qualified, definitions, requests).select("req", "def_file")

@@ -214,3 +214,20 @@ def type_substitution(spark, sf_dir):
     signature = F.concat(F.lit("fun <T> map"), "p_size", F.lit("(x: T, y: U): List<T>"))
     mapping = F.create_map(F.lit("T"), "p_type", F.lit("U"), F.lit("T"))
     return part.select("p_partkey", ids.substituted(signature, mapping).alias("signature"))
+
+
+@query("declared_lines", """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 3 THEN 'extension' WHEN 4 THEN 'enum' END AS kind FROM part WHERE p_size % 6 NOT IN (2, 5)""")
+def declared_lines(spark, sf_dir):
+    kinds = F.col("p_size") % 6
+    text = F.when(kinds == 0, "public open class Ring(val x: Int)").when(kinds == 1, "  fun a.b.C.Ring() {").when(kinds == 2, "val y = Ring()").when(kinds == 3, "extension Ring: P {").when(kinds == 4, "private enum Ring {").otherwise("class Rings")
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return lookup.declared_lines(lines, "Ring").select("id", "kind")
+
+
+@query("used_types", r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+w AS (SELECT doc_id, line_no, unnest(range(len(x))) AS pos, unnest(x) AS name FROM (SELECT doc_id, line_no, regexp_extract_all(line, '[\p{L}\p{N}_]+') AS x FROM l WHERE NOT regexp_matches(ltrim(line), '^(import |package |//|/\*|\*)'))),
+m AS (SELECT doc_id, name, min((line_no, pos)) AS first, count(*) AS uses FROM w WHERE regexp_matches(name, '^\p{Lu}') AND name NOT IN ('The', 'Of') GROUP BY ALL)
+SELECT doc_id, name, line, uses FROM (SELECT doc_id, name, first[1] + 1 AS line, uses, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS place FROM m) WHERE place <= 5""")
+def used_types(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return lookup.used_types(lines, ["The", "Of"], 5).select(F.col("uri").alias("doc_id"), "name", F.col("line").cast("long").alias("line"), "uses")

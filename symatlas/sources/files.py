@@ -163,3 +163,26 @@ def write_index(relations: dict[str, DataFrame], folder: str, complete: bool = T
 
 def read_index(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def max_files(value: str | None, default: int | None = None) -> int | None:
+    """A cap on files from a setting: its number, or the default where it is none."""
+    return int(value) if value is not None and re.fullmatch(r"\+?\d+", value) else default
+
+
+def source_roots(workspace: list[str], configured: list[str], library: list[str], use_library: bool = True) -> list[tuple[str, bool]]:
+    """(root, is_library) of the folders whose sources join the index: the configured ones in place of the workspace's, and libraries unless they are left out; each once."""
+    found = [(r.rstrip("/"), False) for r in (configured or workspace)] + [(r.rstrip("/"), True) for r in (library if use_library else [])]
+    once: dict[str, bool] = {}
+    for root, flag in found:
+        once.setdefault(root, flag)
+    return list(once.items())
+
+
+def all_texts(spark: SparkSession, roots: list[tuple[str, bool]]) -> DataFrame:
+    """(uri, text, is_library) of the sources below several roots; a file below two of them counts once, as the workspace's if it is that."""
+    out = None
+    for root, flag in roots:
+        one = texts(spark, root).withColumn("is_library", F.lit(flag))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("uri").agg(F.first("text").alias("text"), F.min("is_library").alias("is_library"))

@@ -88,3 +88,20 @@ def test_command_line(workspace, spark, capsys):
     assert json.loads(capsys.readouterr().out)["owner"] == "Client"
     main(["callers", workspace.root, "flush"], spark)
     assert capsys.readouterr().out.startswith("Client.send\t")
+
+
+def test_places_and_scopes(workspace, capsys, spark):
+    client = next(r["uri"] for r in workspace.files.select("uri").collect() if r["uri"].endswith("/Client.kt"))
+    assert {r["tier"] for r in workspace.find_anywhere("send").collect()} == {1} and workspace.find_anywhere("nope").count() == 0
+    assert workspace.scope_at(client, 4, 8)[:2] == ("send", "Client") and workspace.scope_at(client, 0, 200) is None
+    places = {(r["file"].rpartition("/")[2], r["line"]) for r in workspace.references_at(client, 2, 6).collect()}
+    assert ("Client.kt", 2) in places and all(name != "ClientTest.kt" for name, _ in places)
+    assert [r["status"] for r in workspace.call_hierarchy("send").collect()] == ["ambiguous", "ambiguous"]
+    assert [r["key"] for r in workspace.call_hierarchy("Client.send").collect()] == ["LoginScreen.open"]
+    login = next(r["uri"] for r in workspace.files.select("uri").collect() if r["uri"].endswith("/Login.kt"))
+    assert {r["name"] for r in workspace.inject(login).collect()} >= {"Client", "Screen", "LoginScreen"}
+    assert workspace.hover("Client").first()["markdown"].startswith("```kotlin\n") and workspace.implementations("Screen").count() == 1
+    assert workspace.prewarm(login) > 0 and workspace.documented("LOGIN").count() == 1 and workspace.lines_with("retry").count() == 2
+    main(["capabilities", workspace.root], spark)
+    assert "incoming" in capsys.readouterr().out
+
