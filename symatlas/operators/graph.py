@@ -211,22 +211,36 @@ def definition_sites(paths: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def aligned(before: list[str], after: list[str]) -> list[tuple[str, str]]:
-    """(status, name) rows of a longest common subsequence alignment; at a tie what goes comes before what is new."""
-    n, m = len(before), len(after)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    """(status, name) rows of a longest common subsequence alignment; at a tie what goes comes before what is new.
+
+    A row of lengths is a running maximum over the row below, and of each cell only the choice is kept, as one bit.
+    """
+    import numpy as np
+
+    same = 0
+    while same < min(len(before), len(after)) and before[same] == after[same]:
+        same += 1
+    out, old, new = [("same", x) for x in before[:same]], before[same:], after[same:]
+    n, m = len(old), len(new)
+    numbers: dict[str, int] = {}
+    a, b = (np.array([numbers.setdefault(x, len(numbers)) for x in xs], np.int64) for xs in (old, new))
+    below = np.zeros(m + 1, np.int32)
+    goes = [b""] * n
     for i in reversed(range(n)):
-        for j in reversed(range(m)):
-            best[i][j] = best[i + 1][j + 1] + 1 if before[i] == after[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+        own = np.zeros(m + 1, np.int32)
+        own[:m] = np.maximum.accumulate(np.where(b == a[i], below[1:] + 1, below[:-1])[::-1])[::-1]
+        goes[i] = np.packbits(below[:-1] >= own[1:]).tobytes()
+        below = own
+    i = j = 0
     while i < n or j < m:
-        if i < n and j < m and before[i] == after[j]:
-            out.append(("same", before[i]))
+        if i < n and j < m and a[i] == b[j]:
+            out.append(("same", old[i]))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(("removed", before[i]))
+        elif j == m or i < n and goes[i][j >> 3] >> (7 - (j & 7)) & 1:
+            out.append(("removed", old[i]))
             i += 1
         else:
-            out.append(("added", after[j]))
+            out.append(("added", new[j]))
             j += 1
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, graphs, relations, searching, sources  # noqa: F401  each registers its queries
+from . import checks, extraction, graphs, relations, searching, sources  # noqa: F401  each registers its queries
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,8 @@
 import random
+from functools import lru_cache
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from symatlas.operators import complete, graph, index, infer, lookup, resolve, search, stats
@@ -84,6 +86,29 @@ def test_alignment_removes_first():
     assert graph.aligned([], ["a"]) == [("added", "a")]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_alignment_by_brute_force(before, after):
+    @lru_cache(None)
+    def longest(i, j):
+        if i == len(before) or j == len(after):
+            return 0
+        return longest(i + 1, j + 1) + 1 if before[i] == after[j] else max(longest(i + 1, j), longest(i, j + 1))
+
+    want, i, j = [], 0, 0
+    while i < len(before) or j < len(after):
+        if i < len(before) and j < len(after) and before[i] == after[j]:
+            want.append(("same", before[i]))
+            i, j = i + 1, j + 1
+        elif i < len(before) and (j == len(after) or longest(i + 1, j) >= longest(i, j + 1)):
+            want.append(("removed", before[i]))
+            i += 1
+        else:
+            want.append(("added", after[j]))
+            j += 1
+    assert graph.aligned(list(before), list(after)) == want
+
+
 def test_version_diff(spark):
     before = spark.createDataFrame([("e", ["a", "b"]), ("gone", ["x"])], "entry string, steps array<string>")
     after = spark.createDataFrame([("e", ["b", "c"])], "entry string, steps array<string>")
