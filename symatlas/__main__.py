@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symatlas.engine import Workspace
-from symatlas.operators import output, stats
+from symatlas.operators import diagnose, graph, infer, lookup, output, resolve, stats
 from symatlas.sources import files
 
 COMMANDS = {
@@ -36,6 +36,24 @@ COMMANDS = {
     "hover": lambda w, a: w.hover(a.name),
     "inject": lambda w, a: w.inject(a.name, a.limit or 50),
     "statistics": lambda w, a: w.statistics(),
+    "files": lambda w, a: w.files,
+    "symbols": lambda w, a: w.symbols.select("uri", "name", "kind", "owner", "detail", "sel_line").orderBy("uri", "sel_line", "name"),
+    "kinds": lambda w, a: stats.histogram(w.symbols, "kind", a.limit or 10),
+    "overview": lambda w, a: output.overview(w.symbols, w.files),
+    "modules": lambda w, a: stats.module_rollup(w.symbols.join(w.files.select("uri", "module"), "uri")),
+    "packages": lambda w, a: stats.package_dependencies(w.relation("imports").join(w.files.select("uri", "package"), "uri").select("package", F.col("full_path").alias("path"))),
+    "importers": lambda w, a: lookup.importers(w.relation("imports")),
+    "unused-imports": lambda w, a: resolve.unused_imports(w.imported(), w.words()),
+    "duplicate-imports": lambda w, a: resolve.duplicate_imports(w.imported()),
+    "organized-imports": lambda w, a: resolve.organized(w.imported(), w.words()),
+    "deprecated": lambda w, a: diagnose.deprecations(w.symbols),
+    "when": lambda w, a: diagnose.when_without_else(w.texts),
+    "tests": lambda w, a: diagnose.tests_for(w.texts.select(F.col("uri").alias("path"), "text"), a.name),
+    "expect-actual": lambda w, a: diagnose.expected_and_actual(w.symbols),
+    "supers-of": lambda w, a: graph.super_members(w.symbols, w.types, a.name),
+    "steps": lambda w, a: w.relation("steps").filter(F.col("caller_key") == a.name).orderBy("seq"),
+    "tokens": lambda w, a: infer.token_phases(w.relation("tokens"), w.symbols).orderBy("uri", "line", "col"),
+    "hints": lambda w, a: infer.hints(w.symbols, w.relation("types")),
     "doctor": lambda w, a: stats.folder_statistics(files.listing(w.spark, w.root, exclude=False)),
     "capabilities": lambda w, a: capabilities(w.spark),
 }

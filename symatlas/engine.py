@@ -86,6 +86,15 @@ class Workspace:
         search.write_index(self.search_documents, path)
         self.search_index = path
 
+    def imported(self) -> DataFrame:
+        """(file, path, local_name, is_star) of every import."""
+        return self.relation("imports").select(F.col("uri").alias("file"), F.col("full_path").alias("path"), "local_name", "is_star")
+
+    def words(self) -> DataFrame:
+        """(file, word) of the identifiers outside lines of imports."""
+        tokens, imports = self.relation("tokens"), self.relation("imports").select("uri", "line").distinct()
+        return tokens.join(imports, ["uri", "line"], "left_anti").select(F.col("uri").alias("file"), F.col("text").alias("word"))
+
     def references(self, name: str, kind: str | None = None, include_imports: bool = True, limit: int | None = None) -> DataFrame:
         """Places of a name with the kind of each; the limit comes after the filter by kind."""
         tokens = self.relation("tokens").select(F.col("uri").alias("file"), "line", "col", "text", "ctx")

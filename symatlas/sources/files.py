@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -186,3 +187,26 @@ def all_texts(spark: SparkSession, roots: list[tuple[str, bool]]) -> DataFrame:
         one = texts(spark, root).withColumn("is_library", F.lit(flag))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("uri").agg(F.first("text").alias("text"), F.min("is_library").alias("is_library"))
+
+
+def sdk_sources(root: str, environment: dict[str, str]) -> str | None:
+    """The platform sources of the highest level in the SDK that local.properties, or else the environment, names; a probe of the driver's machine."""
+    properties = Path(root) / "local.properties"
+    named = [v.strip() for k, found, v in (line.partition("=") for line in (properties.read_text().splitlines() if properties.is_file() else ())) if found and k.strip() == "sdk.dir"]
+    sdk = next((v for v in (*named[:1], environment.get("ANDROID_HOME"), environment.get("ANDROID_SDK_ROOT")) if v), None)
+    if sdk is None or not Path(sdk).is_dir():
+        return None
+    levels = {int(m[1]): p for p in Path(sdk, "sources").glob("android-*") if p.is_dir() and (m := re.fullmatch(r"android-(\d+)", p.name))}
+    return str(levels[max(levels)]) if levels else None
+
+
+def namespaces(build_files: DataFrame) -> DataFrame:
+    """(root, namespace) of modules from their files (path, text): the manifest's package, that below src/main first, else the build script's namespace."""
+    name, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "(/src/main)?/[^/]+$", "")
+    manifest = F.regexp_extract("text", r'package="([^"]+)"', 1)
+    script = F.regexp_extract("text", r'(?m)^\s*namespace\s*=?\s*"([^"]+)"', 1)
+    found = build_files.select(
+        folder.alias("root"), F.when(name == "AndroidManifest.xml", manifest).when(name == "build.gradle.kts", script).alias("namespace"),
+        F.when(name == "build.gradle.kts", 2).when(F.col("path").endswith("/src/main/AndroidManifest.xml"), 0).otherwise(1).alias("tier"),
+    )
+    return found.filter("namespace != ''").groupBy("root").agg(F.min_by("namespace", "tier").alias("namespace"))

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from symatlas.__main__ import main
+from symatlas.__main__ import COMMANDS, main, parser
 from symatlas.engine import Workspace
 from symatlas.sources.scanner import Scan
 
@@ -105,3 +105,8 @@ def test_places_and_scopes(workspace, capsys, spark):
     main(["capabilities", workspace.root], spark)
     assert "incoming" in capsys.readouterr().out
 
+
+@pytest.mark.parametrize("command", sorted(COMMANDS))
+def test_every_command(workspace, spark, command):
+    args = parser().parse_args([command, workspace.root, "send"])
+    COMMANDS[command](workspace, args).limit(1).collect()

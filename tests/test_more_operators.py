@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symatlas.operators import complete, diagnose, edits, graph, index, infer, lookup, output, resolve
+from symatlas.functions import standard
 from symatlas.sources import files
 from symatlas.streaming import changes
 from symatlas.streaming.progress import Progress
@@ -202,3 +203,30 @@ def test_warm_paths_and_progress(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(seen)
     assert seen.counters["ticks"]["rows"] == 1 and seen.counters["ticks"]["state"] == "ended"
+
+
+def test_sdk_and_namespaces(spark, tmp_path):
+    for level in ("android-9", "android-34", "android-x"):
+        (tmp_path / "sdk/sources" / level).mkdir(parents=True)
+    (tmp_path / "local.properties").write_text(f"a=b\nsdk.dir = {tmp_path}/sdk\n")
+    assert files.sdk_sources(str(tmp_path), {}).endswith("android-34") and files.sdk_sources(str(tmp_path / "sdk"), {}) is None
+    assert files.sdk_sources(str(tmp_path / "sdk"), {"ANDROID_HOME": f"{tmp_path}/sdk"}).endswith("android-34")
+    rows_ = [("/m/src/main/AndroidManifest.xml", '<manifest package="a.b">'), ("/m/build.gradle.kts", 'namespace = "c.d"'), ("/n/build.gradle.kts", ' android {\n  namespace = "e.f"'), ("/o/AndroidManifest.xml", "<manifest>")]
+    assert rows(files.namespaces(spark.createDataFrame(rows_, "path string, text string"))) == [("/m", "a.b"), ("/n", "e.f")]
+
+
+def test_qualified_access(spark):
+    symbols = spark.createDataFrame([("App", "client", "a", 1, "Client"), ("Client", "send", "c", 2, "Reply<Int>?"), ("Reply", "code", "r", 3, "Int"), ("Base", "close", "b", 4, None), ("App", "close", "a", 5, None)], "owner string, name string, uri string, sel_line int, return_type string")
+    supers = spark.createDataFrame([("App", "Base")], "sub string, super string")
+    types = spark.createDataFrame([("f", "x", "net.Client")], "uri string, var string, type string")
+    asked = [(1, "this", "client"), (2, "super", "close"), (3, "Client", "send"), (4, "x", "send"), (5, "client.send", "code"), (6, "y", "send"), (7, "this", "close"), (8, "this.client.send", "code")]
+    requests = spark.createDataFrame([(r, "f", "App", q, n) for r, q, n in asked], "req int, file string, owner string, qualifier string, name string")
+    assert rows(resolve.qualified_access(requests, symbols, supers, types)) == [(1, "a", 1), (2, "b", 4), (3, "c", 2), (4, "c", 2), (5, "r", 3), (7, "a", 5), (8, "r", 3)]
+
+
+def test_standard_members(spark):
+    found = standard.members_of(spark.createDataFrame([("List<Int>",), ("kotlin.String?",), ("Box",)], "type string"))
+    names = lambda t: {r["name"] for r in found.filter(F.col("type") == t).collect()}
+    assert {"map", "let", "size"} <= names("List<Int>") and {"trim", "let", "length"} <= names("kotlin.String?") and "let" in names("Box") and "map" not in names("Box")
+    table = {(r["receiver"], r["name"]): (r["kind"], r["return_type"]) for r in standard.members(spark).collect()}
+    assert table["collection", "size"] == ("property", "Int") and table["collection", "groupBy"][1] == "Map<K, List<T>>" and len(table) == len(standard.ANY + standard.COLLECTION + standard.STRING)
