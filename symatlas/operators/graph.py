@@ -139,7 +139,12 @@ def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth:
 
 
 def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
-    """(path_seq, name, depth, cycle): the tree of ordered calls (caller, seq, callee) under an entry; a node on its own path is a marked leaf."""
+    """(path_seq, name, depth, cycle): the tree of ordered calls (caller, seq, callee) under an entry; a node on its own path is a marked leaf.
+
+    The calls are a table in the shared folder, as every level of the recursion reads them.
+    """
+    stored = f"{shared_folder(spark)}/symatlas-calls-{uuid.uuid4().hex}"
+    edges.select("caller", "callee", "seq").write.parquet(stored)
     return spark.sql(
         """WITH RECURSIVE tree(name, path_seq, names, depth, cycle) AS (
              SELECT :entry, cast('' AS string), array(:entry), 0, false
@@ -148,7 +153,7 @@ def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
              FROM tree t JOIN {edges} e ON e.caller = t.name WHERE NOT t.cycle AND t.depth < :depth)
            SELECT path_seq, name, depth, cycle FROM tree""",
         args={"entry": entry, "depth": depth},
-        edges=edges.cache(),
+        edges=spark.read.parquet(stored),
     )
 
 

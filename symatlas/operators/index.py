@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from symatlas.functions import paths
 
@@ -95,5 +95,5 @@ def statistics(relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def latest_artifacts(artifacts: DataFrame) -> DataFrame:
     """(group, artifact, version): the newest version of each, numbers before texts, part by part."""
     parts = F.transform(F.split("version", r"[.\-_+]"), lambda p: F.struct(p.rlike("^[0-9]+$").cast("int").alias("numeric"), F.coalesce(p.try_cast("long"), F.lit(-1)).alias("n"), p.alias("text")))
-    ranked = artifacts.withColumn("place", F.row_number().over(Window.partitionBy("group", "artifact").orderBy(parts.desc(), F.desc("version"))))
-    return ranked.filter("place = 1").drop("place")
+    newest = F.max(F.struct(parts.alias("parts"), "version")).alias("newest")
+    return artifacts.groupBy("group", "artifact").agg(newest).select("group", "artifact", F.col("newest.version").alias("version"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from symatlas.functions import identifiers as ids
 
@@ -96,8 +96,7 @@ def same_package(files: DataFrame, definitions: DataFrame, requests: DataFrame)
 def star_imports(imports: DataFrame, definitions: DataFrame, requests: DataFrame) -> DataFrame:
     """For requests (req, file, name): the definition in the first star-imported package (by seq) that has the name."""
     met = requests.join(imports.filter("is_star").select("file", "seq", F.col("path").alias("package")), "file").join(definitions.withColumnRenamed("file", "def_file"), ["package", "name"])
-    first = F.row_number().over(Window.partitionBy("req").orderBy("seq", "def_file", "line"))
-    return met.withColumn("place", first).filter("place = 1").select("req", "def_file", "line")
+    return met.groupBy("req").agg(F.min(F.struct("seq", "def_file", "line")).alias("found")).select("req", "found.def_file", "found.line")
 
 
 def local(symbols: DataFrame, requests: DataFrame) -> DataFrame:

@@ -135,10 +135,12 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     """Rank rows with a score and the identity columns: deferred generated rows last, then score, then identity.
 
     A generated row is deferred where a row of the same name that isn't generated exists. Scores are
-    divided by the first returned row's, and capped at 1.
+    divided by the first returned row's, and capped at 1. Only generated rows are shuffled, to the names of
+    the others, so a name that very many rows have is no hot key.
     """
-    real = F.max((~F.col("generated")).cast("int")).over(Window.partitionBy("name"))
-    marked = scored.withColumn("deferred", F.col("generated") & (real == 1))
+    real = scored.filter(~F.col("generated")).select("name").distinct().withColumn("deferred", F.lit(True))
+    made = scored.filter("generated").join(real, "name", "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
+    marked = scored.filter(~F.col("generated")).withColumn("deferred", F.lit(False)).unionByName(made)
     top = marked.orderBy("deferred", F.desc("score"), *[F.asc_nulls_first(c) for c in IDENTITY]).limit(limit)
     first = F.first("score").over(Window.orderBy("deferred", F.desc("score"), *[F.asc_nulls_first(c) for c in IDENTITY]))
     return top.withColumn("relative", F.least(F.lit(1.0), F.col("score") / first))
