@@ -76,7 +76,7 @@ def extract_kotlin(spark, sf_dir):
     return _details(_relation(spark, sf_dir, _KOTLIN, ".kt", "symbols"))
 
 
-@query("extract_java", f"""SELECT 'S' || s_suppkey || '.java' AS uri, {_S} AS name, 'class' AS kind, 'public' AS visibility, 'public class Supplier' || s_suppkey || ' extends Nation' || s_nationkey || ' implements Part' || s_suppkey % 7 AS detail, NULL AS owner, NULL AS receiver, NULL AS returns,
+@query("extract_java", f"""SELECT 'S' || s_suppkey || '.java' AS uri, {_S} AS name, 'class' AS kind, 'public' AS visibility, 'public class Supplier' || s_suppkey || ' extends Nation' || s_nationkey || ' implements Part' || s_suppkey % 7 AS detail, NULL AS owner, NULL::VARCHAR AS receiver, NULL AS returns,
   '' AS parameters, NULL AS documentation, false AS deprecated, 2 AS line FROM supplier
 UNION ALL SELECT 'S' || s_suppkey || '.java', 'SIZE', 'constant', 'private', 'private static final int SIZE = 3', {_S}, NULL, NULL, '', 'Size of it.', false, 4 FROM supplier
 UNION ALL SELECT 'S' || s_suppkey || '.java', 'run', 'method', 'public', 'public String run(int x, List<Part' || s_suppkey % 7 || '> y)', {_S}, NULL, 'String', 'x:int,y:List<Part' || s_suppkey % 7 || '>', NULL, false, 6 FROM supplier""")
@@ -84,8 +84,8 @@ def extract_java(spark, sf_dir):
     return _details(_relation(spark, sf_dir, _JAVA, ".java", "symbols"))
 
 
-@query("extract_swift", f"""SELECT 'S' || s_suppkey || '.swift' AS uri, {_S} AS name, 'struct' AS kind, 'internal' AS visibility, 'struct Supplier' || s_suppkey || ': Nation' || s_nationkey AS detail, NULL AS owner, NULL AS receiver, NULL AS returns,
-  '' AS parameters, NULL AS documentation, false AS deprecated, 1 AS line FROM supplier
+@query("extract_swift", f"""SELECT 'S' || s_suppkey || '.swift' AS uri, {_S} AS name, 'struct' AS kind, 'internal' AS visibility, 'struct Supplier' || s_suppkey || ': Nation' || s_nationkey AS detail, NULL AS owner, NULL::VARCHAR AS receiver, NULL AS returns,
+  '' AS parameters, NULL::VARCHAR AS documentation, false AS deprecated, 1 AS line FROM supplier
 UNION ALL SELECT 'S' || s_suppkey || '.swift', 'size', 'property', 'internal', 'let size: Int', {_S}, NULL, 'Int', '', NULL, false, 2 FROM supplier
 UNION ALL SELECT 'S' || s_suppkey || '.swift', 'run', 'method', 'private', 'private func run(x: Int) -> Part' || s_suppkey % 7, {_S}, NULL, 'Part' || s_suppkey % 7, 'x:Int', NULL, false, 3 FROM supplier""")
 def extract_swift(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -70,3 +73,24 @@ def lines(texts: DataFrame) -> DataFrame:
 def checked(scan: DataFrame) -> DataFrame:
     """(uri, errors): how many syntax errors each file has."""
     return scan.select("uri", F.size("errors").alias("errors"))
+
+
+def imported_from(texts: DataFrame, full_path: str, name: str) -> DataFrame:
+    """(uri, line, kind): where a name that is imported by a path is declared, found by file names; only files that may hold it are scanned.
+
+    Files are named after the path's last capitalised segment but one, or its last, below the folders of its package, else
+    anywhere; the first of these ways that leads to the name counts, and in it files of the package come before others.
+    """
+    segments = full_path.split(".")
+    package = list(itertools.takewhile(lambda s: s[:1].islower(), segments))
+    stems = [s for s in segments if s[:1].isupper()][-2:]
+    ways = [F.when(F.col("uri").rlike(rf"(^|/){prefix}{re.escape(stem)}\.(kt|java|swift)$"), 2 * i + k) for i, stem in enumerate(stems) for k, prefix in enumerate(("/".join(map(re.escape, package)) + "/" if package else "", ""))]
+    if not ways:
+        return texts.select("uri", F.lit(0).alias("line"), F.lit("").alias("kind")).limit(0)
+    near = texts.withColumn("way", F.coalesce(*ways)).filter("way is not null")
+    scan = scanned(near)
+    found = relation(scan, "symbols").filter(F.col("name") == name).join(scan.select("uri", "package"), "uri").join(near.select("uri", "way"), "uri")
+    other = ~F.col("package").eqNullSafe(F.lit(".".join(package) or None))
+    rank = F.struct("way", other.alias("other"), "uri", "sel_line")
+    best = found.agg(F.min_by(F.struct("uri", F.col("sel_line").alias("line"), "kind"), rank).alias("best"))
+    return best.filter("best is not null").select("best.*")

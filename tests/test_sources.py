@@ -128,3 +128,13 @@ def test_manifest_actions_do_not_carry_over(spark):
     text = '<activity android:name=".A" android:exported="false"><intent-filter><action android:name="VIEW"/></intent-filter></activity><activity android:name=".B"/>'
     got = files.manifest_activities(spark.createDataFrame([("m", text)], "path string, text string"))
     assert [tuple(r)[1:] for r in got.collect()] == [(".A", False, ["VIEW"]), (".B", True, [])]
+
+
+def test_imported_from(spark):
+    texts = spark.createDataFrame(
+        [("/w/x/a/b/Outer.kt", "package a.b\nclass Outer { class Event }"), ("/w/y/Event.kt", "package q\nclass Event"), ("/w/z/Event.kt", "package c.d\n\nclass Event"), ("/w/Other.kt", "package a.b\nclass Event")], "uri string, text string"
+    )
+    at = lambda *a: [tuple(r) for r in extract.imported_from(texts, *a).collect()]
+    assert at("a.b.Outer.Event", "Event") == [("/w/x/a/b/Outer.kt", 1, "class")]
+    assert at("c.d.Event", "Event") == [("/w/z/Event.kt", 2, "class")] and at("q.Event", "Event") == [("/w/y/Event.kt", 1, "class")]
+    assert at("c.d.Nope", "Nope") == [] and at("c.d", "d") == []
