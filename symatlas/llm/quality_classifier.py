@@ -59,11 +59,15 @@ def long_subwords(word: bytes) -> Iterator[np.ndarray]:
     marked = np.frombuffer(b"<" + word + b">", np.uint8)
     for k in range(SHORTEST, LONGEST + 1):
         for at in range(0, len(marked) - k + 1, CHUNK):
-            piece = marked[at : at + CHUNK + k - 1]
-            crc = np.full(len(piece) - k + 1, 0xFFFFFFFF, np.uint32)
-            for i in range(k):
-                crc = _CRC[(crc ^ piece[i : i + len(crc)]) & np.uint32(0xFF)] ^ crc >> np.uint32(8)
-            yield (~crc).astype(np.int64) % (BUCKETS - 1)
+            yield crc_rows(marked[at : at + CHUNK + k - 1], k)
+
+
+def crc_rows(raw: np.ndarray, k: int) -> np.ndarray:
+    """The rows of all n-grams of k bytes."""
+    crc = np.full(max(0, len(raw) - k + 1), 0xFFFFFFFF, np.uint32)
+    for i in range(k):
+        crc = _CRC[(crc ^ raw[i : i + len(crc)]) & np.uint32(0xFF)] ^ crc >> np.uint32(8)
+    return (~crc).astype(np.int64) % (BUCKETS - 1)
 
 
 def pairs_again(words: list[bytes]) -> int:
@@ -127,31 +131,65 @@ class Model:
         self.bias = float(bias[1] - bias[0])
         self.shares = (vectors @ difference).astype(np.float32)
 
-    def scorer(self):
-        """A function from a text to its score, which remembers the shares of words."""
-        shares, array, bias = self.shares.tolist(), self.shares, self.bias
-        known: dict[bytes, tuple[float, int]] = {}
-
-        def score(text: bytes) -> float:
-            words = text.split()
-            count = AGAIN_WEIGHT * pairs_again(words)
-            total = count * shares[AGAIN]
-            for word in words:
-                found = known.get(word)
-                if found is None and len(word) > SHORT:
-                    found = (0.0, 0)
-                    for rows in long_subwords(word):
-                        found = (found[0] + float(array[rows].sum(dtype=np.float64)), found[1] + len(rows))
-                elif found is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    rows = subwords(word)
-                    found = known[word] = (sum(map(shares.__getitem__, rows)), len(rows))
-                total += found[0]
-                count += found[1]
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, bias + total / max(1, count)))))
-
-        return score
+    def scorer(self) -> "Scorer":
+        return Scorer(self)
+
+
+class Known(dict):
+    """The sum of the shares of a word's rows, and how many they are, as real and imaginary part; forgotten when there are many."""
+
+    def __init__(self, shares: np.ndarray):
+        super().__init__()
+        self.shares = shares
+
+    def __missing__(self, word: bytes) -> complex:
+        if len(word) > SHORT:
+            return sum((complex(float(self.shares[rows].sum(dtype=np.float64)), len(rows)) for rows in long_subwords(word)), 0j)
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Enter words of at most SHORT bytes: the n-grams of all are hashed together, and those across two words left out."""
+        size = np.array([len(w) + 2 for w in words])
+        marked = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
+        first = np.cumsum(size) - size
+        left = np.repeat(first + size, size) - np.arange(len(marked))  # bytes from a place to the end of its word
+        total = self.shares[[crc32(w, crc32(b"=")) % (BUCKETS - 1) for w in words]].astype(np.float64)
+        count = np.ones(len(words))
+        for k in range(SHORTEST, LONGEST + 1):
+            inside = np.zeros(len(marked))
+            at = np.flatnonzero(left >= k)
+            inside[at] = self.shares[crc_rows(marked, k)[at]]
+            total += np.add.reduceat(inside, first)
+            count += np.maximum(0, size - k + 1)
+        self.update(zip(words, (total + 1j * count).tolist()))
+
+
+class Scorer:
+    """Scores of texts, by a model's shares."""
+
+    def __init__(self, model: Model):
+        self.known, self.again, self.bias = Known(model.shares), float(model.shares[AGAIN]), model.bias
+
+    def __call__(self, text: bytes) -> float:
+        return self._of(text.split())
+
+    def batch(self, texts: list[bytes]) -> list[float]:
+        split = [t.split() for t in texts]
+        known = self.known
+        short = [w for w in set().union(*split) if len(w) <= SHORT]
+        fresh = [w for w in short if w not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = short
+        for at in range(0, len(fresh), CHUNK):
+            known.learn(fresh[at : at + CHUNK])
+        return [self._of(own) for own in split]
+
+    def _of(self, words: list[bytes]) -> float:
+        marks = AGAIN_WEIGHT * pairs_again(words)
+        both = sum(map(self.known.__getitem__, words), complex(marks * self.again, marks))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + both.real / max(1.0, both.imag)))))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
@@ -173,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         rate = shared.value.scorer()
 
         def step(batch):
-            scores = [rate(t) for t in common.texts(batch)]
+            scores = rate.batch(common.texts(batch))
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
 
         return step
