@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from symatlas.operators import lookup
-from symatlas.session import shared_folder, shipped
+from symatlas.operators import lookup, trees
+from symatlas.session import shared_folder
 
 MAX_DEPTH, MAX_PATHS = 8, 1000
-#: Paths to a target that are followed at a level, as a multiple of the limit.
-WIDE = 16
+#: Open paths that the first round of a walk to a target takes, and the most that a round takes.
+AT_ONCE, MOST_AT_ONCE = 1 << 14, 1 << 20
 #: Candidates that an ambiguous name shows.
 CANDIDATES = 100
 
@@ -96,65 +96,128 @@ def call_hierarchy(catalog: DataFrame, edges: DataFrame, query: str, incoming: b
     return edges.filter(own).select(F.lit("found").alias("status"), F.col("caller").alias("key")).distinct().orderBy("key")
 
 
-def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
-    """(path, length, terminal, truncated): simple call paths from an entry over (caller, callee).
-
-    A path ends at the target; without one it ends at a leaf, at the depth bound, or where all callees
-    are on the path already. Paths are ordered, at most `limit` are returned, and truncated says whether
-    there are more.
+def walkable(edges: DataFrame, implementors: DataFrame | None = None) -> DataFrame:
+    """(caller, callee, lang, mixed): what a walk over calls (caller, callee, file) can take from a node.
 
-    The walk goes level by level, and of each level only the first paths in order are followed: every
-    path that is cut off without a target would have given a path behind the limit. With a target, nodes
-    that are too far from it are left out, and up to WIDE times the limit are followed. So what a level
-    hands to the next is a bounded number of paths, whatever the graph; only the last nodes' callees are read.
+    A callee that calls nothing by its own name stands for the one caller whose name ends in .callee, if
+    there is one; else, as Type.method, for the same method of the type's implementors (super, sub). lang is
+    the suffix of the call's file, and mixed says that the node's calls are in several languages.
     """
-    steps = edges.select("caller", "callee").distinct().persist()
-    near = None if target is None else callees_once(steps.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), target, depth)
-    most = limit + 1 if target is None else limit * WIDE
-    ends, frontier, truncated = [], [[entry]], False
-    for level in range(depth + 1):
-        if target is not None:
-            ends += [p for p in frontier if p[-1] == target]
-            frontier = [p for p in frontier if p[-1] != target]
-        if level == depth or not frontier:
-            ends += frontier if target is None else []
-            break
-        held = spark.createDataFrame([(p,) for p in frontier], "path array<string>").withColumn("caller", F.element_at("path", -1))
-        more = held.join(steps, "caller").filter(~F.array_contains("path", F.col("callee"))).select("path", "callee")
-        if near is not None:
-            more = more.join(near.filter(F.col("depth") < depth - level).select(F.col("name").alias("callee")), "callee", "left_semi")
-        found = [r["path"] + [r["callee"]] for r in more.orderBy("path", "callee").limit(most).collect()]
-        if target is None:
-            whole = {tuple(r["path"]) for r in more.select("path").distinct().collect()}
-            ends += [p for p in frontier if tuple(p) not in whole]
-        truncated |= len(found) == most
-        frontier = found
-        if target is None:
-            both = sorted(ends + frontier)[:most]
-            ends, frontier = [p for p in both if len(p) <= level + 1], [p for p in both if len(p) > level + 1]
-    steps.unpersist()
-    ends.sort()
-    over = len(ends) > limit or (truncated and target is not None)
-    return spark.createDataFrame([(" > ".join(p), len(p) - 1, p[-1], over) for p in ends[:limit]], "path string, length int, terminal string, truncated boolean")
+    lang = F.regexp_extract("file", r"\.(kt|java|swift)$", 1)
+    calls = edges.select("caller", "callee", F.when(lang != "", lang).alias("lang")).distinct()
+    keys = calls.select(F.col("caller").alias("key")).distinct()
+    open_ = calls.select(F.col("callee").alias("name")).distinct().join(keys, F.col("name") == F.col("key"), "left_anti")
+    parts = F.split("key", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    ended = keys.filter(F.size(parts) > 1).select("key", F.explode(ends).alias("name")).groupBy("name").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n = 1")
+    alone = open_.join(ended, "name").select("name", "key")
+    stands = [keys.select(F.col("key").alias("name"), "key"), alone]
+    if implementors is not None:
+        rest = open_.join(alone.select("name"), "name", "left_anti").filter(F.col("name").contains("."))
+        typed = rest.select("name", F.substring_index("name", ".", 1).alias("super"), F.expr("substring(name, instr(name, '.'))").alias("method"))
+        stands.append(typed.join(implementors.select("super", "sub").distinct(), "super").select("name", F.concat("sub", "method").alias("key")))
+    names = stands[0]
+    for more in stands[1:]:
+        names = names.unionByName(more)
+    found = names.join(calls.withColumnRenamed("caller", "key"), "key").select(F.col("name").alias("caller"), "callee", "lang").distinct()
+    mixed = found.groupBy("caller").agg((F.min("lang") != F.max("lang")).alias("mixed"))
+    return found.join(mixed, "caller").select("caller", "callee", "lang", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+
+
+_PATHS = "path array<string>, done boolean"
 
 
-def call_tree(spark, edges: DataFrame, entry: str, depth: int) -> DataFrame:
-    """(path_seq, name, depth, cycle): the tree of ordered calls (caller, seq, callee) under an entry; a node on its own path is a marked leaf.
+def reach(spark, edges: DataFrame, entry: str, target: str | None = None, depth: int = MAX_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
+    """(path, length, terminal, truncated): simple call paths from an entry over (caller, callee), the first `limit` in order.
 
-    The calls are a table in the shared folder, as every level of the recursion reads them.
+    A path ends at the target; without one it ends at a leaf, at the depth bound, or where all callees
+    are on the path already. truncated says whether a walk in order had anything left to visit when it
+    had found the last path. With lang and mixed, as walkable() gives them, a node of several languages
+    is left in the language of the entry only.
+
+    The walk is a depth-first search that takes many steps at once: the open paths are tables in the shared
+    folder, a round takes the first of them in order, replaces each by its continuations, and ends when no
+    open path comes before the last path asked for. Dead ends only go, so no path is lost, however many
+    there are. Only counts reach the driver.
     """
-    stored = f"{shared_folder(spark)}/symatlas-calls-{uuid.uuid4().hex}"
-    edges.select("caller", "callee", "seq").write.parquet(stored)
-    return spark.sql(
-        """WITH RECURSIVE tree(name, path_seq, names, depth, cycle) AS (
-             SELECT :entry, cast('' AS string), array(:entry), 0, false
-             UNION ALL
-             SELECT e.callee, concat(t.path_seq, '.', lpad(cast(e.seq AS string), 6, '0')), array_append(t.names, e.callee), t.depth + 1, array_contains(t.names, e.callee)
-             FROM tree t JOIN {edges} e ON e.caller = t.name WHERE NOT t.cycle AND t.depth < :depth)
-           SELECT path_seq, name, depth, cycle FROM tree""",
-        args={"entry": entry, "depth": depth},
-        edges=spark.read.parquet(stored),
-    )
+    folder = f"{shared_folder(spark)}/symatlas-reach-{uuid.uuid4().hex}"
+    language = [c for c in ("lang", "mixed") if c in edges.columns]
+    edges.select("caller", "callee", *language).filter("caller IS NOT NULL AND callee IS NOT NULL").distinct().write.parquet(f"{folder}/steps")
+    steps = spark.read.parquet(f"{folder}/steps")
+    if len(language) == 2:
+        own = steps.filter(F.col("caller") == entry).agg(F.min("lang")).first()[0]
+        kept = ~F.col("mixed") if own is None else ~F.col("mixed") | F.col("lang").eqNullSafe(F.lit(own))
+        steps = (steps if own is None else steps.filter(kept)).select("caller", "callee").distinct()
+    last = F.element_at("path", -1)
+    free = (F.col("at") == F.col("caller")) & ~F.array_contains("path", F.col("callee"))
+    if target is None:
+        joined, out_of = "left", steps
+    else:  # only nodes from which a walk of the calls that are left gets to the target
+        near = callees_once(steps.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), target, depth)
+        out_of = steps.join(near.select(F.col("name").alias("callee"), F.col("depth").alias("far")), "callee")
+        free = free & (F.col("far") <= depth - F.size("path"))
+        joined = "inner"
+
+    def table(name: str, frame: DataFrame) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(_PATHS).parquet(f"{folder}/{name}")
+
+    done = target == entry or depth == 0 and target is None
+    grown = [table("0", spark.createDataFrame([([entry], done)], _PATHS))]
+    open_, n_open, at_once, round_ = grown[0].filter("NOT done"), int(not done and depth > 0), AT_ONCE if target else limit + 1, 0
+    while n_open and limit:
+        round_ += 1
+        rest = None
+        first = open_
+        if n_open > at_once:
+            first = table(f"{round_}-first", open_.orderBy("path").limit(at_once))
+            if target is not None:  # without a target every open path gives a path, so those behind the first are never asked for
+                rest = open_.crossJoin(F.broadcast(first.agg(F.max("path").alias("bound")))).filter("path > bound").select("path", "done")
+                at_once = min(2 * at_once, MOST_AT_ONCE)
+        ahead = first.withColumn("at", last).join(out_of, free, joined)
+        path = F.when(F.col("callee").isNull(), F.col("path")).otherwise(F.concat("path", F.array("callee")))
+        ended = F.size("path") > depth if target is None else last == target
+        ahead = ahead.select(path.alias("path"), "callee").select("path", (F.col("callee").isNull() | ended if target is None else ended).alias("done"))
+        grown.append(table(str(round_), ahead))
+        open_ = grown[-1].filter("NOT done")
+        if rest is not None:
+            open_ = table(f"{round_}-open", open_.unionByName(rest))
+        n_open, least = open_.agg(F.count("*"), F.min("path")).first()
+        if n_open:
+            ends = _ends(grown)
+            before = ends.crossJoin(F.broadcast(spark.createDataFrame([(least,)], "least array<string>"))).filter("path < least").limit(limit).count()
+            if before >= limit:
+                break
+    paths = table("paths", _ends(grown).orderBy("path").limit(limit))
+    # what the walk would visit next: an unvisited callee behind the one that the last path takes, anywhere on it
+    final = paths.agg(F.count("*").alias("n"), F.max("path").alias("path")).filter(F.col("n") >= limit)
+    places = final.select("path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i")).filter("i < size(path)") if limit else None
+    if places is None:
+        more = spark.createDataFrame([(True,)], "truncated boolean")
+    else:
+        later = places.join(steps, F.col("caller") == F.element_at("path", F.col("i"))).filter((F.col("callee") > F.element_at("path", F.col("i") + 1)) & ~F.array_contains(F.slice("path", F.lit(1), F.col("i")), F.col("callee")))
+        more = later.agg((F.count("*") > 0).alias("truncated"))
+    # one row on the right side
+    rows = paths.crossJoin(F.broadcast(more)).orderBy("path")
+    return rows.select(F.array_join("path", " > ").alias("path"), (F.size("path") - 1).alias("length"), F.element_at("path", -1).alias("terminal"), "truncated")
+
+
+def _ends(grown: list[DataFrame]) -> DataFrame:
+    out = grown[0]
+    for more in grown[1:]:
+        out = out.unionByName(more)
+    return out.filter("done")
+
+
+def call_tree(spark, edges: DataFrame, entry: str, depth: int, limit: int = trees.MAX_NODES) -> DataFrame:
+    """(path_seq, name, depth, cycle, truncated): the tree of ordered calls (caller, seq, callee) under an entry; a node on its own path is a marked leaf.
+
+    At most the first `limit` nodes are given, in the order of the tree, and truncated says whether there are more.
+    """
+    steps = edges.select("caller", F.lit(trees.BODY).alias("parent"), "seq", F.lit("call").alias("kind"), F.col("callee").alias("name"))
+    nodes = trees.expanded(steps, spark.createDataFrame([(entry,)], "entry string"), depth, limit, mark_last=True)
+    place = F.aggregate(F.slice("path", 2, F.size("path")), F.lit(""), lambda text, i: F.concat(text, F.lit("."), F.lpad(i.cast("string"), 6, "0")))
+    return nodes.select(place.alias("path_seq"), "name", "depth", "cycle", "truncated")
 
 
 def callees_once(edges: DataFrame, entry: str, depth: int) -> DataFrame:
@@ -216,58 +279,14 @@ def definition_sites(paths: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def aligned(before: list[str], after: list[str]) -> list[tuple[str, str]]:
-    """(status, name) rows of a longest common subsequence alignment; at a tie what goes comes before what is new.
-
-    A row of lengths is a running maximum over the row below, and of each cell only the choice is kept, as one bit.
-    """
-    import numpy as np
-
-    same = 0
-    while same < min(len(before), len(after)) and before[same] == after[same]:
-        same += 1
-    out, old, new = [("same", x) for x in before[:same]], before[same:], after[same:]
-    n, m = len(old), len(new)
-    numbers: dict[str, int] = {}
-    a, b = (np.array([numbers.setdefault(x, len(numbers)) for x in xs], np.int64) for xs in (old, new))
-    below = np.zeros(m + 1, np.int32)
-    goes = [b""] * n
-    for i in reversed(range(n)):
-        own = np.zeros(m + 1, np.int32)
-        own[:m] = np.maximum.accumulate(np.where(b == a[i], below[1:] + 1, below[:-1])[::-1])[::-1]
-        goes[i] = np.packbits(below[:-1] >= own[1:]).tobytes()
-        below = own
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(("same", old[i]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and goes[i][j >> 3] >> (7 - (j & 7)) & 1:
-            out.append(("removed", old[i]))
-            i += 1
-        else:
-            out.append(("added", new[j]))
-            j += 1
-    return out
+    """(status, name) rows of a longest common subsequence alignment; at a tie what goes comes before what is new."""
+    return [(status, before[i] if i >= 0 else after[j]) for status, i, j in trees.aligned(before, after)]
 
 
 def version_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(entry, pos, status, name): the aligned differences of (entry, steps) of two versions.
-
-    The alignment is sequential, so it is an Arrow mapping over one row for each entry.
-    """
-    shipped(before.sparkSession)
-    both = before.select("entry", F.col("steps").alias("b")).join(after.select("entry", F.col("steps").alias("a")), "entry", "full")
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for entry, b, a in zip(frame["entry"], frame["b"], frame["a"]):
-                rows += [(entry, i, s, n) for i, (s, n) in enumerate(aligned(list(b) if b is not None else [], list(a) if a is not None else []))]
-            yield pd.DataFrame(rows, columns=["entry", "pos", "status", "name"])
-
-    return both.mapInPandas(run, "entry string, pos int, status string, name string")
+    """(entry, pos, status, name): the aligned differences of two versions of steps (entry, pos, name), or of (entry, steps) with arrays."""
+    b, a = (t.select("entry", F.posexplode("steps").alias("pos", "name")) if "steps" in t.columns else t for t in (before, after))
+    return trees.aligned_rows(b, a, "entry").select("entry", "pos", "status", "name")
 
 
 def changed_entries(before: DataFrame, after: DataFrame) -> DataFrame:
