@@ -41,8 +41,8 @@ TOP = 10
 BLOCK, BLOCK_TERMS = 128, 1 << 18
 #: Bytes of queries that are searched together.
 QUERY_BYTES = 8 << 20
-#: Blocks of the index that a search sorts together.
-BATCH = 64
+#: Blocks of the index that a search sorts together, and bytes of a row group of the stored index, which a task reads at once.
+BATCH, ROW_GROUP = 64, 16 << 20
 
 #: A-Z lower-cased; ASCII letters, digits and everything beyond ASCII belong to terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -326,7 +326,7 @@ def searched(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     out = []
     n_docs, n_terms = statistics(docs)
     if n_docs:
-        blocks = scratch.written(index_of(docs, n_docs, n_terms), "blocks")
+        blocks = scratch.written(index_of(docs, n_docs, n_terms), "blocks", **{"parquet.block.size": str(ROW_GROUP)})
         for held in query_sets(items):
             names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(held)], f"query int, item_id {kind}")
             found = scratch.written(search(blocks, n_docs, [r[1] for r in held], top), "ranked")
