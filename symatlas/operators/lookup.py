@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from symatlas.functions import paths
-
+from symatlas.operators import grams
 
 #: Words before a declared name, modifiers that may precede them, and the words that name a type's declaration.
 DECLARING = "class struct interface object protocol fun func val var let typealias".split()
@@ -93,6 +93,23 @@ def word_lines(lines: DataFrame, word: str) -> DataFrame:
     return lines.filter(F.col("text").rlike(rf"(?:^|[^a-zA-Z0-9_]){re.escape(word)}(?:$|[^a-zA-Z0-9_])"))
 
 
+def text_lines(spark, path: str, word: str) -> DataFrame:
+    """(id, line_no, text): word_lines over the texts of a stored trigram index; only rows that hold the word's trigrams are split and searched."""
+    found = grams.rows_with(spark, path, word).filter(F.col("text").contains(word))
+    return word_lines(found.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")), word)
+
+
+def text_declarations(spark, path: str, name: str) -> DataFrame:
+    """(id, line_no, text, kind): declared_lines over the texts of a stored trigram index."""
+    found = grams.rows_with(spark, path, name).filter(F.col("text").contains(name))
+    return declared_lines(found.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")), name)
+
+
+def text_documents(spark, path: str, part: str) -> DataFrame:
+    """The rows of a stored trigram index whose text holds a part in any case."""
+    return grams.rows_with(spark, path, part).filter(F.lower("text").contains(part.lower()))
+
+
 def imports_of(imports: DataFrame, part: str) -> DataFrame:
     """(uri) of the files that import a path with a part."""
     return imports.filter(F.col("full_path").contains(part)).select("uri").distinct()

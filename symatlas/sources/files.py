@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from symatlas.functions import paths
 from symatlas.session import shipped
 
+from .store import Store
+
 #: Folders that hold no sources of the workspace, by name at any depth, and by path.
 EXCLUDED = (
     ".git build target .gradle .build DerivedData Generated .kotlin .idea .fleet .vscode node_modules .cache captures .externalNativeBuild .cxx xcuserdata Pods"
@@ -145,25 +147,18 @@ def manifest_activities(manifests: DataFrame) -> DataFrame:
 
 
 def write_index(relations: dict[str, DataFrame], folder: str, complete: bool = True) -> bool:
-    """Write the relations as Parquet, files by language. A larger complete index is not replaced by a smaller incomplete one."""
-    spark = next(iter(relations.values())).sparkSession
-    count = relations["files"].count()
-    if not complete:
-        try:
-            old = spark.read.parquet(f"{folder}/_meta").first()
-        except Exception:  # no index yet
-            old = None
-        if old and old["complete"] and old["files"] > count:
-            return False
-    for name, frame in relations.items():
-        writer = frame.write.mode("overwrite")
-        (writer.partitionBy("lang") if name == "files" else writer).parquet(f"{folder}/{name}")
-    spark.createDataFrame([(1, complete, count)], "version int, complete boolean, files long").write.mode("overwrite").parquet(f"{folder}/_meta")
-    return True
+    """Write the relations as a new version of the index in a folder. A larger complete index is not replaced by a smaller incomplete one."""
+    return Store(next(iter(relations.values())).sparkSession, folder).write(relations, complete)
+
+
+def refresh_index(spark: SparkSession, folder: str, changed: DataFrame, fresh: dict[str, DataFrame]) -> int:
+    """Put fresh rows in place of those of the changed files (uri), in the index where it lies; the new version's number."""
+    return Store(spark, folder).replace(changed, fresh)
 
 
 def read_index(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    store = Store(spark, folder)
+    return {n: store.read(n) for n in names}
 
 
 def max_files(value: str | None, default: int | None = None) -> int | None:
