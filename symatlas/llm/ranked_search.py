@@ -38,7 +38,7 @@ from . import common
 
 TOP = 10
 #: Documents of a block, and postings after which it is closed.
-BLOCK, BLOCK_TERMS = 128, 1 << 18
+BLOCK, BLOCK_TERMS = 64, 1 << 17
 #: Bytes of queries that are searched together.
 QUERY_BYTES = 8 << 20
 #: Blocks of the index that a search sorts together, and bytes of a row group of the stored index, which a task reads at once.
