@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from symatlas.session import shared_folder, shipped
 
 BODY = -1
 #: Nodes of a tree that are given at most, unless more are asked for.
 MAX_NODES = 1 << 17
+#: Rows of a batch of alignments.
+ROWS = 10000
 #: Cells of an alignment whose choices are held at once, as bits.
 CELLS = 1 << 22
 
@@ -224,31 +228,51 @@ def aligned(before: list[str], after: list[str], cells: int | None = None) -> li
     return out
 
 
-def aligned_rows(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
-    """(*by, pos, status, name, pos_before, pos_after): two versions of lists (*by, pos, name), a row for each item, aligned list by list.
+def aligned_rows(before: DataFrame, after: DataFrame, *by: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, pos, status, name, pos_before, pos_after, *carry): two versions of lists (*by, pos, name), a row for each item, aligned list by list.
 
-    A list is sequential and lies in one task; it holds the items' names and a linear number of further values.
+    carry are further columns of the items, of the later version where an item is in both. Lists lie in order in their tasks and are read as they come. A list is sequential: its task holds its names,
+    and a linear number of further values.
     """
     shipped(before.sparkSession)
-    keys = ", ".join(f"{k} {before.schema[k].dataType.simpleString()}" for k in by)
-
-    def run(key, b, a):
-        import pandas as pd
-
-        b, a = b.sort_values("pos"), a.sort_values("pos")
-        old, new, at, to = b["name"].tolist(), a["name"].tolist(), b["pos"].tolist(), a["pos"].tolist()
-        rows = [(i, s, old[x] if x >= 0 else new[y], at[x] if x >= 0 else None, to[y] if y >= 0 else None) for i, (s, x, y) in enumerate(aligned(old, new))]
-        out = pd.DataFrame(rows, columns=["pos", "status", "name", "pos_before", "pos_after"]).astype({"pos_before": "Int64", "pos_after": "Int64"})
-        first = (b if len(b) else a).iloc[0]
-        for k in reversed(by):
-            out.insert(0, k, [first[k]] * len(out))
-        return out
-
-    cols = [*by, "pos", "name"]
-    # names of their own, as both may come from one table
-    b, a = (t.select(*(F.col(c).alias(c) for c in cols)) for t in (before, after))
-    pairs = b.groupBy(*by).cogroup(a.groupBy(*by))
-    return pairs.applyInPandas(run, f"{keys}, pos int, status string, name string, pos_before long, pos_after long")
+    cols = [*by, "pos", "name", *carry]
+    both = before.select(*cols, F.lit(0).alias("side")).unionByName(after.select(*cols, F.lit(1).alias("side")))
+    ordered = both.select(*by, "side", F.col("pos").cast("long").alias("pos"), "name", *carry).repartition(*by).sortWithinPartitions(*by, "side", "pos")
+    made = {"pos": pa.int32(), "status": pa.string(), "name": pa.string(), "pos_before": pa.int64(), "pos_after": pa.int64()}
+    field = lambda k: to_arrow_schema(ordered.select(k).schema).field(0)
+    schema = pa.schema([*map(field, by), *(pa.field(n, t) for n, t in made.items()), *map(field, carry)])
+
+    def run(batches):
+        key, held, out = None, ([], []), [[] for _ in schema]
+
+        def flush(key, b, a):
+            for i, (status, x, y) in enumerate(aligned([r[1] for r in b], [r[1] for r in a])):
+                row = (*key, i, status, b[x][1] if x >= 0 else a[y][1], b[x][0] if x >= 0 else None, a[y][0] if y >= 0 else None, *(a[y] if y >= 0 else b[x])[2:])
+                for column, value in zip(out, row):
+                    column.append(value)
+
+        def ready():
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            for column in out:
+                column.clear()
+            return made
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*by, "side", "pos", "name", *carry))):
+                own, side, item = row[: len(by)], row[len(by)], row[len(by) + 1 :]
+                if own != key:
+                    if key is not None:
+                        flush(key, *held)
+                    if len(out[0]) >= ROWS:
+                        yield ready()
+                    key, held = own, ([], [])
+                held[side].append(item)
+        if key is not None:
+            flush(key, *held)
+        yield ready()
+
+    types, more = (", ".join(f"{k} {before.schema[k].dataType.simpleString()}" for k in ks) for ks in (by, carry))
+    return ordered.mapInArrow(run, f"{types}, pos int, status string, name string, pos_before long, pos_after long" + (f", {more}" if more else ""))
 
 
 def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -274,15 +298,10 @@ def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         up = F.slice("path", 1, depth - 1)
         kids = {v: t.filter(F.size("path") == depth).select("entry", up.alias(f"path_{v}"), F.element_at("path", -1).alias("pos"), F.col("path"), "kind", "name") for v, t in (("b", b), ("a", a))}
         pairs = last.filter("status = 'same'").select("entry", "place", "path_b", "path_a")
-        lists = [pairs.join(kids[v], ["entry", f"path_{v}"]).select("entry", "place", "pos", "name") for v in ("b", "a")]
-        rows = aligned_rows(*lists, "entry", "place")
-        matched = rows.join(pairs, ["entry", "place"]).select(
-            "entry", F.concat("place", F.array("pos")).alias("place"), F.when(F.col("pos_before").isNotNull(), F.concat("path_b", F.array(F.col("pos_before").cast("int")))).alias("path_b"),
-            F.when(F.col("pos_after").isNotNull(), F.concat("path_a", F.array(F.col("pos_after").cast("int")))).alias("path_a"), "status", "name",
-        )
-        kinds = {v: kids[v].select("entry", F.col("path").alias(f"path_{v}"), F.col("kind").alias(f"kind_{v}")) for v in ("b", "a")}
-        named = matched.join(kinds["b"], ["entry", "path_b"], "left").join(kinds["a"], ["entry", "path_a"], "left")
-        out = named.select("entry", "place", "path_b", "path_a", "status", F.coalesce("kind_a", "kind_b").alias("kind"), "name")
+        lists = [pairs.join(kids[v], ["entry", f"path_{v}"]).select("entry", "place", "path_b", "path_a", "pos", "name", "kind") for v in ("b", "a")]
+        rows = aligned_rows(*lists, "entry", "place", "path_b", "path_a", carry=("kind",))
+        paths = [F.when(F.col(f"pos_{w}").isNotNull(), F.concat(v, F.array(F.col(f"pos_{w}").cast("int")))).alias(v) for v, w in (("path_b", "before"), ("path_a", "after"))]
+        out = rows.select("entry", F.concat("place", F.array("pos")).alias("place"), *paths, "status", "kind", "name")
         for v, w, status in (("b", "a", "removed"), ("a", "b", "added")):
             below = last.filter(F.col("status") == status).select("entry", "place", f"path_{v}", "status").join(kids[v], ["entry", f"path_{v}"])
             paths = {v: F.col("path"), w: F.lit(None).cast("array<int>")}

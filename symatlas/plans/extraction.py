@@ -69,6 +69,7 @@ def _details(rows):
 
 @query("extract_kotlin", f"""SELECT {_K} AS uri, {_S} AS name, 'class' AS kind, 'public' AS visibility, 'class Supplier' || s_suppkey || '(val id: Int) : Nation' || s_nationkey || '()' AS detail, NULL AS owner, NULL AS receiver, NULL AS returns,
   'id:Int' AS parameters, 'Delivers part ' || s_suppkey % 7 || '.' AS documentation, true AS deprecated, 6 AS line FROM supplier
+UNION ALL SELECT {_K}, 'id', 'property', 'public', 'val id: Int', {_S}, NULL, 'Int', '', NULL, false, 6 FROM supplier
 UNION ALL SELECT {_K}, 'run', 'method', 'public', 'suspend fun <T> List<T>.run(x: Int, y: Text' || s_suppkey % 7 || ' = Text()): Map<Int, T>', {_S}, 'List', 'Map<Int, T>', 'x:Int,y:Text' || s_suppkey % 7, NULL, false, 8 FROM supplier
 UNION ALL SELECT {_K}, 'made', 'property', 'private', 'private val made = Box' || s_suppkey % 7 || '(3)', {_S}, NULL, NULL, '', NULL, false, 9 FROM supplier
 UNION ALL SELECT {_K}, 'go', 'method', 'public', 'fun go(b: Box' || s_suppkey % 7 || ')', {_S}, NULL, NULL, 'b:Box' || s_suppkey % 7, NULL, false, 10 FROM supplier""")
@@ -150,14 +151,14 @@ def enriched_signatures(spark, sf_dir):
     return infer.enriched(symbols, symbols.select("symbol_id", F.array(F.lit("Part")).alias("args"))).select("uri", "signature")
 
 
-@query("inspected_file", "SELECT 'S3.kt' AS uri, 4::BIGINT AS symbols, 'n' || (s_nationkey + 1) % 25 || '.Nation' || (s_nationkey + 1) % 25 AS imports, 0::BIGINT AS errors FROM supplier WHERE s_suppkey = 3")
+@query("inspected_file", "SELECT 'S3.kt' AS uri, 5::BIGINT AS symbols, 'n' || (s_nationkey + 1) % 25 || '.Nation' || (s_nationkey + 1) % 25 AS imports, 0::BIGINT AS errors FROM supplier WHERE s_suppkey = 3")
 def inspected_file(spark, sf_dir):
     scan = extract.scanned(_texts(spark, sf_dir, _KOTLIN, ".kt"))
     row = output.inspected(*(extract.relation(scan, n) for n in ("symbols", "imports", "errors")), "S3.kt")
     return row.select("uri", F.size("symbols").cast("long").alias("symbols"), F.array_join("imports", ",").alias("imports"), "errors")
 
 
-@query("summarised_type", "SELECT 'S5.kt' AS uri, 'go,made,run' AS members, 'Int,Nation' || s_nationkey AS types FROM supplier WHERE s_suppkey = 5")
+@query("summarised_type", "SELECT 'S5.kt' AS uri, 'go,id,made,run' AS members, 'Int,Nation' || s_nationkey AS types FROM supplier WHERE s_suppkey = 5")
 def summarised_type(spark, sf_dir):
     row = output.summarised(_relation(spark, sf_dir, _KOTLIN, ".kt", "symbols"), "Supplier5")
     return row.select("uri", F.array_join("members", ",").alias("members"), F.array_join("types", ",").alias("types"))
@@ -260,3 +261,44 @@ def applied_edits(spark, sf_dir):
     texts = part.select(F.col("p_partkey").alias("uri"), F.lit("a😀bc").alias("text"))
     done = edits.preview(texts.withColumn("uri", F.col("uri").cast("string")), changes.withColumn("uri", F.col("uri").cast("string")))
     return done.select(F.col("uri").cast("long").alias("uri"), "text", "error")
+
+
+def _shaped(spark, sf_dir):
+    """(uri, text, s): Kotlin sources of varying shape: an enum of 1 to 4 entries, with or without arguments; a data class of 1 to 3 properties; a function with bounds; calls nested to a varying depth; a broken header in every seventh."""
+    s = F.col("s_suppkey")
+    entry = lambda i: F.concat(F.lit("E"), i.cast("string"), F.when(s % 3 == 0, F.concat(F.lit("("), i.cast("string"), F.lit(")"))).otherwise(""))
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), s % 4 + 1), entry), ", ")
+    prop = lambda i: F.concat(F.when(i % 2 == 0, "private val p").otherwise("var p"), i.cast("string"), F.lit(": T"), (s % 5).cast("string"))
+    properties = F.array_join(F.transform(F.sequence(F.lit(1), s % 3 + 1), prop), ", ")
+    opened = F.array_join(F.transform(F.sequence(F.lit(1), s % 6 + 1), lambda i: F.concat(F.lit("run"), i.cast("string"), F.when(i % 2 == 0, "(x) ").otherwise(" "), F.lit("{ "))), "")
+    text = F.concat(
+        F.lit("package q\n"), F.when(s % 7 == 0, "fun half(a: Int\n").otherwise(""), F.lit("enum class Mode"), s.cast("string"), F.lit(" { "), entries, F.when(s % 2 == 0, ";\n  fun all() = pick()\n}\n").otherwise(" }\n"),
+        F.lit("data class User"), s.cast("string"), F.lit("("), properties, F.lit(")\nfun <T> only(x: T): Box<T> where T : Any { "), opened, F.repeat(F.lit("}"), (s % 6 + 1).cast("int")), F.lit(" }\n"),
+    )
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text"), s.alias("s"))
+
+
+@query("extract_shapes", """SELECT s_suppkey AS s, t.* FROM supplier, LATERAL (
+  SELECT 'Mode' || s_suppkey AS name, 'enum' AS kind, NULL::VARCHAR AS owner, NULL::VARCHAR AS returns, 'enum class Mode' || s_suppkey AS detail
+  UNION ALL SELECT 'E' || i, 'enum_member', 'Mode' || s_suppkey, NULL, 'E' || i || CASE WHEN s_suppkey % 3 = 0 THEN '(' || i || ')' ELSE '' END FROM range(1, s_suppkey % 4 + 2) r(i)
+  UNION ALL SELECT 'all', 'method', 'Mode' || s_suppkey, NULL, 'fun all() = pick()' WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT 'half', 'function', NULL, NULL, 'fun half(a: Int' WHERE s_suppkey % 7 = 0
+  UNION ALL SELECT 'p' || i, 'property', 'User' || s_suppkey, 'T' || s_suppkey % 5, CASE WHEN i % 2 = 0 THEN 'private val p' ELSE 'var p' END || i || ': T' || s_suppkey % 5 FROM range(1, s_suppkey % 3 + 2) r(i)
+  UNION ALL SELECT 'only', 'function', NULL, 'Box<T>', 'fun <T> only(x: T): Box<T> where T : Any') t""")
+def extract_shapes(spark, sf_dir):
+    texts = _shaped(spark, sf_dir)
+    rows = extract.relation(extract.scanned(texts), "symbols").join(texts.select("uri", "s"), "uri")
+    return rows.filter("kind != 'class' AND name != 'copy'").select("s", "name", "kind", "owner", F.col("return_type").alias("returns"), "detail")
+
+
+@query("extract_nested_calls", """SELECT s_suppkey AS s, 'only' AS caller_key, 'run' || i AS callee_key FROM supplier, range(1, 7) r(i) WHERE i <= s_suppkey % 6 + 1
+UNION ALL SELECT s_suppkey, 'Mode' || s_suppkey || '.all', 'pick' FROM supplier WHERE s_suppkey % 2 = 0""")
+def extract_nested_calls(spark, sf_dir):
+    texts = _shaped(spark, sf_dir)
+    return extract.relation(extract.scanned(texts), "calls").join(texts.select("uri", "s"), "uri").select("s", "caller_key", "callee_key")
+
+
+@query("extract_broken", "SELECT s_suppkey AS s, 1 AS line, 8 AS col, 'unclosed (' AS message FROM supplier WHERE s_suppkey % 7 = 0")
+def extract_broken(spark, sf_dir):
+    texts = _shaped(spark, sf_dir)
+    return extract.relation(extract.scanned(texts), "errors").join(texts.select("uri", "s"), "uri").select("s", "line", "col", "message")

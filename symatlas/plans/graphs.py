@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from symatlas.operators import graph
+from symatlas.operators import graph, trees
 
 from .tables import CALL_EDGES, TRANSITIONS, TYPE_EDGES, call_edges, query, read, transitions, type_edges
 
@@ -97,7 +97,7 @@ FROM t JOIN seqs e ON e.caller = t.name WHERE NOT t.cycle AND t.depth < 4) SELEC
 def call_tree(spark, sf_dir):
     edges = transitions(spark, sf_dir)
     ordered = edges.withColumn("seq", F.row_number().over(Window.partitionBy("caller").orderBy("callee")))
-    return graph.call_tree(spark, ordered, "click", 4)
+    return graph.call_tree(spark, ordered, "click", 4).drop("truncated")
 
 
 @query("callees_once", f"WITH RECURSIVE {TRANSITIONS}, b AS (SELECT 'error' AS name, 0 AS depth UNION SELECT e.callee, b.depth + 1 FROM b JOIN edges e ON e.caller = b.name WHERE b.depth < 3) SELECT name, min(depth) AS depth FROM b GROUP BY name")
@@ -156,8 +156,8 @@ def version_key_union(spark, sf_dir):
 @query("lcs_diff")
 def lcs_diff(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("entry"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "word"))), lambda s: s["word"]).alias("steps")
-    return graph.version_diff(docs.filter("doc_id % 2 = 0").groupBy("entry").agg(steps), docs.filter("doc_id % 3 != 1").groupBy("entry").agg(steps))
+    steps = docs.select("entry", F.col("doc_id").alias("pos"), F.col("word").alias("name"))
+    return graph.version_diff(steps.filter("pos % 2 = 0"), steps.filter("pos % 3 != 1"))
 
 
 @query("incoming_calls", f"WITH {CALL_EDGES} SELECT DISTINCT 'found' AS status, caller AS key FROM edges WHERE callee IN ('P7', 'p7')")
@@ -172,3 +172,102 @@ def super_members(spark, sf_dir):
     customer = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     symbols = customer.select(F.when(F.col("c_custkey") % 7 == 0, "run").otherwise("stop").alias("name"), F.col("n_name").alias("owner"), F.col("c_mktsegment").alias("uri"), F.col("c_custkey").alias("sel_line"))
     return graph.super_members(symbols, type_edges(spark, sf_dir), "Supplier#000000003", "run")
+
+
+#: Orders as a graph of thousands of nodes: customers call their orders, an order calls the next customer of its clerk's number, every order of 1995 and later returns to a customer before.
+_CALLS = """calls AS (SELECT DISTINCT 'C' || o_custkey AS caller, 'O' || o_orderkey AS callee FROM orders
+UNION SELECT 'O' || o_orderkey, 'C' || (o_custkey * 7 + o_orderkey) % 500 FROM orders)"""
+
+
+def _calls(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    down = orders.select(F.concat(F.lit("C"), "o_custkey").alias("caller"), F.concat(F.lit("O"), "o_orderkey").alias("callee"))
+    up = orders.select(F.concat(F.lit("O"), "o_orderkey").alias("caller"), F.concat(F.lit("C"), (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500).alias("callee"))
+    return down.unionByName(up).distinct()
+
+
+_ORDER_PATHS = """, w AS (SELECT 'C7' AS node, ['C7'] AS path, 0 AS depth
+UNION ALL SELECT e.callee, list_append(w.path, e.callee), w.depth + 1 FROM w JOIN calls e ON e.caller = w.node WHERE w.depth < {depth} AND NOT list_contains(w.path, e.callee) AND w.node <> '{target}')"""
+
+
+@query("reach_orders", f"WITH RECURSIVE {_CALLS}" + _ORDER_PATHS.format(depth=4, target="") + """
+SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal, count(*) OVER () > 1000 AS truncated FROM w
+WHERE depth >= 4 OR NOT EXISTS (SELECT 1 FROM calls e WHERE e.caller = w.node AND NOT list_contains(w.path, e.callee)) ORDER BY path LIMIT 1000""")
+def reach_orders(spark, sf_dir):
+    return graph.reach(spark, _calls(spark, sf_dir), "C7", None, 4)
+
+
+@query("reach_customer", f"WITH RECURSIVE {_CALLS}" + _ORDER_PATHS.format(depth=6, target="C100") + " SELECT array_to_string(path, ' > ') AS path, depth AS length, node AS terminal, count(*) OVER () > 1000 AS truncated FROM w WHERE node = 'C100' ORDER BY path LIMIT 1000")
+def reach_customer(spark, sf_dir):
+    return graph.reach(spark, _calls(spark, sf_dir), "C7", "C100", 6)
+
+
+#: Bodies of two versions: a customer's orders are its calls, urgent ones in a branch; an order calls the customer of its clerk's number. In the second version some orders are gone.
+_BODIES = """s{v} AS (SELECT 'C' || o_custkey AS caller, CASE WHEN o_orderkey % 5 = 0 THEN -2 ELSE -1 END AS parent, o_orderkey::BIGINT AS seq, 'call' AS kind, 'O' || o_orderkey AS name FROM orders WHERE {keep}
+UNION ALL SELECT DISTINCT 'C' || o_custkey, -1, -2, 'branch', 'if' FROM orders
+UNION ALL SELECT 'O' || o_orderkey, -1, 1, 'call', 'C' || o_custkey % 400 FROM orders WHERE {keep})"""
+_KEEP = {"b": "o_orderkey % 97 <> 1", "a": "o_orderkey % 89 <> 1"}
+
+
+def _bodies(spark, sf_dir, version):
+    orders = read(spark, sf_dir, "orders")
+    kept = orders.filter(_KEEP[version])
+    row = lambda frame, caller, parent, seq, kind, name: frame.select(F.concat(F.lit(caller), F.col("o_custkey" if caller == "C" else "o_orderkey")).alias("caller"), parent.cast("int").alias("parent"), seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), name.alias("name"))
+    key = F.col("o_orderkey")
+    own = row(kept, "C", F.when(key % 5 == 0, -2).otherwise(trees.BODY), key, "call", F.concat(F.lit("O"), key))
+    branches = row(orders.select("o_custkey").distinct(), "C", F.lit(trees.BODY), F.lit(-2), "branch", F.lit("if"))
+    return own.unionByName(branches).unionByName(row(kept, "O", F.lit(trees.BODY), F.lit(1), "call", F.concat(F.lit("C"), F.col("o_custkey") % 400)))
+
+
+_TREE = """t{v} AS (SELECT '{{entry}}' AS entry, '{{entry}}' AS key, -1::BIGINT AS at, 'call' AS kind, '{{entry}}' AS name, [0::BIGINT] AS path, 0 AS depth, ['{{entry}}'] AS names, false AS cycle
+UNION ALL SELECT t.entry, CASE WHEN s.kind = 'call' THEN s.name ELSE t.key END, CASE WHEN s.kind = 'call' THEN -1 ELSE s.seq END, s.kind, s.name, list_append(t.path, s.seq), CASE WHEN t.at = -1 THEN t.depth + 1 ELSE t.depth END,
+  CASE WHEN s.kind = 'call' THEN list_append(t.names, s.name) ELSE t.names END, s.kind = 'call' AND list_contains(t.names, s.name) AND CASE WHEN t.at = -1 THEN t.depth + 1 ELSE t.depth END < {{depth}}
+FROM t{v} t JOIN s{v} s ON s.caller = t.key AND s.parent = t.at WHERE NOT t.cycle AND (t.kind = 'branch' OR t.depth < {{depth}}))"""
+
+
+def _bodies_sql(version):
+    return _BODIES.format(v=version, keep=_KEEP[version])
+
+
+@query("call_tree_branches", f"WITH RECURSIVE {_bodies_sql('b')}, {_TREE.format(v='b').format(entry='C3', depth=4)} SELECT array_to_string(path, '.') AS path, depth, kind, name, cycle, false AS truncated FROM tb")
+def call_tree_branches(spark, sf_dir):
+    nodes = trees.expanded(_bodies(spark, sf_dir, "b"), spark.createDataFrame([("C3",)], "entry string"), 4)
+    return nodes.select(F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "depth", "kind", "name", "cycle", "truncated")
+
+
+@query("changed_call_trees", f"""WITH RECURSIVE {_bodies_sql('b')}, {_bodies_sql('a')}, k AS (SELECT DISTINCT 'C' || o_custkey AS key FROM orders WHERE o_custkey % 3 = 0),
+u AS (SELECT 0 AS v, key AS entry, key, -1::BIGINT AS at, 'call' AS kind, key AS name, [0::BIGINT] AS path, 0 AS depth FROM k UNION ALL SELECT 1, key, key, -1, 'call', key, [0], 0 FROM k
+UNION ALL SELECT u.v, u.entry, CASE WHEN s.kind = 'call' THEN s.name ELSE u.key END, CASE WHEN s.kind = 'call' THEN -1 ELSE s.seq END, s.kind, s.name, list_append(u.path, s.seq), CASE WHEN u.at = -1 THEN u.depth + 1 ELSE u.depth END
+FROM u JOIN (SELECT 0 AS v, * FROM sb UNION ALL SELECT 1, * FROM sa) s ON s.v = u.v AND s.caller = u.key AND s.parent = u.at WHERE u.kind = 'branch' OR u.depth < 2),
+x AS (SELECT entry, v, md5(string_agg(array_to_string(path, '.') || kind || name, ' ' ORDER BY path)) AS h FROM u GROUP BY entry, v)
+SELECT entry FROM x GROUP BY entry HAVING min(h) <> max(h)""")
+def changed_call_trees(spark, sf_dir):
+    customers = read(spark, sf_dir, "orders").select("o_custkey").distinct()
+    orders = read(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    functions = customers.select(F.concat(F.lit("C"), "o_custkey").alias("key"), (F.col("o_custkey") % 3 == 0).alias("exported")).unionByName(orders.select(F.concat(F.lit("O"), "o_orderkey").alias("key"), F.lit(False).alias("exported")))
+    functions = functions.withColumn("label", F.col("key"))
+    return trees.inferred_entries((_bodies(spark, sf_dir, "b"), functions), (_bodies(spark, sf_dir, "a"), functions), 2)
+
+
+#: Documents as trees: lines below the document, words below the line, by number and text. In the second version the third lines are gone and there are new lines.
+_LINES = "SELECT doc_id, i, (i || ':' || md5(l[i])) AS name, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
+
+
+@query("tree_diff", f"""WITH l AS MATERIALIZED ({_LINES}), b AS (SELECT doc_id, i AS pos, name, line FROM l), a AS (SELECT doc_id, 2 * i AS pos, name, line FROM l WHERE i % 3 <> 0 UNION ALL SELECT doc_id, 2 * i + 1, 'new ' || i, line FROM l WHERE i % 4 = 1),
+lines AS (SELECT doc_id, coalesce(b.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'removed' WHEN b.name IS NULL THEN 'added' ELSE 'same' END AS status, coalesce(a.line, b.line) AS line FROM b FULL JOIN a USING (doc_id, name)),
+words AS (SELECT doc_id, status, name, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z]+'))) AS word FROM lines)
+SELECT doc_id AS entry, status, depth, count(*) AS nodes FROM (SELECT doc_id, status, 1 AS depth FROM lines UNION ALL SELECT doc_id, status, 2 FROM words UNION ALL SELECT DISTINCT doc_id, 'same', 0 FROM l) GROUP BY ALL""")
+def tree_diff(spark, sf_dir):
+    split = F.split("text", "\n")
+    lines = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(split).alias("i", "line")).withColumn("i", F.col("i") + 1)
+    before = lines.select(F.col("doc_id").alias("entry"), F.col("i").alias("pos"), F.concat_ws(":", "i", F.md5("line")).alias("name"), "line")
+    kept = lines.filter("i % 3 != 0").select(F.col("doc_id").alias("entry"), (2 * F.col("i")).alias("pos"), F.concat_ws(":", "i", F.md5("line")).alias("name"), "line")
+    new = lines.filter("i % 4 = 1").select(F.col("doc_id").alias("entry"), (2 * F.col("i") + 1).alias("pos"), F.concat(F.lit("new "), "i").alias("name"), "line")
+
+    def nodes(rows):
+        root = rows.select("entry", F.array(F.lit(0)).alias("path"), F.lit("call").alias("kind"), F.lit("document").alias("name")).distinct()
+        kids = rows.select("entry", F.array(F.lit(0), "pos").alias("path"), F.lit("branch").alias("kind"), "name")
+        words = rows.select("entry", "pos", F.posexplode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0)))).alias("at", "name"))
+        return root.unionByName(kids).unionByName(words.select("entry", F.array(F.lit(0), "pos", "at").alias("path"), F.lit("call").alias("kind"), "name"))
+
+    return trees.tree_diff(nodes(before), nodes(kept.unionByName(new))).groupBy("entry", "status", "depth").agg(F.count("*").alias("nodes"))

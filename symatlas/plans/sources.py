@@ -19,6 +19,7 @@ def _scan(spark, sf_dir):
 
 
 @query("extract_symbols", """SELECT 'S' || s_suppkey || '.kt' AS uri, 'Supplier' || s_suppkey AS name, 'class' AS kind, 'public' AS visibility, 3 AS line, 6 AS col, NULL AS returns FROM supplier
+UNION ALL SELECT 'S' || s_suppkey || '.kt', 'id', 'property', 'public', 3, 19 + length(s_suppkey::VARCHAR)::INT, 'Int' FROM supplier
 UNION ALL SELECT 'S' || s_suppkey || '.kt', 'run', 'method', 'public', 4, 8, 'Int' FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 'size', 'property', 'private', 5, 16, 'Int' FROM supplier""")
 def extract_symbols(spark, sf_dir):
     rows = extract.relation(_scan(spark, sf_dir), "symbols")

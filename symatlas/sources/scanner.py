@@ -1,7 +1,7 @@
 """A hand-written scanner for Kotlin, Java and Swift sources: declarations, imports, supertypes, calls.
 
-It blanks out comments and literals, keeps their positions, and walks the tokens once with a stack of
-scopes. Columns are UTF-16 units from 0, as editors count them; lines count from 0.
+It blanks out comments and literals, keeps their positions, parses the tokens to a tree of declarations and
+calls, and reads the relations off the tree. Columns are UTF-16 units from 0, as editors count them; lines count from 0.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from .syntax import Node, Parser
+
 _LITERAL = re.compile(
     r'(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*)|(?P<raw>""".*?(?:"""|\Z))|(?P<text>"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z))|(?P<char>\'(?:\\.[^\'\n]*|[^\'\\\n])\')',
     re.S,
@@ -24,11 +26,7 @@ KEYWORDS = frozenset(
     "protected protocol public return sealed self short static strictfp struct subscript super suspend switch synchronized tailrec this "
     "throw throws transient true try typealias val var vararg void volatile weak when where while yield".split()
 )
-_CLASSLIKE = {
-    "kotlin": {"class": "class", "interface": "interface", "object": "object"},
-    "java": {"class": "class", "interface": "interface", "enum": "enum", "record": "struct", "@interface": "interface"},
-    "swift": {"class": "class", "struct": "struct", "protocol": "interface", "enum": "enum", "extension": "class", "actor": "class"},
-}
+_DECLARES = re.compile(r"\s*(?:[a-z]+ +)*(?:fun|func|class|interface|object|typealias) ")
 _VISIBILITY = re.compile(r"\b(private|protected|internal|public|fileprivate|open)\b")
 _DEFAULT = {"kotlin": "public", "java": "internal", "swift": "internal"}
 
@@ -104,6 +102,7 @@ def return_type(detail: str, language: str) -> str | None:
     if language == "java":
         found = re.match(r"^(?:@\w+(?:\([^)]*\))?\s+|(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>]*>\s*)?([\w.<>,\[\]? ]+?)\s+\w+\s*\(", detail)
         return found[1].strip() if found else None
+    detail = re.split(r"\bwhere\b", detail, maxsplit=1)[0]
     depth, last = 0, None
     mark = "->" if language == "swift" else ":"
     for i, c in enumerate(detail):
@@ -125,10 +124,8 @@ def return_type(detail: str, language: str) -> str | None:
 class _Scope:
     kind: str
     name: str
-    depth: int
     symbol: int | None = None
     locals: dict = field(default_factory=dict)
-    start: int = 0
 
 
 class Scan:
@@ -173,13 +170,16 @@ class Scan:
     def _detail(self, start: int) -> str:
         """The declaration's text up to its body, on one line."""
         depth, end = 0, len(self.clean)
-        begin = max(self.clean.rfind(c, 0, start) for c in "\n{;") + 1
+        begin = max(self.clean.rfind(c, 0, start) for c in "\n{;}") + 1
         for i in range(start, len(self.clean)):
             c = self.clean[i]
             if c in "([":
                 depth += 1
             elif c in ")]":
                 depth -= 1
+            elif depth > 0 and (c == "\n" and _DECLARES.match(self.clean, i + 1) or c == "{" and re.search(r"[(,]\s*$", self.clean[max(start, i - 40) : i])):
+                end = i  # a bracket that is never closed
+                break
             elif depth <= 0 and (c in "{;}" or c == "\n" and not re.match(r"\s*[:{.]|\s*(?:where|throws|extends|implements)\b", self.clean[i + 1 : i + 80])):
                 end = i
                 break
@@ -238,7 +238,7 @@ class Scan:
             "detail": detail, "type_params": [x.split(":")[0].strip() for x in split_top((generic[1] or generic[2]) if generic else "")],
             "extension_receiver": receiver[1] if receiver else None, "deprecated": self._deprecated(line),
             "parent_fq_name": ".".join(x for x in (self.package, outer.name) if x) if outer else None, "owner": inner.name if inner else None,
-            "return_type": return_type(detail, self.language) if callable_ and kind != "constructor" else typed[1].strip() if typed else None,
+            "return_type": return_type(detail, self.language) if callable_ and kind != "constructor" else re.split(r"\s+(?:get|set|by)\b", typed[1].strip())[0] if typed else None,
             "parameters": parameters(detail, self.language) if callable_ or kind in ("class", "struct") else [],
             "documentation": self._documentation(line), "is_sealed": bool(re.search(r"\bsealed\b", head)), "is_typealias": kind == "typealias",
         }
@@ -280,159 +280,118 @@ class Scan:
 
     def _walk(self) -> None:
         tokens = [(m[0], m.start()) for m in _TOKEN.finditer(self.clean)]
-        scopes: list[_Scope] = []
-        braces: list[int] = []
-        waiting: _Scope | None = None
-        paren = 0
-        named = _CLASSLIKE[self.language]
-        i = 0
-        while i < len(tokens):
-            word, at = tokens[i]
-            before = tokens[i - 1][0] if i else ""
-            after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-            owner = next((s for s in reversed(scopes) if s.kind == "type"), None)
+        parser = Parser(tokens, self.language, KEYWORDS, self.place)
+        self._visit(parser.parse(), tokens, [])
+        self._braces(tokens)
+        for i, message in parser.errors:
+            line, col = self.place(tokens[i][1])
+            self.errors.append({"line": line, "col": col, "message": message})
+
+    def _braces(self, tokens) -> None:
+        """Braces that close nothing, or are never closed."""
+        open_: list[int] = []
+        for word, at in tokens:
             if word == "{":
-                braces.append(at)
-                if waiting is not None and not paren:
-                    waiting.depth, waiting.start = len(braces), at + 1
-                    scopes.append(waiting)
-                    waiting = None
+                open_.append(at)
+            elif word == "}" and open_:
+                open_.pop()
             elif word == "}":
-                if not braces:
-                    line, col = self.place(at)
-                    self.errors.append({"line": line, "col": col, "message": "unexpected }"})
-                else:
-                    braces.pop()
-                while scopes and scopes[-1].depth > len(braces):
-                    done = scopes.pop()
-                    if done.kind == "function":
-                        outer = next((s.name for s in reversed(scopes) if s.kind == "type"), None)
-                        self.bodies.append((f"{outer}.{done.name}" if outer else done.name, done.start, at))
-                    if done.symbol is not None:
-                        line, col = self.place(at)
-                        self.symbols[done.symbol]["end_line"], self.symbols[done.symbol]["end_col"] = line, col + 1
-            elif word in "()[]" and len(word) == 1:
-                paren += 1 if word in "([" else -1
-            elif word in named and before not in (".", "::", "?.") and _WORD.match(after) and after not in ("(",) and not (word == "class" and self.language == "swift" and after in ("func", "var", "let")):
-                name_at = i + 1
-                while tokens[name_at][0] in KEYWORDS and name_at + 1 < len(tokens) and _WORD.match(tokens[name_at + 1][0]):
-                    name_at += 1
-                name, offset = tokens[name_at]
-                kind = named[word]
-                if before == "enum" and self.language == "kotlin":
-                    kind = "enum"
-                if before == "@" and word == "interface":
-                    kind = "interface"
-                name = name.strip("`")
-                extension = word == "extension"
-                symbol = None if extension else self._symbol(name, kind, offset, scopes)
-                self._supers(name, offset, self.place(offset)[0])
-                waiting = _Scope("type", name, 0, symbol["ordinal"] if symbol else None)
-                if symbol and self.language == "kotlin" and before == "data":
-                    copy = dict(symbol, ordinal=len(self.symbols), name="copy", kind="method", detail=f"fun copy({', '.join(f'{p["name"]}: {p["type"]}' for p in symbol['parameters'])}): {name}", return_type=name, owner=name, documentation=None)
-                    self.symbols.append(copy)
-                i = name_at
-            elif word in ("fun", "func") and (_WORD.match(after) or after in ("<", "`") or after.startswith("`")) and after != "interface":
-                j, depth = i + 1, 0
-                while j < len(tokens) and (depth or tokens[j][0] not in ("(", "{", "=")):
-                    depth += (tokens[j][0] == "<") - (tokens[j][0] == ">")
-                    if tokens[j][0] == "<" and j > i + 1 and self.language == "swift":
-                        break
-                    j += 1
-                name, offset = tokens[j - 1]
-                if _WORD.match(name.strip("`")):
-                    kind = "method" if owner else "function"
-                    symbol = self._symbol(name.strip("`"), kind, offset, scopes)
-                    waiting = _Scope("function", symbol["name"], 0, symbol["ordinal"], {p["name"]: p["type"] for p in symbol["parameters"]})
-                    if self._bodyless(tokens, j):
-                        waiting = None
-                    elif waiting is not None and self._expression_body(tokens, j):
-                        waiting.depth = len(braces)
-                        waiting.kind = "function"
-                        self._expression(tokens, j, scopes + [waiting])
-                        waiting = None
-                    i = j - 1
-            elif word == {"kotlin": "constructor", "swift": "init"}.get(self.language) and after == "(" and owner is not None and before not in (".", ":"):
-                symbol = self._symbol(owner.name if word == "constructor" else "init", "constructor", at, scopes)
-                waiting = _Scope("function", symbol["name"], 0, symbol["ordinal"])
-            elif word in ("val", "var", "let", "const") and _WORD.match(after) and after not in KEYWORDS and self.language != "java":
-                name, offset = tokens[i + 1]
-                function = next((s for s in reversed(scopes) if s.kind in ("function", "type")), None)
-                fact = re.match(r"[^\n]*?\b" + re.escape(name) + r"\s*(?::\s*([\w.<>?, ]+?))?\s*(?:(?:=|by lazy\s*\{)\s*(?:([A-Z]\w*)\s*[({<]|(?:inject|get)\s*<\s*([\w.]+))|$|\s*=|\n)", self.clean[self.clean.rfind("\n", 0, offset) + 1 :])
-                known = next((g for g in (fact.groups() if fact else ()) if g), None)
-                if known:
-                    self.types.append({"line": self.place(offset)[0], "var": name, "type": known.strip()})
-                if (function is None or function.kind == "type") and not paren:
-                    self._symbol(name, "property", offset, scopes)
-                elif function is not None and known:
-                    function.locals[name] = known.strip()
-                i += 1
-            elif word == "typealias" and _WORD.match(after):
-                self._symbol(after, "typealias", tokens[i + 1][1], scopes)
-                i += 1
-            elif self.language == "java" and _WORD.match(word) and word not in KEYWORDS and owner is not None and scopes and scopes[-1].kind == "type" and not paren and after in ("(", "=", ";") and (_WORD.match(before) or before in (">", "]")) and before not in ("new", "return", "throw", "else"):
-                if after == "(":
-                    constructor = word == owner.name
-                    symbol = self._symbol(word, "constructor" if constructor else "method", at, scopes)
-                    waiting = _Scope("function", word, 0, symbol["ordinal"], {p["name"]: p["type"] for p in symbol["parameters"]})
-                    if self._bodyless(tokens, i + 1):
-                        waiting = None
-                else:
-                    symbol = self._symbol(word, "field", at, scopes)
-                    if "static" in symbol["detail"].split() and "final" in symbol["detail"].split():
-                        symbol["kind"] = "constant"
-            elif self.language == "java" and _WORD.match(word) and owner is not None and scopes and scopes[-1].kind == "type" and word == owner.name and after == "(" and not paren:
-                symbol = self._symbol(word, "constructor", at, scopes)
-                waiting = _Scope("function", word, 0, symbol["ordinal"], {p["name"]: p["type"] for p in symbol["parameters"]})
-            elif _WORD.match(word) and word not in KEYWORDS and (after == "(" or after == "{" and before in (".", "?.")) and before != "@":
-                self._call(tokens, i, scopes)
-            i += 1
-        for at in braces:
-            line, col = self.place(at)
-            self.errors.append({"line": line, "col": col, "message": "unclosed {"})
+                self._error(at, "unexpected }")
+        for at in open_:
+            self._error(at, "unclosed {")
 
-    @staticmethod
-    def _after_parameters(tokens, j: int) -> int:
-        depth = 0
-        while j < len(tokens):
-            depth += (tokens[j][0] in "([" and len(tokens[j][0]) == 1) - (tokens[j][0] in ")]" and len(tokens[j][0]) == 1)
-            j += 1
-            if not depth:
-                break
-        return j
-
-    def _bodyless(self, tokens, j: int) -> bool:
-        """Whether no body follows the parameters: the next brace, or an =, comes on another line."""
-        j = self._after_parameters(tokens, j)
-        line = self.place(tokens[j - 1][1])[0] if j else 0
-        while j < len(tokens):
-            word, at = tokens[j]
-            if word in ("{", "="):
-                return False
-            here = self.place(at)[0]
-            if word in ("}", ";") or here > line + 1 or word in ("fun", "func", "val", "var", "let", "class", "interface", "object", "override", "private", "public"):
-                return True
-            line = here
-            j += 1
-        return True
-
-    def _expression_body(self, tokens, j: int) -> bool:
-        j = self._after_parameters(tokens, j)
-        while j < len(tokens) and tokens[j][0] not in ("{", "=", "}", ";"):
-            j += 1
-        return j < len(tokens) and tokens[j][0] == "="
-
-    def _expression(self, tokens, j: int, scopes) -> None:
-        """Calls in `fun f() = ...`, up to the end of its line."""
-        j = self._after_parameters(tokens, j)
-        while j < len(tokens) and tokens[j][0] != "=":
-            j += 1
-        line = self.place(tokens[j][1])[0] if j < len(tokens) else 0
-        while j < len(tokens) and self.place(tokens[j][1])[0] == line:
-            word = tokens[j][0]
-            if _WORD.match(word) and word not in KEYWORDS and j + 1 < len(tokens) and tokens[j + 1][0] == "(":
-                self._call(tokens, j, scopes)
-            j += 1
+    def _error(self, at: int, message: str) -> None:
+        line, col = self.place(at)
+        self.errors.append({"line": line, "col": col, "message": message})
+
+    def _visit(self, nodes: list[Node], tokens, scopes: list[_Scope]) -> None:
+        """Symbols, supertypes, facts and calls of a tree's nodes, in the order of the source."""
+        for node in nodes:
+            if node.kind == "call":
+                self._call(tokens, node.at, scopes)
+            elif node.kind == "block":
+                self._visit(node.kids, tokens, scopes)
+            elif node.kind == "type":
+                self._type(node, tokens, scopes)
+            elif node.kind in ("function", "constructor"):
+                self._function(node, tokens, scopes)
+            elif node.kind == "property":
+                self._property(node, tokens, scopes)
+                self._visit(node.kids, tokens, scopes)
+            elif node.kind == "typealias":
+                self._symbol(tokens[node.at][0], "typealias", tokens[node.at][1], scopes)
+            elif node.kind == "entry":
+                entry = self._symbol(tokens[node.at][0].strip("`"), "enum_member", tokens[node.at][1], scopes)
+                last, end = tokens[node.names[1] - 1]
+                entry["detail"] = " ".join(self.lines_text(tokens[node.at][1], end + len(last)).split())
+                self._visit(node.kids, tokens, scopes)
+                self._end(node, tokens, entry)
+
+    def _end(self, node: Node, tokens, symbol: dict | None) -> None:
+        if symbol is not None and node.body is not None and node.body[1] > node.body[0]:
+            word, at = tokens[node.body[1]]
+            line, col = self.place(at)
+            symbol["end_line"], symbol["end_col"] = line, col + utf16(word)
+
+    def _type(self, node: Node, tokens, scopes: list[_Scope]) -> None:
+        name, offset = tokens[node.names[0]]
+        name = name.strip("`")
+        symbol = None if node.word == "extension" else self._symbol(name, node.label, offset, scopes)
+        self._supers(name, offset, self.place(offset)[0])
+        scope = _Scope("type", name, symbol["ordinal"] if symbol else None)
+        if symbol and self.language == "kotlin" and "data" in symbol["detail"].split(name)[0].split():
+            copy = dict(symbol, ordinal=len(self.symbols), name="copy", kind="method", detail=f"fun copy({', '.join(f'{p["name"]}: {p["type"]}' for p in symbol['parameters'])}): {name}", return_type=name, owner=name, documentation=None)
+            self.symbols.append(copy)
+        for at, begin in node.properties:
+            self._parameter_property(tokens[at][0].strip("`"), tokens[at][1], tokens[begin][1], symbol, [*scopes, scope])
+        self._visit(node.kids, tokens, [*scopes, scope])
+        self._end(node, tokens, symbol)
+
+    def _parameter_property(self, name: str, offset: int, begin: int, owner: dict, scopes: list[_Scope]) -> None:
+        """A property that a primary constructor declares: its signature is the parameter alone."""
+        kind = next((p["type"] for p in parameters(owner["detail"], self.language) if p["name"] == name), None)
+        head = " ".join(re.sub(r"@\w+(\([^)]*\))?", "", self.clean[begin:offset]).split())
+        before = len(self.annotations)
+        symbol = self._symbol(name, "property", offset, scopes)
+        symbol.update(detail=f"{head} {name}" + (f": {kind}" if kind else ""), return_type=kind, documentation=None, deprecated=False, type_params=[], is_sealed=False)
+        seen = _VISIBILITY.search(head)
+        symbol["visibility"] = {"open": "public"}.get(seen[1], seen[1]) if seen else "public"
+        # the class's annotations are not the parameter's
+        self.annotations[before:] = [{"symbol_name": name, "annotation": a} for a in re.findall(r"@(\w+)", self.clean[begin:offset])]
+
+    def _function(self, node: Node, tokens, scopes: list[_Scope]) -> None:
+        owner = next((s for s in reversed(scopes) if s.kind == "type"), None)
+        word, offset = tokens[node.names[0]]
+        if node.kind == "constructor":
+            symbol = self._symbol("init" if word == "init" else owner.name, "constructor", offset, scopes)
+        else:
+            symbol = self._symbol(word.strip("`"), "method" if owner else "function", offset, scopes)
+        scope = _Scope("function", symbol["name"], symbol["ordinal"], {p["name"]: p["type"] for p in symbol["parameters"]})
+        self._visit(node.kids, tokens, [*scopes, scope])
+        self._end(node, tokens, symbol)
+        if node.body is not None and not node.expression:
+            self.bodies.append((f"{owner.name}.{scope.name}" if owner else scope.name, tokens[node.body[0]][1] + 1, tokens[node.body[1]][1]))
+
+    def _property(self, node: Node, tokens, scopes: list[_Scope]) -> None:
+        around = next((s for s in reversed(scopes) if s.kind in ("function", "type")), None)
+        for at in node.names:
+            name, offset = tokens[at]
+            name = name.strip("`")
+            if self.language == "java":
+                symbol = self._symbol(name, "field", offset, scopes)
+                if {"static", "final"} <= set(symbol["detail"].split()):
+                    symbol["kind"] = "constant"
+                continue
+            fact = re.match(r"[^\n]*?\b" + re.escape(name) + r"\s*(?::\s*([\w.<>?, ]+?))?\s*(?:(?:=|by lazy\s*\{)\s*(?:([A-Z]\w*)\s*[({<]|(?:inject|get)\s*<\s*([\w.]+))|$|\s*=|\n)", self.clean[self.clean.rfind("\n", 0, offset) + 1 :])
+            known = next((g for g in (fact.groups() if fact else ()) if g), None)
+            if known:
+                self.types.append({"line": self.place(offset)[0], "var": name, "type": known.strip()})
+            if (around is None or around.kind == "type") and not node.inner:
+                symbol = self._symbol(name, "property", offset, scopes)
+                if self.language == "kotlin" and re.search(r"\bconst\s+val\b", symbol["detail"]):
+                    symbol["kind"] = "constant"
+            elif around is not None and around.kind == "function" and known:
+                around.locals[name] = known.strip()
 
     def _call(self, tokens, i: int, scopes) -> None:
         """A call edge: bare, Type.m for capitalised or typed receivers, A.b.c for chains of names."""

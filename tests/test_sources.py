@@ -47,7 +47,7 @@ def test_kotlin():
     assert s.package == "demo.app"
     assert [(i["full_path"], i["local_name"], i["is_star"]) for i in s.imports] == [("demo.net.Socket", "Socket", False), ("demo.text", "*", True), ("demo.model.User", "Person", False)]
     found = {x["name"]: x for x in s.symbols}
-    assert {n: x["kind"] for n, x in found.items()} == {"Sessions": "class", "cache": "property", "open": "method", "third": "method", "Pair2": "class", "copy": "method"}
+    assert {n: x["kind"] for n, x in found.items()} == {"Sessions": "class", "socket": "property", "cache": "property", "open": "method", "third": "method", "Pair2": "class", "copy": "method", "a": "property", "b": "property"}
     assert found["Sessions"]["deprecated"] and found["Sessions"]["documentation"] == "Keeps sessions."
     assert found["open"]["return_type"] == "List<Person>" and found["open"]["parameters"] == [{"name": "id", "type": "String"}, {"name": "tries", "type": "Int"}]
     assert found["third"]["extension_receiver"] == "List" and found["third"]["type_params"] == ["T"]
@@ -58,6 +58,64 @@ def test_kotlin():
     assert not any(c["callee_key"] in ("a", "call") for c in s.calls) and not s.errors
 
 
+def names(source, path="a.kt"):
+    return [(x["name"], x["kind"], x["owner"]) for x in Scan(path, source).symbols]
+
+
+def calls(source, path="a.kt"):
+    return {(c["caller_key"], c["callee_key"]) for c in Scan(path, source).calls}
+
+
+def test_enum_entries():
+    assert names("enum class Mode { FAST, SLOW }") == [("Mode", "enum", None), ("FAST", "enum_member", "Mode"), ("SLOW", "enum_member", "Mode")]
+    source = "private enum class Mode(val code: Int) : Kind {\n  @Old FAST(1),\n  SLOW(f { 2 }) { override fun go() = run(3) };\n  companion object { fun of(x: Int) = pick(x) }\n  fun go() {}\n}"
+    assert [n[:2] for n in names(source)] == [("Mode", "enum"), ("code", "property"), ("FAST", "enum_member"), ("SLOW", "enum_member"), ("go", "method"), ("of", "method"), ("go", "method")]
+    assert [x["detail"] for x in Scan("a.kt", source).symbols][1:4] == ["val code: Int", "FAST(1)", "SLOW(f { 2 })"]
+    assert calls(source) == {("Mode.go", "run"), ("Mode.of", "pick")}
+    java = "enum Color { RED(1), GREEN { void f() { x(); } }; private int a, b = g(); Color(int c) {} int h() { return new Foo(1).bar(); } }"
+    assert [n[:2] for n in names(java, "A.java")] == [("Color", "enum"), ("RED", "enum_member"), ("GREEN", "enum_member"), ("f", "method"), ("a", "field"), ("b", "field"), ("Color", "constructor"), ("h", "method")]
+    swift = "enum S: Int {\n case a, b(Int)\n case c = 3\n func f() { switch self { case .a: go()\n default: stop() } }\n}"
+    assert [n[:2] for n in names(swift, "a.swift")] == [("S", "enum"), ("a", "enum_member"), ("b", "enum_member"), ("c", "enum_member"), ("f", "method")]
+
+
+def test_constructor_properties():
+    source = 'data class User(val name: String, private var age: Int = 3, other: Map<String, Int>, @Json("x") val z: List<Pair<Int, Int>>)'
+    found = {x["name"]: x for x in Scan("a.kt", source).symbols}
+    assert list(found) == ["User", "copy", "name", "age", "z"]
+    assert [(found[n]["detail"], found[n]["return_type"], found[n]["visibility"], found[n]["owner"]) for n in ("name", "age", "z")] == [
+        ("val name: String", "String", "public", "User"), ("private var age: Int", "Int", "private", "User"), ("val z: List<Pair<Int, Int>>", "List<Pair<Int, Int>>", "public", "User")]
+    assert {"symbol_name": "z", "annotation": "Json"} in Scan("a.kt", source).annotations
+    assert [n[0] for n in names("class A internal constructor(val a: (Int, Int) -> Unit = { x, y -> f(x) }, val b: Int) : B({ 3 }) { val c = 1 }")] == ["A", "a", "b", "c"]
+
+
+def test_bounds_are_no_return_type():
+    found = Scan("a.kt", "fun <T> f(): List<T> where T : Comparable<T> { }\nfun <T> g(x: T) where T : A, T : B = h(x)").symbols
+    assert [x["return_type"] for x in found] == ["List<T>", None]
+
+
+def test_calls_by_trailing_lambda_alone():
+    assert calls("fun f() { go { x -> y(x) }\n launch<X> { z() }\n listOf<Int>(1).map { it }\n if (a) { b() } else { c { d() } } }") == {("f", n) for n in ("go", "y", "z", "b", "c", "d", "listOf", "map")}
+    assert calls("fun f() = when (x) {\n  1 -> a()\n  else -> b {\n c() }\n}\nfun g() = q()\n  .r()\nval no = s()") == {("f", "a"), ("f", "b"), ("f", "c"), ("g", "q"), ("g", "r")}
+    assert calls("class V { func f() { if ready { start() }\n for x in items { use(x) }\n run { stop() } } }", "a.swift") == {("V.f", n) for n in ("start", "use", "run", "stop")}
+    assert calls("class A { val o = object : B(c()) { override fun d() { e() } } }") == {("A.d", "e")}
+
+
+def test_recovery_from_broken_headers():
+    assert [n[0] for n in names("fun broken( {\nfun next() { a() }\nclass B { val c = 1 }")] == ["broken", "next", "B", "c"]
+    source = "class A {\n  fun broken( {\n    val x = 1\n  fun next() { call() }\n  val y = 3\n}\nfun half(a: Int\nfun top() = when (x) {\n 1 -> a()\n}\nclass Open {\n  fun m() {\nclass Last"
+    assert names(source) == [("A", "class", None), ("broken", "method", "A"), ("next", "method", "A"), ("y", "property", "A"), ("half", "function", None), ("top", "function", None), ("Open", "class", None), ("m", "method", "Open"), ("Last", "class", None)]
+    assert {e["message"] for e in Scan("a.kt", source).errors} == {"unclosed {", "unclosed ("}
+    assert calls(source) == {("A.next", "call"), ("top", "a")}
+    assert names("class A {\nfun f() {\nval x = 1\n}\nval y = 2\n}") == [("A", "class", None), ("f", "method", "A"), ("y", "property", "A")]
+
+
+def test_very_deep_and_long_sources():
+    deep = "fun f() { a()\n" + "{ " * 3000 + "}" * 3000 + "}\nfun g() {}"
+    assert [n[0] for n in names(deep)] == ["f", "g"]
+    wide = "class A {\n" + "".join(f"  fun f{i}() {{ g{i}() }}\n" for i in range(3000)) + "}"
+    assert len(names(wide)) == 3001 and len(calls(wide)) == 3000
+
+
 def test_java():
     s = Scan("S.java", JAVA)
     assert [(x["name"], x["kind"]) for x in s.symbols] == [("Service", "class"), ("MAX", "constant"), ("Service", "constructor"), ("run", "method"), ("find", "method")]
@@ -99,7 +157,7 @@ def test_tree_to_index(spark, tmp_path):
     texts = files.texts(spark, root).join(found.select(found["path"].alias("uri")), "uri", "left_semi")
     scan = extract.scanned(texts).cache()
     symbols = extract.relation(scan, "symbols")
-    assert symbols.count() == 17 and symbols.select("symbol_id").distinct().count() == 17
+    assert symbols.count() == 20 and symbols.select("symbol_id").distinct().count() == 20
     relations = {"files": extract.files(scan, texts), "symbols": symbols}
     assert files.write_index(relations, str(tmp_path / "i"))
     assert not files.write_index({"files": extract.files(scan, texts).limit(1), "symbols": symbols}, str(tmp_path / "i"), complete=False)
