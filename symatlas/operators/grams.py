@@ -7,7 +7,9 @@ spread by id, so that a search reads the row groups of its trigrams, and those o
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 N = 3
 #: Trigrams of a search that are looked up: all must be there, and so many leave few other rows.
@@ -23,10 +25,18 @@ def grams_of(text: str) -> list[str]:
 
 
 def write_grams(texts: DataFrame, path: str) -> None:
-    """Store (id, text, further columns) with the trigrams of every text; null texts have none."""
-    low = F.lower("text")
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - N + 1), lambda i: F.substring(low, i, F.lit(N))))
-    rows = texts.filter(F.length("text") >= N).select("id", F.explode(own).alias("gram"))
+    """Store (id, text, further columns) with the ASCII trigrams of every text; null texts have none."""
+    held = texts.select("id", F.lower("text").alias("low"))
+    schema = pa.schema([to_arrow_schema(held.select("id").schema).field(0), ("gram", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for own, low in zip(batch.column("id"), batch.column("low").to_pylist()):
+                found = [g for g in {low[i : i + N] for i in range(len(low) - N + 1)} if g.isascii()] if low else []
+                yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(found), schema.field(0).type), pa.array(found, pa.string())], schema=schema)
+
+    held.mapInArrow(run, f"id {held.schema['id'].dataType.simpleString()}, gram string").write.mode("overwrite").parquet(f"{path}/found")
+    rows = texts.sparkSession.read.parquet(f"{path}/found")
     rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{path}/grams")
     texts.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{path}/texts")
 

@@ -12,6 +12,8 @@ from symatlas.session import shared_folder
 MAX_DEPTH, MAX_PATHS = 8, 1000
 #: Open paths that the first round of a walk to a target takes, and the most that a round takes.
 AT_ONCE, MOST_AT_ONCE = 1 << 14, 1 << 20
+#: Links of chained calls that are resolved in one plan.
+LINKS = 4
 #: Candidates that an ambiguous name shows.
 CANDIDATES = 100
 
@@ -245,22 +247,36 @@ def callees_once(edges: DataFrame, entry: str, depth: int) -> DataFrame:
 def chained_callees(edges: DataFrame, returns: DataFrame) -> DataFrame:
     """Rewrite callees A.b.c by the return types (key `Type.method`, type): A.b's type, without its arguments, takes the place of A.b.
 
-    One join for each link of the longest chain there is; a chain whose type is unknown, or is Unit or
-    Nothing, becomes the bare method.
+    A chain whose type is unknown, or is Unit or Nothing, becomes the bare method. Chains are resolved once
+    each, some links in a round, by tables in the shared folder: a plan is as long as a round, and chains that have
+    ended leave.
     """
-    parts = edges.withColumn("parts", F.split("callee", r"\."))
-    longest = parts.agg(F.max(F.size("parts"))).first()[0] or 0
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/symatlas-chains-{uuid.uuid4().hex}"
     plain = F.trim(F.substring_index("type", "<", 1))
-    known = returns.groupBy("key").agg(F.max_by("type", "seq").alias("type")).select("key", plain.alias("type")).filter(~F.col("type").isin("Unit", "Nothing", ""))
-    parts = parts.withColumns({"own": F.col("parts")[0], "at": F.lit(1), "lost": F.lit(False)})
-    more = F.size("parts") - F.col("at") > 1
-    for _ in range(longest - 2):
-        parts = parts.withColumn("key", F.when(more, F.concat_ws(".", "own", F.get("parts", F.col("at"))))).join(known, "key", "left")
-        parts = parts.withColumns({"lost": F.col("lost") | (more & F.col("type").isNull()), "own": F.when(more, F.col("type")).otherwise(F.col("own")), "at": F.when(more, F.col("at") + 1).otherwise(F.col("at"))}).drop("key", "type")
-    last = F.get("parts", F.size("parts") - 1)
-    chained = F.size("parts") > 2
-    resolved = F.when(~chained, F.col("callee")).when(F.col("lost") | F.col("own").isNull(), last).otherwise(F.concat_ws(".", "own", last))
-    return parts.withColumn("resolved", resolved).drop("parts", "own", "at", "lost")
+    types = returns.groupBy("key").agg(F.max_by("type", "seq").alias("type")).select("key", plain.alias("type")).filter(~F.col("type").isin("Unit", "Nothing", ""))
+    known = trees.table_of(spark, types, f"{folder}/types")
+    parts = F.split("callee", r"\.")
+    chains = edges.select("callee").distinct().withColumn("parts", parts).filter(F.size("parts") > 2)
+    # own: the type so far, null once it is unknown
+    live = trees.table_of(spark, chains.select("callee", "parts", F.col("parts")[0].alias("own"), F.lit(1).alias("at")), f"{folder}/0")
+    last, done, round_ = F.get("parts", F.size("parts") - 1), [], 0
+    while not live.isEmpty():
+        round_ += 1
+        for _ in range(LINKS):
+            more = F.col("own").isNotNull() & (F.size("parts") - F.col("at") > 1)
+            live = live.withColumn("key", F.when(more, F.concat_ws(".", "own", F.get("parts", F.col("at"))))).join(known, "key", "left")
+            live = live.withColumns({"own": F.when(more, F.col("type")).otherwise(F.col("own")), "at": F.col("at") + F.when(more, 1).otherwise(0)}).drop("key", "type")
+        ended = F.col("own").isNull() | (F.size("parts") - F.col("at") <= 1)
+        state = trees.table_of(spark, live.withColumn("ended", ended), f"{folder}/{round_}")
+        done.append(state.filter("ended").select("callee", F.when(F.col("own").isNull(), last).otherwise(F.concat_ws(".", "own", last)).alias("chained")))
+        live = state.filter("NOT ended").drop("ended")
+    if not done:
+        return edges.withColumn("resolved", F.col("callee"))
+    resolved = done[0]
+    for rows in done[1:]:
+        resolved = resolved.unionByName(rows)
+    return edges.join(resolved, "callee", "left").withColumn("resolved", F.coalesce("chained", "callee")).select(*edges.columns, "resolved")
 
 
 def with_implementors(edges: DataFrame, bodies: DataFrame, implementors: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from symatlas.functions import paths
 
@@ -59,10 +59,14 @@ def bare_names(symbols: DataFrame) -> DataFrame:
 
 
 def top_level(symbols: DataFrame) -> DataFrame:
-    """Symbols that no other symbol of the file with another span of lines contains."""
-    other = symbols.select("uri", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = (F.col("o.s") <= F.col("x.start_line")) & (F.col("x.end_line") <= F.col("o.e")) & ((F.col("o.s") != F.col("x.start_line")) | (F.col("o.e") != F.col("x.end_line")))
-    return symbols.alias("x").join(other.alias("o"), (F.col("x.uri") == F.col("o.uri")) & inside, "left_anti")
+    """Symbols that no other symbol of the file with another span of lines contains.
+
+    In the order of starts, and of ends from the last, a span lies in another one just when an end before it reaches its own.
+    """
+    spans = symbols.select("uri", "start_line", "end_line").distinct()
+    before = Window.partitionBy("uri").orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = spans.withColumn("reached", F.max("end_line").over(before)).filter("reached IS NULL OR reached < end_line").drop("reached")
+    return symbols.join(outer, ["uri", "start_line", "end_line"], "left_semi").select(*symbols.columns)
 
 
 def importable(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -86,17 +86,26 @@ def classified(context: Column) -> Column:
 
 
 def same_package(files: DataFrame, definitions: DataFrame, requests: DataFrame) -> DataFrame:
-    """For requests (req, file, name): the first definition in another file of the same package."""
-    own = requests.join(files.select("file", "package"), "file")
-    other = definitions.join(files.select("file", "package"), "file").withColumnRenamed("file", "def_file")
-    met = own.join(other, ["package", "name"]).filter("file != def_file")
-    return met.groupBy("req").agg(F.min(F.struct("def_file", "line")).alias("found")).select("req", "found.*")
+    """For requests (req, file, name): the first definition in another file of the same package.
+
+    Of each (package, name) only the definitions in the first two files are kept, the second for requests
+    from the first, so that a request meets two rows however many files define a name.
+    """
+    placed = definitions.join(files.select("file", "package"), "file").groupBy("package", "name", "file").agg(F.min("line").alias("line"))
+    at = F.min(F.struct("file", "line"))
+    first = placed.groupBy("package", "name").agg(at.alias("first"))
+    second = placed.join(first, ["package", "name"]).filter(F.col("file") != F.col("first.file")).groupBy("package", "name").agg(at.alias("second"))
+    met = requests.join(files.select("file", "package"), "file").join(first, ["package", "name"]).join(second, ["package", "name"], "left")
+    found = F.when(F.col("first.file") != F.col("file"), F.col("first")).otherwise(F.col("second"))
+    rows = met.groupBy("req").agg(F.min(found).alias("found")).filter("found IS NOT NULL")
+    return rows.select("req", F.col("found.file").alias("def_file"), F.col("found.line").alias("line"))
 
 
 def star_imports(imports: DataFrame, definitions: DataFrame, requests: DataFrame) -> DataFrame:
     """For requests (req, file, name): the definition in the first star-imported package (by seq) that has the name."""
-    met = requests.join(imports.filter("is_star").select("file", "seq", F.col("path").alias("package")), "file").join(definitions.withColumnRenamed("file", "def_file"), ["package", "name"])
-    return met.groupBy("req").agg(F.min(F.struct("seq", "def_file", "line")).alias("found")).select("req", "found.def_file", "found.line")
+    first = definitions.groupBy("package", "name").agg(F.min(F.struct(F.col("file").alias("def_file"), "line")).alias("at"))
+    met = requests.join(imports.filter("is_star").select("file", "seq", F.col("path").alias("package")), "file").join(first, ["package", "name"])
+    return met.groupBy("req").agg(F.min(F.struct("seq", "at.def_file", "at.line")).alias("found")).select("req", "found.def_file", "found.line")
 
 
 def local(symbols: DataFrame, requests: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from symatlas.functions import identifiers as ids, paths
 from symatlas.operators import complete, lookup, search
+from symatlas.sources.store import lookup_lazily, write_by_name
 
-from .tables import SEARCH_DOCS, query, read, search_docs, search_index, tokens
+from .tables import SEARCH_DOCS, query, read, search_docs, search_index, stored, text_index, tokens
 
 _BM25 = """, stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM kept),
 post AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM kept),
@@ -231,3 +232,24 @@ SELECT doc_id, name, line, uses FROM (SELECT doc_id, name, first[1] + 1 AS line,
 def used_types(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return lookup.used_types(lines, ["The", "Of"], 5).select(F.col("uri").alias("doc_id"), "name", F.col("line").cast("long").alias("line"), "uses")
+
+
+@query("indexed_documents", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def indexed_documents(spark, sf_dir):
+    return lookup.text_documents(spark, text_index(spark, sf_dir), "license").select(F.col("id").alias("doc_id"), "source")
+
+
+@query("indexed_lines", r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
+SELECT doc_id, line_no, length(line)::BIGINT AS n FROM lines WHERE regexp_matches(' ' || line || ' ', '[^a-zA-Z0-9_]License[^a-zA-Z0-9_]')""")
+def indexed_lines(spark, sf_dir):
+    return lookup.text_lines(spark, text_index(spark, sf_dir), "License").select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.length("text").cast("long").alias("n"))
+
+
+@query("lazy_library", """WITH own AS (SELECT 'P' || p_partkey AS name, p_size AS line FROM part WHERE p_partkey % 3 = 0), asked AS (SELECT DISTINCT 'P' || l_partkey AS name FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10)
+SELECT name, line, 'workspace' AS origin FROM own WHERE name IN (SELECT name FROM asked)
+UNION ALL SELECT 'P' || p_partkey, p_size + 100, 'library' FROM part WHERE 'P' || p_partkey IN (SELECT name FROM asked) AND p_partkey % 3 <> 0""")
+def lazy_library(spark, sf_dir):
+    named = read(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.col("p_partkey").alias("key"), F.col("p_size").alias("line"))
+    folder = stored(spark, sf_dir, "part", "library", lambda path: write_by_name(named.select("name", (F.col("line") + 100).alias("line")), path))
+    asked = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity < 10").select(F.concat(F.lit("P"), "l_partkey").alias("name"))
+    return lookup_lazily(asked, named.filter("key % 3 = 0").select("name", "line"), folder).select("name", "line", "origin")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
-from symatlas.operators import search
+from symatlas.operators import grams, search
 from symatlas.session import shared_folder
 
 QUERIES: dict = {}
@@ -47,20 +48,44 @@ SEARCH_DOCS = """docs AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS name,
   md5(text) AS doc, contains(lower(text), 'licen') AS generated, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents)"""
 
 
-#: Folders of stored search indexes, by application, table and the table's files.
-_INDEXES: dict[tuple, str] = {}
+def stored(spark, sf_dir: str, table: str, name: str, build) -> str:
+    """The folder of something that build(folder) stores for a table; built once for the table's files, by whichever application comes first.
+
+    The folder's name is that of the files' paths, times and sizes, so a later application with the same shared folder
+    finds it; a folder counts once the row behind it is written. Two applications that build at the same time each
+    write their own, and the first by name counts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/{table}.parquet").select("path", "modificationTime", "length")
+    one, other = files.agg(F.bit_xor(F.xxhash64(*files.columns)), F.sum(F.xxhash64(F.lit(1), *files.columns).cast("decimal(38,0)"))).first()
+    folder = f"{shared_folder(spark)}/symatlas-{name}/{one & (1 << 64) - 1:016x}{int(other or 0) & (1 << 64) - 1:016x}"
+
+    def ready():
+        try:
+            row = spark.read.schema("folder string").option("recursiveFileLookup", True).parquet(f"{folder}/ready").orderBy("folder").first()
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" in str(missing):
+                return None
+            raise
+        return row[0] if row else None
+
+    found = ready()
+    if found is None:
+        own = f"{folder}/{uuid.uuid4().hex}"
+        build(own)
+        spark.createDataFrame([(own,)], "folder string").coalesce(1).write.parquet(f"{folder}/ready/{uuid.uuid4().hex}")
+        found = ready()
+    return found
 
 
 def search_index(spark, sf_dir) -> str:
-    """The folder with the search index over documents; it is built once, and again when the table's files change."""
-    path = f"{sf_dir}/documents.parquet"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
-    key = (spark.sparkContext.applicationId, path, frozenset(map(tuple, files.collect())))
-    if key not in _INDEXES:
-        folder = f"{shared_folder(spark)}/symatlas-search-{uuid.uuid4().hex}"
-        search.write_index(search_docs(spark, sf_dir).select("id", "name", "kind", "file", "tokens"), folder)
-        _INDEXES[key] = folder
-    return _INDEXES[key]
+    """The folder with the search index over documents."""
+    return stored(spark, sf_dir, "documents", "search", lambda folder: search.write_index(search_docs(spark, sf_dir).select("id", "name", "kind", "file", "tokens"), folder))
+
+
+def text_index(spark, sf_dir) -> str:
+    """The folder with the trigram index over documents."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return stored(spark, sf_dir, "documents", "grams", lambda folder: grams.write_grams(texts, folder))
 
 
 def call_edges(spark, sf_dir) -> DataFrame:

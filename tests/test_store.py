@@ -116,3 +116,39 @@ def test_trigram_search_equals_scan(spark, tmp_path):
         assert sorted(r["id"] for r in got.collect()) == want
     assert lookup.text_lines(spark, path, "License").select("id", "line_no").collect() == [(300, 0)]
     assert [r["id"] for r in lookup.text_documents(spark, path, "license").orderBy("id").collect()] == [300, 301, 305]
+
+
+def test_stored_index_outlives_what_built_it(spark, tmp_path, monkeypatch):
+    from symatlas.plans import tables
+
+    spark.createDataFrame([(1, "a b a", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = tables.search_index(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/postings").collect()) == [(1, "a", 2, 3), (1, "b", 1, 3)]
+
+    def never(path):
+        raise AssertionError("built again")
+
+    assert tables.stored(spark, str(tmp_path), "documents", "search", never) == folder
+    spark.createDataFrame([(2, "c", "en", "s")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    with pytest.raises(AssertionError, match="built again"):
+        tables.stored(spark, str(tmp_path), "documents", "search", never)
+
+
+def test_chains_of_many_links_and_first_files(spark):
+    from symatlas.operators import graph, index, resolve
+
+    long = "A.m." + ".".join(f"n{i}" for i in range(20)) + ".end"
+    returns = [("A.m", "T0<X>", 1)] + [(f"T{i}.n{i}", f"T{i + 1}", 1) for i in range(20)] + [("A.u", "Unit", 1)]
+    edges = spark.createDataFrame([("c", long), ("c", "A.m.end"), ("c", "A.u.end"), ("c", "B.x.y.end"), ("c", "A.m"), ("c", "plain")], "caller string, callee string")
+    got = {r["callee"]: r["resolved"] for r in graph.chained_callees(edges, spark.createDataFrame(returns, "key string, type string, seq int")).collect()}
+    assert got == {long: "T20.end", "A.m.end": "T0.end", "A.u.end": "end", "B.x.y.end": "end", "A.m": "A.m", "plain": "plain"}
+
+    placed = spark.createDataFrame([("f1", "p"), ("f2", "p"), ("f3", "p"), ("g", "q")], "file string, package string")
+    definitions = spark.createDataFrame([("f1", "x", 9), ("f1", "x", 4), ("f2", "x", 2), ("f3", "x", 1), ("f3", "only", 5)], "file string, name string, line int")
+    requests = spark.createDataFrame([(1, "f1", "x"), (2, "f2", "x"), (3, "f3", "only"), (4, "g", "x"), (5, "f1", "only")], "req int, file string, name string")
+    assert sorted(tuple(r) for r in resolve.same_package(placed, definitions, requests).collect()) == [(1, "f2", 2), (2, "f1", 4), (5, "f3", 5)]
+
+    spans = [("u", "A", 1, 9), ("u", "same", 1, 9), ("u", "in", 1, 5), ("u", "B", 9, 12), ("u", "late", 10, 10), ("u", "C", 12, 14), ("v", "D", 2, 2)]
+    top = index.top_level(spark.createDataFrame(spans, "uri string, name string, start_line int, end_line int"))
+    assert top.columns == ["uri", "name", "start_line", "end_line"]
+    assert sorted(r["name"] for r in top.collect()) == ["A", "B", "C", "D", "same"]
