@@ -70,8 +70,12 @@ class Searcher:
             rest = max(0, size - 1 - end)  # in the window that has the fewest words after the block
             if rest < shift.get(block, size):
                 shift[block] = rest
+        seen: set[tuple] = set()  # a window that an item repeats has one place
         for i in range(len(ids) - size + 1):
-            bucket.setdefault(hash(tuple(ids[i : i + size])), []).append(base + i)
+            key = tuple(ids[i : i + size])
+            if key not in seen:
+                seen.add(key)
+                bucket.setdefault(hash(key), []).append(base + i)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Half-open spans of the occurrences, and the items they belong to."""

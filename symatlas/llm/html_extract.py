@@ -4,11 +4,14 @@ A page is cut into text blocks at block-level tags. The first pass labels blocks
 places (menus, page headers, footers, sidebars, forms, notices, adverts, comments: by tag, role or the
 words of class and id) and those of mostly link text are bad; long blocks with enough function words
 are good, as are long ones in a place marked as the article that holds good ones; the rest, above all short blocks, stay
-undecided. In the second pass an undecided block takes the label of its nearest decided neighbour, one
-of its own container before any other, and that of its place where no neighbour is decided.
+undecided. In the second pass an undecided block takes the label of its nearest decided neighbour: of the
+last decided block before it and the first behind it, the one with fewer steps through the nesting of containers, then
+the one that is fewer blocks away, then the good one. A page whose first pass finds nothing
+good has its short blocks in the marked place as good ones, or else its longest block. Both passes are linear.
 
 Defined results: null and empty pages have an empty text and 0 characters; unclosed tags end with
-their container; repeated pages are extracted alike; an empty table gives an empty result; further
+their container, but for those whose content is raw text (scripts, styles, titles, text areas, inner frames), which
+swallow the rest of the page as in a browser; quotes count in tags only after an equals sign; repeated pages are extracted alike; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -26,9 +29,11 @@ from .quality_rules import STOP_WORDS
 LONG, LINKED, STOPPED = 60, 0.5, 0.12
 _GOOD, _BAD, _OPEN = 1, 0, None
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = frozenset("script style noscript template textarea svg math iframe object select title".split())
+#: Elements whose content is text up to their end tag, and elements that are no text of the page but nest as others do.
+_RAW = frozenset("script style textarea iframe title".split())
+_SILENT = frozenset("noscript template svg select".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -78,10 +83,33 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 class Block:
-    __slots__ = ("text", "linked", "place", "heading")
+    __slots__ = ("text", "linked", "place", "heading", "depth", "low")  # the depth of its container, and the least depth since the block before
 
-    def __init__(self, text, linked, place, heading):
-        self.text, self.linked, self.place, self.heading = text, linked, place, heading
+    def __init__(self, text, linked, place, heading, depth=0, low=0):
+        self.text, self.linked, self.place, self.heading, self.depth, self.low = text, linked, place, heading, depth, low
+
+
+def _silent_end(page: str, at: int, end: int, tag: str) -> int | None:
+    """Where a silent element ends: behind its end tag, or before the end tag of what it lies in; None if neither comes."""
+    open_: list[str] = []
+    while (found := _TAG.search(page, at, end)) is not None:
+        at = found.end()
+        if found[2] is None:
+            continue
+        name = found[2].lower()
+        if name in _RAW and not found[1]:
+            raw = _RAW_END[name].search(page, at)
+            at = raw.end() if raw else end
+        elif name == tag or name in _BLOCK or name in _PLACE:
+            if not found[1]:
+                if not found[3].endswith("/") and name not in ("hr",):
+                    open_.append(name)
+            elif name in open_:
+                while open_.pop() != name:
+                    pass
+            else:
+                return at if name == tag else found.start()
+    return None
 
 
 def blocks(page: str) -> list[Block]:
@@ -93,14 +121,19 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     in_link = 0
     heading = False
-    number = at = 0
+    number = at = low = 0
+    # behind the last bracket there are no tags, unless a comment is left open
+    end = len(page) if page.rfind("<!--") > page.rfind("-->") else page.rfind(">") + 1
+    endless = False
 
     def flush():
-        nonlocal linked, text
+        nonlocal linked, text, low
+        low = min(low, len(stack))
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, linked, stack[-1], heading))
+                out.append(Block(joined, linked, stack[-1], heading, len(stack), low))
+                low = len(stack)
         text, linked = [], 0
 
     def add(part: str):
@@ -110,7 +143,8 @@ def blocks(page: str) -> list[Block]:
             linked += len(part.strip())
 
     while True:
-        found = _TAG.search(page, at)
+        low = min(low, len(stack))
+        found = _TAG.search(page, at, end)
         if found is None:
             if at < len(page):
                 add(page[at:])
@@ -124,8 +158,14 @@ def blocks(page: str) -> list[Block]:
         tag, closing = tag.lower(), bool(found[1])
         if tag in _RAW:
             if not closing and not found[3].endswith("/"):
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+                raw = _RAW_END[tag].search(page, at)
+                at = raw.end() if raw else len(page)
+            continue
+        if tag in _SILENT:
+            if not closing and not found[3].endswith("/") and not endless:
+                after = _silent_end(page, at, end, tag)
+                endless = after is None  # then no later one ends either
+                at = at if after is None else after
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -204,39 +244,35 @@ def extract(page: str) -> str:
     dense = [b.place.article for b in found if first_label(b, set()) == _GOOD]
     articles = {a for a in dense or (b.place.article for b in found if not b.place.bad) if a}
     labels = [first_label(b, articles) for b in found]
-    out = []
-    for i, block in enumerate(found):
-        label = labels[i]
-        if label is None:
-            label = _inherited(found, labels, i, articles)
-        if label:
-            out.append(block.text)
-    return "\n\n".join(out)
-
-
-def _inherited(found: list[Block], labels: list, i: int, articles: set[int]) -> int:
-    """The label of the nearest decided neighbour; own container first, and the better one at equal distance."""
-    place = found[i].place
-    nearest: dict[bool, tuple[int, int]] = {}
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(found):
-            if labels[j] is not None:
-                own = found[j].place is place
-                rank = (abs(j - i), -labels[j])
-                if own not in nearest or rank < nearest[own]:
-                    nearest[own] = rank
-                break
-            j += step
-    if True in nearest:
-        return -nearest[True][1]
-    if articles:
-        return _GOOD if place.article in articles else _BAD
-    if False in nearest:
-        if found[i].heading and i + 1 < len(found) and labels[i + 1] is not None:
-            return labels[i + 1]
-        return -nearest[False][1]
-    return _GOOD
+    if _GOOD not in labels:  # a page of short blocks: those marked as the article, else the longest one
+        rest = [i for i, label in enumerate(labels) if label is _OPEN]
+        for i in [i for i in rest if found[i].place.article] or sorted(rest, key=lambda i: -len(found[i].text))[:1]:
+            labels[i] = _GOOD
+    labels = inherited(found, labels)
+    return "\n\n".join(b.text for b, label in zip(found, labels) if label)
+
+
+def inherited(found: list[Block], labels: list[int | None]) -> list[int]:
+    """The labels, each undecided one that of its nearest decided neighbour.
+
+    Between two blocks the least depth that the nesting went through is that of what contains both, so a pass
+    in each direction carries the last decided block, and the least depth since.
+    """
+    nearest: list[tuple] = [()] * len(found)
+    for step in (1, -1):
+        last, least = None, 0
+        for i in range(len(found))[::step]:
+            if step > 0:
+                least = min(least, found[i].low)
+            if labels[i] is not None:
+                last, least = i, found[i].depth
+            elif last is not None:
+                shared = min(least, found[i].depth)
+                rank = (found[i].depth + found[last].depth - 2 * shared, abs(i - last), -labels[last])
+                nearest[i] = min(nearest[i] or rank, rank)
+            if step < 0:
+                least = min(least, found[i].low)
+    return [label if label is not None else -near[2] if near else _GOOD for label, near in zip(labels, nearest)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -329,3 +329,9 @@ def test_pages_table(spark):
 def test_word_ids():
     ids, n = common.word_ids([b"a", b"b", b"a"])
     assert ids.tolist() == [0, 1, 0] and n == 2
+
+
+def test_decontamination_of_repeated_windows(spark, docs):
+    items = spark.createDataFrame([(1, "same " * 5000), (2, "one two three")], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.search(docs(["same " * 400, "one two three four", "same " * 12]), items).collect()}
+    assert found == {0: (400, 1), 1: (3, 1), 2: (0, 0)}
