@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from symatlas.functions import identifiers as ids
-from symatlas.session import shipped
+from symatlas.session import shared_folder, shipped
 
 from . import resolve
 
@@ -130,6 +131,48 @@ def lambda_types(calls: DataFrame, types: DataFrame) -> DataFrame:
     return found.filter("type is not null")
 
 
+#: Functions whose lambda has the number of an element before the element.
+INDEXED = ("forEachIndexed", "mapIndexed", "filterIndexed", "onEachIndexed", "mapIndexedNotNull")
+
+
+def lambda_scopes(lambdas: DataFrame, types: DataFrame) -> DataFrame:
+    """(uri, id, name, type): what `it`, `this` and named parameters are in the lambdas of files, nested ones included.
+
+    lambdas are as the scanner has them, types the variables' (uri, var, type). A receiver is what the nearest lambda around
+    says it is, else a variable. In scope functions the lambda has the receiver, in others the element of a
+    collection. Types run from the outermost lambdas inward, a level in a round, written to the shared folder.
+    """
+    spark = lambdas.sparkSession
+    folder = f"{shared_folder(spark)}/symatlas-scopes-{uuid.uuid4().hex}"
+    own = lambdas.filter("receiver IS NOT NULL").select("uri", "id", "ancestors", "receiver", "method", "names")
+    own.write.parquet(f"{folder}/lambdas")
+    own = spark.read.parquet(f"{folder}/lambdas")
+    variables = types.groupBy("uri", F.col("var").alias("receiver")).agg(F.min("type").alias("variable"))
+    deepest = own.agg(F.max(F.size("ancestors"))).first()[0]
+    known, schema = [], "uri string, id int, name string, type string"
+    for level in range(0 if deepest is None else deepest + 1):
+        at = own.filter(F.size("ancestors") == level)
+        held = at.join(variables, ["uri", "receiver"], "left")
+        if known:
+            around = at.select("uri", "id", "receiver", F.posexplode("ancestors").alias("place", "outer"))
+            outer = spark.read.schema(schema).parquet(*known).select("uri", F.col("id").alias("outer"), F.col("name").alias("receiver"), F.col("type").alias("scoped"))
+            nearest = around.join(outer, ["uri", "outer", "receiver"]).groupBy("uri", "id").agg(F.max_by("scoped", "place").alias("scoped"))
+            held = held.join(nearest, ["uri", "id"], "left")
+        else:
+            held = held.withColumn("scoped", F.lit(None).cast("string"))
+        plain = F.regexp_replace(F.coalesce("scoped", "variable"), r"\?$", "")
+        this, scope, indexed = F.col("method").isin(*THIS_FUNCTIONS), F.col("method").isin(*IT_FUNCTIONS), F.col("method").isin(*INDEXED)
+        # the element with its own arguments
+        element = F.when(ids.collection_element(plain).isNotNull(), F.regexp_extract(plain, r"^[^<]*<\s*(?:out |in )?(.*?)\??\s*>$", 1))
+        entry = lambda name, kind: F.struct(name.alias("name"), kind.alias("type"))
+        words = F.when(this, F.array(entry(F.lit("this"), plain))).when(indexed, F.array(entry(F.get("names", F.lit(0)), F.lit("Int")), entry(F.get("names", F.lit(1)), element)))
+        words = words.otherwise(F.array(entry(F.coalesce(F.get("names", F.lit(0)), F.lit("it")), F.when(scope, plain).otherwise(element))))
+        rows = held.select("uri", "id", F.explode(words).alias("w")).select("uri", "id", "w.name", "w.type").filter("name IS NOT NULL AND type IS NOT NULL")
+        rows.write.parquet(f"{folder}/{level}")
+        known.append(f"{folder}/{level}")
+    return spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+
+
 def active_call(text: str) -> tuple[str, int] | None:
     """Name of the innermost call that a text before the cursor leaves open, and the number of the argument; strings and nested brackets are passed over."""
     stack: list[list] = []

@@ -302,3 +302,19 @@ def extract_nested_calls(spark, sf_dir):
 def extract_broken(spark, sf_dir):
     texts = _shaped(spark, sf_dir)
     return extract.relation(extract.scanned(texts), "errors").join(texts.select("uri", "s"), "uri").select("s", "line", "col", "message")
+
+
+@query("lambda_scopes", """WITH s AS (SELECT s_suppkey AS s, 'T' || s_suppkey % 5 AS t, s_suppkey % 4 AS d FROM supplier)
+SELECT s, 0 AS id, 'row' AS name, 'List<' || t || '>' AS type FROM s UNION ALL SELECT s, 1, CASE WHEN s % 2 = 0 THEN 'cell' ELSE 'it' END, t FROM s WHERE d >= 1
+UNION ALL SELECT s, 2, 'this', t FROM s WHERE d >= 2 UNION ALL SELECT s, 3, 'it', t FROM s WHERE d >= 3
+UNION ALL SELECT s, 1 + d, 'i', 'Int' FROM s UNION ALL SELECT s, 1 + d, 'x', t FROM s""")
+def lambda_scopes(spark, sf_dir):
+    s, depth = F.col("s_suppkey"), F.col("s_suppkey") % 4
+    t = F.concat(F.lit("T"), (s % 5).cast("string"))
+    cell = F.when(s % 2 == 0, "cell").otherwise("it")
+    inner = F.concat(F.when(depth >= 1, F.concat(F.lit("row.forEach { "), F.when(s % 2 == 0, "cell -> ").otherwise(""))).otherwise(""), F.when(depth >= 2, F.concat(F.lit("with("), cell, F.lit(") { "))).otherwise(""), F.when(depth >= 3, "this.let { go(it) } ").otherwise(""))
+    closing = F.concat(F.when(depth >= 2, "} ").otherwise(""), F.when(depth >= 1, "}").otherwise(""))
+    text = F.concat(F.lit("fun f() {\n val rows: List<List<"), t, F.lit(">> = read()\n val some: List<"), t, F.lit("> = read()\n rows.map { row -> "), inner, closing, F.lit(" }\n some.forEachIndexed { i, x -> put(i, x) }\n when (a) { 1 -> { b() } }\n}\n"))
+    texts = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text"), s.alias("s"))
+    scan = extract.scanned(texts)
+    return infer.lambda_scopes(extract.relation(scan, "lambdas"), extract.relation(scan, "types")).join(texts.select("uri", "s"), "uri").select("s", "id", "name", "type")

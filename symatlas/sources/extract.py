@@ -30,6 +30,7 @@ _TABLES = {
     "types": pa.struct([("line", _INT), ("var", _TEXT), ("type", _TEXT)]),
     "errors": pa.struct([("line", _INT), ("col", _INT), ("message", _TEXT)]),
     "steps": pa.struct([("caller_key", _TEXT), ("seq", _INT), ("depth", _INT), ("kind", _TEXT), ("label", _TEXT), ("line", _INT)]),
+    "lambdas": pa.struct([(n, _INT) for n in ("id",)] + [("ancestors", pa.list_(_INT))] + [(n, _INT) for n in ("line", "col", "end_line", "end_col")] + [("receiver", _TEXT), ("method", _TEXT), ("names", pa.list_(_TEXT))]),
     "tokens": pa.struct([("line", _INT), ("col", _INT), ("text", _TEXT), ("ctx", pa.list_(_TEXT))]),
 }
 
@@ -44,7 +45,7 @@ def scanned(files: DataFrame) -> DataFrame:
             scans = [Scan(u or "", t or "") for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = [batch.column(0), pa.array([s.language for s in scans], _TEXT), pa.array([s.package for s in scans], _TEXT), batch.column(2)]
             for name, kind in _TABLES.items():
-                rows = [getattr(s, name)() if name in ("steps", "tokens") else getattr(s, name) for s in scans]
+                rows = [getattr(s, name)() if name in ("steps", "lambdas", "tokens") else getattr(s, name) for s in scans]
                 columns.append(pa.array(rows, pa.list_(kind)))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

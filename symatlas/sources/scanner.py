@@ -457,6 +457,64 @@ class Scan:
                 i += 1
         return out
 
+    def lambdas(self) -> list[dict]:
+        """(id, ancestors, line, col, end_line, end_col, receiver, method, names): the lambdas of calls, with those around them from the outermost, and the parameters they name."""
+        tokens = [(m[0], m.start()) for m in _TOKEN.finditer(self.clean)]
+        out, open_, brackets, closes = [], [], [], {}
+        for i, (word, at) in enumerate(tokens):
+            if word == "(":
+                brackets.append(i)
+            elif word == ")" and brackets:
+                closes[i] = brackets.pop()
+            elif word == "}" and open_:
+                if (found := open_.pop()) is not None:
+                    out[found]["end_line"], out[found]["end_col"] = self.place(at)
+            elif word == "{":
+                called = self._lambda_of(tokens, i, closes)
+                open_.append(None if called is None else len(out))
+                if called is not None:
+                    line, col = self.place(at)
+                    around = [x for x in open_[:-1] if x is not None]
+                    out.append({"id": len(out), "ancestors": around, "line": line, "col": col, "end_line": line, "end_col": col, "receiver": called[0], "method": called[1], "names": self._lambda_names(tokens, i)})
+        return out
+
+    @staticmethod
+    def _lambda_of(tokens, i: int, closes: dict[int, int]) -> tuple[str | None, str] | None:
+        """(receiver, method) of the call that the lambda at a brace belongs to; None for other braces."""
+        k, first = i - 1, None
+        if k >= 0 and tokens[k][0] == ")" and k in closes:
+            inside = tokens[closes[k] + 1 : k]
+            first = inside[0][0] if len(inside) == 1 and _WORD.match(inside[0][0]) else None
+            k = closes[k] - 1
+        # let is a function of one language and a keyword of another
+        if k < 0 or not _WORD.match(tokens[k][0]) or tokens[k][0] in KEYWORDS and not (tokens[k][0] == "let" and k and tokens[k - 1][0] in (".", "?.")):
+            return None
+        j = k
+        joins = (".", "?.", "<", ">", "?")
+        while j > 0 and (tokens[j - 1][0] in joins or tokens[j][0] in joins and _WORD.match(tokens[j - 1][0]) and tokens[j - 1][0] not in KEYWORDS):
+            j -= 1
+        if j and tokens[j - 1][0] in ("fun", "func", "class", "interface", "object", ":", "val", "var", "init", "constructor"):
+            return None
+        if tokens[k][0] == "with":
+            return first, "with"
+        dotted = k >= 2 and tokens[k - 1][0] in (".", "?.")
+        simple = dotted and _WORD.match(tokens[k - 2][0]) and (k < 3 or tokens[k - 3][0] not in (".", "?."))
+        return tokens[k - 2][0] if simple else None, tokens[k][0]
+
+    @staticmethod
+    def _lambda_names(tokens, i: int) -> list[str]:
+        names, fresh, depth = [], True, 0
+        for word, _ in tokens[i + 1 :]:
+            if word == "->" and not depth:
+                return names
+            if word in ("{", "}", ";", "=", "."):
+                break
+            depth += (word in ("(", "<")) - (word in (")", ">"))
+            if fresh and not depth and _WORD.match(word):
+                names.append(word)
+            fresh = word == "," and not depth
+        return []
+
     def tokens(self) -> list[dict]:
         """Identifiers with their places and context flags."""
         declared = {(s["sel_line"], s["sel_col"]) for s in self.symbols}

@@ -196,3 +196,9 @@ def test_imported_from(spark):
     assert at("a.b.Outer.Event", "Event") == [("/w/x/a/b/Outer.kt", 1, "class")]
     assert at("c.d.Event", "Event") == [("/w/z/Event.kt", 2, "class")] and at("q.Event", "Event") == [("/w/y/Event.kt", 1, "class")]
     assert at("c.d.Nope", "Nope") == [] and at("c.d", "d") == []
+
+
+def test_lambdas():
+    source = "class A : B({ 1 }) {\n fun f(g: () -> Unit = {}) {\n  rows?.map { row -> row.let { it.x() } }\n  with(row) { run { a() } }\n  if (b) { c() } else { d() }\n  m.forEach { (k, v) -> e(k) }\n  a.b.c().also { q, r -> z() }\n }\n val h by lazy { 3 }\n init { x() }\n fun List<Int>.each() { y() }\n}"
+    found = [(x["method"], x["receiver"], x["names"], len(x["ancestors"])) for x in Scan("a.kt", source).lambdas()]
+    assert found == [("map", "rows", ["row"], 0), ("let", "row", [], 1), ("with", "row", [], 0), ("run", None, [], 1), ("forEach", "m", [], 0), ("also", None, ["q", "r"], 0), ("lazy", None, [], 0)]
