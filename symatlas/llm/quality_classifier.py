@@ -3,7 +3,7 @@
 A document is the average of learned vectors of its words, of the words' character n-grams and of a
 mark for every pair of words that the text has had before, all hashed into BUCKETS rows; a softmax over two classes is its output. Numpy stochastic gradient descent
 (with per-coordinate step sizes) fits vectors and output on a bounded sample of labelled documents
-(SAMPLE of each label, of at most SAMPLE_BYTES). Output and average are linear, so a word's share of
+(SAMPLE of each label, of at most SAMPLE_BYTES, or the LONG_TEXTS shortest where a label has only longer ones). Output and average are linear, so a word's share of
 the score is computed once and remembered.
 
 Defined results: a null or empty text, or one without words, gets the score of the output's bias alone;
@@ -28,6 +28,8 @@ SIZE = 12
 SHORTEST, LONGEST = 3, 4
 SAMPLE = 1200
 SAMPLE_BYTES = 1 << 15
+#: Longer texts that a label is learned from where it has no others.
+LONG_TEXTS = 8
 EPOCHS = 5
 RATE = 0.3
 THRESHOLD = 0.7
@@ -198,6 +200,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = sampling.by_label(rows.filter(~sampling.held_out(F.col("doc_id"))), "quality", SAMPLE, "doc_id")
     # the sample holds at most 4 * SAMPLE rows, so it may be broadcast; the limit after the join is for repeated documents
     texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", F.xxhash64("text"), "quality").limit(4 * SAMPLE).collect()
+    for label in {0, 1} - {r["quality"] for r in texts}:  # a label that only long texts have is learned from the shortest of them
+        size = F.octet_length("text")
+        texts += docs.filter(size > SAMPLE_BYTES).join(F.broadcast(chosen.filter(F.col("quality") == label)), "doc_id").orderBy(size, "doc_id", F.xxhash64("text")).limit(LONG_TEXTS).select("doc_id", "text", "quality").collect()
     return Model([(r["text"].encode(), r["quality"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"], r["quality"]))])
 
 

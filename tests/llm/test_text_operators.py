@@ -335,3 +335,10 @@ def test_decontamination_of_repeated_windows(spark, docs):
     items = spark.createDataFrame([(1, "same " * 5000), (2, "one two three")], "item_id long, text string")
     found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.search(docs(["same " * 400, "one two three four", "same " * 12]), items).collect()}
     assert found == {0: (400, 1), 1: (3, 1), 2: (0, 0)}
+
+
+def test_quality_is_learned_from_long_texts_where_there_are_no_others(spark, docs, prose):
+    texts = [("good fine words here " if i % 2 else "bad poor thing there ") * 2500 for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = quality_classifier.score(docs(texts), labels).collect()
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in rows)
