@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symatlas.engine import Workspace
-from symatlas.operators import diagnose, graph, infer, lookup, output, resolve, stats
-from symatlas.sources import files
+from symatlas.operators import diagnose, graph, infer, lookup, output, resolve, stats, trees
+from symatlas.sources import archives, files
 
 COMMANDS = {
     "find": lambda w, a: w.find(a.name, a.kind or (), a.module, a.source_set or (), a.limit),
@@ -54,6 +54,12 @@ COMMANDS = {
     "steps": lambda w, a: w.relation("steps").filter(F.col("caller_key") == a.name).orderBy("seq"),
     "tokens": lambda w, a: infer.token_phases(w.relation("tokens"), w.symbols).orderBy("uri", "line", "col"),
     "hints": lambda w, a: infer.hints(w.symbols, w.relation("types")),
+    "tree": lambda w, a: w.tree(a.name, a.depth, a.limit or trees.MAX_NODES),
+    "changes": lambda w, a: w.tree_changes(a.name or "HEAD", a.target or "", a.depth),
+    "lambdas": lambda w, a: w.lambda_types().orderBy("uri", "id", "name"),
+    "index": lambda w, a: w.spark.createDataFrame([(w.save(a.name),)], "written boolean"),
+    "refresh": lambda w, a: w.spark.createDataFrame([(w.refresh(a.name, w.spark.createDataFrame([(u,) for u in a.changed or ()], "uri string")),)], "version long"),
+    "extract-sources": lambda w, a: archives.extract_sources(w.spark, w.root, a.name, tuple(a.pattern or ())),
     "doctor": lambda w, a: stats.folder_statistics(files.listing(w.spark, w.root, exclude=False)),
     "capabilities": lambda w, a: capabilities(w.spark),
 }
@@ -81,6 +87,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--target")
     out.add_argument("--ref-kind")
     out.add_argument("--no-imports", action="store_true")
+    out.add_argument("--changed", action="append", help="uri of a file to put into the index anew")
+    out.add_argument("--pattern", action="append")
     return out
 
 

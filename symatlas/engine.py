@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from symatlas.functions import identifiers as ids, paths
-from symatlas.operators import diagnose, graph, index, lookup, output, resolve, search, stats
-from symatlas.sources import extract, files
+from symatlas.operators import diagnose, graph, index, infer, lookup, output, resolve, search, stats, trees
+from symatlas.sources import archives, extract, files
 from symatlas.sources.scanner import KEYWORDS
 
 CALLERS_CAP, SUBTYPES_CAP = 20, 50
@@ -169,10 +169,51 @@ class Workspace:
         keys = graph.resolve_entry(self.edges.select(F.col("caller").alias("key")), entry).collect()
         if len(keys) != 1:
             return self.spark.createDataFrame([(r["key"], "ambiguous") for r in keys], "key string, status string")
-        found = graph.reach(self.spark, self.edges, keys[0]["key"], target, depth)
-        sites = self.symbols.select(F.concat_ws(".", "owner", "name").alias("name"), F.col("uri").alias("file"), F.col("sel_line").alias("line"))
+        found = graph.reach(self.spark, self.walkable, keys[0]["key"], target, depth)
+        place = F.col("uri").alias("file"), F.col("sel_line").alias("line")
+        sites = self.symbols.select(F.concat_ws(".", "owner", "name").alias("name"), *place).unionByName(self.symbols.filter("owner IS NOT NULL").select("name", *place))
         return graph.definition_sites(found, sites)
 
+    @cached_property
+    def walkable(self) -> DataFrame:
+        """The calls that walks take: chains by return types, bare and abstract callees by what they stand for, languages apart."""
+        returns = self.symbols.filter("owner IS NOT NULL AND return_type IS NOT NULL").select(F.concat_ws(".", "owner", "name").alias("key"), F.col("return_type").alias("type"), F.col("ordinal").alias("seq"))
+        chained = graph.chained_callees(self.edges.select("caller", "callee", "file"), returns)
+        return graph.walkable(chained.select("caller", F.col("resolved").alias("callee"), "file"), self.types.select("super", "sub").distinct())
+
+    def tree(self, entry: str, depth: int = graph.MAX_DEPTH, limit: int = trees.MAX_NODES) -> DataFrame:
+        """(entry, path, line): the call tree of a function, branches kept, as indented lines."""
+        nodes = trees.expanded(trees.with_parents(self.relation("steps")), self.spark.createDataFrame([(entry,)], "entry string"), depth, limit)
+        return trees.rendered(nodes).orderBy("path")
+
+    def tree_changes(self, before: str, after: str = "", depth: int = graph.MAX_DEPTH, below: str = "") -> DataFrame:
+        """(entry, place, line): marked lines of the call trees that differ between two versions of the root under version control; an empty ref is the working tree."""
+        both, sides = archives.snapshots(self.spark, self.root, before, after, below), []
+        for side in ("before", "after"):
+            scan = extract.scanned(both.filter(F.col("side") == side).select(F.col("path").alias("uri"), "text"))
+            functions = extract.relation(scan, "symbols").filter(F.col("kind").isin("function", "method", "constructor")).select(F.concat_ws(".", "owner", "name").alias("key"), (F.col("visibility") == "public").alias("exported"))
+            sides.append((trees.with_parents(extract.relation(scan, "steps")), functions.withColumn("label", F.col("key"))))
+        entries = trees.inferred_entries(*sides, depth)
+        found = [trees.expanded(steps, entries.join(functions.select(F.col("key").alias("entry")), "entry", "left_semi"), depth) for steps, functions in sides]
+        return trees.diff_lines(trees.changed_trees(trees.tree_diff(*found))).orderBy("entry", "place")
+
+    def lambda_types(self) -> DataFrame:
+        """(uri, id, name, type): what `it`, `this` and named parameters are in lambdas; variables are parameters and locals with a known type."""
+        parameters = self.symbols.select("uri", F.explode("parameters").alias("p")).select("uri", F.col("p.name").alias("var"), F.col("p.type").alias("type"))
+        return infer.lambda_scopes(self.relation("lambdas"), self.relation("types").select("uri", "var", "type").unionByName(parameters))
+
+    def _stored(self, uris: DataFrame | None = None) -> dict[str, DataFrame]:
+        found = {"files": self.files, **{n: self.relation(n) for n in ("symbols", "imports", "supers", "calls", "annotations", "types", "errors", "steps", "lambdas")}}
+        return found if uris is None else {n: f.join(uris, "uri", "left_semi") for n, f in found.items()}
+
+    def save(self, folder: str) -> bool:
+        """Store the relations as a new version of the index in a folder."""
+        return files.write_index(self._stored(), folder)
+
+    def refresh(self, folder: str, changed: DataFrame) -> int:
+        """Put this workspace's rows of the changed files (uri) in the index in a folder; files that are gone from the workspace go. The new version's number."""
+        return files.refresh_index(self.spark, folder, changed.select("uri").distinct(), self._stored(changed.select("uri").distinct()))
+
     def impact(self, name: str) -> DataFrame:
         refs = self.references(name).withColumn("key", F.lit(name)).select("key", F.regexp_replace("kind", "-", "_").alias("kind"))
         callers = self.callers(name).agg(F.count("*").alias("callers"))

@@ -146,6 +146,7 @@ class Scan:
         self.types: list[dict] = []
         self.errors: list[dict] = []
         self.bodies: list[tuple[str, int, int]] = []
+        self.called: set[int] = set()
         self.package: str | None = None
         self._header()
         self._walk()
@@ -308,6 +309,7 @@ class Scan:
         """Symbols, supertypes, facts and calls of a tree's nodes, in the order of the source."""
         for node in nodes:
             if node.kind == "call":
+                self.called.add(tokens[node.at][1])
                 self._call(tokens, node.at, scopes)
             elif node.kind == "block":
                 self._visit(node.kids, tokens, scopes)
@@ -450,7 +452,7 @@ class Scan:
                         out.append({"caller_key": key, "seq": seq, "depth": len(open_), "kind": "branch", "label": word, "line": self.place(at)[0]})
                         seq += 1
                         branch = word
-                elif _WORD.match(word) and word not in KEYWORDS and after == "(" and (not i or tokens[i - 1][0] not in ("fun", "func", "@")):
+                elif _WORD.match(word) and word not in KEYWORDS and (after == "(" or at in self.called) and (not i or tokens[i - 1][0] not in ("fun", "func", "@")):
                     label = f"new {word}" if word[0].isupper() else word
                     out.append({"caller_key": key, "seq": seq, "depth": len(open_), "kind": "call", "label": label, "line": self.place(at)[0]})
                     seq += 1

@@ -59,7 +59,7 @@ def test_graph(workspace):
     assert {r["callee"] for r in workspace.callees("Client.send").collect()} == {"flush"}
     assert [r["name"] for r in workspace.hierarchy("Screen").collect()] == ["LoginScreen"]
     nodes = {(r["name"], r["line"]) for r in workspace.reach("LoginScreen.open", "Client.send").collect()}
-    assert nodes == {("LoginScreen.open", 3), ("Client.send", 4)}
+    assert nodes == {("LoginScreen.open", 3), ("Client.send", 4), ("retry", 11), ("open", 3)}  # and by retry, which calls open by its bare name
 
 
 def test_other_lookups(workspace, spark):
@@ -78,7 +78,7 @@ def test_other_lookups(workspace, spark):
 def test_steps():
     steps = [(s["caller_key"], s["depth"], s["kind"], s["label"]) for s in Scan("Login.kt", FILES["app/src/main/kotlin/Login.kt"]).steps()]
     assert steps == [
-        ("LoginScreen.open", 0, "branch", "if"), ("LoginScreen.open", 0, "call", "ready"), ("LoginScreen.open", 1, "call", "send"), ("LoginScreen.open", 0, "branch", "else"),
+        ("LoginScreen.open", 0, "branch", "if"), ("LoginScreen.open", 0, "call", "ready"), ("LoginScreen.open", 1, "call", "send"), ("LoginScreen.open", 0, "branch", "else"), ("LoginScreen.open", 1, "call", "retry"),
         ("LoginScreen.open", 0, "call", "new Token"), ("LoginScreen.retry", 0, "call", "open"),
     ]
 
@@ -107,6 +107,38 @@ def test_places_and_scopes(workspace, capsys, spark):
 
 
 @pytest.mark.parametrize("command", sorted(COMMANDS))
-def test_every_command(workspace, spark, command):
-    args = parser().parse_args([command, workspace.root, "send"])
-    COMMANDS[command](workspace, args).limit(1).collect()
+def test_every_command(workspace, spark, command, tmp_path):
+    folder = str(tmp_path / "out") if command in ("index", "refresh", "extract-sources") else "send"
+    args = parser().parse_args([command, workspace.root, folder])
+    if command == "refresh":
+        workspace.save(folder)
+    if command == "changes":  # the root is under no version control
+        with pytest.raises(Exception, match="rev-parse"):
+            COMMANDS[command](workspace, args)
+    else:
+        COMMANDS[command](workspace, args).limit(1).collect()
+
+
+def test_trees_and_lambdas(workspace):
+    lines = [r["line"].strip() for r in workspace.tree("LoginScreen.open").collect()]
+    assert lines[0] == "LoginScreen.open" and {"if", "ready", "send", "else", "retry", "new Token"} <= set(lines)
+    assert workspace.lambda_types().columns == ["uri", "id", "name", "type"]
+
+
+def test_index_is_saved_and_refreshed(spark, tmp_path):
+    root, folder = tmp_path / "src", str(tmp_path / "index")
+    root.mkdir()
+    (root / "A.kt").write_text("class A { fun one() {} }\n")
+    (root / "B.kt").write_text("class B\n")
+    first = Workspace(spark, str(root))
+    assert first.save(folder)
+    uris = {r["uri"].rsplit("/", 1)[1]: r["uri"] for r in first.files.select("uri").collect()}
+    first.close()
+    (root / "A.kt").write_text("class A { fun two() {} }\n")
+    (root / "B.kt").unlink()
+    second = Workspace(spark, str(root))
+    assert second.refresh(folder, spark.createDataFrame([(u,) for u in uris.values()], "uri string")) == 2
+    from symatlas.sources import files
+
+    assert sorted(r["name"] for r in files.read_index(spark, folder, "symbols")["symbols"].collect()) == ["A", "two"]
+    second.close()
