@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from symatlas.functions import identifiers as ids, paths
 from symatlas.operators import complete, lookup, search
-from symatlas.sources.store import lookup_lazily, write_by_name
+from symatlas.session import shared_folder
+from symatlas.sources.store import Store, lookup_lazily, write_by_name
 
 from .tables import SEARCH_DOCS, query, read, search_docs, search_index, stored, text_index, tokens
 
@@ -253,3 +256,16 @@ def lazy_library(spark, sf_dir):
     folder = stored(spark, sf_dir, "part", "library", lambda path: write_by_name(named.select("name", (F.col("line") + 100).alias("line")), path))
     asked = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity < 10").select(F.concat(F.lit("P"), "l_partkey").alias("name"))
     return lookup_lazily(asked, named.filter("key % 3 = 0").select("name", "line"), folder).select("name", "line", "origin")
+
+
+@query("refreshed_index", """WITH s AS (SELECT doc_id, 'd' || doc_id AS uri, split_part(text, ' ', 1) AS name FROM documents WHERE text IS NOT NULL)
+SELECT uri, name, 1 AS version FROM s WHERE doc_id % 3 <> 0 UNION ALL SELECT uri, name || '2', 2 FROM s WHERE doc_id % 6 = 0""")
+def refreshed_index(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("uri"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.lit(1).alias("version"))
+    index = Store(spark, f"{shared_folder(spark)}/symatlas-index-{uuid.uuid4().hex}")
+    index.write({"files": docs.select("uri"), "symbols": docs.select("uri", "name", "version")})
+    # every third document has changed, and every sixth is still there; the fresh rows come from the index itself
+    kept = index.read("symbols").join(docs.filter("doc_id % 6 = 0").select("uri"), "uri", "left_semi")
+    fresh = {"files": kept.select("uri"), "symbols": kept.select("uri", F.concat("name", F.lit("2")).alias("name"), (F.col("version") + 1).alias("version"))}
+    index.replace(docs.filter("doc_id % 3 = 0"), fresh)
+    return index.read("symbols").select("uri", "name", "version")
