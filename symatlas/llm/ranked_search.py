@@ -323,15 +323,16 @@ def searched(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     spark = common.tuned(docs.sparkSession)
     scratch = common.Scratch()
     kind = items.schema["item_id"].dataType.simpleString()
-    out = []
+    out, kept = [], []
     n_docs, n_terms = statistics(docs)
     if n_docs:
         blocks = scratch.written(index_of(docs, n_docs, n_terms), "blocks", **{"parquet.block.size": str(ROW_GROUP)})
         for held in query_sets(items):
             names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(held)], f"query int, item_id {kind}")
-            found = scratch.written(search(blocks, n_docs, [r[1] for r in held], top), "ranked")
-            out.append(found.join(names, "query").select("item_id", "rank", "doc_id", "score"))
+            kept.append(scratch.written(search(blocks, n_docs, [r[1] for r in held], top), "ranked"))
+            out.append(kept[-1].join(names, "query").select("item_id", "rank", "doc_id", "score"))
             common.tuned(spark)
+        scratch.drop(*kept)  # the index, once all queries are answered
     if not out:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     return reduce(DataFrame.unionAll, out)
