@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from symatlas.functions import identifiers as ids
+from symatlas.operators import trees
+from symatlas.session import shared_folder
+
+#: Segments of qualifiers that are followed in one plan.
+SEGMENTS = 3
 
 
 def first_tier(tiers: list[DataFrame], key: str) -> DataFrame:
@@ -162,14 +168,12 @@ def qualified_access(requests: DataFrame, symbols: DataFrame, supers: DataFrame,
     """For requests (req, file, owner, qualifier, name): the members of that name of what the qualifier means.
 
     this is the owner, super its supertypes, a capitalised first segment a type, and any other a variable of the file
-    (types: uri, var, type) or else a member of the owner. Further segments are followed through the types of members, as many as the longest
-    qualifier has. A member that a type itself lacks is looked for in its direct supertypes.
+    (types: uri, var, type) or else a member of the owner. Further segments are followed through the types of members. A member that a type itself lacks is looked for in its direct supertypes.
     """
     members = symbols.select("owner", "name", F.col("uri").alias("def_file"), F.col("sel_line").alias("line"), ids.type_leaf(F.col("return_type")).alias("leads"))
     inherited = supers.select("sub", F.col("super").alias("owner")).join(members, "owner").select(F.col("sub").alias("owner"), "name", "def_file", "line", "leads")
     both = members.withColumn("level", F.lit(0)).unionByName(inherited.withColumn("level", F.lit(1)))
     parts = requests.withColumn("parts", F.split("qualifier", r"\."))
-    longest = parts.agg(F.max(F.size("parts"))).first()[0] or 0
     head = F.col("parts")[0]
     known = types.groupBy(F.col("uri").alias("file"), F.col("var").alias("head")).agg(F.min("type").alias("var_type"))
     step = members.groupBy("owner", F.col("name").alias("segment")).agg(F.min("leads").alias("leads"))
@@ -177,10 +181,20 @@ def qualified_access(requests: DataFrame, symbols: DataFrame, supers: DataFrame,
     up = at.filter(head == "super").join(supers.select(F.col("sub").alias("owner"), "super"), "owner").withColumn("at", F.col("super")).drop("super")
     plain = F.when(head == "this", F.col("owner")).when(head.rlike(r"^\p{Lu}"), head).otherwise(ids.type_leaf(F.coalesce("var_type", "own_type")))
     at = at.filter(head != "super").withColumn("at", plain).unionByName(up).select("req", "name", "parts", "at")
-    for k in range(1, longest):
-        here = F.get("parts", F.lit(k))
-        moved = at.withColumn("segment", here).join(step.withColumnRenamed("owner", "at"), ["at", "segment"], "left")
-        at = moved.select("req", "name", "parts", F.when(here.isNull(), F.col("at")).when(F.col("leads").isNull() & here.rlike(r"^\p{Lu}"), here).otherwise(F.col("leads")).alias("at"))
+    # some segments in a round, by tables in the shared folder; qualifiers that have ended leave
+    folder = f"{shared_folder(requests.sparkSession)}/symatlas-qualifiers-{uuid.uuid4().hex}"
+    step = trees.table_of(requests.sparkSession, step, f"{folder}/members")
+    state = trees.table_of(requests.sparkSession, at.withColumn("k", F.lit(1)), f"{folder}/0")
+    more, at, round_ = F.size("parts") > F.col("k"), state.filter(F.size("parts") <= F.col("k")), 0
+    while not state.filter(more).isEmpty():
+        round_ += 1
+        live = state.filter(more)
+        for _ in range(SEGMENTS):
+            here = F.get("parts", F.col("k"))
+            moved = live.withColumn("segment", here).join(step.withColumnRenamed("owner", "at"), ["at", "segment"], "left")
+            live = moved.select("req", "name", "parts", F.when(here.isNull(), F.col("at")).when(F.col("leads").isNull() & here.rlike(r"^\p{Lu}"), here).otherwise(F.col("leads")).alias("at"), (F.col("k") + 1).alias("k"))
+        state = trees.table_of(requests.sparkSession, live, f"{folder}/{round_}")
+        at = at.unionByName(state.filter(~more))
     met = at.select("req", "name", F.col("at").alias("owner")).join(both, ["owner", "name"])
     best = met.groupBy("req").agg(F.min("level").alias("level"))
     return met.join(best, ["req", "level"]).select("req", "def_file", "line").distinct()

@@ -152,3 +152,11 @@ def test_chains_of_many_links_and_first_files(spark):
     top = index.top_level(spark.createDataFrame(spans, "uri string, name string, start_line int, end_line int"))
     assert top.columns == ["uri", "name", "start_line", "end_line"]
     assert sorted(r["name"] for r in top.collect()) == ["A", "B", "C", "D", "same"]
+
+
+def test_batch_tells_requests_of_one_number_apart(spark):
+    requests = spark.createDataFrame([(1, "definition", "a"), (1, "definition", "b"), (1, "callers", "a"), (2, None, "a"), (3, "definition", None)], "req_id int, type string, name string")
+    places = spark.createDataFrame([("a", "A:1"), ("b", "B:1")], "k string, at string")
+    calls = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z")], "callee string, caller string")
+    got = lookup.batch(requests, {"definition": (places, "k", F.col("at"), None), "callers": (calls, "callee", F.col("caller"), 2)})
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "callers", "x"), (1, "callers", "y"), (1, "definition", "A:1"), (1, "definition", "B:1"), (2, None, "unknown request null"), (3, "definition", "not found")]
