@@ -54,6 +54,7 @@ COMMANDS = {
     "steps": lambda w, a: w.relation("steps").filter(F.col("caller_key") == a.name).orderBy("seq"),
     "tokens": lambda w, a: infer.token_phases(w.relation("tokens"), w.symbols).orderBy("uri", "line", "col"),
     "hints": lambda w, a: infer.hints(w.symbols, w.relation("types")),
+    "symbols-like": lambda w, a: w.symbols_like(a.name, a.limit or 512),
     "tree": lambda w, a: w.tree(a.name, a.depth, a.limit or trees.MAX_NODES),
     "changes": lambda w, a: w.tree_changes(a.name or "HEAD", a.target or "", a.depth),
     "lambdas": lambda w, a: w.lambda_types().orderBy("uri", "id", "name"),

@@ -113,6 +113,18 @@ class Workspace:
         lines = lookup.declared_lines(extract.lines(self.texts), name)
         return resolve.first_tier([*tiers, lines.select(F.lit(0).alias("k"), F.col("uri").alias("file"), F.col("line_no").alias("line"), "kind")], "k").drop("k").orderBy("file", "line")
 
+    def symbols_like(self, query: str, limit: int = 512) -> DataFrame:
+        """(name, kind, file, line, container) of symbols whose name, and owner for Owner.name, hold the query in any case; where there is none, of the lines that declare the name."""
+        owner, _, bare = query.rpartition(".")
+        found = lookup.find(self.symbols, part=bare)
+        if owner:
+            found = found.filter(F.lower("owner").contains(owner.lower()))
+        rows = found.select("name", "kind", F.col("uri").alias("file"), F.col("sel_line").alias("line"), F.col("detail").alias("container")).orderBy("name", "file", "line").limit(limit)
+        if not bare or not rows.isEmpty():
+            return rows
+        lines = lookup.declared_lines(extract.lines(self.texts), bare)
+        return lines.select(F.lit(bare).alias("name"), F.lit("file").alias("kind"), F.col("uri").alias("file"), F.col("line_no").alias("line"), F.lit("text").alias("container")).orderBy("file", "line").limit(limit)
+
     def scope_at(self, file: str, line: int, col: int) -> tuple[str, str | None, str | None] | None:
         """The identifier at a place, and its declaration's parent type and package, as far as they are known."""
         tokens = self.relation("tokens").filter((F.col("uri") == file) & (F.col("line") == line) & (F.col("col") <= col) & (F.col("col") + F.length("text") > col))

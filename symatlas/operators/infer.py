@@ -90,11 +90,22 @@ def modifier_bits(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("modifiers", sum(F.when(F.coalesce(t, F.lit(False)), 1 << i).otherwise(0) for i, t in enumerate(tests)))
 
 
-def token_phases(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(uri, line, col, text, type, modifiers): declarations, then uses of a function's parameters inside it, then references; the first phase wins at each place."""
+def token_phases(tokens: DataFrame, symbols: DataFrame, span: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(uri, line, col, text, type, modifiers): declarations, then uses of a function's parameters inside it, then references; the first phase wins at each place.
+
+    Declarations are those of Kotlin and Java, parameters those of Kotlin; Swift has references only. A span (first line and
+    column, last line and column) leaves the tokens that lie inside it, before anything is joined.
+    """
+    if span is not None:
+        first_line, first_col, last_line, last_col = span
+        behind = (F.col("line") > first_line) | (F.col("line") == first_line) & (F.col("col") >= first_col)
+        before = (F.col("line") < last_line) | (F.col("line") == last_line) & (F.col("col") + F.length("text") <= last_col)
+        tokens = tokens.filter(behind & before)
     at = ["uri", "line", "col", "text"]
-    declared = modifier_bits(symbols).select("uri", F.col("sel_line").alias("line"), F.col("sel_col").alias("col"), F.col("name").alias("text"), F.col("kind").alias("type"), "modifiers", F.lit(0).alias("phase"))
-    own = symbols.select("uri", "start_line", "end_line", F.explode("parameters").alias("p")).select("uri", "start_line", "end_line", F.col("p.name").alias("text"))
+    declared = modifier_bits(symbols.filter(~F.col("uri").endswith(".swift"))).select("uri", F.col("sel_line").alias("line"), F.col("sel_col").alias("col"), F.col("name").alias("text"), F.col("kind").alias("type"), "modifiers", F.lit(0).alias("phase"))
+    if span is not None:
+        declared = declared.filter(behind & before)
+    own = symbols.filter(~F.col("uri").rlike(r"\.(java|swift)$")).select("uri", "start_line", "end_line", F.explode("parameters").alias("p")).select("uri", "start_line", "end_line", F.col("p.name").alias("text"))
     inside = tokens.select(*at).join(own, ["uri", "text"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     parameters = inside.select(*at, F.lit("parameter").alias("type"), F.lit(0).alias("modifiers"), F.lit(1).alias("phase")).distinct()
     kinds = modifier_bits(symbols).groupBy(F.col("name").alias("text")).agg(F.min(F.struct("kind", "modifiers")).alias("k"))

@@ -318,3 +318,17 @@ def lambda_scopes(spark, sf_dir):
     texts = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text"), s.alias("s"))
     scan = extract.scanned(texts)
     return infer.lambda_scopes(extract.relation(scan, "lambdas"), extract.relation(scan, "types")).join(texts.select("uri", "s"), "uri").select("s", "id", "name", "type")
+
+
+@query("token_phases", """WITH s AS (SELECT s_suppkey AS s, s_suppkey % 3 AS k, length(s_suppkey::VARCHAR)::INT AS n FROM supplier)
+SELECT s, t.* FROM s, LATERAL (SELECT 4 AS col, 'f' || s AS text, 'function' AS type WHERE k = 0 UNION ALL SELECT c, 'a', 'parameter' FROM (VALUES (6 + n), (16 + n), (22 + 2 * n)) v(c) WHERE k = 0
+UNION ALL SELECT 20 + n, 'g' || s, 'function' WHERE k = 0 UNION ALL SELECT 6, 'J' || s, 'class' WHERE k = 1 UNION ALL SELECT 14 + n, 'h' || s, 'method' WHERE k = 1
+UNION ALL SELECT c, 'q' || s, 'function' FROM (VALUES (5), (31 + n)) v(c) WHERE k = 2) t""")
+def token_phases(spark, sf_dir):
+    s = F.col("s_suppkey")
+    text = F.when(s % 3 == 0, F.format_string("fun f%1$d(a: Int) = a + g%1$d(a)\nfun g%1$d(b: Int) = b\n", s)).when(s % 3 == 1, F.format_string("class J%1$d { int h%1$d(int c) { return c; } }\n", s)).otherwise(F.format_string("func q%1$d(d: Int) -> Int { return q%1$d(d: d) }\n", s))
+    ending = F.when(s % 3 == 0, ".kt").when(s % 3 == 1, ".java").otherwise(".swift")
+    texts = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, ending).alias("uri"), text.alias("text"), s.alias("s"))
+    scan = extract.scanned(texts)
+    found = infer.token_phases(extract.relation(scan, "tokens"), extract.relation(scan, "symbols"), (0, 0, 0, 1000))
+    return found.join(texts.select("uri", "s"), "uri").select("s", "col", "text", "type")

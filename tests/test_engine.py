@@ -142,3 +142,13 @@ def test_index_is_saved_and_refreshed(spark, tmp_path):
 
     assert sorted(r["name"] for r in files.read_index(spark, folder, "symbols")["symbols"].collect()) == ["A", "two"]
     second.close()
+
+
+def test_symbols_like_falls_back_to_text(workspace, spark, tmp_path):
+    assert {r["name"] for r in workspace.symbols_like("client.sen").collect()} == {"send"}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/A.kt").write_text("/* text only:\n  class Hidden\n*/\nclass Shown\n")
+    other = Workspace(spark, str(tmp_path / "w"))
+    assert [(r["name"], r["line"], r["container"]) for r in other.symbols_like("Hidden").collect()] == [("Hidden", 1, "text")]
+    assert [r["kind"] for r in other.symbols_like("shown").collect()] == ["class"] and other.symbols_like("Nowhere").count() == 0
+    other.close()
