@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from symatlas.functions import identifiers as ids
+from symatlas.operators import infer
 
 CAP = 150
+#: Calls within calls whose arguments are left out of an argument list.
+NESTED = 8
 _FULL_PREFIX = 4
 
 
@@ -49,6 +52,22 @@ def members(symbols: DataFrame, supers: DataFrame, receiver: str, depth: int = 4
     return own.withColumn("place", first).filter("place = 1").orderBy("level", kind_rank(F.col("kind")), "ordinal").select("name", "kind", "level")
 
 
+def named_arguments(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(req, label, type, position) for requests (req, before), the text before a cursor: the parameters of the call it is in that can still be given by name, of every definition.
+
+    Those are the parameters behind the arguments given by place whose name, followed by an equals sign, isn't in the open argument list.
+    """
+    calls = infer.open_calls(requests).join(requests.select(F.col("req").cast("long"), "before"), "req")
+    own = symbols.filter(F.col("kind").isin("function", "method", "constructor", "class", "struct")).select("name", F.posexplode("parameters").alias("position", "p"))
+    given = F.regexp_extract_all("inside", F.lit(r"(\w+)\s*=(?!=)"), F.lit(1))
+    inside = F.expr("substring_index(before, concat(name, '('), -1)")
+    for _ in range(NESTED):  # arguments of other calls don't name parameters of this one
+        inside = F.regexp_replace(inside, r"\([^()]*\)", "")
+    met = calls.withColumn("inside", inside).join(own, "name")
+    left = met.filter((F.col("position") >= F.col("active") - F.size(given)) & ~F.array_contains(given, F.col("p.name")))
+    return left.select("req", F.concat(F.col("p.name"), F.lit(" = ")).alias("label"), F.col("p.type").alias("type"), "position").distinct()
+
+
 def kind_rank(kind):
     """Functions, then variables, then others, then types."""
     return F.when(kind.isin("function", "method", "constructor"), 0).when(kind.isin("property", "field", "variable", "constant"), 1).when(kind.isin("class", "interface", "enum", "struct", "object"), 3).otherwise(2)

@@ -212,8 +212,8 @@ def active_call(text: str) -> tuple[str, int] | None:
     return None
 
 
-def signature_help(requests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(req, name, active, signature, parameter) for requests (req, before), the text before a cursor: the call it is in, each definition's signature and the parameter's name."""
+def open_calls(requests: DataFrame) -> DataFrame:
+    """(req, name, active) of the calls that texts before cursors (req, before) leave open."""
     shipped(requests.sparkSession)
 
     def run(batches):
@@ -221,6 +221,10 @@ def signature_help(requests: DataFrame, symbols: DataFrame) -> DataFrame:
             found = [(r, *call) for r, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (call := active_call(before or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["req", "name", "active"])
 
-    calls = requests.select(F.col("req").cast("long"), "before").mapInArrow(run, "req long, name string, active int")
+    return requests.select(F.col("req").cast("long"), "before").mapInArrow(run, "req long, name string, active int")
+
+
+def signature_help(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(req, name, active, signature, parameter) for requests (req, before), the text before a cursor: the call it is in, each definition's signature and the parameter's name."""
     own = symbols.filter(F.col("kind").isin("function", "method", "constructor", "class", "struct")).select("name", F.col("detail").alias("signature"), "parameters")
-    return calls.join(own, "name").select("req", "name", "active", "signature", F.get("parameters", F.col("active"))["name"].alias("parameter"))
+    return open_calls(requests).join(own, "name").select("req", "name", "active", "signature", F.get("parameters", F.col("active"))["name"].alias("parameter"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symatlas.functions import identifiers as ids, paths
-from symatlas.operators import diagnose, edits, index, infer, output
+from symatlas.operators import complete, diagnose, edits, index, infer, output
 from symatlas.sources import extract
 
 from .tables import query, read
@@ -332,3 +332,15 @@ def token_phases(spark, sf_dir):
     scan = extract.scanned(texts)
     found = infer.token_phases(extract.relation(scan, "tokens"), extract.relation(scan, "symbols"), (0, 0, 0, 1000))
     return found.join(texts.select("uri", "s"), "uri").select("s", "col", "text", "type")
+
+
+@query("named_arguments", """WITH s AS (SELECT s_suppkey AS s, s_suppkey % 4 AS k, 'T' || s_suppkey % 7 AS t FROM supplier)
+SELECT s AS req, 'first = ' AS label, 'Int' AS type, 0 AS position FROM s WHERE k = 0 UNION ALL SELECT s, 'second = ', t, 1 FROM s UNION ALL SELECT s, 'third = ', 'Int', 2 FROM s WHERE k < 3""")
+def named_arguments(spark, sf_dir):
+    s = F.col("s_suppkey")
+    supplier = read(spark, sf_dir, "supplier")
+    text = F.format_string("fun build%d(first: Int, second: T%d, third: Int = 0) {}\n", s, s % 7)
+    symbols = extract.relation(extract.scanned(supplier.select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text"))), "symbols")
+    given = F.when(s % 4 == 0, "").when(s % 4 == 1, "g(1, x = 2), ").when(s % 4 == 2, "first = 1, ").otherwise("1, third = 2, ")
+    requests = supplier.select(s.cast("long").alias("req"), F.concat(F.lit("val v = build"), s, F.lit("("), given).alias("before"))
+    return complete.named_arguments(requests, symbols)
