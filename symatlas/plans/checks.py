@@ -76,7 +76,7 @@ def variable_types(spark, sf_dir):
     return infer.variable_types(declared, facts, calls, returns).select(F.col("key").cast("long").alias("key"), "type")
 
 
-@query("semantic_tokens", "SELECT 'S' || s_suppkey || '.kt' AS uri, 4 AS line, 8 AS col, 'run' AS text, 'method' AS type, true AS declaration FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 5, 16, 'size', 'property', true FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 3, 6, 'Supplier' || s_suppkey, 'class', true FROM supplier")
+@query("semantic_tokens", "SELECT 'S' || s_suppkey || '.kt' AS uri, 4 AS line, 8 AS col, 'run' AS text, 'method' AS type, true AS declaration FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 5, 16, 'size', 'property', true FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 3, 19 + length(s_suppkey::VARCHAR)::INT, 'id', 'property', true FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.kt', 3, 6, 'Supplier' || s_suppkey, 'class', true FROM supplier")
 def semantic_tokens(spark, sf_dir):
     from symatlas.sources import extract
 
