@@ -231,3 +231,23 @@ def test_tree_diff_by_brute_force(spark):
     lines = [r["line"] for r in trees.diff_lines(diff).filter("entry = 9").orderBy("place").collect()]
     assert lines == ["+ new", "+   below"]
     assert 9 in {r["entry"] for r in trees.changed_trees(diff).select("entry").collect()}
+
+
+def test_tree_diff_packs_trees_and_takes_large_ones_by_level(spark, tmp_path, monkeypatch):
+    nodes = spark.range(40).selectExpr("id AS entry", "explode(sequence(0, 40)) AS line").selectExpr("entry", "line", "explode(sequence(0, IF(entry = 3, 90, 20))) AS at")
+
+    def version(k):
+        root = nodes.selectExpr("entry", "array(0) AS path", "'call' AS kind", "'r' AS name").distinct()
+        lines = nodes.selectExpr("entry", "array(0, line) AS path", "'branch' AS kind", f"md5(string(line + IF(line % 5 = {k}, 100, 0))) AS name").distinct()
+        return root.union(lines).union(nodes.selectExpr("entry", "array(0, line, at) AS path", "'call' AS kind", f"concat('w', (at * 7 + line) % 50, IF(line % 9 = {k}, 'x', '')) AS name"))
+
+    before, after = version(0), version(1)
+    monkeypatch.setattr(trees, "shared_folder", lambda spark: str(tmp_path / "a"))
+    whole = sorted(map(tuple, trees.tree_diff(before, after).collect()))
+    stored = sum(f.stat().st_size for f in (tmp_path / "a").rglob("*.parquet"))
+    assert stored < 8 * before.count()  # with a table of each version and level it was 10.9 times as many bytes
+    monkeypatch.setattr(trees, "shared_folder", lambda spark: str(tmp_path / "b"))
+    monkeypatch.setattr(trees, "WHOLE", 1000)  # only entry 3 is larger
+    assert sorted(map(tuple, trees.tree_diff(before, after).collect())) == whole
+    monkeypatch.setattr(trees, "WHOLE", 1)
+    assert sorted(map(tuple, trees.tree_diff(before, after).collect())) == whole
