@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from symatlas.operators import lookup, trees
 from symatlas.session import shared_folder
@@ -280,11 +280,24 @@ def chained_callees(edges: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def with_implementors(edges: DataFrame, bodies: DataFrame, implementors: DataFrame) -> DataFrame:
-    """Add, for callees `Type.method` without a body, edges to the same method of the type's implementors."""
+    """Add, for callees `Type.method` without a body, edges to the same method of the type's implementors; every edge once.
+
+    The added edges are as many as callers times implementors, so they are never shuffled: an implementor of one type
+    gives no edge twice, those of several types are made distinct, and edges that are added leave the others.
+    """
     abstract = edges.join(bodies.select(F.col("key").alias("callee")).distinct(), "callee", "left_anti")
-    split = abstract.withColumns({"type": F.substring_index("callee", ".", 1), "method": F.substring_index("callee", ".", -1)})
-    more = split.join(implementors.select(F.col("super").alias("type"), "sub"), "type").select("caller", F.concat_ws(".", "sub", "method").alias("callee"))
-    return edges.select("caller", "callee").unionByName(more).distinct()
+    method = F.substring_index("callee", ".", -1)
+    split = abstract.select("caller", F.substring_index("callee", ".", 1).alias("type"), method.alias("method")).distinct()
+    types = implementors.select(F.col("super").alias("type"), "sub").distinct().withColumn("types", F.count("*").over(Window.partitionBy("sub")))
+    one = F.col("sub").isNotNull() & (F.col("types") == 1)
+    single = types.filter(one).select("type", "sub")
+    added = lambda rows: split.join(rows.select("type", "sub"), "type").select("caller", F.concat_ws(".", "sub", "method").alias("callee"))
+    rest = edges.select("caller", "callee").unionByName(added(types.filter(~one))).distinct()
+    own = F.when(F.col("callee").contains("."), F.expr("left(callee, length(callee) - length(method) - 1)"))
+    placed = rest.withColumn("method", method).withColumn("sub", own).join(single.withColumnRenamed("type", "t"), "sub", "left")
+    again = split.select(F.col("caller").alias("c"), F.col("type").alias("t2"), F.col("method").alias("m"))
+    left = placed.join(again, F.col("caller").eqNullSafe(F.col("c")) & (F.col("t") == F.col("t2")) & (F.col("method") == F.col("m")), "left_anti")
+    return left.select("caller", "callee").unionByName(added(single))
 
 
 def definition_sites(paths: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -221,3 +221,23 @@ def test_lookups(spark):
     assert rows(lookup.importers(imports)) == [("a.B", 2, 3), ("c", 1, 1)] and rows(lookup.imports_of(imports, "a.")) == [("u",), ("v",)]
     assert rows(lookup.with_library(symbols.select("name"), symbols.filter("sel_line = 1").select("name"))) == [("Io", "library"), ("Io", "workspace"), ("readFile", "workspace")]
     assert tuple(stats.cache_statistics(symbols.withColumn("detail", F.lit(""))).first()) == (2, 1, 0, 1)
+
+
+def test_implementors_are_added_without_a_shuffle_of_them(spark):
+    edges = [("c", "I.run"), ("c", "J.run"), ("c", "A.run"), ("c", "I.run"), ("d", "I.stop"), ("d", "K.run"), (None, "I.run"), (None, "A.run"), ("e", "plain"), ("e", "I.x.run"), ("c", None), ("d", "AB.run")]
+    implementors = [("I", "A"), ("I", "B"), ("J", "AB"), ("I", "AB"), ("I", "B"), ("plain", "p.q"), ("K", None), ("I", None)]
+    bodies = [("I.stop",)]
+    got = graph.with_implementors(*(spark.createDataFrame(t, s) for t, s in ((edges, "caller string, callee string"), (bodies, "key string"), (implementors, "super string, sub string"))))
+    want = set(edges)
+    for caller, callee in edges:
+        if callee is not None and (callee,) not in bodies:
+            parts = callee.split(".")
+            want |= {(caller, ".".join(x for x in (sub, parts[-1]) if x is not None)) for sup, sub in implementors if sup == parts[0]}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # what is made distinct are edges and implementors, not all that is added
+    many = spark.range(300).selectExpr("concat('c', id) AS caller", "'I.run' AS callee")
+    types = spark.range(300).selectExpr("'I' AS super", "concat('s', id) AS sub")
+    added = graph.with_implementors(many, spark.createDataFrame([], "key string"), types)
+    assert added.count() == 300 + 300 * 300
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")
