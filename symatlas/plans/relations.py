@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from symatlas.operators import complete, diagnose, index, infer, lookup, resolve, stats
 from symatlas.streaming import changes
 
-from .tables import PAGE_IMPORTS, page_imports, query, read
+from .tables import PAGE_IMPORTS, page_imports, query, read, spread
 
 
 @query("imports_of", f"WITH {PAGE_IMPORTS} SELECT DISTINCT file FROM imports WHERE contains(path, 'the')")
@@ -61,8 +61,10 @@ SELECT file, n.name, coalesce(k.n, 0) AS n, CASE WHEN k.n = 1 THEN fqn END AS fq
 def missing_imports(spark, sf_dir):
     part, name = read(spark, sf_dir, "part"), F.concat("p_name", "p_size", "p_type")
     fqns = part.select(name.alias("name"), F.concat_ws(".", F.col("p_brand"), name).alias("fqn"))
-    met = read(spark, sf_dir, "supplier").join(part, F.col("p_size") == F.col("s_nationkey"))
-    names = met.select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 5 == 0, F.col("p_name")).otherwise(name).alias("name"))
+    # a file meets each name once, however many parts have it
+    used = spread(part.select("p_size", "p_name", name.alias("name")).distinct(), "p_size", "p_name", "name")
+    met = spread(read(spark, sf_dir, "supplier"), "s_suppkey").join(used, F.col("p_size") == F.col("s_nationkey"))
+    names = met.select(F.col("s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 5 == 0, F.col("p_name")).otherwise(F.col("name")).alias("name"))
     return resolve.missing_imports(names, fqns)
 
 
