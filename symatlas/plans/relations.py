@@ -152,11 +152,13 @@ e AS (SELECT c_custkey, 0::BIGINT, 3 FROM customer), t AS (SELECT * FROM n UNION
 @query("priority_resolution", f"WITH {_TIERS} SELECT q, tier, min(s) AS first, count(*) AS n FROM t WHERE (q, tier) IN (SELECT q, min(tier) FROM t GROUP BY q) GROUP BY q, tier")
 def priority_resolution(spark, sf_dir):
     customer, supplier, nation = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
-    own = customer.join(supplier.filter("s_suppkey % 3 = 0"), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("q"), F.col("s_suppkey").alias("s"))
-    regional = supplier.filter("s_suppkey % 5 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
-    near = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey").join(regional, "n_regionkey").select(F.col("c_custkey").alias("q"), F.col("s_suppkey").alias("s"))
-    rest = customer.select(F.col("c_custkey").alias("q"), F.lit(0).cast("long").alias("s"))
-    return resolve.first_tier([own, near, rest], "q").groupBy("q", "tier").agg(F.min("s").alias("first"), F.count("*").alias("n"))
+    # candidates are counted by nation and region first, so that a customer meets a row of each and not all of them
+    counts = F.min("s_suppkey").alias("first"), F.count("*").alias("n")
+    own = customer.join(supplier.filter("s_suppkey % 3 = 0").groupBy("s_nationkey").agg(*counts), F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("q"), "first", "n")
+    regional = supplier.filter("s_suppkey % 5 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(*counts)
+    near = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey").join(regional, "n_regionkey").select(F.col("c_custkey").alias("q"), "first", "n")
+    rest = customer.select(F.col("c_custkey").alias("q"), F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("n"))
+    return resolve.first_tier([own, near, rest], "q").groupBy("q", "tier").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
 @query("same_package", """WITH d AS (SELECT s_suppkey AS f, s_nationkey AS p FROM supplier), q AS (SELECT f, p FROM d)

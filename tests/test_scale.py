@@ -18,3 +18,8 @@ def below(frame, join):
 
 def test_missing_imports_meets_each_name_once(spark, small):
     assert "Aggregate [p_size" in below(registry.QUERIES["missing_imports"](spark, small), "p_size")
+
+
+def test_priority_resolution_counts_before_it_joins(spark, small):
+    frame = registry.QUERIES["priority_resolution"](spark, small)
+    assert "Aggregate [s_nationkey" in below(frame, "c_nationkey") and "Aggregate [n_regionkey" in below(frame, "n_regionkey")
