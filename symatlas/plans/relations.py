@@ -75,8 +75,9 @@ def auto_import_candidates(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
     exact = nation.select(F.col("n_nationkey").alias("file"), F.concat(F.lit("red "), F.when(F.col("n_regionkey") == 0, "ring").otherwise("bolt")).alias("path"), F.lit(False).alias("is_star"))
     star = nation.select(F.col("n_nationkey").alias("file"), F.concat(F.lit("Brand#"), "n_regionkey").alias("path"), F.lit(True).alias("is_star"))
-    met = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "part"), F.col("p_size") == F.col("s_nationkey"))
-    candidates = met.select(F.col("s_nationkey").alias("file"), F.col("p_brand").alias("package"), F.col("p_name").alias("fqn")).distinct()
+    files = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file")).distinct()
+    declared = read(spark, sf_dir, "part").select("p_size", F.col("p_brand").alias("package"), F.col("p_name").alias("fqn")).distinct()
+    candidates = files.join(declared, F.col("p_size") == F.col("file")).select("file", "package", "fqn")
     return resolve.visible(exact.unionByName(star), candidates).select("file", "package", "fqn")
 
 

@@ -23,3 +23,8 @@ def test_missing_imports_meets_each_name_once(spark, small):
 def test_priority_resolution_counts_before_it_joins(spark, small):
     frame = registry.QUERIES["priority_resolution"](spark, small)
     assert "Aggregate [s_nationkey" in below(frame, "c_nationkey") and "Aggregate [n_regionkey" in below(frame, "n_regionkey")
+
+
+def test_auto_import_candidates_are_distinct_before_they_meet_files(spark, small):
+    plan = below(registry.QUERIES["auto_import_candidates"](spark, small), "p_size")
+    assert "Aggregate [p_size" in plan and "Aggregate [file" in plan
