@@ -142,14 +142,15 @@ def batch(requests: DataFrame, relations: dict[str, tuple[DataFrame, str, Column
 
     For each type there is a relation, the column that is looked up, the answer and the most answers to a
     request, the first in order. A request without an answer gets a row that says so. Requests of one req_id are
-    told apart by type and name; equal ones get equal answers.
+    told apart by type and name; equal ones get equal answers, which are looked up and ranked once for each name.
     """
     met = []
     for kind, (relation, key, answer, cap) in relations.items():
-        rows = requests.filter(F.col("type") == kind).join(relation, F.col("name") == F.col(key)).select("req_id", F.lit(kind).alias("type"), requests["name"].alias("name"), answer.alias("answer")).distinct()
+        asked = requests.filter(F.col("type") == kind).select("name").distinct()
+        rows = asked.join(relation, asked["name"] == F.col(key)).select(F.lit(kind).alias("type"), asked["name"].alias("name"), answer.alias("answer")).distinct()
         if cap is not None:
-            rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("req_id", "name").orderBy("answer"))).filter(F.col("place") <= cap).drop("place")
+            rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("answer"))).filter(F.col("place") <= cap).drop("place")
         met.append(rows)
     missing = F.when(F.col("type").isin(*relations), "not found").otherwise(F.concat(F.lit("unknown request "), F.coalesce("type", F.lit("null"))))
-    answered = requests.join(reduce(DataFrame.unionByName, met), ["req_id", "type", "name"], "left")
+    answered = requests.join(reduce(DataFrame.unionByName, met), ["type", "name"], "left")
     return answered.select("req_id", "type", F.coalesce("answer", missing).alias("answer")).orderBy("req_id", "answer")

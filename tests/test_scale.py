@@ -28,3 +28,10 @@ def test_priority_resolution_counts_before_it_joins(spark, small):
 def test_auto_import_candidates_are_distinct_before_they_meet_files(spark, small):
     plan = below(registry.QUERIES["auto_import_candidates"](spark, small), "p_size")
     assert "Aggregate [p_size" in plan and "Aggregate [file" in plan
+
+
+def test_batch_ranks_answers_once_for_each_name(spark):
+    requests = spark.range(200).selectExpr("id AS req_id", "'callers' AS type", "id % 2 AS name")
+    calls = spark.range(60).selectExpr("id % 2 AS callee", "concat('S', id) AS caller")
+    got = lookup.batch(requests, {"callers": (calls, "callee", F.col("caller"), 3)})
+    assert got.count() == 600 and "req_id" not in got.filter("answer > ''")._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split("\n")[0]
