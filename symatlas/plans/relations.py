@@ -377,7 +377,9 @@ SELECT DISTINCT r.req, r.def_file FROM r JOIN b ON r.req = b.req AND (r.seq, r.t
 def import_tier(spark, sf_dir):
     supplier, part = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
     path = F.concat(F.lower("p_type"), F.lit("."), F.col("p_name"))
-    imports = supplier.join(part, F.col("p_size") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file"), F.col("p_partkey").alias("seq"), path.alias("path"), F.col("p_name").alias("local_name"), F.lit(False).alias("is_star"))
+    # of a file's imports of one path the first is enough
+    first = part.groupBy("p_size", path.alias("path"), F.col("p_name").alias("local_name")).agg(F.min("p_partkey").alias("seq"))
+    imports = supplier.join(first, F.col("p_size") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file"), "seq", "path", "local_name", F.lit(False).alias("is_star"))
     qualified = part.filter("p_brand = 'Brand#3'").select(path.alias("fqn"), F.col("p_brand").alias("def_file"), F.lit(0).alias("line")).distinct()
     definitions = spark.createDataFrame([("red ring", "small.inner", "sub", 0)], "name string, package string, def_file string, line int")
     requests = supplier.select(F.col("s_suppkey").alias("req"), F.col("s_suppkey").alias("file"), F.lit("red ring").alias("name"))

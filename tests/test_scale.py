@@ -35,3 +35,7 @@ def test_batch_ranks_answers_once_for_each_name(spark):
     calls = spark.range(60).selectExpr("id % 2 AS callee", "concat('S', id) AS caller")
     got = lookup.batch(requests, {"callers": (calls, "callee", F.col("caller"), 3)})
     assert got.count() == 600 and "req_id" not in got.filter("answer > ''")._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split("\n")[0]
+
+
+def test_import_tier_keeps_the_first_import_of_a_path(spark, small):
+    assert "Aggregate [p_size" in below(registry.QUERIES["import_tier"](spark, small), "p_size")
