@@ -88,8 +88,7 @@ def semantic_tokens(spark, sf_dir):
 def token_round_trip(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uri"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("col"))
     encoded = infer.delta_encoded(rows)
-    order = F.struct("line", "col")
-    back = infer.delta_decoded(encoded.select("uri", "delta_line", "delta_col", order.alias("o")), "o")
+    back = infer.delta_decoded(encoded.select("uri", "delta_line", "delta_col", F.col("line").alias("at_line"), F.col("col").alias("at_col")), "at_line", "at_col")
     return back.select("uri", F.col("line").cast("int").alias("line"), "col")
 
 

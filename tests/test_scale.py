@@ -39,3 +39,15 @@ def test_batch_ranks_answers_once_for_each_name(spark):
 
 def test_import_tier_keeps_the_first_import_of_a_path(spark, small):
     assert "Aggregate [p_size" in below(registry.QUERIES["import_tier"](spark, small), "p_size")
+
+
+def test_tokens_are_sorted_once_to_encode_and_decode_them(spark, small):
+    frame = registry.QUERIES["token_round_trip"](spark, small)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Sort [") == 1
+    # a line that comes again in another file, the first line, and equal places
+    rows = [("a", 0, 3), ("a", 0, 7), ("a", 2, 7), ("a", 2, 7), ("a", 2, 9), ("b", 2, 1), ("b", 9, 0), ("c", 0, 0)]
+    encoded = infer.delta_encoded(spark.createDataFrame(rows, "uri string, line int, col int")).withColumns({"at": F.col("line"), "then": F.col("col")})
+    back = infer.delta_decoded(encoded.select("uri", "delta_line", "delta_col", "at", "then"), "at", "then")
+    assert sorted(tuple(r) for r in back.select("uri", "line", "col").collect()) == sorted(rows)
