@@ -56,7 +56,7 @@ def _texts(spark, sf_dir, template, ending):
 
 
 def _relation(spark, sf_dir, template, ending, name):
-    return extract.relation(extract.scanned(_texts(spark, sf_dir, template, ending)), name)
+    return extract.relation(extract.scanned(_texts(spark, sf_dir, template, ending), name), name)
 
 
 _K, _S = "'S' || s_suppkey || '.kt'", "'Supplier' || s_suppkey"
@@ -124,7 +124,7 @@ def extract_steps(spark, sf_dir):
 def extract_errors(spark, sf_dir):
     s = F.col("s_suppkey")
     text = F.when(s % 3 == 0, _filled(_KOTLIN)).when(s % 3 == 1, F.concat(_filled(_KOTLIN), F.lit("}\n"))).otherwise(F.concat(_filled(_KOTLIN), F.lit("/* open")))
-    scan = extract.scanned(read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text")))
+    scan = extract.scanned(read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text")), "errors")
     return diagnose.syntax(extract.relation(scan, "errors"), scan).select("uri", (~F.col("ok")).alias("broken"))
 
 
@@ -141,7 +141,7 @@ def deprecations(spark, sf_dir):
 
 @query("type_hints", f"SELECT {_K} AS uri, 9 AS line, 20 AS col, ': Box' || s_suppkey % 7 AS label FROM supplier")
 def type_hints(spark, sf_dir):
-    scan = extract.scanned(_texts(spark, sf_dir, _KOTLIN, ".kt"))
+    scan = extract.scanned(_texts(spark, sf_dir, _KOTLIN, ".kt"), "symbols", "types")
     return infer.hints(extract.relation(scan, "symbols"), extract.relation(scan, "types")).select("uri", "line", "col", "label")
 
 
@@ -287,7 +287,7 @@ def _shaped(spark, sf_dir):
   UNION ALL SELECT 'only', 'function', NULL, 'Box<T>', 'fun <T> only(x: T): Box<T> where T : Any') t""")
 def extract_shapes(spark, sf_dir):
     texts = _shaped(spark, sf_dir)
-    rows = extract.relation(extract.scanned(texts), "symbols").join(texts.select("uri", "s"), "uri")
+    rows = extract.relation(extract.scanned(texts, "symbols"), "symbols").join(texts.select("uri", "s"), "uri")
     return rows.filter("kind != 'class' AND name != 'copy'").select("s", "name", "kind", "owner", F.col("return_type").alias("returns"), "detail")
 
 
@@ -295,13 +295,13 @@ def extract_shapes(spark, sf_dir):
 UNION ALL SELECT s_suppkey, 'Mode' || s_suppkey || '.all', 'pick' FROM supplier WHERE s_suppkey % 2 = 0""")
 def extract_nested_calls(spark, sf_dir):
     texts = _shaped(spark, sf_dir)
-    return extract.relation(extract.scanned(texts), "calls").join(texts.select("uri", "s"), "uri").select("s", "caller_key", "callee_key")
+    return extract.relation(extract.scanned(texts, "calls"), "calls").join(texts.select("uri", "s"), "uri").select("s", "caller_key", "callee_key")
 
 
 @query("extract_broken", "SELECT s_suppkey AS s, 1 AS line, 8 AS col, 'unclosed (' AS message FROM supplier WHERE s_suppkey % 7 = 0")
 def extract_broken(spark, sf_dir):
     texts = _shaped(spark, sf_dir)
-    return extract.relation(extract.scanned(texts), "errors").join(texts.select("uri", "s"), "uri").select("s", "line", "col", "message")
+    return extract.relation(extract.scanned(texts, "errors"), "errors").join(texts.select("uri", "s"), "uri").select("s", "line", "col", "message")
 
 
 @query("lambda_scopes", """WITH s AS (SELECT s_suppkey AS s, 'T' || s_suppkey % 5 AS t, s_suppkey % 4 AS d FROM supplier)
@@ -316,7 +316,7 @@ def lambda_scopes(spark, sf_dir):
     closing = F.concat(F.when(depth >= 2, "} ").otherwise(""), F.when(depth >= 1, "}").otherwise(""))
     text = F.concat(F.lit("fun f() {\n val rows: List<List<"), t, F.lit(">> = read()\n val some: List<"), t, F.lit("> = read()\n rows.map { row -> "), inner, closing, F.lit(" }\n some.forEachIndexed { i, x -> put(i, x) }\n when (a) { 1 -> { b() } }\n}\n"))
     texts = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), s, F.lit(".kt")).alias("uri"), text.alias("text"), s.alias("s"))
-    scan = extract.scanned(texts)
+    scan = extract.scanned(texts, "lambdas", "types")
     return infer.lambda_scopes(extract.relation(scan, "lambdas"), extract.relation(scan, "types")).join(texts.select("uri", "s"), "uri").select("s", "id", "name", "type")
 
 

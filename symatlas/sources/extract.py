@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from symatlas.functions import paths
-from symatlas.session import shipped
+from symatlas.session import shipped, spread
 
 from .scanner import Scan
 
@@ -35,23 +35,31 @@ _TABLES = {
 }
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """A row for each file (uri, text) with its package and an array of rows for each relation."""
+#: Files whose relations a Python worker holds at a time.
+FILES = 128
+
+
+def scanned(files: DataFrame, *only: str) -> DataFrame:
+    """A row for each file (uri, text) with its package and an array of rows for each relation, or for those that are named.
+
+    Files are spread over all cores, as parsing takes much longer than reading.
+    """
     shipped(files.sparkSession)
-    schema = pa.schema([("uri", _TEXT), ("lang", _TEXT), ("package", _TEXT), ("content_hash", pa.int64()), *((n, pa.list_(t)) for n, t in _TABLES.items())])
+    tables = {n: t for n, t in _TABLES.items() if not only or n in only}
+    schema = pa.schema([("uri", _TEXT), ("lang", _TEXT), ("package", _TEXT), ("content_hash", pa.int64()), *((n, pa.list_(t)) for n, t in tables.items())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, FILES) for b in batches for i in range(0, b.num_rows, FILES)):
             scans = [Scan(u or "", t or "") for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = [batch.column(0), pa.array([s.language for s in scans], _TEXT), pa.array([s.package for s in scans], _TEXT), batch.column(2)]
-            for name, kind in _TABLES.items():
+            for name, kind in tables.items():
                 rows = [getattr(s, name)() if name in ("steps", "lambdas", "tokens") else getattr(s, name) for s in scans]
                 columns.append(pa.array(rows, pa.list_(kind)))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    return files.select("uri", "text", F.xxhash64("text")).mapInArrow(run, from_arrow_schema(schema))
+    return spread(files.select("uri", "text"), "uri").select("uri", "text", F.xxhash64("text")).mapInArrow(run, from_arrow_schema(schema))
 
 
 def files(scan: DataFrame, texts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from symatlas.operators import infer, lookup
 from symatlas.plans import registry
+from symatlas.sources import extract
 
 
 def below(frame, join):
@@ -51,3 +52,11 @@ def test_tokens_are_sorted_once_to_encode_and_decode_them(spark, small):
     encoded = infer.delta_encoded(spark.createDataFrame(rows, "uri string, line int, col int")).withColumns({"at": F.col("line"), "then": F.col("col")})
     back = infer.delta_decoded(encoded.select("uri", "delta_line", "delta_col", "at", "then"), "at", "then")
     assert sorted(tuple(r) for r in back.select("uri", "line", "col").collect()) == sorted(rows)
+
+
+def test_files_are_parsed_on_all_cores_and_only_for_what_is_asked(spark):
+    texts = spark.range(64).selectExpr("concat('f', id, '.kt') AS uri", "concat('class A', id, ' { fun go() {} }') AS text").coalesce(1)
+    scan = extract.scanned(texts, "symbols")
+    assert scan.columns == ["uri", "lang", "package", "content_hash", "symbols"]
+    assert scan.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert extract.relation(scan, "symbols").count() == 128
