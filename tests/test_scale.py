@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from symatlas.operators import infer, lookup
+from symatlas.operators import grams, infer, lookup
 from symatlas.plans import registry
 from symatlas.sources import extract
 
@@ -60,3 +60,14 @@ def test_files_are_parsed_on_all_cores_and_only_for_what_is_asked(spark):
     assert scan.columns == ["uri", "lang", "package", "content_hash", "symbols"]
     assert scan.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert extract.relation(scan, "symbols").count() == 128
+
+
+def test_trigrams_are_stored_with_lists_of_ids(spark, tmp_path):
+    texts = ["abcabc", "xabcx", None, "", "ab", "zz￿abc", "aé bc"] + [f"row {i}" for i in range(200)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, "abc again")], "id long, text string").coalesce(1)
+    grams.write_grams(frame, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/grams").collect()
+    found = {(r["gram"], i) for r in rows for i in r["ids"]}
+    assert found == {(t[k : k + 3], i) for i, t in [*enumerate(texts), (1, "abc again")] if t for k in range(len(t) - 2) if t[k : k + 3].isascii()}
+    assert len(rows) == len({g for g, _ in found})  # a row for each trigram of a batch, not for each text that holds it
+    assert sorted(r["id"] for r in grams.rows_with(spark, str(tmp_path), "abc a").collect()) == [1, 1]
