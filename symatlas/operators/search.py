@@ -15,6 +15,8 @@ from symatlas.functions import identifiers as ids, paths
 
 K1, B = 1.2, 0.75
 PREFIX_WEIGHT = 0.5
+#: Postings that a Python worker holds at a time, but for those of one row.
+ROWS = 1 << 14
 #: Kinds and languages that a field filter accepts.
 KINDS = frozenset(
     "file module namespace package class method property field constructor enum interface function variable constant string number boolean "
@@ -67,24 +69,40 @@ def passes(query: ParsedQuery) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) from (id, tokens): the tokens of a row are counted where they lie, so nothing is shuffled; rows of one id count apart."""
-    held = docs.select("id", "tokens")
-    kind = to_arrow_schema(held.select("id").schema).field(0)
-    schema = pa.schema([kind, ("term", pa.string()), ("tf", pa.int64()), ("dl", pa.int32())])
+def _counter(schema: pa.Schema):
+    """What turns batches (id, tokens) into batches of postings, ROWS and those of a row at most."""
 
     def run(batches):
+        out = ids, terms, tfs, dls = [], [], [], []
+
+        def ready():
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            for column in out:
+                column.clear()
+            return made
+
         for batch in batches:
-            ids, terms, tfs, dls = [], [], [], []
-            for own, tokens in zip(batch.column("id"), batch.column("tokens").to_pylist()):
-                counts = Counter(tokens or ())
+            for own, row in zip(batch.column("id"), batch.column("tokens")):
+                tokens = row.as_py() or ()
+                counts = Counter(tokens)
                 ids += [own.as_py()] * len(counts)
                 terms += counts.keys()
                 tfs += counts.values()
-                dls += [len(tokens or ())] * len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, terms, tfs, dls), schema)], schema=schema)
+                dls += [len(tokens)] * len(counts)
+                if len(ids) >= ROWS:
+                    yield ready()
+        yield ready()
+
+    return run
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, term, tf, dl) from (id, tokens): the tokens of a row are counted where they lie, so nothing is shuffled; rows of one id count apart."""
+    held = docs.select("id", "tokens")
+    kind = to_arrow_schema(held.select("id").schema).field(0)
+    schema = pa.schema([kind, ("term", pa.string()), ("tf", pa.int64()), ("dl", pa.int32())])
 
-    return held.mapInArrow(run, f"id {held.schema['id'].dataType.simpleString()}, term string, tf long, dl int")
+    return held.mapInArrow(_counter(schema), f"id {held.schema['id'].dataType.simpleString()}, term string, tf long, dl int")
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:

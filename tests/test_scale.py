@@ -1,8 +1,9 @@
 """Steps that keep the work of a query in proportion to its tables: what is counted or made distinct before a join, and sorted once."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from symatlas.operators import grams, infer, lookup
+from symatlas.operators import grams, infer, lookup, search
 from symatlas.plans import registry
 from symatlas.sources import extract
 
@@ -71,3 +72,11 @@ def test_trigrams_are_stored_with_lists_of_ids(spark, tmp_path):
     assert found == {(t[k : k + 3], i) for i, t in [*enumerate(texts), (1, "abc again")] if t for k in range(len(t) - 2) if t[k : k + 3].isascii()}
     assert len(rows) == len({g for g, _ in found})  # a row for each trigram of a batch, not for each text that holds it
     assert sorted(r["id"] for r in grams.rows_with(spark, str(tmp_path), "abc a").collect()) == [1, 1]
+
+
+def test_postings_of_many_rows_leave_a_worker_in_parts():
+    schema = pa.schema([("id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("dl", pa.int32())])
+    docs = pa.RecordBatch.from_pydict({"id": pa.array(range(1000), pa.int64()), "tokens": pa.array([[f"t{i % 90}" for i in range(100)]] * 999 + [None], pa.list_(pa.string()))})
+    parts = list(search._counter(schema)([docs]))
+    assert sum(p.num_rows for p in parts) == 999 * 90 and max(p.num_rows for p in parts) < search.ROWS + 90
+    assert sum(sum(p.column("tf").to_pylist()) for p in parts) == 999 * 100
