@@ -12,7 +12,7 @@ core, which lies in all its strings, and that of its whole extent.
 The dictionary is the set of distinct extents, with counts. Cores that occur once end the matter for
 their runs; extents that occur again are removed whole; the rest, extents that occur once among others
 with the same core, are where repeats begin and end. For those, and for one copy of each other extent
-with that core, the prefixes of that length of all suffixes are put in order, each with its neighbours:
+with that core, the prefixes of that length of their suffixes are put in order, each with its neighbours:
 equal prefixes of different places are repeats. Only dictionary entries are ordered, never the corpus,
 so the work follows the differing text and not the number of copies.
 
@@ -41,6 +41,8 @@ from . import common
 #: Bytes, and words, of the strings that are looked for.
 LENGTH, PASSAGE = 400, 51
 SEGMENT = 1 << 20
+#: Symbols of several texts that are parsed together, where one text has fewer: the arrays stay in the cache.
+BLOCK = 1 << 15
 TAG_BITS = 23
 #: Most entries of one core that are ordered in one task, and entries ordered at a time: small sorts stay in the cache.
 GROUP, CHUNK = 2048, 96
@@ -58,6 +60,10 @@ class Bytes:
     def symbols(text: bytes) -> np.ndarray:
         return np.frombuffer(text, np.uint8)
 
+    @classmethod
+    def several(cls, texts: list[bytes]) -> list[np.ndarray]:
+        return [cls.symbols(t) for t in texts]
+
     @staticmethod
     def grams(raw: np.ndarray) -> np.ndarray:
         h = raw.astype(_U64) + _U64(1)
@@ -66,40 +72,85 @@ class Bytes:
         return h
 
     @staticmethod
-    def keys(raw: np.ndarray) -> tuple[np.ndarray, int]:
-        """A number for every eight bytes that orders like them."""
-        key = np.zeros(len(raw) - 7, _U64)
-        for i in range(8):
-            key = key << _U64(8) | raw[i : len(raw) - 7 + i]
-        return key, 8
+    def marks(raw: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of every GRAM bytes: it chooses triggers and names nothing."""
+        h = raw.astype(np.uint32) + np.uint32(1)
+        for step, factor in ((1, 0x01000193), (2, 0x9E3779B1), (4, 0x85EBCA77), (8, 0xC2B2AE3D)):
+            h = h[:-step] * np.uint32(factor) + h[step:]
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            h ^= h >> np.uint32(shift)
+            h *= np.uint32(factor)
+        return h ^ h >> np.uint32(15)
+
+    @staticmethod
+    def keys(raw: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+        """A number of at most `bits` bits for every few bytes that orders like them, and how many bytes."""
+        size = bits // 8
+        key = np.zeros(len(raw) - size + 1, _U64)
+        for i in range(size):
+            key = key << _U64(8) | raw[i : len(key) + i]
+        return key, size
 
 
 class Words:
     """A text as a string of 64-bit word hashes."""
 
     GRAM, KIND = 1, _U64
-
-    @staticmethod
-    def symbols(text: bytes) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U64, len(words))
+    #: Eights of bytes of a word that are hashed by columns; longer words are hashed one by one.
+    LANES = 4
+
+    @classmethod
+    def symbols(cls, text: bytes) -> np.ndarray:
+        return cls.hashed(text, *cls.places(text))
+
+    @classmethod
+    def hashed(cls, text: bytes, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each word: of its length and of its bytes, eight at a time."""
+        eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+        sizes = after - first
+        out = sizes.astype(_U64) * _U64(_BASES[0])
+        at, left = np.arange(len(first)), sizes
+        for lane in range(cls.LANES):
+            out[at] = common.mix64(out[at] * _U64(_BASES[1]) ^ eights[first[at] + 8 * lane] & _MASKS[np.minimum(left, 8)])
+            at = at[left > 8]
+            left = sizes[at] - 8 * (lane + 1)
+        for k in at.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(text[first[k] : after[k]])
+        return out
 
     @staticmethod
     def grams(raw: np.ndarray) -> np.ndarray:
         return raw
 
     @staticmethod
-    def keys(raw: np.ndarray) -> tuple[np.ndarray, int]:
+    def marks(raw: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of every two words: a frequent word by itself would begin more runs."""
+        return (common.mix64(raw[:-1] * _U64(_BASES[0]) + raw[1:]) >> _U64(32)).astype(np.uint32)
+
+    @staticmethod
+    def keys(raw: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
         return raw, 1
 
     @staticmethod
     def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First byte of each word, and the byte after it."""
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[np.frombuffer(text, np.uint8)], [True]])))
+        space = np.ones(len(text) + 2, bool)
+        space[1:-1] = _SPACE[np.frombuffer(text, np.uint8)]
+        edges = np.flatnonzero(space[1:] != space[:-1])
         return edges[::2], edges[1::2]
 
+    @classmethod
+    def several(cls, texts: list[bytes]) -> list[np.ndarray]:
+        """The symbols of each text, computed together."""
+        text = b" ".join(texts)
+        first, after = cls.places(text)
+        ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64))
+        return np.split(cls.hashed(text, first, after), ends)
+
 
 ALPHABETS = (Bytes, Words)
+#: The lowest bytes of eight, by their number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Cores of different alphabets have different names.
 _SALTS = (_U64(0), _U64(0x5851F42D4C957F2D))
@@ -137,7 +188,7 @@ class Text:
     """Hashes of all substrings of at least GRAM symbols of a piece of text."""
 
     def __init__(self, raw: np.ndarray, powers: Powers, alphabet=Bytes):
-        self.gram, self.grams = alphabet.GRAM, (h := alphabet.grams(raw))
+        self.gram, h = alphabet.GRAM, alphabet.grams(raw)
         tables = powers.upto(len(h) + 1)
         self.sums = []
         self.inverse = []
@@ -153,16 +204,16 @@ class Text:
         s = self.sums[which]
         return common.mix64((s[end - self.gram + 1] - s[start]) * self.inverse[which][start])
 
-    def triggers(self, starts: int, window: int) -> np.ndarray:
-        """For each of the first `starts` places, that of the least hash among `window` places from there."""
-        m = starts + window - 1
-        keyed = (self.grams[:m] & _U64(0xFFFFFFFF00000000)) | np.arange(m, dtype=_U64)
-        padded = np.full(-(-m // window) * window, 0xFFFFFFFFFFFFFFFF, _U64)
-        padded[:m] = keyed
-        grid = padded.reshape(-1, window)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        return (np.minimum(back[:starts], ahead[window - 1 : window - 1 + starts]) & _U64(0xFFFFFFFF)).astype(np.int64)
+
+def triggers(marks: np.ndarray, window: int) -> np.ndarray:
+    """For each place with `window` places from there, the place of the least hash among them, the first of equal ones."""
+    m = len(marks)
+    padded = np.full(-(-m // window) * window, 0xFFFFFFFFFFFFFFFF, _U64)
+    padded[:m] = marks.astype(_U64) << _U64(32) | np.arange(m, dtype=_U64)
+    grid = padded.reshape(-1, window)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[: m - window + 1], ahead[window - 1 : m]) & _U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def tag_of(text: bytes) -> int:
@@ -175,47 +226,77 @@ def key_of(doc_id: int | None, text: bytes) -> int:
     return doc_id if doc_id is not None else xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def runs(text: bytes, powers: Powers, length: int = LENGTH, which: int = 0) -> tuple[np.ndarray, ...]:
-    """Core name, extent name, and place (tag, alphabet, first string's start, strings less one) of every run."""
-    found = []
-    alphabet = ALPHABETS[which]
-    raw = alphabet.symbols(text)
-    window = window_of(length, alphabet)
-    for at in range(0, len(raw) - length + 1, SEGMENT):
-        piece = raw[at : at + SEGMENT + length - 1]
-        starts = len(piece) - length + 1
-        hashed = Text(piece, powers, alphabet)
-        trigger = hashed.triggers(starts, window)
-        first = np.flatnonzero(np.concatenate([[True], trigger[1:] != trigger[:-1]]))
-        count = np.diff(np.append(first, starts))
-        t = trigger[first]
-        core = hashed.name(t, t + length - window + 1, 0) ^ _SALTS[which]
-        salt = common.mix64(((t - first) << 8 | (count - 1)).astype(_U64))
-        extent = common.mix64(hashed.name(first, first + count - 1 + length, 1) ^ salt)
-        found.append((core, extent, ((first + at) << 8 | (count - 1)).astype(_U64)))
-    if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    core, extent, place = (np.concatenate(x) for x in zip(*found))
-    return core.view(np.int64), extent.view(np.int64), (place | _U64(which << 40 | tag_of(text) << 41)).view(np.int64)
+def runs(texts: list[bytes], length: int = LENGTH, which: int = 0) -> tuple[np.ndarray, ...]:
+    """Number of the text, core name, extent name, and place (tag, alphabet, first string's start, strings less one) of every run.
+
+    Short texts are parsed several at a time, long ones in segments.
+    """
+    found, pieces, size = [], [], 0
+    for few in blocks([i for i, text in enumerate(texts) if len(text) >= length], texts):
+        for i, raw in zip(few, ALPHABETS[which].several([texts[i] for i in few])):
+            tag = tag_of(texts[i])
+            for at in range(0, len(raw) - length + 1, SEGMENT):
+                piece = raw[at : at + SEGMENT + length - 1]
+                pieces.append((i, at << 8 | which << 40 | tag << 41, piece))
+                size += len(piece)
+                if size >= BLOCK:
+                    found.append(runs_of(pieces, length, which))
+                    pieces, size = [], 0
+    if pieces:
+        found.append(runs_of(pieces, length, which))
+    return tuple(np.concatenate(x) for x in zip(*found)) or tuple(np.empty(0, np.int64) for _ in range(4))
+
+
+def blocks(which: list[int], texts: list[bytes]):
+    """The numbers of the texts, in lists that end where their bytes pass 2 * BLOCK."""
+    few, size = [], 0
+    for i in which:
+        few.append(i)
+        size += len(texts[i])
+        if size >= 2 * BLOCK:
+            yield few
+            few, size = [], 0
+    if few:
+        yield few
+
+
+def runs_of(pieces: list[tuple[int, int, np.ndarray]], length: int, which: int) -> tuple[np.ndarray, ...]:
+    """The runs of pieces (number of the text, place of the piece's start, symbols) of at least `length` symbols, laid end to end."""
+    alphabet, window = ALPHABETS[which], window_of(length, ALPHABETS[which])
+    text, place, parts = zip(*pieces)
+    raw, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+    base = np.cumsum(sizes) - sizes
+    past = base + sizes - length + 1  # a string that starts from here on leaves its piece
+    trigger = triggers(alphabet.marks(raw), window)
+    opens = np.zeros(len(trigger) + 1, bool)
+    opens[1:-1] = trigger[1:] != trigger[:-1]
+    opens[base] = opens[past] = True
+    first = np.flatnonzero(opens)
+    count = np.diff(first, append=len(trigger))
+    piece = np.searchsorted(base, first, "right") - 1
+    inside = first < past[piece]
+    first, count, piece = first[inside], count[inside], piece[inside]
+    t = trigger[first]
+    data, unit = raw.tobytes(), raw.itemsize
+
+    def names(hashed, start, end):
+        return np.array([hashed(data[a:b]) for a, b in zip((start * unit).tolist(), (end * unit).tolist())], _U64)
+
+    core = names(xxhash.xxh3_64_intdigest, t, t + length - window + 1) ^ _SALTS[which]
+    extent = common.mix64(names(xxhash.xxh64_intdigest, first, first + count - 1 + length) ^ common.mix64(((t - first) << 8 | (count - 1)).astype(_U64)))
+    place = np.array(place, _U64).view(np.int64)[piece] + ((first - base[piece]) << 8 | (count - 1))
+    return np.array(text, np.int64)[piece], core.view(np.int64), extent.view(np.int64), place
 
 
 def parsed(docs: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """(core, extent, doc, place) of every run of every document."""
 
     def make():
-        powers = Powers()
-
         def step(batch):
-            parts, keys = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                key = key_of(doc, text)
-                for which, length in enumerate(lengths):
-                    if length and len(text) >= length:
-                        parts.append(runs(text, powers, length, which))
-                        keys.append(key)
-            columns = [np.concatenate(x) for x in zip(*parts)] or [np.empty(0, np.int64)] * 3
-            doc = np.repeat(np.array(keys, np.int64), [len(x[0]) for x in parts])
-            return dict(zip(("core", "extent", "place"), columns)) | {"doc": doc}
+            texts = common.texts(batch)
+            keys = np.array([key_of(doc, text) for doc, text in zip(batch.column("doc_id").to_pylist(), texts)], np.int64)
+            text, *columns = (np.concatenate(x) for x in zip(*(runs(texts, length, which) for which, length in enumerate(lengths) if length)))
+            return dict(zip(("core", "extent", "place"), columns)) | {"doc": keys[text]}
 
         return step
 
@@ -260,74 +341,108 @@ def looked_up(entries: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     schema = pa.schema(kinds)
     common.tuned(entries.sparkSession)
 
-    def ready(columns):
+    def ready(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], schema=schema)
 
     def run(batches):
         powers, press = Powers(), zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, size = [], 0
-            for doc, z, found in zip(*(batch.column(c) for c in ("doc", "z", "entries"))):
-                doc, text, symbols = doc.as_py(), press.decompress(z.as_py(), max_output_size=1 << 31), {}
-                for e in found.as_py():
-                    place = e["place"]
-                    start, count, which = place >> 8 & 0xFFFFFFFF, (place & 255) + 1, _which(place)
-                    if which not in symbols:
-                        symbols[which] = ALPHABETS[which].symbols(text)
-                    length = lengths[which]
-                    own = symbols[which][start : start + count - 1 + length]
-                    if e["hot"]:
-                        hashed, at = Text(own, powers, ALPHABETS[which]), np.arange(count)
-                        w1, w2 = (hashed.name(at, at + length, k).view(np.int64) for k in (0, 1))
-                        yield ready([w1, w2, np.full(count, doc), (place & ~0xFF) + (at << 8), np.full(count, e["alone"]), [None] * count])
+            lists = batch.column("entries")
+            core, place, alone, hot = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("core", "place", "alone", "hot"))
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            docs = np.repeat(batch.column("doc").to_numpy(), np.diff(ends, prepend=0))
+            which, start, count = place >> 40 & 1, place >> 8 & 0xFFFFFFFF, (place & 255) + 1
+            end = start + count - 1 + np.array(lengths)[which]
+            which, start, end, cold, at, owns, size = which.tolist(), start.tolist(), end.tolist(), (~hot).tolist(), [], [], 0
+            for z, a, b in zip(batch.column("z"), [0, *ends.tolist()], ends.tolist()):
+                text, symbols = press.decompress(z.as_py(), max_output_size=1 << 31), {}
+                for k in range(a, b):
+                    if (w := which[k]) not in symbols:
+                        symbols[w] = ALPHABETS[w].symbols(text)
+                    own = symbols[w][start[k] : end[k]]
+                    if cold[k]:
+                        at.append(k)
+                        owns.append(own.tobytes())
+                        size += own.nbytes
+                        if size > common.BATCH_BYTES // 4:
+                            yield ready(core[at], np.zeros(len(at)), docs[at], place[at], alone[at], owns)
+                            at, owns, size = [], [], 0
                         continue
-                    rows.append((e["core"], 0, doc, place, e["alone"], own.tobytes()))
-                    size += own.nbytes
-                    if size > common.BATCH_BYTES // 4:
-                        yield ready(list(zip(*rows)))
-                        rows, size = [], 0
-            if rows:
-                yield ready(list(zip(*rows)))
+                    n, hashed, inner = int(count[k]), Text(own, powers, ALPHABETS[w]), np.arange(count[k])
+                    w1, w2 = (hashed.name(inner, inner + lengths[w], i).view(np.int64) for i in (0, 1))
+                    yield ready(w1, w2, np.full(n, docs[k]), (place[k] & ~0xFF) + (inner << 8), np.full(n, alone[k]), [None] * n)
+            if at:
+                yield ready(core[at], np.zeros(len(at)), docs[at], place[at], alone[at], owns)
 
     return entries.mapInArrow(run, "core long, more long, doc long, place long, alone boolean, text binary")
 
 
-def prefix_ranks(raw: np.ndarray, length: int = LENGTH, alphabet=Bytes) -> np.ndarray:
-    """Rank of the prefix of `length` symbols of every suffix that has one; equal prefixes share a rank.
+def ranked(key: np.ndarray, bits: int, packed: bool) -> np.ndarray:
+    """Rank of every key, equal keys sharing one; if packed, a key leaves `bits` bits for its place and both are sorted as one number."""
+    if packed:
+        ordered = key << _U64(bits)
+        ordered |= np.arange(len(key), dtype=_U64)
+        ordered.sort()
+        order = (ordered & _U64((1 << bits) - 1)).view(np.int64)
+        ordered >>= _U64(bits)
+    else:
+        order = np.argsort(key)
+        ordered = key[order]
+    differs = np.zeros(len(key), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=differs[1:])
+    rank = np.empty(len(key), _U64)
+    rank[order] = np.cumsum(differs, dtype=_U64)
+    return rank
+
 
-    Prefix doubling, by as many ranks at a time as fit into 64 bits.
+def prefix_ranks(raw: np.ndarray, length: int = LENGTH, alphabet=Bytes, starts: np.ndarray | None = None) -> np.ndarray:
+    """Rank of the prefix of `length` symbols of the suffixes from `starts`, or of all that have one; equal prefixes share a rank.
+
+    Prefix doubling, by as many ranks at a time as fit into 64 bits beside a place. In each round only those places
+    are ordered whose rank a later round takes.
     """
-    key, size = alphabet.keys(raw)
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(len(key), _U64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(_U64)
-        if size == length:
-            return rank
-        ways = 4 if len(rank) < 1 << 16 else 3 if len(rank) < 1 << 21 else 2
-        reach = min(length, ways * size)
-        last = reach - size
-        key = rank[: len(rank) - last].copy()
-        for at in (min(k * size, last) for k in range(1, ways)):
-            key = key << _U64(64 // ways) | rank[at : len(rank) - last + at]
-        size = reach
+    bits = len(raw).bit_length()
+    ways, packed = max(2, 64 // bits - 1), bits * 3 <= 64
+    key, size = alphabet.keys(raw, 64 - bits)
+    sizes = [size]
+    while sizes[-1] < length:
+        sizes.append(min(length, ways * sizes[-1]))
+    taken = [sorted({min(i * size, reach - size) for i in range(ways)}) for size, reach in zip(sizes, sizes[1:])]
+    starts = np.arange(len(raw) - length + 1) if starts is None else starts
+    needed = [np.zeros(len(raw), bool)]
+    needed[0][starts] = True
+    for steps in reversed(taken):
+        before = np.zeros(len(raw), bool)
+        for at in steps:
+            before[at:] |= needed[-1][: len(raw) - at]
+        needed.append(before)
+    rank = ranked(key, bits, alphabet is Bytes)
+    needed.pop()
+    for steps, reach in zip(taken, sizes[1:]):
+        wanted, n = needed.pop(), len(raw) - reach + 1
+        dense = np.count_nonzero(wanted) * 8 > n * 7
+        at = None if dense else np.flatnonzero(wanted)
+        key = rank[:n] if dense else rank[at]
+        for step in steps[1:]:
+            key = key << _U64(bits) | (rank[step : step + n] if dense else rank[at + step])
+        if dense:
+            rank = ranked(key, bits, packed)
+        else:
+            rank[at] = ranked(key, bits, packed)
+    return rank[starts]
+    return rank[starts]
 
 
 def repeats_in(group: list[tuple[int, int, bool, bytes]], length: int = LENGTH, alphabet=Bytes) -> list[tuple[int, int, int]]:
     """(doc, place of the first, number) of runs of strings that occur twice among the entries (doc, place, alone, text)."""
-    rank = prefix_ranks(np.frombuffer(b"".join(g[3] for g in group), alphabet.KIND), length, alphabet)
-    sizes = np.array([len(g[3]) // np.dtype(alphabet.KIND).itemsize for g in group])
+    raw = np.frombuffer(b"".join(g[3] for g in group), alphabet.KIND)
+    sizes = np.array([len(g[3]) // raw.itemsize for g in group])
     first = np.cumsum(sizes) - sizes
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(group)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    own = rank[np.repeat(first, count) + inner]
-    order = np.argsort(own, kind="stable")  # the suffix order of the entries' strings
-    same = own[order][1:] == own[order][:-1]
-    twice = np.zeros(len(own), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    own = prefix_ranks(raw, length, alphabet, np.repeat(first, count) + inner).astype(np.int64)
+    twice = np.bincount(own)[own] > 1  # equal neighbours in the suffix order of the entries' strings
     out = []
     hit = np.flatnonzero(twice & np.array([g[2] for g in group])[owner])
     if len(hit):
@@ -395,15 +510,29 @@ def repeated(docs: DataFrame, texts: DataFrame, lengths: tuple[int, int]) -> Dat
     return spans
 
 
+_SPANS = pa.list_(pa.struct([("words", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def merged(column: pa.Array) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """For each list of spans those in bytes, and those in words, as maximal runs in order."""
+    flat = column.flatten()
+    words, start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "start", "end"))
+    own = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) << 1 | words
+    out: list = [([], []) for _ in range(len(column))]
+    if len(own):
+        key = own << 33 | start
+        order = np.argsort(key)
+        key, reach = key[order], np.maximum.accumulate((own << 33 | end)[order])
+        opens = np.flatnonzero(np.concatenate([[True], key[1:] > reach[:-1]]))
+        reach = reach[np.append(opens[1:], len(key)) - 1]
+        for i, a, b in zip((key[opens] >> 33).tolist(), (key[opens] & (1 << 33) - 1).tolist(), (reach & (1 << 33) - 1).tolist()):
+            out[i >> 1][i & 1].append((a, b))
+    return out
+
+
 def joined(spans: list | None, words: bool = False) -> list[tuple[int, int]]:
     """The spans of one alphabet as maximal runs, in order."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans or () if s["words"] == words):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+    return merged(pa.array([[{k: s[k] for k in ("words", "start", "end")} for s in spans or ()]], _SPANS))[0][words]
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -416,12 +545,11 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def in_bytes(text: bytes, spans: list) -> list[tuple[int, int]]:
+def in_bytes(text: bytes, out: list[tuple[int, int]], words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs of both alphabets as runs of bytes, in order."""
-    out, words = joined(spans), joined(spans, True)
     if words:
         first, after = Words.places(text)
-        out += [(int(first[a]), int(after[b - 1])) for a, b in words]
+        out = out + [(int(first[a]), int(after[b - 1])) for a, b in words]
     return sorted(out)
 
 
@@ -439,10 +567,10 @@ def removed(docs: DataFrame) -> DataFrame:
 
         def step(batch):
             rows = []
-            for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist()):
-                text = press.decompress(z, max_output_size=1 << 31)
-                kept, passages = cut(text, found := joined(spans)), len(joined(spans, True))
-                rows.append((len(text), len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), passages, passages > 0))
+            for z, (found, words) in zip(batch.column("z"), merged(batch.column("spans"))):
+                text = press.decompress(z.as_py(), max_output_size=1 << 31)
+                kept = cut(text, found)
+                rows.append((len(text), len(text) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), len(words), len(words) > 0))
             return {"doc_id": batch.column("doc_id")} | dict(zip((k for k, _ in kinds[1:]), zip(*rows)))
 
         return step
@@ -475,10 +603,10 @@ def strip(docs: DataFrame, lengths: tuple[int, int] = (LENGTH, PASSAGE)) -> Data
             columns = {c: batch.column(c) for c in rest}
             z, counts = batch.column("z").to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in columns else None
             texts = [t.decode() if z[i] is not None else None for i, t in enumerate(common.unpressed(z))]
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
+            for i, (own, words) in enumerate(merged(batch.column("spans"))):
+                if own or words:
                     raw = texts[i].encode()
-                    texts[i] = cut(raw, in_bytes(raw, spans)).decode("utf-8", "ignore")
+                    texts[i] = cut(raw, in_bytes(raw, own, words)).decode("utf-8", "ignore")
                     if counts:
                         counts[i] = len(texts[i])
             columns["text"] = pa.array(texts, pa.string())

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -130,3 +131,70 @@ def test_brute_force_of_other_lengths(docs, prose, monkeypatch, length):
     got = [S.cut((t or "").encode(), S.joined(spans.get(i))) for i, t in enumerate(texts)]
     monkeypatch.setattr(S, "LENGTH", length)
     assert [hashlib.sha256(g).hexdigest() for g in got] == [w[3] for w in brute(texts)]
+
+
+def test_last_round_orders_only_the_strings_of_the_entries(monkeypatch):
+    """The places that ranks are wanted for, not every suffix, are what the last round of doubling orders."""
+    rng = random.Random(5)
+    raw = bytes(rng.choice(b"ab") for _ in range(30)) * 400
+    starts = np.arange(0, len(raw) - S.LENGTH, 97)
+    sizes, ranked = [], S.ranked
+    monkeypatch.setattr(S, "ranked", lambda key, *more: sizes.append(len(key)) or ranked(key, *more))
+    rank = S.prefix_ranks(np.frombuffer(raw, np.uint8), starts=starts)
+    prefixes = [raw[i : i + S.LENGTH] for i in starts]
+    order = {p: k for k, p in enumerate(sorted(set(prefixes)))}
+    assert np.unique(rank, return_inverse=True)[1].tolist() == [order[p] for p in prefixes]
+    assert sizes[-1] == len(starts) and sizes[-2] <= 6 * len(starts)
+
+
+@pytest.mark.parametrize("size", [50, 3000, 300_000, 2_200_000])
+def test_prefix_ranks_of_any_size(size):
+    """Places of 6, 12, 19 and 22 bits: ranks and places share a number, or no longer do."""
+    rng = np.random.default_rng(size)
+    raw = rng.integers(97, 99, size).astype(np.uint8)
+    raw[size // 2 :] = raw[: size - size // 2]
+    starts = rng.integers(0, size - 40, 200)
+    rank = S.prefix_ranks(raw, 40, starts=starts)
+    text = raw.tobytes()
+    prefixes = [text[i : i + 40] for i in starts]
+    order = {p: k for k, p in enumerate(sorted(set(prefixes)))}
+    assert np.unique(rank, return_inverse=True)[1].tolist() == [order[p] for p in prefixes]
+
+
+def test_short_texts_are_parsed_together(prose, monkeypatch):
+    """Many short texts make a few blocks, and have the runs that each has alone."""
+    texts = [prose(i, 150) for i in range(60)] + ["", "short", "ä" * 900]
+    texts = [t.encode() for t in texts]
+    calls, runs_of = [], S.runs_of
+    monkeypatch.setattr(S, "runs_of", lambda *a: calls.append(1) or runs_of(*a))
+    for which, length in enumerate((S.LENGTH, S.PASSAGE)):
+        calls.clear()
+        text, *columns = S.runs(texts, length, which)
+        assert len(calls) <= 1 + sum(map(len, texts)) // S.BLOCK
+        for i, t in enumerate(texts):
+            alone = S.runs([t], length, which)[1:]
+            assert [c[text == i].tolist() for c in columns] == [a.tolist() for a in alone]
+
+
+def test_word_hashes():
+    words = [b"a", b"b", b"a\0", b"\0a", b"\0", b"12345678", b"123456789", b"12345678\0", b"x" * 16, b"x" * 17, b"x" * 31, b"x" * 32, b"x" * 33, b"x" * 5000, b"y" + b"x" * 32, "ä".encode(), b"\xc2\xa0"]
+    texts = [b" \t\n\v\f\r".join(words), b"", b" ", b"a", b"\na b\r", words[-4], b"b"]
+    got = S.Words.several(texts)
+    assert [len(g) for g in got] == [len(t.split()) for t in texts]
+    assert len(set(got[0].tolist())) == len(words)
+    by_word = dict(zip(words, got[0].tolist()))
+    for t, g in zip(texts, got):
+        assert g.tolist() == [by_word[w] for w in t.split()] == S.Words.symbols(t).tolist()
+    assert [len(g) for g in S.Words.several([b""])] == [0]
+
+
+def test_spans_of_a_batch_are_merged_like_those_of_each_row():
+    rng = random.Random(3)
+    rows = [None, []] + [[{"words": rng.random() < 0.5, "start": a, "end": a + rng.randrange(1, 9)} for a in (rng.randrange(60) + rng.choice([0, (1 << 32) - 70]) for _ in range(rng.randrange(12)))] for _ in range(50)]
+    for row, got in zip(rows, S.merged(pa.array(rows, S._SPANS))):
+        for words in (False, True):
+            own = [(s["start"], s["end"]) for s in row or () if s["words"] == words]
+            hit = sorted({i for a, b in own for i in range(a, b)})
+            starts = [i for i in hit if i - 1 not in set(hit)]
+            ends = [i + 1 for i in hit if i + 1 not in set(hit)]
+            assert got[words] == list(zip(starts, ends)) == S.joined(row, words)
