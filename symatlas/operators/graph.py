@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from symatlas.operators import lookup, trees
-from symatlas.session import shared_folder
+from symatlas.session import SPREAD, shared_folder
 
 MAX_DEPTH, MAX_PATHS = 8, 1000
 #: Open paths that the first round of a walk to a target takes, and the most that a round takes.
@@ -16,6 +16,8 @@ AT_ONCE, MOST_AT_ONCE = 1 << 14, 1 << 20
 LINKS = 4
 #: Candidates that an ambiguous name shows.
 CANDIDATES = 100
+#: Callees of implementors in one list, and those that are sent whole to every executor; of more, lists and callers are sorted.
+LIST, SENT = 1 << 10, 1 << 21
 
 
 def callers(edges: DataFrame, callee: str) -> DataFrame:
@@ -282,22 +284,39 @@ def chained_callees(edges: DataFrame, returns: DataFrame) -> DataFrame:
 def with_implementors(edges: DataFrame, bodies: DataFrame, implementors: DataFrame) -> DataFrame:
     """Add, for callees `Type.method` without a body, edges to the same method of the type's implementors; every edge once.
 
-    The added edges are as many as callers times implementors, so they are never shuffled: an implementor of one type
-    gives no edge twice, those of several types are made distinct, and edges that are added leave the others.
+    The added edges are as many as callers times implementors, so they are neither shuffled nor made one by one. An
+    implementor of one type gives no edge twice: callers, ordered by what they call, meet lists of ready callees, from which
+    go those that a caller has anyway. Implementors of several types are made distinct with the edges. What
+    all this reads (distinct edges, types, lists) is written to the shared folder once.
     """
-    abstract = edges.join(bodies.select(F.col("key").alias("callee")).distinct(), "callee", "left_anti")
-    method = F.substring_index("callee", ".", -1)
-    split = abstract.select("caller", F.substring_index("callee", ".", 1).alias("type"), method.alias("method")).distinct()
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/symatlas-implementors-{uuid.uuid4().hex}"
+    known = bodies.select(F.col("key").alias("callee"), F.lit(True).alias("body")).distinct()
+    whole = trees.table_of(spark, edges.select("caller", "callee").distinct().join(known, "callee", "left"), f"{folder}/edges")
     types = implementors.select(F.col("super").alias("type"), "sub").distinct().withColumn("types", F.count("*").over(Window.partitionBy("sub")))
+    types = trees.table_of(spark, types, f"{folder}/types")
+    method = F.substring_index("callee", ".", -1).alias("method")
+    split = whole.filter("body IS NULL AND callee IS NOT NULL").select("caller", F.substring_index("callee", ".", 1).alias("type"), method).distinct()
+    callee = F.concat_ws(".", "sub", "method").alias("callee")
     one = F.col("sub").isNotNull() & (F.col("types") == 1)
-    single = types.filter(one).select("type", "sub")
-    added = lambda rows: split.join(rows.select("type", "sub"), "type").select("caller", F.concat_ws(".", "sub", "method").alias("callee"))
-    rest = edges.select("caller", "callee").unionByName(added(types.filter(~one))).distinct()
-    own = F.when(F.col("callee").contains("."), F.expr("left(callee, length(callee) - length(method) - 1)"))
-    placed = rest.withColumn("method", method).withColumn("sub", own).join(single.withColumnRenamed("type", "t"), "sub", "left")
-    again = split.select(F.col("caller").alias("c"), F.col("type").alias("t2"), F.col("method").alias("m"))
-    left = placed.join(again, F.col("caller").eqNullSafe(F.col("c")) & (F.col("t") == F.col("t2")) & (F.col("method") == F.col("m")), "left_anti")
-    return left.select("caller", "callee").unionByName(added(single))
+    single, several = types.filter(one).select("type", "sub"), types.filter(~one).select("type", "sub")
+    own = whole.select("caller", "callee")
+    if not several.isEmpty():
+        own = own.unionByName(split.join(several, "type").select("caller", callee)).distinct()
+    before = own.filter("callee LIKE '%.%'").withColumn("method", method).withColumn("sub", F.expr("left(callee, length(callee) - length(method) - 1)"))
+    held = before.join(single, "sub").groupBy(F.col("caller").alias("c"), F.col("type").alias("t"), F.col("method").alias("m")).agg(F.collect_list("callee").alias("held"))
+    held = trees.table_of(spark, held, f"{folder}/held")
+    left = F.col("callees")
+    if not held.isEmpty():
+        split = split.join(held, F.col("caller").eqNullSafe(F.col("c")) & (F.col("type") == F.col("t")) & (F.col("method") == F.col("m")), "left").drop("c", "t", "m")
+        left = F.when(F.col("held").isNull(), left).otherwise(F.array_except("callees", "held"))
+    cut = single.join(single.groupBy("type").agg(F.ceil(F.count("*") / LIST).alias("lists")), "type").withColumn("list", F.pmod(F.xxhash64("sub"), "lists"))
+    lists = split.select("type", "method").distinct().join(cut, "type").groupBy("type", "method", "list").agg(F.collect_list(callee).alias("callees"))
+    lists = trees.table_of(spark, lists, f"{folder}/lists")
+    if (lists.agg(F.sum(F.size("callees"))).first()[0] or 0) <= SENT:
+        lists = F.broadcast(lists)
+    ordered = split.repartitionByRange(SPREAD * spark.sparkContext.defaultParallelism, "type", "method", "caller")
+    return own.unionByName(ordered.join(lists, ["type", "method"]).select("caller", F.explode(left).alias("callee")))
 
 
 def definition_sites(paths: DataFrame, definitions: DataFrame) -> DataFrame:

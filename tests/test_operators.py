@@ -241,3 +241,18 @@ def test_implementors_are_added_without_a_shuffle_of_them(spark):
     assert added.count() == 300 + 300 * 300
     plan = added._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.startswith("Aggregate")
+
+
+def test_added_edges_come_from_lists_and_edges_are_read_once(spark, monkeypatch):
+    edges = [(None if i == 3 else f"c{i % 9}", f"T{i % 4}.m{i % 5}") for i in range(400)] + [("c1", "s1.m1"), (None, "s7.m3"), ("c2", "s11.x"), ("c2", "s4.m1"), ("c0", None)]
+    implementors = [(f"T{i % 4}", f"s{i}") for i in range(40)] + [("T1", "s4"), ("T2", None)]
+    want = set(edges) | {(c, f"{sub}.{e.split('.')[1]}" if sub else e.split(".")[1]) for c, e in edges if e for sup, sub in implementors if e.split(".")[0] == sup and e != "T2.m2"}
+    tables = [spark.createDataFrame(t, s) for t, s in ((edges, "caller string, callee string"), ([("T2.m2",)], "key string"), (implementors, "super string, sub string"))]
+    for most, sent in ((1 << 10, 1 << 20), (3, 0)):
+        monkeypatch.setattr(graph, "LIST", most, raising=False)
+        monkeypatch.setattr(graph, "SENT", sent, raising=False)
+        got = graph.with_implementors(*tables)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # before, each use of the edges read the calls again, and each added edge was made by itself
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "LogicalRDD" not in plan
