@@ -1,3 +1,4 @@
+import collections
 import random
 from functools import lru_cache
 
@@ -251,3 +252,59 @@ def test_tree_diff_packs_trees_and_takes_large_ones_by_level(spark, tmp_path, mo
     assert sorted(map(tuple, trees.tree_diff(before, after).collect())) == whole
     monkeypatch.setattr(trees, "WHOLE", 1)
     assert sorted(map(tuple, trees.tree_diff(before, after).collect())) == whole
+
+
+def test_tree_diff_counts_and_lists(spark, tmp_path, monkeypatch):
+    rng, tables = random.Random(5), ([], [])
+
+    def grow(path, depth):
+        yield path, rng.choice(["a", "b", "c", "", "zwölf", None]) if depth else "root"
+        for k in range(rng.randint(0, 4) if depth < 3 else 0):
+            yield from grow([*path, k * 3 - 2], depth + 1)
+
+    for entry in [*range(40), None]:
+        for table in tables:
+            nodes = [(entry, p, rng.choice(["call", None]), n) for p, n in grow([0], 0)]
+            rng.shuffle(nodes)
+            table.extend(nodes)
+    tables[0].append((100, [0], "call", "gone"))
+    tables[1].extend([(101, [0], "call", "new"), (101, [0, 7], "call", "below"), (102, [0, 1], "call", "below nothing")])
+    sides = [spark.createDataFrame(t, "entry int, path array<int>, kind string, name string") for t in tables]
+    monkeypatch.setattr(trees, "shared_folder", lambda spark: str(tmp_path))
+
+    def lists(nodes, side):
+        groups = {}
+        for entry, path, kind, name in nodes:
+            groups.setdefault((entry, tuple(path[:-1])), []).append((path[-1], name, kind))
+        return [(e, [(side, list(p))], [x[0] for x in g], [x[1] for x in g], [x[2] for x in g]) for (e, p), g in groups.items()]
+
+    both = spark.createDataFrame(lists(tables[0], 0) + lists(tables[1], 1), "entry int, places array<struct<side: int, path: array<int>>>, at array<int>, names array<string>, kinds array<string>")
+    diff = sorted(map(tuple, trees.tree_diff(*sides).collect()), key=repr)
+    assert sorted(map(tuple, trees.tree_diff(both).collect()), key=repr) == diff
+    want = collections.Counter((entry, status, depth) for entry, _, depth, status, _, _ in diff)
+    assert {tuple(r)[:3]: r["nodes"] for r in trees.diff_counts(*sides).collect()} == want
+    monkeypatch.setattr(trees, "WHOLE", 12)  # some trees are larger
+    assert {tuple(r)[:3]: r["nodes"] for r in trees.diff_counts(both).collect()} == want
+    assert sorted(map(tuple, trees.tree_diff(*sides).collect()), key=repr) == diff
+    assert {r[3] for r in diff if r[0] is None} == {"removed", "added"} and all(r[0] != 102 for r in diff)
+
+
+def test_lists_of_both_versions_are_made_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "shared_folder", lambda spark: str(tmp_path))
+    lists = [(1, [(0, []), (1, [])], [0], "r"), (1, [(0, []), (1, [])], [0], "r"), (1, [(0, [0])], [1, 2], "x\ny"), (1, [(1, [0])], [6, 4], "y\nz"), (1, [(0, [0, 1]), (0, [0, 2]), (1, [0, 6])], None, "u\nv\nw"), (1, [(1, [0, 4])], None, "")]
+    both = spark.createDataFrame(lists, "entry int, places array<struct<side: int, path: array<int>>>, at array<int>, names string")
+    want = {("same", 0, 1), ("removed", 1, 1), ("removed", 2, 3), ("same", 1, 1), ("same", 2, 3), ("added", 1, 1)}
+    for whole in (trees.WHOLE, 1):
+        monkeypatch.setattr(trees, "WHOLE", whole)
+        assert {tuple(r)[1:] for r in trees.diff_counts(both).collect()} == want
+
+
+def test_alignment_of_names_that_are_there_once():
+    rng = random.Random(7)
+    for _ in range(300):
+        names = rng.sample(range(30), rng.randint(0, 8))
+        lists = [[x for x in names if rng.random() < 0.7] for _ in range(2)]
+        for own, low in zip(lists, (100, 200)):
+            for _ in range(rng.randint(0, 4)):
+                own.insert(rng.randint(0, len(own)), low + rng.randint(0, 2))
+        assert trees.aligned(*lists) == brute_alignment(*map(tuple, lists))
